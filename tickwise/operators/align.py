@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickwise.operators.ordered import CHUNK, ordered_scan, split_hot
+from tickwise.operators.ordered import CHUNK, ordered_scan, quoted, split_hot
 
 # Ticks are generated in blocks, so that one long hold never becomes one long array.
 TICK_BLOCK = 4096
@@ -121,7 +121,7 @@ def fill_both(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns:
         following={f"_bw_{o}": c for o, c in columns.items()},
     )
     filled = [F.coalesce(f"_fw_{o}", f"_bw_{o}").alias(o) for o in columns]
-    return scanned.select(*[c for c in df.columns if c not in columns], *filled)
+    return scanned.select(*[quoted(c) for c in df.columns if c not in columns], *filled)
 
 
 def finite_difference(
@@ -146,7 +146,7 @@ def finite_difference(
         ).alias(o)
         for o, c in columns.items()
     ]
-    return scanned.select(*df.columns, *rates)
+    return scanned.select(*map(quoted, df.columns), *rates)
 
 
 def linear_interp_trace(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tickwise.functions.scalars import to_number
 from tickwise.operators.align import fill_both
+from tickwise.operators.ordered import quoted
 from tickwise.schema import DATASET, LABEL, SEQ, TIME, spec_for
 
 
@@ -28,29 +29,29 @@ def label_bool_topic(
     if not present and not inverted:
         return df.withColumn(out, F.lit(0.0))
     source = present[0] if present else success_column
-    flag = df.withColumn("_flag", to_number(F.col(f"`{source}`")))
+    flag = df.withColumn("_flag", to_number(quoted(source)))
     filled = fill_both(flag, keys, [time], {"_flag": "_flag"})
     above = F.when(F.col("_flag") > 0.5, 1.0).otherwise(0.0)
-    return filled.withColumn(out, F.lit(1.0) - above if inverted else above).select(*df.columns, out)
+    return filled.withColumn(out, F.lit(1.0) - above if inverted else above).select(*map(quoted, df.columns), out)
 
 
 def label_metadata(df: DataFrame, catalog: DataFrame, on: str, successful: str, out: str = LABEL) -> DataFrame:
     """Label from one boolean per sequence; absent means success."""
     flags = catalog.select(on, F.col(successful).cast("boolean").alias("_ok"))
     failed = F.when(F.coalesce(F.col("_ok"), F.lit(True)), 0.0).otherwise(1.0)
-    return df.join(flags, on, "left").select(*df.columns, failed.alias(out))
+    return df.join(flags, on, "left").select(*map(quoted, df.columns), failed.alias(out))
 
 
 def final_reward(
     df: DataFrame, seq: str, order: Sequence[str], reward: str, terminal: str | None
 ) -> DataFrame:
     """Reward at the last row whose terminal flag is set, else at the last row; missing is 0."""
-    value = F.coalesce(to_number(F.col(f"`{reward}`")), F.lit(0.0))
+    value = F.coalesce(to_number(quoted(reward)), F.lit(0.0))
     at = F.struct(*order)
     last = F.max_by(value, at)
     if terminal is None:
         return df.groupBy(seq).agg(last.alias("final_reward"))
-    flagged = F.coalesce(to_number(F.col(f"`{terminal}`")), F.lit(0.0)) != 0.0
+    flagged = F.coalesce(to_number(quoted(terminal)), F.lit(0.0)) != 0.0
     return df.groupBy(seq).agg(F.coalesce(F.max_by(value, F.when(flagged, at)), last).alias("final_reward"))
 
 

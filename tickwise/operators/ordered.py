@@ -25,6 +25,11 @@ MAX_CUTS = 16_384
 SAMPLES_PER_CUT = 16
 
 
+def quoted(name: str) -> Column:
+    """A top-level column by its exact name, which may hold dots or slashes."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def hot_row_limit(spark: SparkSession) -> int:
     """Rows one task may hold of a single key before the key is split."""
     return int(spark.conf.get(HOT_ROWS_CONF, str(DEFAULT_HOT_ROWS)))
@@ -86,7 +91,7 @@ def split_hot(
     longest = max((len(r[-1]) for r in cut_rows), default=0)
     value = F.struct(*[F.col(o) for o in order])
     out = df.join(F.broadcast(cuts), list(keys), "left").select(
-        *df.columns,
+        *map(quoted, df.columns),
         F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(_cuts_below(value, longest)).alias(CHUNK),
     )
     return out, True
@@ -137,7 +142,8 @@ def ordered_scan(
     sums, totals, last = dict(sums or {}), dict(totals or {}), dict(last or {})
     following, lag, lead, head = dict(following or {}), dict(lag or {}), dict(lead or {}), dict(head or {})
     keys, order = list(keys), list(order)
-    keep = list(df.columns)
+    keep = [quoted(c) for c in df.columns]
+    has_chunk = chunk in df.columns
 
     split = chunk is not None
     if chunk == "auto":
@@ -174,7 +180,7 @@ def ordered_scan(
     local |= {out: F.lag(F.struct(c)).over(ordered) for out, c in lag.items()}
     local |= {out: F.lead(F.struct(c)).over(ordered) for out, c in lead.items()}
     local |= {out: F.last(c, ignorenulls=True).over(backwards) for out, c in following.items()}
-    scanned = df.select(*keep, *([] if chunk in keep else [chunk]), *[e.alias(o) for o, e in local.items()])
+    scanned = df.select(*keep, *([] if has_chunk else [chunk]), *[e.alias(o) for o, e in local.items()])
 
     position = F.struct(*order)
     summary = df.groupBy(*group).agg(

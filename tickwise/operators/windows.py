@@ -155,3 +155,16 @@ def pad_bags(
         F.lit(1).alias("valid"),
     )
     return real.unionByName(missing)
+
+
+def coverage(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], length: int, stride: int, out: str = "n_windows"
+) -> DataFrame:
+    """How many complete windows cover each tick, without building the windows."""
+    scanned = ordered_scan(df, keys, order, index="_i", count="_n")
+    first = F.expr(f"greatest(0L, (_i - {length} + {stride}) div {stride})")
+    last = F.expr(f"least(_i div {stride}, (_n - {length}) div {stride})")
+    covered = F.when(F.col("_n") < length, F.lit(0).cast("long")).otherwise(
+        F.greatest(last - first + 1, F.lit(0).cast("long"))
+    )
+    return scanned.select(*df.columns, covered.alias(out))

@@ -202,7 +202,8 @@ def terminal(spark, sf):
 )
 def dispatch(spark, sf):
     rows = _flagged(spark, sf).withColumn("dataset_id", dataset_of_user())
-    rewarded = _rewarded(spark, sf).select("sequence_name", "timestamp_ns", "/step/reward.data", "/step/is_terminal.data")
+    rewarded = _rewarded(spark, sf).select(
+        "sequence_name", "timestamp_ns", "`/step/reward.data`", "`/step/is_terminal.data`")
     rows = rows.join(rewarded, ["sequence_name", "timestamp_ns"])
     adapters = {
         "ds0": lambda d: lb.label_bool_topic(
