@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickwise.operators.lookup import join_facts
 from tickwise.operators.ordered import CHUNK, ordered_scan, quoted, split_hot
 
 # Ticks are generated in blocks, so that one long hold never becomes one long array.
@@ -32,7 +33,7 @@ def sparse_pivot(
 def time_chunks(samples: DataFrame, seq: str, time: str, length: int, out: str = "chunk") -> DataFrame:
     """Number the fixed-length chunks of every sequence from its first sample on."""
     start = samples.groupBy(seq).agg(F.min(time).alias("_t0"))
-    return samples.join(start, seq).withColumn(
+    return join_facts(samples, start, [seq]).withColumn(
         out, F.expr(f"(`{time}` - _t0) div {int(length)}")
     ).drop("_t0")
 
@@ -112,13 +113,17 @@ def _hold(chunked, seq, time, topic, value, topics, step, chunk: str | None) ->
 
 
 def fill_both(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Mapping[str, str]) -> DataFrame:
-    """Forward fill, then backward fill what is left. ``columns`` is ``{output: input}``."""
+    """Forward fill, then backward fill what is left. ``columns`` is ``{output: input}``.
+
+    Only rows before the first value are left after the forward fill, and what they take is
+    that first value: no window over following rows is needed.
+    """
     scanned = ordered_scan(
         df,
         keys,
         order,
         last={f"_fw_{o}": c for o, c in columns.items()},
-        following={f"_bw_{o}": c for o, c in columns.items()},
+        first_valid={f"_bw_{o}": c for o, c in columns.items()},
     )
     filled = [F.coalesce(f"_fw_{o}", f"_bw_{o}").alias(o) for o in columns]
     return scanned.select(*[quoted(c) for c in df.columns if c not in columns], *filled)
@@ -160,7 +165,7 @@ def linear_interp_trace(
     last = trace.groupBy(seq).agg(F.max(n).alias("_last"))
     base = F.floor(F.col(x))
     asked = (
-        positions.join(last, seq, "left")
+        join_facts(positions, last, [seq], "left")
         .withColumn("_lo", F.greatest(F.lit(warm_up), F.least(base, F.col("_last"))))
         .withColumn("_hi", F.greatest(F.lit(warm_up), F.least(F.col("_lo") + 1, F.col("_last"))))
         .withColumn("_w", F.when(F.col("_lo") == F.col("_hi"), 0.0).otherwise(F.col(x) - base))
@@ -227,7 +232,7 @@ def jump_segment(
         F.when(short, F.least(F.col("_n"), F.col("_c") + min_length)).otherwise(F.col("_hi")).alias("_to"),
     )
     return (
-        cut.join(bounds, keys)
+        join_facts(cut, bounds, keys)
         .where("_from <= idx and idx < _to")
         .select(*df.columns, "idx", "segment")
     )

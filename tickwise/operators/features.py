@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tickwise.functions.scalars import binarize, column_or_missing, residual, to_number
 from tickwise.functions.vectors import all_finite, array_first, array_mean
 from tickwise.operators.align import finite_difference
+from tickwise.operators.ordered import order_value, quoted
 from tickwise.schema import CANONICAL, DERIVED, RESIDUAL, SourceSpec, spec_for
 
 POSE_FIELDS = ("position.x", "position.y", "position.z",
@@ -33,7 +34,7 @@ def pose_fields(df: DataFrame, pose: str, out: Sequence[str]) -> DataFrame:
 def _gripper(df: DataFrame, spec: SourceSpec) -> Column:
     if spec.gripper not in df.columns:
         return F.lit(None).cast("double")
-    raw = F.col(f"`{spec.gripper}`")
+    raw = quoted(spec.gripper)
     if spec.gripper_reduce == "mean":
         raw = array_mean(raw)
     elif spec.gripper_reduce == "first":
@@ -50,13 +51,13 @@ def project_canonical(df: DataFrame, dataset_id: str, keep: Sequence[str] = ())
         if name == "gripper_state":
             fields.append(_gripper(df, spec).alias(name))
         elif sources[name] in df.columns:
-            fields.append(to_number(F.col(f"`{sources[name]}`")).alias(name))
+            fields.append(to_number(quoted(sources[name])).alias(name))
         else:
             fields.append(column_or_missing(df, sources[name]).alias(name))
     extra = []
     if spec.commanded in df.columns and spec.sensed in df.columns:
-        extra.append(residual(F.col(f"`{spec.commanded}`"), F.col(f"`{spec.sensed}`")).alias(RESIDUAL))
-    return df.select(*[F.col(f"`{k}`") for k in keep], *fields, *extra)
+        extra.append(residual(quoted(spec.commanded), quoted(spec.sensed)).alias(RESIDUAL))
+    return df.select(*map(quoted, keep), *fields, *extra)
 
 
 def first_valid_vector(
@@ -66,8 +67,8 @@ def first_valid_vector(
 
     An aggregate with partial results on the map side, so a long sequence is no problem.
     """
-    at = F.when(F.size(F.col(f"`{column}`")) == dim, F.struct(*order))
-    return df.groupBy(seq).agg(F.min_by(F.col(f"`{column}`"), at).alias(out))
+    at = F.when(F.size(quoted(column)) == dim, order_value(order))
+    return df.groupBy(seq).agg(F.min_by(quoted(column), at).alias(out))
 
 
 def drop_incomplete(df: DataFrame, columns: Sequence[str] = CANONICAL) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tickwise.functions.scalars import to_number
 from tickwise.operators.align import fill_both
-from tickwise.operators.ordered import quoted
+from tickwise.operators.lookup import join_facts
+from tickwise.operators.ordered import order_value, quoted
 from tickwise.schema import DATASET, LABEL, SEQ, TIME, spec_for
 
 
@@ -39,7 +40,7 @@ def label_metadata(df: DataFrame, catalog: DataFrame, on: str, successful: str,
     """Label from one boolean per sequence; absent means success."""
     flags = catalog.select(on, F.col(successful).cast("boolean").alias("_ok"))
     failed = F.when(F.coalesce(F.col("_ok"), F.lit(True)), 0.0).otherwise(1.0)
-    return df.join(flags, on, "left").select(*map(quoted, df.columns), failed.alias(out))
+    return join_facts(df, flags, [on], "left").select(*map(quoted, df.columns), failed.alias(out))
 
 
 def final_reward(
@@ -47,7 +48,7 @@ def final_reward(
 ) -> DataFrame:
     """Reward at the last row whose terminal flag is set, else at the last row; missing is 0."""
     value = F.coalesce(to_number(quoted(reward)), F.lit(0.0))
-    at = F.struct(*order)
+    at = order_value(order)
     last = F.max_by(value, at)
     if terminal is None:
         return df.groupBy(seq).agg(last.alias("final_reward"))
@@ -65,7 +66,7 @@ def label_terminal(
     ends = final_reward(df, seq, order, reward, has_terminal).select(
         seq, F.when(F.col("final_reward") > 0, 0.0).otherwise(1.0).alias(out)
     )
-    return df.join(ends, seq)
+    return join_facts(df, ends, [seq])
 
 
 def sequence_label(df: DataFrame, keys: Sequence[str], label: str, out: str = "seq_label") -> DataFrame:

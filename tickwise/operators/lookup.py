@@ -6,8 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tickwise.operators.ordered import MAX_CUTS, hot_row_limit
 
 LOOKUP_ROWS = 50_000
+SALT = "_salt"
+MAX_SALTS = 4096
 
 
 def join_lookup(
@@ -24,3 +29,45 @@ def join_lookup(
     if len(rows) > max_rows:
         return df.join(table, on, how)
     return df.join(F.broadcast(df.sparkSession.createDataFrame(rows, table.schema)), on, how)
+
+
+def join_facts(
+    df: DataFrame, facts: DataFrame, on: Sequence[str], how: str = "inner", max_rows: int | None = None
+) -> DataFrame:
+    """Join rows with at most one fact row per key, where a key may hold a large part of ``df``.
+
+    One counting pass finds keys above the row limit (at most ``MAX_CUTS``, so the list is
+    small enough to broadcast). Rows of those keys get a salt from a hash of their content
+    and their facts are repeated once per salt; all other keys keep salt 0. Adaptive skew
+    handling does not do this where a later operator needs the same partitioning.
+    """
+    on = list(on)
+    spark = df.sparkSession
+    limit = max_rows or hot_row_limit(spark)
+    hot = (
+        df.groupBy(*on)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .where(F.col("_n") > limit)
+        .orderBy(F.desc("_n"))
+        .limit(MAX_CUTS)
+        .collect()
+    )
+    if not hot:
+        return df.join(facts, on, how)
+    salts = spark.createDataFrame(
+        [(*[r[k] for k in on], min(MAX_SALTS, -(-r["_n"] // limit))) for r in hot],
+        T.StructType([*[df.schema[k] for k in on], T.StructField("_salts", T.LongType())]),
+    )
+    hashed = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+    content = F.xxhash64(*[F.col(f"`{c}`") for c in hashed])
+    salted = (
+        df.join(F.broadcast(salts), on, "left")
+        .withColumn(SALT, F.coalesce(F.pmod(content, F.col("_salts")), F.lit(0).cast("long")))
+        .drop("_salts")
+    )
+    repeated = (
+        facts.join(F.broadcast(salts), on, "left")
+        .withColumn(SALT, F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_salts", F.lit(1)) - 1)))
+        .drop("_salts")
+    )
+    return salted.join(repeated, [*on, SALT], how).drop(SALT)

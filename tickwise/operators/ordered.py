@@ -30,6 +30,11 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def order_value(order: Sequence[str]) -> Column:
+    """One value that sorts like the order columns; a plain column keeps aggregates hash-based."""
+    return quoted(order[0]) if len(order) == 1 else F.struct(*[quoted(o) for o in order])
+
+
 def hot_row_limit(spark: SparkSession) -> int:
     """Rows one task may hold of a single key before the key is split."""
     return int(spark.conf.get(HOT_ROWS_CONF, str(DEFAULT_HOT_ROWS)))
@@ -125,7 +130,7 @@ def ordered_scan(
     sums: Mapping[str, str] | None = None,
     totals: Mapping[str, str] | None = None,
     last: Mapping[str, str] | None = None,
-    following: Mapping[str, str] | None = None,
+    first_valid: Mapping[str, str] | None = None,
     lag: Mapping[str, str] | None = None,
     lead: Mapping[str, str] | None = None,
     head: Mapping[str, str] | None = None,
@@ -134,13 +139,13 @@ def ordered_scan(
     """Add order-dependent columns per key; ``order`` (ascending) must be a total order.
 
     ``index`` 0-based position; ``count`` rows of the key; ``sums`` running sums;
-    ``totals`` sums over the key; ``last`` last non-null so far; ``following`` first
-    non-null from here on; ``lag`` / ``lead`` neighbour rows; ``head`` value of the first
+    ``totals`` sums over the key; ``last`` last non-null so far; ``first_valid`` first
+    non-null of the key; ``lag`` / ``lead`` neighbour rows; ``head`` value of the first
     row. Mappings are ``{output column: input column}``. ``chunk`` is ``"auto"`` (split hot
     keys), ``None`` (groups known to be small) or the name of a chunk column in ``df``.
     """
     sums, totals, last = dict(sums or {}), dict(totals or {}), dict(last or {})
-    following, lag, lead, head = dict(following or {}), dict(lag or {}), dict(lead or {}), dict(head or {})
+    first_valid, lag, lead, head = dict(first_valid or {}), dict(lag or {}), dict(lead or {}), dict(head or {})
     keys, order = list(keys), list(order)
     keep = [quoted(c) for c in df.columns]
     has_chunk = chunk in df.columns
@@ -153,12 +158,7 @@ def ordered_scan(
 
     ordered = Window.partitionBy(*group).orderBy(*order)
     so_far = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # A frame up to unboundedFollowing is quadratic; the reversed order is linear.
-    backwards = (
-        Window.partitionBy(*group)
-        .orderBy(*[F.col(o).desc() for o in order])
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    in_order = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     whole = Window.partitionBy(*group)
 
     local: dict[str, Column] = {}
@@ -169,34 +169,31 @@ def ordered_scan(
     local |= {out: F.sum(c).over(so_far) for out, c in sums.items()}
     local |= {out: F.sum(c).over(whole) for out, c in totals.items()}
     local |= {out: F.last(c, ignorenulls=True).over(so_far) for out, c in last.items()}
+    local |= {out: F.first(c, ignorenulls=True).over(in_order) for out, c in first_valid.items()}
     local |= {out: F.first(c).over(so_far) for out, c in head.items()}
     if not split:
         local |= {out: F.lag(c).over(ordered) for out, c in lag.items()}
         local |= {out: F.lead(c).over(ordered) for out, c in lead.items()}
-        local |= {out: F.last(c, ignorenulls=True).over(backwards) for out, c in following.items()}
         return df.select(*keep, *[e.alias(out) for out, e in local.items()])
 
     # Neighbours are wrapped, so that "no neighbour" and "neighbour is null" stay apart.
     local |= {out: F.lag(F.struct(c)).over(ordered) for out, c in lag.items()}
     local |= {out: F.lead(F.struct(c)).over(ordered) for out, c in lead.items()}
-    local |= {out: F.last(c, ignorenulls=True).over(backwards) for out, c in following.items()}
     scanned = df.select(*keep, *([] if has_chunk else [chunk]), *[e.alias(o) for o, e in local.items()])
 
-    position = F.struct(*order)
+    position = order_value(order)
     summary = df.groupBy(*group).agg(
         F.count(F.lit(1)).alias("_n"),
         *[F.sum(c).alias(f"_s_{o}") for o, c in {**sums, **totals}.items()],
         *[F.max_by(c, F.when(F.col(c).isNotNull(), position)).alias(f"_l_{o}") for o, c in last.items()],
-        *[F.min_by(c, F.when(F.col(c).isNotNull(), position)).alias(f"_f_{o}") for o, c in following.items()],
+        *[F.min_by(c, F.when(F.col(c).isNotNull(), position)).alias(f"_f_{o}") for o, c in first_valid.items()],
         *[F.max_by(F.struct(c), position).alias(f"_t_{o}") for o, c in lag.items()],
         *[F.min_by(F.struct(c), position).alias(f"_h_{o}") for o, c in {**lead, **head}.items()],
     )
     by_chunk = Window.partitionBy(*keys).orderBy(chunk)
     before = by_chunk.rowsBetween(Window.unboundedPreceding, -1)
-    after = (
-        Window.partitionBy(*keys).orderBy(F.col(chunk).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    )
     all_chunks = Window.partitionBy(*keys)
+    across = by_chunk.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     first_chunk = by_chunk.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     carry = summary.select(
         *group,
@@ -205,7 +202,7 @@ def ordered_scan(
         *[F.sum(f"_s_{o}").over(before).alias(f"_c_{o}") for o in sums],
         *[F.sum(f"_s_{o}").over(all_chunks).alias(f"_c_{o}") for o in totals],
         *[F.last(f"_l_{o}", ignorenulls=True).over(before).alias(f"_c_{o}") for o in last],
-        *[F.last(f"_f_{o}", ignorenulls=True).over(after).alias(f"_c_{o}") for o in following],
+        *[F.first(f"_f_{o}", ignorenulls=True).over(across).alias(f"_c_{o}") for o in first_valid],
         *[F.lag(f"_t_{o}").over(by_chunk).alias(f"_c_{o}") for o in lag],
         *[F.lead(f"_h_{o}").over(by_chunk).alias(f"_c_{o}") for o in lead],
         *[F.first(f"_h_{o}").over(first_chunk).alias(f"_c_{o}") for o in head],
@@ -222,7 +219,8 @@ def ordered_scan(
             F.col(o) + F.coalesce(F.col(f"_c_{o}"), F.lit(0))
         )
     final |= {o: F.col(f"_c_{o}") for o in totals}
-    final |= {o: F.coalesce(F.col(o), F.col(f"_c_{o}")) for o in [*last, *following]}
+    final |= {o: F.coalesce(F.col(o), F.col(f"_c_{o}")) for o in last}
+    final |= {o: F.col(f"_c_{o}") for o in first_valid}
     final |= {o: F.coalesce(F.col(o), F.col(f"_c_{o}"))[c] for o, c in {**lag, **lead}.items()}
     final |= {o: F.col(f"_c_{o}")[c] for o, c in head.items()}
     return joined.select(*keep, *[e.alias(out) for out, e in final.items()])

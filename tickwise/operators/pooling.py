@@ -1,12 +1,12 @@
 """Pooling of instance vectors into one vector per bag.
 
-Instances are rows (bag, idx, vector). Pooled vectors come back as rows (bag, dim, z) and
-instance weights as rows (bag, idx, weight), so no bag is ever held in one place.
+Instances are rows (bag, idx, vector). Pooling gives one row (bag, z) per bag and the instance
+weights as rows (bag, idx, weight), so no bag is ever held in one place.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickwise.functions.vectors import doubles, dot, vector
+from tickwise.operators.lookup import join_facts
 
 POOL_MODES = ("gated", "max", "mean")
 # exp() of a logit shifted by its own bound stays in double range up to here.
@@ -40,21 +41,27 @@ def _softmax_weights(df: DataFrame, bag: str, logit: str, bound: float | None) -
     if bound is not None and bound <= SAFE_LOGIT_BOUND:
         return df.withColumn("_e", F.exp(F.col(logit) - F.lit(float(bound))))
     peak = df.groupBy(bag).agg(F.max(logit).alias("_peak"))
-    return df.join(peak, bag).withColumn("_e", F.exp(F.col(logit) - F.col("_peak"))).drop("_peak")
+    return join_facts(df, peak, [bag]).withColumn("_e", F.exp(F.col(logit) - F.col("_peak"))).drop("_peak")
 
 
-def _pool(df: DataFrame, bag: str, column: str) -> DataFrame:
-    cells = df.select(bag, "_e", F.posexplode(doubles(F.col(column))).alias("dim", "_x"))
-    return cells.groupBy(bag, "dim").agg((F.sum(F.col("_e") * F.col("_x")) / F.sum("_e")).alias("z"))
+def vector_agg(df: DataFrame, bag: str, column: str, width: int, agg: Callable[[Column], Column], out: str) -> DataFrame:
+    """Aggregate every dimension of a vector column per bag: one row per bag, no row per cell."""
+    at = [F.get(doubles(F.col(column)), F.lit(i)) for i in range(width)]
+    return df.groupBy(bag).agg(F.array(*[agg(a) for a in at]).alias(out))
+
+
+def _pool(df: DataFrame, bag: str, column: str, width: int) -> DataFrame:
+    return vector_agg(df, bag, column, width, lambda x: F.sum(F.col("_e") * x) / F.sum("_e"), "z")
 
 
 def _weights(df: DataFrame, bag: str, idx: str) -> DataFrame:
     total = df.groupBy(bag).agg(F.sum("_e").alias("_total"))
-    return df.join(total, bag).select(bag, idx, (F.col("_e") / F.col("_total")).alias("weight"))
+    return join_facts(df.select(bag, idx, "_e"), total, [bag]).select(
+        bag, idx, (F.col("_e") / F.col("_total")).alias("weight"))
 
 
 def pool_gated_attention(
-    df: DataFrame, bag: str, idx: str, column: str, V: np.ndarray, U: np.ndarray, w: np.ndarray,
+    df: DataFrame, bag: str, idx: str, column: str, width: int, V: np.ndarray, U: np.ndarray, w: np.ndarray,
     valid: Column | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Gated attention pooling for given weights; returns (pooled, instance weights).
@@ -65,7 +72,7 @@ def pool_gated_attention(
     rows = df if valid is None else df.where(valid)
     scored = rows.withColumn("_logit", gated_logit(F.col(column), V, U, w))
     weighted = _softmax_weights(scored, bag, "_logit", float(np.abs(w).sum()))
-    return _pool(weighted, bag, column), _weights(weighted, bag, idx)
+    return _pool(weighted, bag, column, width), _weights(weighted, bag, idx)
 
 
 def pool_attention(
@@ -76,7 +83,7 @@ def pool_attention(
     rows = df if valid is None else df.where(valid)
     scored = rows.withColumn("_logit", dot(F.col(column), vector(weight)) + F.lit(bias))
     weighted = _softmax_weights(scored, bag, "_logit", None)
-    return _pool(weighted, bag, column), _weights(weighted, bag, idx)
+    return _pool(weighted, bag, column, len(weight)), _weights(weighted, bag, idx)
 
 
 def last_readout(df: DataFrame, bag: str, idx: str, column: str) -> DataFrame:
@@ -85,44 +92,46 @@ def last_readout(df: DataFrame, bag: str, idx: str, column: str) -> DataFrame:
 
 
 def pool_max(
-    df: DataFrame, bag: str, idx: str, column: str, valid: Column | None = None
+    df: DataFrame, bag: str, idx: str, column: str, width: int, valid: Column | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Largest value per dimension, and the share of dimensions each instance wins.
 
-    Of equal values the lowest ``idx`` wins. Instances that win nothing have share 0.
+    Of equal values the lowest ``idx`` wins. Instances that win nothing have share 0. The
+    maxima are joined back, so only winning cells are expanded into rows.
     """
-    rows = df if valid is None else df.where(valid)
-    cells = rows.select(bag, idx, F.posexplode(doubles(F.col(column))).alias("dim", "_x"))
-    best = cells.groupBy(bag, "dim").agg(F.max(F.struct(F.col("_x"), (-F.col(idx)).alias("_neg"))).alias("_b"))
-    pooled = best.select(bag, "dim", F.col("_b._x").alias("z"))
-    wins = best.groupBy(bag, (-F.col("_b._neg")).alias(idx)).agg(F.count(F.lit(1)).alias("_wins"))
-    shares = df.join(wins, [bag, idx], "left").select(
-        bag, idx, (F.coalesce(F.col("_wins"), F.lit(0)) / F.size(column)).alias("weight")
-    )
+    rows = (df if valid is None else df.where(valid)).select(bag, idx, doubles(F.col(column)).alias("_v"))
+    pooled = vector_agg(rows, bag, "_v", width, F.max, "z")
+    won = F.array_compact(F.zip_with(
+        F.sequence(F.lit(0), F.lit(width - 1)), F.zip_with("_v", "z", lambda x, z: x == z),
+        lambda d, hit: F.when(hit, d)))
+    cells = join_facts(rows, pooled, [bag]).select(bag, idx, F.explode(won).alias("dim"))
+    winners = cells.groupBy(bag, "dim").agg(F.min(idx).alias(idx))
+    wins = winners.groupBy(bag, idx).agg(F.count(F.lit(1)).alias("_wins"))
+    shares = df.select(bag, idx).join(wins, [bag, idx], "left").select(
+        bag, idx, (F.coalesce(F.col("_wins"), F.lit(0)) / F.lit(width)).alias("weight"))
     return pooled, shares
 
 
 def pool_mean(
-    df: DataFrame, bag: str, idx: str, column: str, valid: Column | None = None
+    df: DataFrame, bag: str, idx: str, column: str, width: int, valid: Column | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Mean over valid instances, and uniform weights over them (0 on the others)."""
-    ok = F.lit(True) if valid is None else valid
-    flagged = df.withColumn("_ok", ok)
-    cells = flagged.select(bag, "_ok", F.posexplode(doubles(F.col(column))).alias("dim", "_x"))
+    flagged = df.withColumn("_ok", F.lit(True) if valid is None else valid)
     count = F.greatest(F.count_if("_ok"), F.lit(1))
-    pooled = cells.groupBy(bag, "dim").agg(
-        (F.coalesce(F.sum(F.when(F.col("_ok"), F.col("_x"))), F.lit(0.0)) / count).alias("z")
-    )
-    sizes = flagged.groupBy(bag).agg(count.alias("_n"))
-    weights = flagged.join(sizes, bag).select(
-        bag, idx, F.when(F.col("_ok"), F.lit(1.0) / F.col("_n")).otherwise(0.0).alias("weight")
-    )
+    pooled = vector_agg(
+        flagged, bag, column, width,
+        lambda x: F.coalesce(F.sum(F.when(F.col("_ok"), x)), F.lit(0.0)) / count, "z")
+    sizes = flagged.groupBy(bag).agg(count.alias("_m"))
+    weights = join_facts(flagged.select(bag, idx, "_ok"), sizes, [bag]).select(
+        bag, idx, F.when(F.col("_ok"), F.lit(1.0) / F.col("_m")).otherwise(0.0).alias("weight"))
     return pooled, weights
 
 
-def pool(df: DataFrame, mode: str, bag: str, idx: str, column: str, **params) -> tuple[DataFrame, DataFrame]:
+def pool(
+    df: DataFrame, mode: str, bag: str, idx: str, column: str, width: int, **params
+) -> tuple[DataFrame, DataFrame]:
     """Pool with one of the modes ``gated``, ``max``, ``mean``."""
     if mode not in POOL_MODES:
         raise ValueError(f"pool mode must be one of {'/'.join(POOL_MODES)}, got {mode!r}")
     run = {"gated": pool_gated_attention, "max": pool_max, "mean": pool_mean}[mode]
-    return run(df, bag, idx, column, **params)
+    return run(df, bag, idx, column, width, **params)

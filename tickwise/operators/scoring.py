@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from tickwise.functions.scalars import label_smooth, md5_key, md5_uniform, sigmoid
 from tickwise.functions.vectors import doubles, mix
+from tickwise.operators.lookup import join_lookup
 from tickwise.operators.ordered import ordered_scan
 
 # Focal loss parameters of the released protocol.
@@ -51,14 +52,15 @@ def bag_features(windows: DataFrame, keys: Sequence[str], order: str, column: st
 
     Plain aggregates with partial results before the shuffle; a long bag needs no special care.
     """
-    v = doubles(F.col(column))
-    at = [F.get(v, F.lit(i)) for i in range(width)]
+    at = [F.get(doubles(F.col(column)), F.lit(i)) for i in range(width)]
     return windows.groupBy(*keys).agg(
-        F.array(*[F.avg(a) for a in at]).alias("_mean"),
-        F.array(*[F.stddev_pop(a) for a in at]).alias("_std"),
-        F.array(*[F.max(a) for a in at]).alias("_max"),
-        F.max_by(v, F.col(order)).alias("_last"),
-    ).select(*keys, F.concat("_mean", "_std", "_max", "_last").alias("features"))
+        F.array(
+            *[F.avg(a) for a in at],
+            *[F.stddev_pop(a) for a in at],
+            *[F.max(a) for a in at],
+            *[F.max_by(a, F.col(order)) for a in at],
+        ).alias("features")
+    )
 
 
 def train_bag_classifier(
@@ -146,8 +148,7 @@ def mixup(
         batch, "_pos", F.col(column).alias("_v"), F.col(label).alias("_y"), F.col(row).alias("partner")
     )
     return (
-        own.join(partner, [batch, "_pos"])
-        .join(lam.select(batch, F.col("lam")), batch)
+        join_lookup(own.join(partner, [batch, "_pos"]), lam.select(batch, "lam"), batch, "inner")
         .select(
             row,
             batch,

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickwise.functions.vectors import all_finite, doubles, fit_width
-from tickwise.operators.lookup import join_lookup
+from tickwise.operators.lookup import join_facts, join_lookup
 from tickwise.operators.ordered import ordered_scan
 
 
@@ -33,7 +33,7 @@ def window_ticks(
         df = ordered_scan(df, keys, order, index="_i", count="_n")
     else:
         size = df.groupBy(*keys).agg((F.max(index) + 1).alias("_n"))
-        df = df.withColumn("_i", F.col(index).cast("long")).join(size, keys)
+        df = join_facts(df.withColumn("_i", F.col(index).cast("long")), size, keys)
     return (
         df.select(*keys, *columns, "_i", "_n", F.explode(covering_windows("_i", length, stride)).alias("window"))
         .where(F.col("window") * stride + length <= F.col("_n"))
@@ -67,7 +67,7 @@ def windows_by_split(
     label: str, vector: str, width: int, aggs: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Windows of the sequences listed in ``split``, after fitting widths and dropping bad rows."""
-    chosen = df.join(split.select(*keys).distinct(), list(keys), "left_semi")
+    chosen = join_facts(df, split.select(*keys).distinct(), keys, "left_semi")
     return sliding_windows(clean_vectors(chosen, vector, width), keys, order, length, stride, label, aggs)
 
 
@@ -97,7 +97,7 @@ def bag_tail_filter(
     decides; ``None`` cuts every bag of the dataset. Window numbers must be 0..n-1.
     """
     bags = build_bags(windows, keys, y)
-    rows = windows.join(bags, list(keys))
+    rows = join_facts(windows, bags, keys)
     fraction = F.lit(1.0)
     for name, f in fractions.items():
         fraction = F.when(F.col(dataset) == name, F.lit(float(f))).otherwise(fraction)
@@ -150,7 +150,7 @@ def pad_bags(
         .withColumn(vector, F.array_repeat(F.lit(0.0), width))
         .withColumn("valid", F.lit(0))
     )
-    real = windows.join(bags.select(*keys, batch), list(keys)).select(
+    real = join_facts(windows, bags.select(*keys, batch), keys).select(
         *keys, batch, F.col(window).cast("long").alias(window), doubles(F.col(vector)).alias(vector),
         F.lit(1).alias("valid"),
     )

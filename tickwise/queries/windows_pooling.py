@@ -160,7 +160,7 @@ def _softmax_sql(logit: str) -> str:
 
 
 def _both(pooled, weights):
-    z = pooled.select(
+    z = pooled.select("seq", F.posexplode("z").alias("dim", "z")).select(
         F.lit("z").alias("kind"), "seq", F.col("dim").cast("long").alias("idx"), r6("z").alias("value"))
     return z.unionByName(weights.select(
         F.lit("w").alias("kind"), "seq", F.col("idx").cast("long").alias("idx"), r6("weight").alias("value")))
@@ -169,7 +169,7 @@ def _both(pooled, weights):
 @query("pool_gated_attention", "WITH " + _softmax_sql(f"1.5 * {_gate(0, 2)} - 0.5 * {_gate(1, 3)}"))
 def gated(spark, sf):
     return _both(*pl.pool_gated_attention(
-        descriptors(spark, sf), "seq", "idx", "embedding",
+        descriptors(spark, sf), "seq", "idx", "embedding", 64,
         [_weights(0), _weights(1)], [_weights(2), _weights(3)], [1.5, -0.5]))
 
 
@@ -187,7 +187,7 @@ def attention(spark, sf):
     UNION ALL SELECT 'w', seq, idx, {q6('coalesce(n, 0) / 64.0::DOUBLE')} FROM descriptors LEFT JOIN wins USING (seq, idx)""",
 )
 def maximum(spark, sf):
-    return _both(*pl.pool_max(descriptors(spark, sf), "seq", "idx", "embedding"))
+    return _both(*pl.pool_max(descriptors(spark, sf), "seq", "idx", "embedding", 64))
 
 
 @query(
@@ -199,7 +199,7 @@ def maximum(spark, sf):
     FROM descriptors""",
 )
 def mean(spark, sf):
-    return _both(*pl.pool_mean(descriptors(spark, sf), "seq", "idx", "embedding", F.col("label") < 7))
+    return _both(*pl.pool_mean(descriptors(spark, sf), "seq", "idx", "embedding", 64, F.col("label") < 7))
 
 
 @query(
