@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickwise.operators.lookup import join_facts
-from tickwise.operators.ordered import CHUNK, ordered_scan, quoted, split_hot
+from tickwise.operators.ordered import CHUNK, HotKeys, hot_keys, ordered_scan, quoted, split_hot
 
 # Ticks are generated in blocks, so that one long hold never becomes one long array.
 TICK_BLOCK = 4096
@@ -30,10 +30,12 @@ def sparse_pivot(
     return wide
 
 
-def time_chunks(samples: DataFrame, seq: str, time: str, length: int, out: str = "chunk") -> DataFrame:
+def time_chunks(
+    samples: DataFrame, seq: str, time: str, length: int, out: str = "chunk", hot: HotKeys | None = None
+) -> DataFrame:
     """Number the fixed-length chunks of every sequence from its first sample on."""
     start = samples.groupBy(seq).agg(F.min(time).alias("_t0"))
-    return join_facts(samples, start, [seq]).withColumn(
+    return join_facts(samples, start, [seq], hot=hot).withColumn(
         out, F.expr(f"(`{time}` - _t0) div {int(length)}")
     ).drop("_t0")
 
@@ -65,6 +67,7 @@ def hold_resample(
     value: str,
     topics: Mapping[str, str],
     step: int,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """All topics of a sequence on a uniform integer-time grid, last value carried forward.
 
@@ -74,7 +77,7 @@ def hold_resample(
     the carry and the look-ahead. Very long sequences are cut into chunks first.
     """
     wanted = samples.where(F.col(topic).isin(list(topics))).select(seq, topic, time, value)
-    chunked, split = split_hot(wanted, [seq], [time])
+    chunked, split = split_hot(wanted, [seq], [time], hot)
     return _hold(chunked, seq, time, topic, value, topics, step, CHUNK if split else None)
 
 
@@ -87,20 +90,44 @@ def hold_resample_chunked(
     topics: Mapping[str, str],
     step: int,
     chunk_length: int,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """``hold_resample`` computed over fixed-length time chunks with the held values carried."""
     wanted = samples.where(F.col(topic).isin(list(topics))).select(seq, topic, time, value)
-    chunked = time_chunks(wanted, seq, time, chunk_length, CHUNK)
+    chunked = time_chunks(wanted, seq, time, chunk_length, CHUNK, hot)
     return _hold(chunked, seq, time, topic, value, topics, step, CHUNK)
 
 
+def hold_resample_wide(
+    sparse: DataFrame, seq: str, time: str, columns: Sequence[str], step: int, hot: HotKeys | None = None
+) -> DataFrame:
+    """The same from an already wide, sparse frame whose columns may have any orderable type."""
+    chunked, split = split_hot(sparse.select(seq, time, *map(quoted, columns)), [seq], [time], hot)
+    group = [seq, CHUNK] if split else [seq]
+    # Columns get short names meanwhile, since source names hold dots and slashes.
+    short = {f"_v{i}": c for i, c in enumerate(columns)}
+    merged = (
+        chunked.repartition(*group)
+        .groupBy(*group, time)
+        .agg(*[F.max(quoted(c)).alias(v) for v, c in short.items()])
+    )
+    held = _held(merged, seq, time, list(short), CHUNK if split else None)
+    ticks = _with_ticks(held, seq, time, step, list(short))
+    return ticks.select(seq, "tick", time, *[F.col(v).alias(c) for v, c in short.items()])
+
+
 def _hold(chunked, seq, time, topic, value, topics, step, chunk: str | None) -> DataFrame:
     group = [seq, chunk] if chunk else [seq]
     # Hash partitioning by the group also serves the finer (group, time) aggregate.
     placed = chunked.repartition(*group)
     wide = sparse_pivot(placed, seq, time, topic, value, topics, also=group[1:])
     columns = list(topics.values())
-    held = ordered_scan(
+    return _with_ticks(_held(wide, seq, time, columns, chunk), seq, time, step, columns)
+
+
+def _held(wide: DataFrame, seq: str, time: str, columns: list[str], chunk: str | None) -> DataFrame:
+    """Carry every column forward and look one row ahead, in one sort."""
+    return ordered_scan(
         wide,
         [seq],
         [time],
@@ -109,10 +136,11 @@ def _hold(chunked, seq, time, topic, value, topics, step, chunk: str | None) ->
         head={"_t0": time},
         chunk=chunk,
     ).select(seq, time, "_t0", "_next", *[F.col(f"_held_{c}").alias(c) for c in columns])
-    return _with_ticks(held, seq, time, step, columns)
 
 
-def fill_both(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Mapping[str, str]) -> DataFrame:
+def fill_both(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Mapping[str, str], hot: HotKeys | None = None
+) -> DataFrame:
     """Forward fill, then backward fill what is left. ``columns`` is ``{output: input}``.
 
     Only rows before the first value are left after the forward fill, and what they take is
@@ -124,6 +152,7 @@ def fill_both(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns:
         order,
         last={f"_fw_{o}": c for o, c in columns.items()},
         first_valid={f"_bw_{o}": c for o, c in columns.items()},
+        hot=hot,
     )
     filled = [F.coalesce(f"_fw_{o}", f"_bw_{o}").alias(o) for o in columns]
     return scanned.select(*[quoted(c) for c in df.columns if c not in columns], *filled)
@@ -136,13 +165,14 @@ def finite_difference(
     columns: Mapping[str, str],
     units_per_second: float = 1e9,
     order: Sequence[str] | None = None,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Rate of change per second; 0 in the first row, where dt <= 0 or a value is missing.
 
     ``order`` defaults to the time column. Give a tick column where clocks may step back.
     """
     scanned = ordered_scan(
-        df, keys, order or [time], lag={"_t": time, **{f"_p_{o}": c for o, c in columns.items()}}
+        df, keys, order or [time], lag={"_t": time, **{f"_p_{o}": c for o, c in columns.items()}}, hot=hot
     )
     dt = (F.col(time) - F.col("_t")) / F.lit(float(units_per_second))
     rates = [
@@ -155,7 +185,8 @@ def finite_difference(
 
 
 def linear_interp_trace(
-    positions: DataFrame, trace: DataFrame, seq: str, x: str, n: str, p: str, warm_up: int, out: str = "p_at"
+    positions: DataFrame, trace: DataFrame, seq: str, x: str, n: str, p: str, warm_up: int, out: str = "p_at",
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Trace value at a fractional window count, clamped at the warm-up and at the end.
 
@@ -165,7 +196,7 @@ def linear_interp_trace(
     last = trace.groupBy(seq).agg(F.max(n).alias("_last"))
     base = F.floor(F.col(x))
     asked = (
-        join_facts(positions, last, [seq], "left")
+        join_facts(positions, last, [seq], "left", hot)
         .withColumn("_lo", F.greatest(F.lit(warm_up), F.least(base, F.col("_last"))))
         .withColumn("_hi", F.greatest(F.lit(warm_up), F.least(F.col("_lo") + 1, F.col("_last"))))
         .withColumn("_w", F.when(F.col("_lo") == F.col("_hi"), 0.0).otherwise(F.col(x) - base))
@@ -205,7 +236,7 @@ def fractional_resample(
 
 def jump_segment(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, anchors: DataFrame, anchor: str,
-    threshold: float, min_length: int,
+    threshold: float, min_length: int, hot: HotKeys | None = None,
 ) -> DataFrame:
     """The rows of the jump-free segment around an anchor position, per key.
 
@@ -214,9 +245,9 @@ def jump_segment(
     is replaced by the rows from ``anchor - min_length`` up to ``anchor + min_length``.
     """
     keys = list(keys)
-    stepped = ordered_scan(df, keys, order, index="idx", lag={"_prev": value})
+    stepped = ordered_scan(df, keys, order, index="idx", lag={"_prev": value}, hot=hot)
     jump = F.when(F.abs(F.col(value) - F.col("_prev")) > threshold, 1).otherwise(0)
-    cut = ordered_scan(stepped.withColumn("_jump", jump), keys, order, sums={"segment": "_jump"})
+    cut = ordered_scan(stepped.withColumn("_jump", jump), keys, order, sums={"segment": "_jump"}, hot=hot)
     segments = cut.groupBy(*keys, "segment").agg(
         F.min("idx").alias("_lo"), (F.max("idx") + 1).alias("_hi")
     )
@@ -232,12 +263,17 @@ def jump_segment(
         F.when(short, F.least(F.col("_n"), F.col("_c") + min_length)).otherwise(F.col("_hi")).alias("_to"),
     )
     return (
-        join_facts(cut, bounds, keys)
+        join_facts(cut, bounds, keys, hot=hot)
         .where("_from <= idx and idx < _to")
         .select(*df.columns, "idx", "segment")
     )
 
 
+def grid_hot_keys(samples: DataFrame, seq: str, time: str, step: int) -> HotKeys:
+    """Sequences whose grid is long, from the first and last sample alone."""
+    return hot_keys(samples, [seq], (F.max(time) - F.min(time)) / F.lit(step) + 1)
+
+
 def step_seconds(hz: float, units_per_second: int = 1_000_000_000) -> int:
     """Grid step in integer time units for a rate."""
     return int(round(units_per_second / hz))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tickwise.functions.scalars import binarize, column_or_missing, residual, to_number
 from tickwise.functions.vectors import all_finite, array_first, array_mean
 from tickwise.operators.align import finite_difference
-from tickwise.operators.ordered import order_value, quoted
+from tickwise.operators.ordered import HotKeys, order_value, quoted
 from tickwise.schema import CANONICAL, DERIVED, RESIDUAL, SourceSpec, spec_for
 
 POSE_FIELDS = ("position.x", "position.y", "position.z",
@@ -82,9 +82,9 @@ def drop_nonfinite(df: DataFrame, vector: str) -> DataFrame:
 
 
 def add_derived(df: DataFrame, keys: Sequence[str], time: str, units_per_second: float = 1e9,
-                order: Sequence[str] | None = None) -> DataFrame:
+                order: Sequence[str] | None = None, hot: HotKeys | None = None) -> DataFrame:
     """The seven finite-difference features of the canonical ones."""
-    return finite_difference(df, keys, time, DERIVED, units_per_second, order)
+    return finite_difference(df, keys, time, DERIVED, units_per_second, order, hot)
 
 
 def detect_width(df: DataFrame, vector: str, default: int = 16) -> DataFrame:

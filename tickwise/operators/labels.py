@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 from tickwise.functions.scalars import to_number
 from tickwise.operators.align import fill_both
 from tickwise.operators.lookup import join_facts
-from tickwise.operators.ordered import order_value, quoted
+from tickwise.operators.ordered import HotKeys, order_value, quoted
 from tickwise.schema import DATASET, LABEL, SEQ, TIME, spec_for
 
 
 def label_bool_topic(
     df: DataFrame, failure_columns: Sequence[str], success_column: str | None, keys: Sequence[str], time: str,
-    out: str = LABEL,
+    out: str = LABEL, hot: HotKeys | None = None,
 ) -> DataFrame:
     """Label from a flag topic, filled forward and then backward.
 
@@ -31,16 +31,18 @@ def label_bool_topic(
         return df.withColumn(out, F.lit(0.0))
     source = present[0] if present else success_column
     flag = df.withColumn("_flag", to_number(quoted(source)))
-    filled = fill_both(flag, keys, [time], {"_flag": "_flag"})
+    filled = fill_both(flag, keys, [time], {"_flag": "_flag"}, hot)
     above = F.when(F.col("_flag") > 0.5, 1.0).otherwise(0.0)
     return filled.withColumn(out, F.lit(1.0) - above if inverted else above).select(*map(quoted, df.columns), out)
 
 
-def label_metadata(df: DataFrame, catalog: DataFrame, on: str, successful: str, out: str = LABEL) -> DataFrame:
+def label_metadata(
+    df: DataFrame, catalog: DataFrame, on: str, successful: str, out: str = LABEL, hot: HotKeys | None = None
+) -> DataFrame:
     """Label from one boolean per sequence; absent means success."""
     flags = catalog.select(on, F.col(successful).cast("boolean").alias("_ok"))
     failed = F.when(F.coalesce(F.col("_ok"), F.lit(True)), 0.0).otherwise(1.0)
-    return join_facts(df, flags, [on], "left").select(*map(quoted, df.columns), failed.alias(out))
+    return join_facts(df, flags, [on], "left", hot).select(*map(quoted, df.columns), failed.alias(out))
 
 
 def final_reward(
@@ -57,7 +59,8 @@ def final_reward(
 
 
 def label_terminal(
-    df: DataFrame, seq: str, order: Sequence[str], reward: str | None, terminal: str | None, out: str = LABEL
+    df: DataFrame, seq: str, order: Sequence[str], reward: str | None, terminal: str | None, out: str = LABEL,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Episode label from the terminal reward: above 0 is success; no reward column is success."""
     if reward is None or reward not in df.columns:
@@ -66,7 +69,7 @@ def label_terminal(
     ends = final_reward(df, seq, order, reward, has_terminal).select(
         seq, F.when(F.col("final_reward") > 0, 0.0).otherwise(1.0).alias(out)
     )
-    return join_facts(df, ends, [seq])
+    return join_facts(df, ends, [seq], hot=hot)
 
 
 def sequence_label(df: DataFrame, keys: Sequence[str], label: str, out: str = "seq_label") -> DataFrame:
@@ -104,26 +107,28 @@ def metadata_flag(c: Column) -> Column:
     return F.when(c.isNotNull(), F.lower(c).isin("true", "1", "1.0"))
 
 
-def default_adapters(catalog: DataFrame | None) -> dict[str, LabelAdapter]:
+def default_adapters(catalog: DataFrame | None, hot: HotKeys | None = None) -> dict[str, LabelAdapter]:
     """Adapters of the three public recordings. The catalog is needed for metadata labels."""
 
     def from_metadata(df: DataFrame) -> DataFrame:
         flags = catalog.select(SEQ, metadata_flag(F.col("user_metadata")[SUCCESS_METADATA]).alias("_ok_text"))
-        return label_metadata(df, flags, SEQ, "_ok_text")
+        return label_metadata(df, flags, SEQ, "_ok_text", hot=hot)
 
     return {
-        "reassemble": lambda df: label_bool_topic(df, FLAG_COLUMNS, SUCCESS_COLUMN, [SEQ], TIME),
+        "reassemble": lambda df: label_bool_topic(df, FLAG_COLUMNS, SUCCESS_COLUMN, [SEQ], TIME, hot=hot),
         "droid": from_metadata,
         "fractal_rt1": lambda df: label_terminal(
-            df, SEQ, [TIME], _data_column(df, REWARD_PREFIX), _data_column(df, TERMINAL_PREFIX)
+            df, SEQ, [TIME], _data_column(df, REWARD_PREFIX), _data_column(df, TERMINAL_PREFIX), hot=hot
         ),
     }
 
 
-def label(df: DataFrame, dataset_id: str, catalog: DataFrame | None = None) -> DataFrame:
+def label(
+    df: DataFrame, dataset_id: str, catalog: DataFrame | None = None, hot: HotKeys | None = None
+) -> DataFrame:
     """Add the label column to the aligned rows of one registered dataset."""
     spec_for(dataset_id)
-    adapters = default_adapters(catalog)
+    adapters = default_adapters(catalog, hot)
     if dataset_id not in adapters:
         raise ValueError(f"Unknown dataset {dataset_id!r}. Known: {list(adapters)}")
     return adapters[dataset_id](df)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickwise.operators.ordered import MAX_CUTS, hot_row_limit
+from tickwise.operators.ordered import HotKeys, hot_keys
 
 LOOKUP_ROWS = 50_000
 SALT = "_salt"
@@ -32,30 +32,22 @@ def join_lookup(
 
 
 def join_facts(
-    df: DataFrame, facts: DataFrame, on: Sequence[str], how: str = "inner", max_rows: int | None = None
+    df: DataFrame, facts: DataFrame, on: Sequence[str], how: str = "inner", hot: HotKeys | None = None
 ) -> DataFrame:
     """Join rows with at most one fact row per key, where a key may hold a large part of ``df``.
 
-    One counting pass finds keys above the row limit (at most ``MAX_CUTS``, so the list is
-    small enough to broadcast). Rows of those keys get a salt from a hash of their content
-    and their facts are repeated once per salt; all other keys keep salt 0. Adaptive skew
-    handling does not do this where a later operator needs the same partitioning.
+    Rows of hot keys (``hot``, or found by a counting pass) get a salt from a hash of their
+    content and their facts are repeated once per salt; all other keys keep salt 0. Adaptive
+    skew handling does not do this where a later operator needs the same partitioning.
     """
     on = list(on)
     spark = df.sparkSession
-    limit = max_rows or hot_row_limit(spark)
-    hot = (
-        df.groupBy(*on)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > limit)
-        .orderBy(F.desc("_n"))
-        .limit(MAX_CUTS)
-        .collect()
-    )
+    if hot is None:
+        hot = hot_keys(df, on)
     if not hot:
         return df.join(facts, on, how)
     salts = spark.createDataFrame(
-        [(*[r[k] for k in on], min(MAX_SALTS, -(-r["_n"] // limit))) for r in hot],
+        [(*key, min(MAX_SALTS, -(-n // hot.limit))) for key, n in hot.rows],
         T.StructType([*[df.schema[k] for k in on], T.StructField("_salts", T.LongType())]),
     )
     hashed = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]

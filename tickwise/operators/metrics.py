@@ -7,7 +7,7 @@ Positive means failure (label 1), a decision is positive from the threshold on (
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -218,12 +218,15 @@ def multi_seed_summary(runs: DataFrame, group: Sequence[str], metrics: Sequence[
     )
 
 
-def sequence_summary(ticks: DataFrame, keys: Sequence[str], label: str, n_features: int) -> DataFrame:
-    """Rows, share of failure ticks and number of features per sequence."""
+def sequence_summary(
+    ticks: DataFrame, keys: Sequence[str], label: str, n_features: int, extra: Mapping[str, Column] | None = None
+) -> DataFrame:
+    """Rows, share of failure ticks and number of features per sequence, with any further aggregates."""
     return ticks.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("rows"),
         F.avg(F.col(label).cast("double")).alias("pos_ratio"),
         F.lit(n_features).cast("long").alias("n_features"),
+        *[e.alias(o) for o, e in (extra or {}).items()],
     )
 
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -40,43 +41,66 @@ def hot_row_limit(spark: SparkSession) -> int:
     return int(spark.conf.get(HOT_ROWS_CONF, str(DEFAULT_HOT_ROWS)))
 
 
-def split_hot(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], max_rows: int | None = None
-) -> tuple[DataFrame, bool]:
-    """Add a ``_chunk`` number that follows ``order`` inside every key; hot keys get several.
+@dataclass(frozen=True)
+class HotKeys:
+    """Keys above the row limit with their sizes: at most ``MAX_CUTS`` of them."""
+
+    rows: tuple[tuple[tuple, int], ...]
+    limit: int
 
-    One counting pass finds keys above the limit. Only for those, a bounded sample gives the
-    cut points; they are fixed on the driver, so every branch of a plan sees the same chunks.
-    Returns the input unchanged and ``False`` when no key is hot. Rows with equal order
-    values always share a chunk.
+    def __bool__(self) -> bool:
+        return bool(self.rows)
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str], size: Column | None = None, max_rows: int | None = None) -> HotKeys:
+    """Find the keys that hold more rows than one task should.
+
+    One pass that reads the key columns only. Run it on the base table of a chain and hand
+    the result to every operator of the chain, so that none of them has to count its own,
+    more expensive input. ``size`` is an aggregate bounding the rows per key where an
+    operator multiplies rows. Keys beyond ``MAX_CUTS`` hold less than 1/MAX_CUTS of the rows
+    each and stay in one task.
     """
-    spark = df.sparkSession
-    limit = max_rows or hot_row_limit(spark)
-    # Keys beyond MAX_CUTS are each below 1/MAX_CUTS of the table and stay in one task.
-    counts = (
+    limit = max_rows or hot_row_limit(df.sparkSession)
+    found = (
         df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg((F.count(F.lit(1)) if size is None else size).cast("long").alias("_n"))
         .where(F.col("_n") > limit)
         .orderBy(F.desc("_n"))
         .limit(MAX_CUTS)
         .collect()
     )
-    total = sum(r["_n"] for r in counts)
-    target = max(limit, total // MAX_CUTS)
-    chunks = {tuple(r[k] for k in keys): (math.ceil(r["_n"] / target), r["_n"]) for r in counts}
+    return HotKeys(tuple((tuple(r[k] for k in keys), r["_n"]) for r in found), limit)
+
+
+def split_hot(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], hot: HotKeys | None = None
+) -> tuple[DataFrame, bool]:
+    """Add a ``_chunk`` number that follows ``order`` inside every key; hot keys get several.
+
+    For hot keys only, a bounded sample gives the cut points; they are fixed on the driver,
+    so every branch of a plan sees the same chunks. Returns the input unchanged and ``False``
+    when no key is hot. Rows with equal order values always share a chunk.
+    """
+    spark = df.sparkSession
+    if hot is None:
+        hot = hot_keys(df, keys)
+    total = sum(n for _, n in hot.rows)
+    target = max(hot.limit, total // MAX_CUTS)
+    chunks = {key: (math.ceil(n / target), n) for key, n in hot.rows}
     chunks = {k: v for k, v in chunks.items() if v[0] > 1}
     if not chunks:
         return df, False
 
     key_fields = [df.schema[k] for k in keys]
     order_type = T.StructType([df.schema[o] for o in order])
-    hot = spark.createDataFrame(
+    rates = spark.createDataFrame(
         [(*k, min(1.0, SAMPLES_PER_CUT * n / rows)) for k, (n, rows) in chunks.items()],
         T.StructType([*key_fields, T.StructField("_frac", T.DoubleType())]),
     )
     drawn = (
         df.select(*keys, F.struct(*order).alias("_ord"))
-        .join(F.broadcast(hot), list(keys))
+        .join(F.broadcast(rates), list(keys))
         .where(F.rand(11) < F.col("_frac"))
         .select(*keys, "_ord")
         .collect()
@@ -135,6 +159,7 @@ def ordered_scan(
     lead: Mapping[str, str] | None = None,
     head: Mapping[str, str] | None = None,
     chunk: str | None = "auto",
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Add order-dependent columns per key; ``order`` (ascending) must be a total order.
 
@@ -142,7 +167,8 @@ def ordered_scan(
     ``totals`` sums over the key; ``last`` last non-null so far; ``first_valid`` first
     non-null of the key; ``lag`` / ``lead`` neighbour rows; ``head`` value of the first
     row. Mappings are ``{output column: input column}``. ``chunk`` is ``"auto"`` (split hot
-    keys), ``None`` (groups known to be small) or the name of a chunk column in ``df``.
+    keys, those in ``hot`` if given), ``None`` (groups known to be small) or the name of a
+    chunk column in ``df``.
     """
     sums, totals, last = dict(sums or {}), dict(totals or {}), dict(last or {})
     first_valid, lag, lead, head = dict(first_valid or {}), dict(lag or {}), dict(lead or {}), dict(head or {})
@@ -152,7 +178,7 @@ def ordered_scan(
 
     split = chunk is not None
     if chunk == "auto":
-        df, split = split_hot(df, keys, order)
+        df, split = split_hot(df, keys, order, hot)
         chunk = CHUNK
     group = [*keys, chunk] if split else keys
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tickwise.functions.vectors import doubles, dot, vector
 from tickwise.operators.lookup import join_facts
+from tickwise.operators.ordered import HotKeys
 
 POOL_MODES = ("gated", "max", "mean")
 # exp() of a logit shifted by its own bound stays in double range up to here.
@@ -36,12 +37,14 @@ def gated_logit(column: Column, V: np.ndarray, U: np.ndarray, w: np.ndarray) ->
     return logit(column)
 
 
-def _softmax_weights(df: DataFrame, bag: str, logit: str, bound: float | None) -> DataFrame:
+def _softmax_weights(
+    df: DataFrame, bag: str, logit: str, bound: float | None, hot: HotKeys | None
+) -> DataFrame:
     """Unnormalised weights ``_e``: shifted by a known bound, or by the largest of the bag."""
     if bound is not None and bound <= SAFE_LOGIT_BOUND:
         return df.withColumn("_e", F.exp(F.col(logit) - F.lit(float(bound))))
     peak = df.groupBy(bag).agg(F.max(logit).alias("_peak"))
-    return join_facts(df, peak, [bag]).withColumn("_e", F.exp(F.col(logit) - F.col("_peak"))).drop("_peak")
+    return join_facts(df, peak, [bag], hot=hot).withColumn("_e", F.exp(F.col(logit) - F.col("_peak"))).drop("_peak")
 
 
 def vector_agg(df: DataFrame, bag: str, column: str, width: int, agg: Callable[[Column], Column], out: str) -> DataFrame:
@@ -54,15 +57,15 @@ def _pool(df: DataFrame, bag: str, column: str, width: int) -> DataFrame:
     return vector_agg(df, bag, column, width, lambda x: F.sum(F.col("_e") * x) / F.sum("_e"), "z")
 
 
-def _weights(df: DataFrame, bag: str, idx: str) -> DataFrame:
+def _weights(df: DataFrame, bag: str, idx: str, hot: HotKeys | None) -> DataFrame:
     total = df.groupBy(bag).agg(F.sum("_e").alias("_total"))
-    return join_facts(df.select(bag, idx, "_e"), total, [bag]).select(
+    return join_facts(df.select(bag, idx, "_e"), total, [bag], hot=hot).select(
         bag, idx, (F.col("_e") / F.col("_total")).alias("weight"))
 
 
 def pool_gated_attention(
     df: DataFrame, bag: str, idx: str, column: str, width: int, V: np.ndarray, U: np.ndarray, w: np.ndarray,
-    valid: Column | None = None,
+    valid: Column | None = None, hot: HotKeys | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Gated attention pooling for given weights; returns (pooled, instance weights).
 
@@ -71,19 +74,19 @@ def pool_gated_attention(
     """
     rows = df if valid is None else df.where(valid)
     scored = rows.withColumn("_logit", gated_logit(F.col(column), V, U, w))
-    weighted = _softmax_weights(scored, bag, "_logit", float(np.abs(w).sum()))
-    return _pool(weighted, bag, column, width), _weights(weighted, bag, idx)
+    weighted = _softmax_weights(scored, bag, "_logit", float(np.abs(w).sum()), hot)
+    return _pool(weighted, bag, column, width), _weights(weighted, bag, idx, hot)
 
 
 def pool_attention(
     df: DataFrame, bag: str, idx: str, column: str, weight: Sequence[float], bias: float = 0.0,
-    valid: Column | None = None,
+    valid: Column | None = None, hot: HotKeys | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Softmax pooling with one linear score; returns (pooled, instance weights)."""
     rows = df if valid is None else df.where(valid)
     scored = rows.withColumn("_logit", dot(F.col(column), vector(weight)) + F.lit(bias))
-    weighted = _softmax_weights(scored, bag, "_logit", None)
-    return _pool(weighted, bag, column, len(weight)), _weights(weighted, bag, idx)
+    weighted = _softmax_weights(scored, bag, "_logit", None, hot)
+    return _pool(weighted, bag, column, len(weight)), _weights(weighted, bag, idx, hot)
 
 
 def last_readout(df: DataFrame, bag: str, idx: str, column: str) -> DataFrame:
@@ -92,7 +95,8 @@ def last_readout(df: DataFrame, bag: str, idx: str, column: str) -> DataFrame:
 
 
 def pool_max(
-    df: DataFrame, bag: str, idx: str, column: str, width: int, valid: Column | None = None
+    df: DataFrame, bag: str, idx: str, column: str, width: int, valid: Column | None = None,
+    hot: HotKeys | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Largest value per dimension, and the share of dimensions each instance wins.
 
@@ -104,7 +108,7 @@ def pool_max(
     won = F.array_compact(F.zip_with(
         F.sequence(F.lit(0), F.lit(width - 1)), F.zip_with("_v", "z", lambda x, z: x == z),
         lambda d, hit: F.when(hit, d)))
-    cells = join_facts(rows, pooled, [bag]).select(bag, idx, F.explode(won).alias("dim"))
+    cells = join_facts(rows, pooled, [bag], hot=hot).select(bag, idx, F.explode(won).alias("dim"))
     winners = cells.groupBy(bag, "dim").agg(F.min(idx).alias(idx))
     wins = winners.groupBy(bag, idx).agg(F.count(F.lit(1)).alias("_wins"))
     shares = df.select(bag, idx).join(wins, [bag, idx], "left").select(
@@ -113,7 +117,8 @@ def pool_max(
 
 
 def pool_mean(
-    df: DataFrame, bag: str, idx: str, column: str, width: int, valid: Column | None = None
+    df: DataFrame, bag: str, idx: str, column: str, width: int, valid: Column | None = None,
+    hot: HotKeys | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Mean over valid instances, and uniform weights over them (0 on the others)."""
     flagged = df.withColumn("_ok", F.lit(True) if valid is None else valid)
@@ -122,7 +127,7 @@ def pool_mean(
         flagged, bag, column, width,
         lambda x: F.coalesce(F.sum(F.when(F.col("_ok"), x)), F.lit(0.0)) / count, "z")
     sizes = flagged.groupBy(bag).agg(count.alias("_m"))
-    weights = join_facts(flagged.select(bag, idx, "_ok"), sizes, [bag]).select(
+    weights = join_facts(flagged.select(bag, idx, "_ok"), sizes, [bag], hot=hot).select(
         bag, idx, F.when(F.col("_ok"), F.lit(1.0) / F.col("_m")).otherwise(0.0).alias("weight"))
     return pooled, weights
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.ml.feature import PCA
@@ -13,39 +13,54 @@ from pyspark.sql import functions as F
 from tickwise.functions.vectors import doubles, standardise, vector
 
 SMALL_STD = 1e-6
+# Widest vector aggregated channel by channel in one expression list.
+WIDE = 128
 
 
 def _safe_std(std: Column) -> Column:
     return F.when(std < SMALL_STD, 1.0).otherwise(std)
 
 
-def fit_scaler(df: DataFrame, column: str) -> DataFrame:
+def _channels(
+    df: DataFrame, column: str, width: int | None, aggs: Callable[[Column], dict[str, Column]]
+) -> DataFrame:
+    """Aggregates per channel as rows (channel, ...).
+
+    With a known, moderate width every channel is its own aggregate over the array, so a row
+    stays one row; otherwise the cells are expanded and combined before the shuffle.
+    """
+    v = doubles(F.col(column))
+    if width is None or width > WIDE:
+        cells = df.select(*[c for c in df.columns if c != column], F.posexplode(v).alias("channel", "_x"))
+        return cells.groupBy("channel").agg(*[e.alias(o) for o, e in aggs(F.col("_x")).items()])
+    at = [F.get(v, F.lit(i)) for i in range(width)]
+    cells = F.array(*[F.struct(*[e.alias(o) for o, e in aggs(x).items()]) for x in at])
+    return df.agg(cells.alias("_c")).select(F.posexplode("_c").alias("channel", "_s")).select("channel", "_s.*")
+
+
+def fit_scaler(df: DataFrame, column: str, width: int | None = None) -> DataFrame:
     """Mean and population deviation per channel; a tiny deviation becomes 1.
 
     Fit on window ticks, so that a tick under several windows counts several times.
     """
-    cells = df.select(F.posexplode(doubles(F.col(column))).alias("channel", "x"))
-    return cells.groupBy("channel").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std")).withColumn(
-        "std", _safe_std(F.col("std"))
-    )
+    stats = _channels(df.select(column), column, width, lambda x: {"mean": F.avg(x), "std": F.stddev_pop(x)})
+    return stats.withColumn("std", _safe_std(F.col("std")))
 
 
-def fit_scaler_sumsq(df: DataFrame, column: str, weight: str | None = None) -> DataFrame:
+def fit_scaler_sumsq(
+    df: DataFrame, column: str, weight: str | None = None, width: int | None = None
+) -> DataFrame:
     """The same from sums and sums of squares, variance clipped at 0.
 
     ``weight`` counts how often a row enters (its number of covering windows), which avoids
     materialising overlapping windows.
     """
-    w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    cells = df.select(w.alias("w"), F.posexplode(doubles(F.col(column))).alias("channel", "x"))
+    w = F.col("_w")
+    rows = df.select(column, (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_w"))
+    stats = _channels(
+        rows, column, width, lambda x: {"_n": F.sum(w), "_s": F.sum(w * x), "_q": F.sum(w * x * x)})
     return (
-        cells.groupBy("channel")
-        .agg(
-            F.sum("w").alias("_n"),
-            F.sum(F.col("w") * F.col("x")).alias("_s"),
-            F.sum(F.col("w") * F.col("x") * F.col("x")).alias("_q"),
-        )
-        .where("_n > 0")
+        stats.where("_n > 0")
         .withColumn("mean", F.col("_s") / F.col("_n"))
         .withColumn("_var", F.greatest(F.col("_q") / F.col("_n") - F.col("mean") * F.col("mean"), F.lit(0.0)))
         .select("channel", "mean", _safe_std(F.sqrt("_var")).alias("std"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickwise.operators.ordered import ordered_scan
+from tickwise.operators.ordered import HotKeys, ordered_scan
 from tickwise.operators.windows import tail_keep
 from tickwise.schema import TAIL_FRACTION, WARM_UP_WINDOWS
 
@@ -17,13 +17,15 @@ STRICT = {"start": 0.30, "end": 0.60, "rise": 0.40}
 RELAXED = {"start": 0.30, "end": 0.55, "rise": 0.35}
 STABLE_MAX = 0.20
 # End of fixed values.
+TOP_K_IN_ONE_TASK = 100_000
 
 
 def prefix_bag_trace(
-    windows: DataFrame, keys: Sequence[str], order: Sequence[str], score: str, warm_up: int = WARM_UP_WINDOWS
+    windows: DataFrame, keys: Sequence[str], order: Sequence[str], score: str, warm_up: int = WARM_UP_WINDOWS,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Mean score of windows 1..n for every n from the warm-up on: rows (keys, n, p)."""
-    run = ordered_scan(windows, keys, order, index="_i", sums={"_s": score})
+    run = ordered_scan(windows, keys, order, index="_i", sums={"_s": score}, hot=hot)
     n = F.col("_i") + 1
     return run.where(n >= warm_up).select(*keys, n.alias("n"), (F.col("_s") / n).alias("p"))
 
@@ -31,6 +33,7 @@ def prefix_bag_trace(
 def tail_bag_trace(
     windows: DataFrame, keys: Sequence[str], order: Sequence[str], score: str,
     fraction: float | None = TAIL_FRACTION, k: int | None = None, warm_up: int = WARM_UP_WINDOWS,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Mean score of the last K windows ending at n: rows (keys, n, k, p).
 
@@ -38,7 +41,7 @@ def tail_bag_trace(
     value is a difference of two running sums found by an equi-join on (sequence, position),
     so the cost does not depend on K and no sequence is gathered.
     """
-    run = ordered_scan(windows, keys, order, index="_i", count="_m", sums={"_s": score})
+    run = ordered_scan(windows, keys, order, index="_i", count="_m", sums={"_s": score}, hot=hot)
     size = F.lit(k).cast("long") if k is not None else tail_keep(F.col("_m"), fraction)
     run = run.select(*keys, (F.col("_i") + 1).alias("n"), size.alias("k"), "_s")
     here = run.where(F.col("n") >= warm_up).withColumn("_from", F.col("n") - F.col("k"))
@@ -49,9 +52,11 @@ def tail_bag_trace(
     )
 
 
-def trace_metrics(trace: DataFrame, keys: Sequence[str], order: str, p: str) -> DataFrame:
+def trace_metrics(
+    trace: DataFrame, keys: Sequence[str], order: str, p: str, hot: HotKeys | None = None
+) -> DataFrame:
     """Start, end, rise, extremes, and how gradually the trace crosses the 0.3 to 0.6 band."""
-    idx = ordered_scan(trace, keys, [order], index="_i", count="_n")
+    idx = ordered_scan(trace, keys, [order], index="_i", count="_n", hot=hot)
     i, n, v = F.col("_i"), F.col("_n"), F.col(p)
     third = F.greatest(F.lit(1).cast("long"), F.floor(n / 3))
     base = idx.groupBy(*keys).agg(
@@ -89,11 +94,16 @@ def _passes(rule: dict[str, float]) -> Column:
     )
 
 
-def ranked(df: DataFrame, order: Sequence[Column], name: str, out: str = "rank") -> DataFrame:
-    """1-based rank over a whole table by sort expressions, ties by name; safe for large tables."""
+def ranked(
+    df: DataFrame, order: Sequence[Column], name: str, out: str = "rank", large: bool = True
+) -> DataFrame:
+    """1-based rank over a whole table by sort expressions, ties by name.
+
+    ``large=False`` is for tables known to hold a handful of rows, such as a top-k.
+    """
     cols = {f"_o{i}": c for i, c in enumerate(order)}
     keyed = df.withColumns({**cols, "_all": F.lit(0)})
-    scanned = ordered_scan(keyed, ["_all"], [*cols, name], index="_r")
+    scanned = ordered_scan(keyed, ["_all"], [*cols, name], index="_r", chunk="auto" if large else None)
     return scanned.select(*df.columns, (F.col("_r") + 1).alias(out))
 
 
@@ -120,7 +130,9 @@ def topk_scores(scores: DataFrame, name: str, label: str, score: str, k_fail: in
     """
     fails = scores.where(F.col(label) > 0.5).orderBy(F.desc(score), name).limit(k_fail)
     oks = scores.where(F.col(label) <= 0.5).orderBy(F.asc(score), name).limit(k_ok)
-    return ranked(fails, [-F.col(score)], name).unionByName(ranked(oks, [F.col(score)], name))
+    few = max(k_fail, k_ok) <= TOP_K_IN_ONE_TASK
+    return ranked(fails, [-F.col(score)], name, large=not few).unionByName(
+        ranked(oks, [F.col(score)], name, large=not few))
 
 
 def interleave(ranked_rows: DataFrame, label: str, rank: str = "rank") -> DataFrame:
@@ -131,7 +143,7 @@ def interleave(ranked_rows: DataFrame, label: str, rank: str = "rank") -> DataFr
 
 def two_pass_selection(
     windows: DataFrame, keys: Sequence[str], window: str, score: str, labels: DataFrame, name: str, label: str,
-    k: int = 20, fraction: float = TAIL_FRACTION,
+    k: int = 20, fraction: float = TAIL_FRACTION, hot: HotKeys | None = None,
 ) -> DataFrame:
     """Score every sequence once, trace only the best ``k`` failures, and rank those.
 
@@ -139,13 +151,13 @@ def two_pass_selection(
     windows by a semi-join before the trace is computed.
     """
     keys = list(keys)
-    sized = ordered_scan(windows, keys, [window], index="_i", count="_m")
+    sized = ordered_scan(windows, keys, [window], index="_i", count="_m", hot=hot)
     tail = F.col("_i") >= F.col("_m") - tail_keep(F.col("_m"), fraction)
     first = sized.groupBy(*keys).agg(F.avg(F.when(tail, F.col(score))).alias("score"))
     failures = first.join(labels.where(F.col(label) > 0.5).select(*keys), keys, "left_semi")
     top = failures.orderBy(F.desc("score"), name).limit(k)
     fixed = windows.sparkSession.createDataFrame(top.collect(), top.schema)
     traced = windows.join(F.broadcast(fixed.select(*keys)), keys, "left_semi")
-    shape = trace_metrics(tail_bag_trace(traced, keys, [window], score, fraction), keys, "n", "p")
+    shape = trace_metrics(tail_bag_trace(traced, keys, [window], score, fraction, hot=hot), keys, "n", "p", hot)
     gradual = F.when(F.col("spread") >= 2, 0).otherwise(1)
-    return ranked(shape.join(F.broadcast(fixed), keys), [gradual, -F.col("rise"), -F.col("score")], name)
+    return ranked(shape.join(F.broadcast(fixed), keys), [gradual, -F.col("rise"), -F.col("score")], name, large=k > TOP_K_IN_ONE_TASK)

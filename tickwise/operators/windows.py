@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tickwise.functions.vectors import all_finite, doubles, fit_width
 from tickwise.operators.lookup import join_facts, join_lookup
-from tickwise.operators.ordered import ordered_scan
+from tickwise.operators.ordered import HotKeys, ordered_scan
 
 
 def covering_windows(index: str, length: int, stride: int) -> Column:
@@ -21,7 +21,7 @@ def covering_windows(index: str, length: int, stride: int) -> Column:
 
 def window_ticks(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], length: int, stride: int, columns: Sequence[str],
-    index: str | None = None,
+    index: str | None = None, hot: HotKeys | None = None,
 ) -> DataFrame:
     """One row per (window, tick): window number, offset in the window and the tick's columns.
 
@@ -30,10 +30,10 @@ def window_ticks(
     """
     keys = list(keys)
     if index is None:
-        df = ordered_scan(df, keys, order, index="_i", count="_n")
+        df = ordered_scan(df, keys, order, index="_i", count="_n", hot=hot)
     else:
         size = df.groupBy(*keys).agg((F.max(index) + 1).alias("_n"))
-        df = join_facts(df.withColumn("_i", F.col(index).cast("long")), size, keys)
+        df = join_facts(df.withColumn("_i", F.col(index).cast("long")), size, keys, hot=hot)
     return (
         df.select(*keys, *columns, "_i", "_n", F.explode(covering_windows("_i", length, stride)).alias("window"))
         .where(F.col("window") * stride + length <= F.col("_n"))
@@ -43,12 +43,12 @@ def window_ticks(
 
 def sliding_windows(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], length: int, stride: int, label: str,
-    aggs: Mapping[str, Column] | None = None,
+    aggs: Mapping[str, Column] | None = None, hot: HotKeys | None = None,
 ) -> DataFrame:
     """One row per complete window: start, label = max over the window, and any aggregates."""
     keys = list(keys)
     used = [c for c in df.columns if c not in keys]
-    ticks = window_ticks(df, keys, order, length, stride, used)
+    ticks = window_ticks(df, keys, order, length, stride, used, hot=hot)
     return (
         ticks.groupBy(*keys, "window")
         .agg(F.max(label).alias("y"), *[e.alias(o) for o, e in (aggs or {}).items()])
@@ -65,10 +65,11 @@ def clean_vectors(df: DataFrame, vector: str, width: int) -> DataFrame:
 def windows_by_split(
     df: DataFrame, split: DataFrame, keys: Sequence[str], order: Sequence[str], length: int, stride: int,
     label: str, vector: str, width: int, aggs: Mapping[str, Column] | None = None,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Windows of the sequences listed in ``split``, after fitting widths and dropping bad rows."""
-    chosen = join_facts(df, split.select(*keys).distinct(), keys, "left_semi")
-    return sliding_windows(clean_vectors(chosen, vector, width), keys, order, length, stride, label, aggs)
+    chosen = join_facts(df, split.select(*keys).distinct(), keys, "left_semi", hot)
+    return sliding_windows(clean_vectors(chosen, vector, width), keys, order, length, stride, label, aggs, hot)
 
 
 def build_bags(windows: DataFrame, keys: Sequence[str], y: str = "y") -> DataFrame:
@@ -89,6 +90,7 @@ def tail_keep(n: Column, fraction: Column | float) -> Column:
 def bag_tail_filter(
     windows: DataFrame, keys: Sequence[str], window: str, y: str, dataset: str,
     fractions: Mapping[str, float], only_label: int | None = 1,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Keep only the last windows of bags of the listed datasets.
 
@@ -97,7 +99,7 @@ def bag_tail_filter(
     decides; ``None`` cuts every bag of the dataset. Window numbers must be 0..n-1.
     """
     bags = build_bags(windows, keys, y)
-    rows = join_facts(windows, bags, keys)
+    rows = join_facts(windows, bags, keys, hot=hot)
     fraction = F.lit(1.0)
     for name, f in fractions.items():
         fraction = F.when(F.col(dataset) == name, F.lit(float(f))).otherwise(fraction)
@@ -135,7 +137,8 @@ def bag_attributes(
 
 
 def pad_bags(
-    windows: DataFrame, bags: DataFrame, keys: Sequence[str], batch: str, window: str, vector: str, width: int
+    windows: DataFrame, bags: DataFrame, keys: Sequence[str], batch: str, window: str, vector: str, width: int,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Pad the bags of a batch to the longest one, with a validity mask.
 
@@ -150,7 +153,7 @@ def pad_bags(
         .withColumn(vector, F.array_repeat(F.lit(0.0), width))
         .withColumn("valid", F.lit(0))
     )
-    real = join_facts(windows, bags.select(*keys, batch), keys).select(
+    real = join_facts(windows, bags.select(*keys, batch), keys, hot=hot).select(
         *keys, batch, F.col(window).cast("long").alias(window), doubles(F.col(vector)).alias(vector),
         F.lit(1).alias("valid"),
     )
@@ -158,10 +161,11 @@ def pad_bags(
 
 
 def coverage(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], length: int, stride: int, out: str = "n_windows"
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], length: int, stride: int, out: str = "n_windows",
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """How many complete windows cover each tick, without building the windows."""
-    scanned = ordered_scan(df, keys, order, index="_i", count="_n")
+    scanned = ordered_scan(df, keys, order, index="_i", count="_n", hot=hot)
     first = F.expr(f"greatest(0L, (_i - {length} + {stride}) div {stride})")
     last = F.expr(f"least(_i div {stride}, (_n - {length}) div {stride})")
     covered = F.when(F.col("_n") < length, F.lit(0).cast("long")).otherwise(

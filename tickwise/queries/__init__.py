@@ -30,6 +30,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load_all() -> None:
     """Import the modules that register queries."""
+    from tickwise.plans import summary  # noqa: F401
     from tickwise.queries import (  # noqa: F401
         align_labels,
         catalog_joins,

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tickwise.operators import align as al
 from tickwise.operators import labels as lb
+from tickwise.operators.ordered import hot_keys, ordered_scan
 from tickwise.operators.traces import prefix_bag_trace
 from tickwise.queries import query
 from tickwise.queries.common import (
@@ -87,10 +88,11 @@ def difference(spark, sf):
 )
 def interpolate(spark, sf):
     windows = scored_windows(spark, sf)
-    trace = prefix_bag_trace(windows, ["sequence_name"], ["t"], "score")
-    positions = al.ordered_scan(windows, ["sequence_name"], ["t"], index="i").select(
+    hot = hot_keys(windows, ["sequence_name"])
+    trace = prefix_bag_trace(windows, ["sequence_name"], ["t"], "score", hot=hot)
+    positions = ordered_scan(windows, ["sequence_name"], ["t"], index="i", hot=hot).select(
         "sequence_name", "i", (F.col("i") / 3.0).alias("x"))
-    out = al.linear_interp_trace(positions, trace, "sequence_name", "x", "n", "p", 2)
+    out = al.linear_interp_trace(positions, trace, "sequence_name", "x", "n", "p", 2, hot=hot)
     return out.select("sequence_name", "i", r6("p_at").alias("p_at"))
 
 
@@ -104,7 +106,7 @@ def interpolate(spark, sf):
     ON a.sequence_name = p.sequence_name AND p.i = round_even(a.k / 29.0::DOUBLE * (a.n - 1), 0)::BIGINT""",
 )
 def fractions(spark, sf):
-    placed = al.ordered_scan(samples(spark, sf), ["sequence_name"], ["t"], index="idx").select(
+    placed = ordered_scan(samples(spark, sf), ["sequence_name"], ["t"], index="idx").select(
         "sequence_name", "idx", "value")
     lengths = placed.groupBy("sequence_name").agg(F.count(F.lit(1)).alias("n"))
     return al.fractional_resample(placed, lengths, "sequence_name", "idx", "n", 30).select(
@@ -127,7 +129,8 @@ def fractions(spark, sf):
 def segment(spark, sf):
     rows = samples(spark, sf).select("sequence_name", "t", "value")
     anchors = rows.select("sequence_name").distinct().withColumn("at", F.lit(20))
-    return al.jump_segment(rows, ["sequence_name"], ["t"], "value", anchors, "at", 100.0, 12)
+    return al.jump_segment(rows, ["sequence_name"], ["t"], "value", anchors, "at", 100.0, 12,
+                           hot_keys(rows, ["sequence_name"]))
 
 
 # --- labels --------------------------------------------------------------------------------

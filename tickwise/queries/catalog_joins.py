@@ -213,8 +213,8 @@ def report(spark, sf):
 )
 def scalers(spark, sf):
     both = scaler_table([
-        ("kin", fit_scaler_sumsq(frames(spark, sf), "kin")),
-        ("cnn", fit_scaler_sumsq(descriptors(spark, sf), "embedding")),
+        ("kin", fit_scaler_sumsq(frames(spark, sf), "kin", width=4)),
+        ("cnn", fit_scaler_sumsq(descriptors(spark, sf), "embedding", width=64)),
     ])
     path = scratch_dir(spark, "scaler")
     both.write.parquet(path)

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from tickwise.operators import metrics as me
 from tickwise.operators import traces as tr
 from tickwise.operators import windows as wi
+from tickwise.operators.ordered import hot_keys
 from tickwise.queries import query
 from tickwise.queries.common import (
     FRAME_ORDER, FRAMES_SQL, PREFIX_SQL, SAMPLES_SQL, SCORED_SQL, SCORES_SQL, TAIL_SQL, frames, q6, r6, samples,
     scored_windows, scores, table, windows_sql,
 )
+from tickwise.session import staged
 
 DS = ["dataset_id"]
 
@@ -212,8 +214,13 @@ def prefix(spark, sf):
     return _round(tr.prefix_bag_trace(scored_windows(spark, sf), SEQ, ["t"], "score"), "p")
 
 
-def _tail(spark, sf):
-    return tr.tail_bag_trace(scored_windows(spark, sf), SEQ, ["t"], "score")
+def _tail(spark, sf, hot=None):
+    return tr.tail_bag_trace(scored_windows(spark, sf), SEQ, ["t"], "score", hot=hot)
+
+
+def _shape(spark, sf):
+    hot = hot_keys(scored_windows(spark, sf), SEQ)
+    return tr.trace_metrics(_tail(spark, sf, hot), SEQ, "n", "p", hot)
 
 
 @query("tail_bag_trace", f"WITH {TAIL_SQL} SELECT sequence_name, n, k, {q6('p')} AS p FROM tail")
@@ -241,7 +248,7 @@ _SHAPE_COLUMNS = ("p_start", "p_end", "final", "max_p", "min_p", "rise")
     + ", ".join(f"{q6(c)} AS {c}" for c in _SHAPE_COLUMNS) + " FROM shape",
 )
 def shape(spark, sf):
-    return _round(tr.trace_metrics(_tail(spark, sf), SEQ, "n", "p"), *_SHAPE_COLUMNS)
+    return _round(_shape(spark, sf), *_SHAPE_COLUMNS)
 
 
 @query(
@@ -281,7 +288,7 @@ def _passing(rule: dict[str, float]) -> str:
            row_number() OVER (ORDER BY spread >= 2 DESC, rise DESC, spread DESC, sequence_name) AS rank FROM chosen""",
 )
 def failures(spark, sf):
-    m = tr.trace_metrics(_tail(spark, sf), SEQ, "n", "p").select("sequence_name", "p_start", "p_end", "rise", "spread")
+    m = staged(_shape(spark, sf).select("sequence_name", "p_start", "p_end", "rise", "spread"), "traces")
     return tr.rank_failures(m, "sequence_name", _STRICT, _RELAXED).select(
         "sequence_name", "spread", r6("rise").alias("rise"), "rank")
 
@@ -292,7 +299,7 @@ def failures(spark, sf):
     row_number() OVER (ORDER BY max_p, sequence_name) AS rank FROM shape WHERE max_p < 0.5::DOUBLE""",
 )
 def successes(spark, sf):
-    m = tr.trace_metrics(_tail(spark, sf), SEQ, "n", "p").select("sequence_name", "max_p")
+    m = _shape(spark, sf).select("sequence_name", "max_p")
     return tr.rank_successes(m, "sequence_name", 0.5).select("sequence_name", r6("max_p").alias("max_p"), "rank")
 
 
@@ -309,5 +316,7 @@ def successes(spark, sf):
 def two_pass(spark, sf):
     labels = samples(spark, sf).groupBy("sequence_name").agg(
         F.when(F.max("value") > 150, 1).otherwise(0).alias("label"))
-    out = tr.two_pass_selection(scored_windows(spark, sf), SEQ, "t", "score", labels, "sequence_name", "label")
+    windows = scored_windows(spark, sf)
+    hot = hot_keys(windows, SEQ)
+    out = tr.two_pass_selection(windows, SEQ, "t", "score", labels, "sequence_name", "label", hot=hot)
     return out.select("sequence_name", r6("score").alias("score"), r6("rise").alias("rise"), "spread", "rank")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tickwise.operators import scaling as sl
 from tickwise.operators import splits as sp
 from tickwise.operators import windows as wi
+from tickwise.operators.ordered import hot_keys
 from tickwise.queries import query
 from tickwise.queries.catalog_joins import _SIZES_SQL
 from tickwise.queries.common import (
@@ -146,14 +147,16 @@ def _rounded(scaler):
 
 @query("fit_scaler", _SCALER_SQL)
 def scaler(spark, sf):
+    hot = hot_keys(frames(spark, sf), ["seq"])
     return _rounded(sl.fit_scaler(
-        wi.window_ticks(_fitted(spark, sf), ["seq"], FRAME_ORDER, 50, 25, ["kin"]), "kin"))
+        wi.window_ticks(_fitted(spark, sf), ["seq"], FRAME_ORDER, 50, 25, ["kin"], hot=hot), "kin", 5))
 
 
 @query("fit_scaler_sumsq", _SCALER_SQL)
 def scaler_sums(spark, sf):
-    covered = wi.coverage(_fitted(spark, sf), ["seq"], FRAME_ORDER, 50, 25)
-    return _rounded(sl.fit_scaler_sumsq(covered, "kin", "n_windows"))
+    hot = hot_keys(frames(spark, sf), ["seq"])
+    covered = wi.coverage(_fitted(spark, sf), ["seq"], FRAME_ORDER, 50, 25, hot=hot)
+    return _rounded(sl.fit_scaler_sumsq(covered, "kin", "n_windows", 5))
 
 
 @query(
@@ -165,13 +168,13 @@ def scaler_sums(spark, sf):
 )
 def standardised(spark, sf):
     d = descriptors(spark, sf)
-    out = sl.apply_scaler(d, sl.fit_scaler(d, "embedding"), "embedding", "z")
+    out = sl.apply_scaler(d, sl.fit_scaler(d, "embedding", 64), "embedding", "z")
     return out.select("vec_id", F.posexplode("z").alias("dim", "z")).select("vec_id", "dim", r6("z").alias("z"))
 
 
 def _centred(spark, sf):
     d = descriptors(spark, sf)
-    return sl.apply_scaler(d, sl.fit_scaler(d, "embedding"), "embedding", "v")
+    return sl.apply_scaler(d, sl.fit_scaler(d, "embedding", 64), "embedding", "v")
 
 
 @query("pca_fit")

@@ -8,17 +8,23 @@ from tickwise.functions import vectors as vec
 from tickwise.operators import pooling as pl
 from tickwise.operators import scoring as so
 from tickwise.operators import windows as wi
+from tickwise.operators.ordered import hot_keys
 from tickwise.operators.splits import split_stratified
 from tickwise.queries import query
 from tickwise.queries.common import (
-    CELLS_SQL, DESCRIPTORS_SQL, descriptors, frames, FRAME_ORDER, q6, r6, table, windows_sql,
+    CELLS_SQL, DESCRIPTORS_SQL, FRAME_ORDER, descriptors, frames, q6, r6, table, windows_sql,
 )
+from tickwise.session import staged
 
 
-def _windows(spark, sf, stride):
+def _windows(spark, sf, stride, hot=None):
     return wi.sliding_windows(
         frames(spark, sf), ["seq"], FRAME_ORDER, 50, stride, "label",
-        {"c0": F.avg(F.get("kin", F.lit(0))), "c1": F.avg(F.get("kin", F.lit(1)))})
+        {"c0": F.avg(F.get("kin", F.lit(0))), "c1": F.avg(F.get("kin", F.lit(1)))}, hot)
+
+
+def _hot(spark, sf):
+    return hot_keys(frames(spark, sf), ["seq"])
 
 
 _WINDOW_ROWS = """,
@@ -42,12 +48,13 @@ def sliding(spark, sf):
 )
 def by_split(spark, sf):
     rows = frames(spark, sf)
+    hot = hot_keys(rows, ["seq"])
     splits = rows.select("seq").distinct().withColumn(
         "split", F.when(F.md5(F.col("seq").cast("string")) < "8", "train").otherwise("test"))
     aggs = {"c0": F.avg(F.get("kin", F.lit(0))), "c5": F.max(F.get("kin", F.lit(5)))}
     parts = [
         wi.windows_by_split(
-            rows, splits.where(F.col("split") == s), ["seq"], FRAME_ORDER, 50, 50, "label", "kin", 6, aggs
+            rows, splits.where(F.col("split") == s), ["seq"], FRAME_ORDER, 50, 50, "label", "kin", 6, aggs, hot
         ).withColumn("split", F.lit(s))
         for s in ("train", "test")
     ]
@@ -73,8 +80,9 @@ kept AS (
 
 
 def _tail(spark, sf):
-    w = _windows(spark, sf, 10).withColumn("dataset_id", F.when(F.col("seq") % 2 == 0, "even").otherwise("odd"))
-    return wi.bag_tail_filter(w, ["seq"], "window", "y", "dataset_id", {"even": 0.3, "odd": 0.75})
+    hot = _hot(spark, sf)
+    w = _windows(spark, sf, 10, hot).withColumn("dataset_id", F.when(F.col("seq") % 2 == 0, "even").otherwise("odd"))
+    return wi.bag_tail_filter(w, ["seq"], "window", "y", "dataset_id", {"even": 0.3, "odd": 0.75}, hot=hot)
 
 
 @query("bag_tail_filter", f'WITH {_TAIL} SELECT dataset_id, seq, win AS "window", y FROM kept WHERE win >= n - k')
@@ -124,9 +132,10 @@ def attributes(spark, sf):
     FROM slots LEFT JOIN wins w USING (seq, win)""",
 )
 def padded(spark, sf):
-    w = _windows(spark, sf, 10).select("seq", "window", "y", F.array("c0", "c1").alias("v"))
+    hot = _hot(spark, sf)
+    w = staged(_windows(spark, sf, 10, hot).select("seq", "window", "y", F.array("c0", "c1").alias("v")), "windows")
     heads = wi.build_bags(w, ["seq"]).withColumn("batch", F.floor(F.col("seq") / 16))
-    out = wi.pad_bags(w, heads, ["seq"], "batch", "window", "v", 2)
+    out = wi.pad_bags(w, heads, ["seq"], "batch", "window", "v", 2, hot)
     return out.select(
         "seq", "batch", "window", "valid", r6(F.get("v", F.lit(0))).alias("v0"), r6(F.get("v", F.lit(1))).alias("v1"))
 
@@ -168,14 +177,16 @@ def _both(pooled, weights):
 
 @query("pool_gated_attention", "WITH " + _softmax_sql(f"1.5 * {_gate(0, 2)} - 0.5 * {_gate(1, 3)}"))
 def gated(spark, sf):
+    rows = descriptors(spark, sf)
     return _both(*pl.pool_gated_attention(
-        descriptors(spark, sf), "seq", "idx", "embedding", 64,
-        [_weights(0), _weights(1)], [_weights(2), _weights(3)], [1.5, -0.5]))
+        rows, "seq", "idx", "embedding", 64,
+        [_weights(0), _weights(1)], [_weights(2), _weights(3)], [1.5, -0.5], hot=hot_keys(rows, ["seq"])))
 
 
 @query("pool_attention", "WITH " + _softmax_sql(f"{_dot(4)} + 0.25"))
 def attention(spark, sf):
-    return _both(*pl.pool_attention(descriptors(spark, sf), "seq", "idx", "embedding", _weights(4), 0.25))
+    rows = descriptors(spark, sf)
+    return _both(*pl.pool_attention(rows, "seq", "idx", "embedding", _weights(4), 0.25, hot=hot_keys(rows, ["seq"])))
 
 
 @query(
@@ -248,14 +259,14 @@ def score(spark, sf):
 @query("train_bag_classifier")
 def train(spark, sf):
     rows = frames(spark, sf)
-    windows = wi.sliding_windows(
+    windows = staged(wi.sliding_windows(
         rows, ["seq"], FRAME_ORDER, 50, 50, "label",
         {f"c{i}": F.avg(F.get("kin", F.lit(i))) for i in range(4)}
-    ).withColumn("v", F.array("c0", "c1", "c2", "c3"))
+    ).select("seq", "window", "y", F.array("c0", "c1", "c2", "c3").alias("v")), "windows")
     heads = wi.build_bags(windows, ["seq"]).withColumn("dataset_id", F.lit("frames"))
     features = so.bag_features(windows, ["seq"], "window", "v", 4).join(heads, "seq")
     splits = split_stratified(heads.select("dataset_id", "seq", "bag_label"), "dataset_id", "seq", "bag_label")
-    ready = features.join(splits.select("seq", "split"), "seq")
+    ready = staged(features.join(splits.select("seq", "split"), "seq"), "bags")
     model = so.train_bag_classifier(ready.where("split = 'train'"), "features", "bag_label")
     return so.predict_bags(model, ready, "features").select("seq", "split", "bag_label", "p")
 
