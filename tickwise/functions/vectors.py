@@ -37,7 +37,7 @@ def all_finite(v: Column) -> Column:
 def fit_width(v: Column, width: int) -> Column:
     """Zero-pad or clip to exactly ``width`` elements."""
     padded = F.concat(doubles(v), F.array_repeat(F.lit(0.0), F.greatest(F.lit(width) - F.size(v), F.lit(0))))
-    return F.slice(padded, 1, width)
+    return F.when(F.size(v) == width, doubles(v)).otherwise(F.slice(padded, 1, width))
 
 
 def standardise(v: Column, mean: Column, std: Column) -> Column:
