@@ -509,7 +509,8 @@ def test_tied_scores(spark):
     df = scored(spark, [("d", p, y) for p, y in ((0.1, 0), (0.5, 1), (0.5, 0), (0.5, 0), (0.9, 1))])
     pairs = [(1.0 if a > b else 0.5 if a == b else 0.0) for a in (0.5, 0.9) for b in (0.1, 0.5, 0.5)]
     assert math.isclose(me.auc(df, ["ds"], "p", "y").first()["auc"], np.mean(pairs))
-    assert me.threshold_f1(df, ["ds"], "p", "y").first()["threshold"] == 0.9
+    # F1 is 2/3 both from 0.5 and from 0.9 on; the lower one wins.
+    assert me.threshold_f1(df, ["ds"], "p", "y").first()["threshold"] == 0.5
 
 
 def test_lowest_of_equal_thresholds(spark):

@@ -28,6 +28,11 @@ def _ordered(batches: Iterator[pd.DataFrame], order: str) -> pd.DataFrame:
     return pd.concat(list(batches)).sort_values(order, kind="stable")
 
 
+def _running(total: float, values: np.ndarray) -> np.ndarray:
+    """Running sums added one by one onto the carried total, so batch borders leave no trace."""
+    return np.cumsum(np.concatenate([[total], values]))[1:]
+
+
 def stream_prefix_monitor(
     scores: DataFrame, seq: str, order: str, score: str, warm_up: int = WARM_UP_WINDOWS
 ) -> DataFrame:
@@ -42,7 +47,7 @@ def stream_prefix_monitor(
         values = _ordered(batches, order)[score].to_numpy(float)
         count, total = state.get if state.exists else (0, 0.0)
         n = count + np.arange(1, len(values) + 1)
-        sums = total + np.cumsum(values)
+        sums = _running(total, values)
         state.update((int(n[-1]), float(sums[-1])))
         shown = n >= warm_up
         yield pd.DataFrame({seq: [key[0]] * int(shown.sum()), "n": n[shown], "p": (sums / n)[shown]})
@@ -69,13 +74,11 @@ def stream_tail_monitor(
         new = _ordered(batches, order)[score].to_numpy(float)
         count, kept = state.get if state.exists else (0, [])
         both = np.concatenate([np.asarray(kept, float), new])
-        sums = np.concatenate([[0.0], np.cumsum(both)])
-        end = len(kept) + np.arange(1, len(new) + 1)
-        begin = np.maximum(end - k, 0)
         n = count + np.arange(1, len(new) + 1)
+        padded = np.concatenate([np.zeros(max(k - 1 - len(kept), 0)), both[max(len(kept) - k + 1, 0):]])
+        p = np.lib.stride_tricks.sliding_window_view(padded, k).sum(axis=1) / np.minimum(n, k)
         state.update((int(n[-1]), [float(x) for x in both[-k:]]))
         shown = n >= warm_up
-        p = (sums[end] - sums[begin]) / (end - begin)
         yield pd.DataFrame({seq: [key[0]] * int(shown.sum()), "n": n[shown], "p": p[shown]})
 
     return scores.groupBy(seq).applyInPandasWithState(
@@ -101,7 +104,7 @@ def stream_alerts(
         values = _ordered(batches, order)[score].to_numpy(float)
         count, total, level = state.get if state.exists else (0, 0.0, None)
         n = count + np.arange(1, len(values) + 1)
-        sums = total + np.cumsum(values)
+        sums = _running(total, values)
         shown = n >= warm_up
         p, at = (sums / n)[shown], n[shown]
         levels = np.where(p < threshold * 0.5, "safe", np.where(p < threshold, "warn", "alarm")).astype(object)
