@@ -18,7 +18,8 @@ from tickwise.operators import scoring as so
 from tickwise.operators import splits as sp
 from tickwise.operators import traces as tr
 from tickwise.operators import windows as wi
-from tickwise.operators.ordered import hot_keys, ordered_scan
+from tickwise.operators.ordered import HOT_ROWS_CONF, hot_keys, ordered_scan
+from tickwise.operators.ranges import BLOCK
 from tickwise.schema import CANONICAL, LABEL, SourceSpec, register_source, spec_for
 from tickwise.sources import catalog as cat
 from tickwise.sources.files import require_episode
@@ -132,12 +133,19 @@ def test_hold_many_samples_between_ticks(spark):
 
 
 def test_hold_gap_longer_than_a_block(spark):
-    n = 2 * al.TICK_BLOCK + 5
+    n = 2 * BLOCK + 5
     out = al.hold_resample(
         samples(spark, [("s", "a", 0, 1.0), ("s", "a", n, 2.0)]), "seq", "t", "topic", "v", {"a": "a"}, 1)
     assert out.count() == n + 1
     assert out.select("tick").distinct().count() == n + 1
     assert out.where("a = 1.0").count() == n
+    spark.conf.set(HOT_ROWS_CONF, "100")
+    try:
+        spread = al.hold_resample(
+            samples(spark, [("s", "a", 0, 1.0), ("s", "a", n, 2.0)]), "seq", "t", "topic", "v", {"a": "a"}, 1)
+        assert sorted(map(tuple, spread.collect())) == sorted(map(tuple, out.collect()))
+    finally:
+        spark.conf.unset(HOT_ROWS_CONF)
 
 
 @pytest.mark.parametrize("length", [1, 7, 1000])

@@ -9,10 +9,7 @@ from pyspark.sql import functions as F
 
 from tickwise.operators.lookup import join_facts
 from tickwise.operators.ordered import CHUNK, HotKeys, hot_keys, ordered_scan, quoted, split_hot
-
-# Ticks are generated in blocks, so that one long hold never becomes one long array.
-TICK_BLOCK = 4096
-
+from tickwise.operators.ranges import explode_range
 
 def sparse_pivot(
     samples: DataFrame, seq: str, time: str, topic: str, value: str, topics: Mapping[str, str], also: Sequence[str] = ()
@@ -40,7 +37,9 @@ def time_chunks(
     ).drop("_t0")
 
 
-def _with_ticks(held: DataFrame, seq: str, time: str, step: int, columns: Sequence[str]) -> DataFrame:
+def _with_ticks(
+    held: DataFrame, seq: str, time: str, step: int, columns: Sequence[str], long_grids: bool
+) -> DataFrame:
     """Emit, for every held row, the grid ticks from its instant up to the next row."""
     k0 = F.expr(f"(`{time}` - _t0 + {step - 1}) div {step}")
     k1 = F.expr(f"(_next - _t0 + {step - 1}) div {step} - 1")
@@ -48,15 +47,20 @@ def _with_ticks(held: DataFrame, seq: str, time: str, step: int, columns: Sequen
     bounds = held.withColumn("_k0", k0).withColumn(
         "_k1", F.when(F.col("_next").isNull(), F.when(on_grid, F.col("_k0")).otherwise(F.col("_k0") - 1)).otherwise(k1)
     )
-    kept = bounds.where("_k1 >= _k0")
-    block = F.explode(F.expr(f"sequence(_k0 div {TICK_BLOCK}, _k1 div {TICK_BLOCK})"))
-    blocks = kept.select(seq, "_t0", "_k0", "_k1", *columns, block.alias("_b"))
-    ticks = F.explode(
-        F.expr(f"sequence(greatest(_k0, _b * {TICK_BLOCK}), least(_k1, (_b + 1) * {TICK_BLOCK} - 1))")
-    )
-    return blocks.select(seq, ticks.alias("tick"), "_t0", *columns).select(
-        seq, "tick", (F.col("_t0") + F.col("tick") * F.lit(step)).alias(time), *columns
-    )
+    ticks = explode_range(
+        bounds.where("_k1 >= _k0"), "_k0", "_k1", "tick", [seq, "_t0", *columns], [seq] if long_grids else None)
+    return ticks.select(seq, "tick", (F.col("_t0") + F.col("tick") * F.lit(step)).alias(time), *columns)
+
+
+def _splits(
+    samples: DataFrame, seq: str, time: str, step: int, hot: HotKeys | None
+) -> tuple[HotKeys, bool]:
+    """Sequences with many samples, and whether any has a long grid: one pass unless one does."""
+    rows, span = F.count(F.lit(1)), (F.max(time) - F.min(time)) / F.lit(step) + 1
+    large = hot_keys(samples, [seq], F.greatest(rows.cast("double"), span))
+    if not large:
+        return large, False
+    return (hot if hot is not None else hot_keys(samples, [seq])), bool(grid_hot_keys(samples, seq, time, step))
 
 
 def hold_resample(
@@ -77,8 +81,10 @@ def hold_resample(
     the carry and the look-ahead. Very long sequences are cut into chunks first.
     """
     wanted = samples.where(F.col(topic).isin(list(topics))).select(seq, topic, time, value)
+    hot, long_grids = _splits(wanted, seq, time, step, hot)
     chunked, split = split_hot(wanted, [seq], [time], hot)
-    return _hold(chunked, seq, time, topic, value, topics, step, CHUNK if split else None)
+    return _hold(
+        chunked, seq, time, topic, value, topics, step, CHUNK if split is not None else None, long_grids, split)
 
 
 def hold_resample_chunked(
@@ -94,16 +100,18 @@ def hold_resample_chunked(
 ) -> DataFrame:
     """``hold_resample`` computed over fixed-length time chunks with the held values carried."""
     wanted = samples.where(F.col(topic).isin(list(topics))).select(seq, topic, time, value)
+    hot, long_grids = _splits(wanted, seq, time, step, hot)
     chunked = time_chunks(wanted, seq, time, chunk_length, CHUNK, hot)
-    return _hold(chunked, seq, time, topic, value, topics, step, CHUNK)
+    return _hold(chunked, seq, time, topic, value, topics, step, CHUNK, long_grids)
 
 
 def hold_resample_wide(
     sparse: DataFrame, seq: str, time: str, columns: Sequence[str], step: int, hot: HotKeys | None = None
 ) -> DataFrame:
     """The same from an already wide, sparse frame whose columns may have any orderable type."""
+    hot, long_grids = _splits(sparse.select(seq, time), seq, time, step, hot)
     chunked, split = split_hot(sparse.select(seq, time, *map(quoted, columns)), [seq], [time], hot)
-    group = [seq, CHUNK] if split else [seq]
+    group = [seq, CHUNK] if split is not None else [seq]
     # Columns get short names meanwhile, since source names hold dots and slashes.
     short = {f"_v{i}": c for i, c in enumerate(columns)}
     merged = (
@@ -111,21 +119,26 @@ def hold_resample_wide(
         .groupBy(*group, time)
         .agg(*[F.max(quoted(c)).alias(v) for v, c in short.items()])
     )
-    held = _held(merged, seq, time, list(short), CHUNK if split else None)
-    ticks = _with_ticks(held, seq, time, step, list(short))
+    held = _held(merged, seq, time, list(short), CHUNK if split is not None else None, split)
+    ticks = _with_ticks(held, seq, time, step, list(short), long_grids)
     return ticks.select(seq, "tick", time, *[F.col(v).alias(c) for v, c in short.items()])
 
 
-def _hold(chunked, seq, time, topic, value, topics, step, chunk: str | None) -> DataFrame:
+def _hold(
+    chunked, seq, time, topic, value, topics, step, chunk: str | None, long_grids: bool,
+    split_keys: DataFrame | None = None,
+) -> DataFrame:
     group = [seq, chunk] if chunk else [seq]
     # Hash partitioning by the group also serves the finer (group, time) aggregate.
     placed = chunked.repartition(*group)
     wide = sparse_pivot(placed, seq, time, topic, value, topics, also=group[1:])
     columns = list(topics.values())
-    return _with_ticks(_held(wide, seq, time, columns, chunk), seq, time, step, columns)
+    return _with_ticks(_held(wide, seq, time, columns, chunk, split_keys), seq, time, step, columns, long_grids)
 
 
-def _held(wide: DataFrame, seq: str, time: str, columns: list[str], chunk: str | None) -> DataFrame:
+def _held(
+    wide: DataFrame, seq: str, time: str, columns: list[str], chunk: str | None, split_keys: DataFrame | None
+) -> DataFrame:
     """Carry every column forward and look one row ahead, in one sort."""
     return ordered_scan(
         wide,
@@ -135,6 +148,7 @@ def _held(wide: DataFrame, seq: str, time: str, columns: list[str], chunk: str |
         lead={"_next": time},
         head={"_t0": time},
         chunk=chunk,
+        split_keys=split_keys,
     ).select(seq, time, "_t0", "_next", *[F.col(f"_held_{c}").alias(c) for c in columns])
 
 

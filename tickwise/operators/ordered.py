@@ -75,12 +75,13 @@ def hot_keys(df: DataFrame, keys: Sequence[str], size: Column | None = None, max
 
 def split_hot(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], hot: HotKeys | None = None
-) -> tuple[DataFrame, bool]:
-    """Add a ``_chunk`` number that follows ``order`` inside every key; hot keys get several.
+) -> tuple[DataFrame, DataFrame | None]:
+    """Add a ``_chunk`` number that follows ``order`` inside every hot key; -1 for other keys.
 
     For hot keys only, a bounded sample gives the cut points; they are fixed on the driver,
-    so every branch of a plan sees the same chunks. Returns the input unchanged and ``False``
-    when no key is hot. Rows with equal order values always share a chunk.
+    so every branch of a plan sees the same chunks. Returns also the hot keys as a small table,
+    or the input unchanged and ``None`` when no key is hot. Rows with equal order values always
+    share a chunk.
     """
     spark = df.sparkSession
     if hot is None:
@@ -90,7 +91,7 @@ def split_hot(
     chunks = {key: (math.ceil(n / target), n) for key, n in hot.rows}
     chunks = {k: v for k, v in chunks.items() if v[0] > 1}
     if not chunks:
-        return df, False
+        return df, None
 
     key_fields = [df.schema[k] for k in keys]
     order_type = T.StructType([df.schema[o] for o in order])
@@ -118,30 +119,17 @@ def split_hot(
         cut_rows, T.StructType([*key_fields, T.StructField("_cuts", T.ArrayType(order_type))])
     )
     longest = max((len(r[-1]) for r in cut_rows), default=0)
-    value = F.struct(*[F.col(o) for o in order])
-    out = df.join(F.broadcast(cuts), list(keys), "left").select(
-        *map(quoted, df.columns),
-        F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(_cuts_below(value, longest)).alias(CHUNK),
-    )
-    return out, True
-
-
-def _cuts_below(value: Column, longest: int) -> Column:
-    """How many cut points are at or below ``value``, by bisection over the ``_cuts`` array."""
-    cuts = F.col("_cuts")
-
-    def step(state: Column, _: Column) -> Column:
-        lo, hi = state["lo"], state["hi"]
-        mid = F.shiftright(lo + hi, 1)
-        below = F.get(cuts, mid) <= value
-        moved = F.struct(
-            F.when(below, mid + 1).otherwise(lo).alias("lo"), F.when(below, hi).otherwise(mid).alias("hi")
+    searched = df.join(F.broadcast(cuts), list(keys), "left").withColumn("_below", F.lit(0))
+    value = F.struct(*[quoted(o) for o in order])
+    # How many cut points are at or below the value: bisection, one generated step per bit.
+    for step in (1 << b for b in reversed(range(longest.bit_length()))):
+        passed = F.get(F.col("_cuts"), F.col("_below") + F.lit(step - 1)) <= value
+        searched = searched.withColumn(
+            "_below", F.col("_below") + F.when(F.coalesce(passed, F.lit(False)), step).otherwise(0)
         )
-        return F.when(lo < hi, moved).otherwise(state)
-
-    steps = max(1, longest.bit_length() + 1)
-    start = F.struct(F.lit(0).alias("lo"), F.size(cuts).alias("hi"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda s: s["lo"])
+    # Never null: a "not null" test pushed down here would repeat the whole search.
+    chunk = F.when(F.col("_cuts").isNull(), -1).otherwise(F.col("_below"))
+    return searched.select(*map(quoted, df.columns), chunk.alias(CHUNK)), cuts.select(*keys)
 
 
 def ordered_scan(
@@ -160,6 +148,7 @@ def ordered_scan(
     head: Mapping[str, str] | None = None,
     chunk: str | None = "auto",
     hot: HotKeys | None = None,
+    split_keys: DataFrame | None = None,
 ) -> DataFrame:
     """Add order-dependent columns per key; ``order`` (ascending) must be a total order.
 
@@ -168,7 +157,7 @@ def ordered_scan(
     non-null of the key; ``lag`` / ``lead`` neighbour rows; ``head`` value of the first
     row. Mappings are ``{output column: input column}``. ``chunk`` is ``"auto"`` (split hot
     keys, those in ``hot`` if given), ``None`` (groups known to be small) or the name of a
-    chunk column in ``df``.
+    chunk column in ``df``, with the ``split_keys`` if it comes from ``split_hot``.
     """
     sums, totals, last = dict(sums or {}), dict(totals or {}), dict(last or {})
     first_valid, lag, lead, head = dict(first_valid or {}), dict(lag or {}), dict(lead or {}), dict(head or {})
@@ -178,8 +167,8 @@ def ordered_scan(
 
     split = chunk is not None
     if chunk == "auto":
-        df, split = split_hot(df, keys, order, hot)
-        chunk = CHUNK
+        df, split_keys = split_hot(df, keys, order, hot)
+        chunk, split = CHUNK, split_keys is not None
     group = [*keys, chunk] if split else keys
 
     ordered = Window.partitionBy(*group).orderBy(*order)
@@ -197,56 +186,70 @@ def ordered_scan(
     local |= {out: F.last(c, ignorenulls=True).over(so_far) for out, c in last.items()}
     local |= {out: F.first(c, ignorenulls=True).over(in_order) for out, c in first_valid.items()}
     local |= {out: F.first(c).over(so_far) for out, c in head.items()}
+    local |= {out: F.lag(c).over(ordered) for out, c in lag.items()}
+    local |= {out: F.lead(c).over(ordered) for out, c in lead.items()}
     if not split:
-        local |= {out: F.lag(c).over(ordered) for out, c in lag.items()}
-        local |= {out: F.lead(c).over(ordered) for out, c in lead.items()}
         return df.select(*keep, *[e.alias(out) for out, e in local.items()])
 
-    # Neighbours are wrapped, so that "no neighbour" and "neighbour is null" stay apart.
-    local |= {out: F.lag(F.struct(c)).over(ordered) for out, c in lag.items()}
-    local |= {out: F.lead(F.struct(c)).over(ordered) for out, c in lead.items()}
+    if lag:
+        local["_opens"] = F.lag(F.lit(1)).over(ordered).isNull()
+    if lead:
+        local["_closes"] = F.lead(F.lit(1)).over(ordered).isNull()
     scanned = df.select(*keep, *([] if has_chunk else [chunk]), *[e.alias(o) for o, e in local.items()])
+    chunked = df if split_keys is None else df.join(F.broadcast(split_keys), keys, "left_semi")
+    carry = _carry(chunked, keys, order, chunk, sums, totals, last, first_valid, lag, lead, head)
+    if split_keys is not None:
+        # At most MAX_CUTS chunks plus one per hot key; rows of other keys match nothing.
+        joined = scanned.join(F.broadcast(carry), group, "left")
+    else:
+        # Same grouping as the scan, so this needs no further shuffle of the rows.
+        joined = scanned.join(carry, group, "left")
+    carried = F.col("_rows").isNotNull()
+
+    def from_carry(o: str) -> Column:
+        return F.when(carried, F.col(f"_c_{o}")).otherwise(F.col(o))
 
-    position = order_value(order)
+    final: dict[str, Column] = {}
+    if index:
+        final[index] = F.col(index) + F.coalesce(F.col("_before"), F.lit(0))
+    if count:
+        final[count] = F.coalesce(F.col("_rows"), F.col(count))
+    for o in sums:
+        final[o] = F.when(F.col(o).isNull(), F.col(f"_c_{o}")).otherwise(
+            F.col(o) + F.coalesce(F.col(f"_c_{o}"), F.lit(0))
+        )
+    final |= {o: from_carry(o) for o in totals}
+    final |= {o: F.coalesce(F.col(o), F.col(f"_c_{o}")) for o in last}
+    final |= {o: from_carry(o) for o in [*first_valid, *head]}
+    final |= {o: F.when(F.col("_opens"), F.col(f"_c_{o}")).otherwise(F.col(o)) for o in lag}
+    final |= {o: F.when(F.col("_closes"), F.col(f"_c_{o}")).otherwise(F.col(o)) for o in lead}
+    return joined.select(*keep, *[e.alias(out) for out, e in final.items()])
+
+
+def _carry(df, keys, order, chunk, sums, totals, last, first_valid, lag, lead, head) -> DataFrame:
+    """What every chunk needs to know from the other chunks of its key: one row per chunk."""
+    group = [*keys, chunk]
+    at = order_value(order)
     summary = df.groupBy(*group).agg(
         F.count(F.lit(1)).alias("_n"),
         *[F.sum(c).alias(f"_s_{o}") for o, c in {**sums, **totals}.items()],
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), position)).alias(f"_l_{o}") for o, c in last.items()],
-        *[F.min_by(c, F.when(F.col(c).isNotNull(), position)).alias(f"_f_{o}") for o, c in first_valid.items()],
-        *[F.max_by(F.struct(c), position).alias(f"_t_{o}") for o, c in lag.items()],
-        *[F.min_by(F.struct(c), position).alias(f"_h_{o}") for o, c in {**lead, **head}.items()],
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(f"_l_{o}") for o, c in last.items()],
+        *[F.min_by(c, F.when(F.col(c).isNotNull(), at)).alias(f"_f_{o}") for o, c in first_valid.items()],
+        *[F.max_by(c, at).alias(f"_t_{o}") for o, c in lag.items()],
+        *[F.min_by(c, at).alias(f"_h_{o}") for o, c in {**lead, **head}.items()],
     )
     by_chunk = Window.partitionBy(*keys).orderBy(chunk)
     before = by_chunk.rowsBetween(Window.unboundedPreceding, -1)
-    all_chunks = Window.partitionBy(*keys)
     across = by_chunk.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    first_chunk = by_chunk.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    carry = summary.select(
+    return summary.select(
         *group,
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
-        F.sum("_n").over(all_chunks).alias("_rows"),
+        F.sum("_n").over(across).alias("_rows"),
         *[F.sum(f"_s_{o}").over(before).alias(f"_c_{o}") for o in sums],
-        *[F.sum(f"_s_{o}").over(all_chunks).alias(f"_c_{o}") for o in totals],
+        *[F.sum(f"_s_{o}").over(across).alias(f"_c_{o}") for o in totals],
         *[F.last(f"_l_{o}", ignorenulls=True).over(before).alias(f"_c_{o}") for o in last],
         *[F.first(f"_f_{o}", ignorenulls=True).over(across).alias(f"_c_{o}") for o in first_valid],
         *[F.lag(f"_t_{o}").over(by_chunk).alias(f"_c_{o}") for o in lag],
         *[F.lead(f"_h_{o}").over(by_chunk).alias(f"_c_{o}") for o in lead],
-        *[F.first(f"_h_{o}").over(first_chunk).alias(f"_c_{o}") for o in head],
+        *[F.first(f"_h_{o}").over(across).alias(f"_c_{o}") for o in head],
     )
-    # Same grouping as the scan, so this join needs no further shuffle of the rows.
-    joined = scanned.join(carry, group, "left")
-    final: dict[str, Column] = {}
-    if index:
-        final[index] = F.col(index) + F.col("_before")
-    if count:
-        final[count] = F.col("_rows")
-    for o in sums:
-        final[o] = F.when(F.col(o).isNull(), F.col(f"_c_{o}")).otherwise(
-            F.col(o) + F.coalesce(F.col(f"_c_{o}"), F.lit(0))
-        )
-    final |= {o: F.col(f"_c_{o}") for o in totals}
-    final |= {o: F.coalesce(F.col(o), F.col(f"_c_{o}")) for o in last}
-    final |= {o: F.col(f"_c_{o}") for o in first_valid}
-    final |= {o: F.coalesce(F.col(o), F.col(f"_c_{o}"))[c] for o, c in {**lag, **lead}.items()}
-    final |= {o: F.col(f"_c_{o}")[c] for o, c in head.items()}
-    return joined.select(*keep, *[e.alias(out) for out, e in final.items()])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tickwise.functions.vectors import all_finite, doubles, fit_width
 from tickwise.operators.lookup import join_facts, join_lookup
 from tickwise.operators.ordered import HotKeys, ordered_scan
+from tickwise.operators.ranges import explode_range
 
 
 def covering_windows(index: str, length: int, stride: int) -> Column:
@@ -147,12 +148,11 @@ def pad_bags(
     """
     longest = bags.groupBy(batch).agg(F.max("n_windows").alias("_m"))
     headed = join_lookup(bags.select(*keys, batch, "n_windows"), longest, batch, "inner")
-    missing = (
-        headed.where("n_windows < _m")
-        .select(*keys, batch, F.explode(F.expr("sequence(n_windows, _m - 1)")).alias(window))
-        .withColumn(vector, F.array_repeat(F.lit(0.0), width))
-        .withColumn("valid", F.lit(0))
-    )
+    gaps = headed.where("n_windows < _m").withColumn("_last", F.col("_m") - 1)
+    # A long bag makes its whole batch long: those rows are redistributed block by block.
+    missing = explode_range(
+        gaps, "n_windows", "_last", window, [*keys, batch], keys if hot else None
+    ).withColumns({vector: F.array_repeat(F.lit(0.0), width), "valid": F.lit(0)})
     real = join_facts(windows, bags.select(*keys, batch), keys, hot=hot).select(
         *keys, batch, F.col(window).cast("long").alias(window), doubles(F.col(vector)).alias(vector),
         F.lit(1).alias("valid"),

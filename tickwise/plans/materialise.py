@@ -15,39 +15,49 @@ from pyspark.sql import functions as F
 
 from tickwise.operators.align import grid_hot_keys, hold_resample_wide, step_seconds
 from tickwise.operators.features import (
-    add_derived, drop_incomplete, first_valid_vector, project_canonical, union_datasets,
+    add_derived, drop_incomplete, project_canonical, union_datasets,
 )
 from tickwise.operators.labels import label
 from tickwise.operators.lookup import join_facts
-from tickwise.operators.ordered import HotKeys
+from tickwise.operators.ordered import HotKeys, quoted
 from tickwise.operators.scoring import encode_payloads
 from tickwise.schema import (
     DATASET, EXTENDED, GRID_HZ, INSTRUCTION, INSTRUCTION_DIM, LABEL, RESIDUAL, SEQ, TICK, TIME, spec_for,
 )
 from tickwise.sources.tables import incremental_todo
 
-IMAGE_TIME = "_image_t"
+IMAGE_TIME, INSTRUCTION_TIME = "_image_t", "_instruction_t"
 
 
-def sparse_frame(dataset_id: str, streams: Mapping[str, DataFrame]) -> DataFrame | None:
-    """Requested topics that exist, as one wide sparse frame; ``None`` if there is none."""
-    parts = [streams[t] for t in spec_for(dataset_id).topics if t in streams]
+def sparse_frame(dataset_id: str, streams: Mapping[str, DataFrame], images: DataFrame | None = None) -> DataFrame | None:
+    """Requested topics that exist, as one wide sparse frame; ``None`` if there is none.
+
+    Image bytes and instruction vectors stay out of it. An image contributes the time of the
+    frame, an instruction its time if it has the right length and -1 if not; both are looked
+    up by (sequence, time) later.
+    """
+    spec = spec_for(dataset_id)
+    parts = []
+    for topic in spec.topics:
+        part = streams.get(topic)
+        if part is None:
+            continue
+        if spec.instruction in part.columns:
+            valid = F.size(quoted(spec.instruction)) == INSTRUCTION_DIM
+            part = part.select(SEQ, TIME, F.when(valid, F.col(TIME)).otherwise(-1).alias(INSTRUCTION_TIME))
+        parts.append(part)
+    if parts and images is not None:
+        parts.append(images.select(SEQ, TIME, F.col(TIME).alias(IMAGE_TIME)))
     return union_datasets(parts) if parts else None
 
 
 def aligned(
     dataset_id: str, streams: Mapping[str, DataFrame], images: DataFrame | None = None, hz: float = GRID_HZ
 ) -> DataFrame | None:
-    """All topics of a dataset on the grid.
-
-    An image topic contributes only the time of its latest frame: the bytes stay out of the
-    sort and are fetched by (sequence, time) for the ticks that survive.
-    """
-    sparse = sparse_frame(dataset_id, streams)
+    """All topics of a dataset on the grid."""
+    sparse = sparse_frame(dataset_id, streams, images)
     if sparse is None:
         return None
-    if images is not None:
-        sparse = union_datasets([sparse, images.select(SEQ, TIME, F.col(TIME).alias(IMAGE_TIME))])
     values = [c for c in sparse.columns if c not in (SEQ, TIME)]
     return hold_resample_wide(sparse, SEQ, TIME, values, step_seconds(hz))
 
@@ -56,21 +66,23 @@ def features_of(
     dense: DataFrame, dataset_id: str, catalog: DataFrame | None, hot: HotKeys | None = None
 ) -> DataFrame:
     """Label, project, drop incomplete ticks, then differentiate: one row per remaining tick."""
-    spec = spec_for(dataset_id)
     labelled = label(dense, dataset_id, catalog, hot)
-    keep = [SEQ, TICK, TIME, LABEL, *([IMAGE_TIME] if IMAGE_TIME in dense.columns else [])]
-    complete = drop_incomplete(project_canonical(labelled, dataset_id, keep))
+    carried = [c for c in (IMAGE_TIME,) if c in dense.columns]
+    complete = drop_incomplete(project_canonical(labelled, dataset_id, [SEQ, TICK, TIME, LABEL, *carried]))
     derived = add_derived(complete, [SEQ], TIME, hot=hot)
     kin = [*EXTENDED, *([RESIDUAL] if RESIDUAL in derived.columns else [])]
-    rows = derived.select(
+    return derived.select(
         F.lit(dataset_id).alias(DATASET), SEQ, TICK, TIME,
-        F.array(*kin).cast("array<float>").alias("kin"), F.col(LABEL).cast("float").alias("label"),
-        *([IMAGE_TIME] if IMAGE_TIME in keep else []),
+        F.array(*kin).cast("array<float>").alias("kin"), F.col(LABEL).cast("float").alias("label"), *carried,
     )
-    if spec.instruction in dense.columns:
-        vectors = first_valid_vector(dense, SEQ, [TICK], spec.instruction, INSTRUCTION_DIM, INSTRUCTION)
-        rows = join_facts(rows, vectors, [SEQ], "left", hot)
-    return rows
+
+
+def instructions_of(dense: DataFrame, stream: DataFrame, column: str) -> DataFrame:
+    """Per sequence the instruction of the first tick that holds a valid one."""
+    held = F.when(F.col(INSTRUCTION_TIME) >= 0, F.col(TICK))
+    first = dense.groupBy(SEQ).agg(F.min_by(INSTRUCTION_TIME, held).alias(TIME)).where(F.col(TIME).isNotNull())
+    vectors = stream.where(F.size(quoted(column)) == INSTRUCTION_DIM).join(first, [SEQ, TIME], "left_semi")
+    return vectors.groupBy(SEQ).agg(F.max(quoted(column)).alias(INSTRUCTION))
 
 
 def materialise(
@@ -85,10 +97,11 @@ def materialise(
 ) -> DataFrame | None:
     """Feature rows of the sequences of a dataset that are not in ``done`` yet.
 
-    ``images`` has ``sequence_name``, ``timestamp_ns`` and ``data``. Each distinct frame is
-    encoded once and its descriptor joined to the ticks that hold it; ticks before the first
-    frame get the descriptor of an empty payload.
+    ``images`` has ``sequence_name``, ``timestamp_ns`` and ``data``. Frames are encoded where
+    they are read, so no bytes are shuffled, and the descriptors are joined to the ticks that
+    hold them; ticks before the first frame get the descriptor of an empty payload.
     """
+    spec = spec_for(dataset_id)
     names = catalog.where(F.col(DATASET) == dataset_id).select(DATASET, SEQ)
     todo = incremental_todo(names, done, [DATASET, SEQ], force).select(SEQ).distinct()
     chosen = {t: s.join(todo, SEQ, "left_semi") for t, s in streams.items()}
@@ -99,11 +112,16 @@ def materialise(
     # Grid lengths follow from the first and last samples, so the grid itself is not counted.
     hot = grid_hot_keys(sparse_frame(dataset_id, chosen).select(SEQ, TIME), SEQ, TIME, step_seconds(hz))
     rows = features_of(dense, dataset_id, catalog, hot)
+    told = next((s for s in chosen.values() if spec.instruction in s.columns), None)
+    if told is not None:
+        rows = join_facts(rows, instructions_of(dense, told, spec.instruction), [SEQ], "left", hot)
     if images is None or encoder_factory is None:
         return rows.drop(IMAGE_TIME)
-    used = rows.select(SEQ, F.col(IMAGE_TIME)).where(F.col(IMAGE_TIME).isNotNull()).distinct()
-    payload = frames.select(SEQ, F.col(TIME).alias(IMAGE_TIME), "data").join(used, [SEQ, IMAGE_TIME], "left_semi")
-    encoded = encode_payloads(payload.dropDuplicates([SEQ, IMAGE_TIME]), "data", encoder_factory, "_cnn")
+    encoded = (
+        encode_payloads(frames.select(SEQ, F.col(TIME).alias(IMAGE_TIME), "data"), "data", encoder_factory, "_cnn")
+        .groupBy(SEQ, IMAGE_TIME)
+        .agg(F.max("_cnn").alias("_cnn"))
+    )
     empty = F.array(*[F.lit(float(x)) for x in np.asarray(encoder_factory()([b""]), float)[0]])
     return (
         rows.join(encoded, [SEQ, IMAGE_TIME], "left")
