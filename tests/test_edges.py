@@ -22,7 +22,7 @@ from tickwise.operators.ordered import HOT_ROWS_CONF, hot_keys, ordered_scan
 from tickwise.operators.ranges import BLOCK
 from tickwise.schema import CANONICAL, LABEL, SourceSpec, register_source, spec_for
 from tickwise.sources import catalog as cat
-from tickwise.sources.files import require_episode
+from tickwise.sources.files import episode_index, file_stem_of_input, require_episode
 
 NAN, INF = float("nan"), float("inf")
 
@@ -615,6 +615,15 @@ def test_dataset_lists():
     assert cat.dataset_list_union(["b"], ["c"]) == (["b", "c"], True)
 
 
+def test_episodes_of_input_files(spark, tmp_path):
+    for name, episodes in (("file-000", [1, 1, 2]), ("file-001", [7])):
+        part = spark.createDataFrame([(e, 0.0) for e in episodes], "episode_index int, x double").coalesce(1)
+        part.toPandas().to_parquet(tmp_path / f"{name}.parquet")
+    rows = spark.read.parquet(str(tmp_path))
+    index = episode_index(rows, file_stem_of_input(), "episode_index")
+    assert sorted(map(tuple, index.collect())) == [("file-000", 1), ("file-000", 2), ("file-001", 7)]
+
+
 def test_missing_episode_raises(spark):
     index = spark.createDataFrame([("f", 1)], "file string, episode int")
     require_episode(index, "f", 1)

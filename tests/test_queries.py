@@ -11,7 +11,7 @@ from tickwise.queries import ORACLES, QUERIES, load_all
 load_all()
 SF = os.path.join(oracle.TESTDATA, "sf0.001")
 STREAMS = {n for n in QUERIES if n.startswith("stream_")}
-NO_SQL = {"jitter", "pca_fit", "pca_apply", "train_bag_classifier"}
+NO_SQL = {"pca_fit", "pca_apply", "train_bag_classifier"}
 # Queries whose operators take hot keys apart.
 SPLITTING = sorted(
     set("""time_chunks episode_file_offset heldout_anti cap_per_dataset topk_scores interleave mixup hold_resample

@@ -18,6 +18,11 @@ def doubles(v: Column) -> Column:
     return v.cast("array<double>")
 
 
+def elements(v: Column, width: int) -> list[Column]:
+    """The first ``width`` elements as double columns, cast one by one."""
+    return [F.get(v, F.lit(i)).cast("double") for i in range(width)]
+
+
 def array_mean(v: Column) -> Column:
     """Mean of the elements; a null or empty array is missing."""
     d = doubles(v)
@@ -30,8 +35,8 @@ def array_first(v: Column) -> Column:
 
 
 def all_finite(v: Column) -> Column:
-    """True when no element is null, NaN or infinite."""
-    return F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    """True when no element is null, NaN (which sorts above infinity) or infinite."""
+    return F.forall(v, lambda x: x.isNotNull() & (F.abs(x) < F.lit(float("inf"))))
 
 
 def fit_width(v: Column, width: int) -> Column:
@@ -46,7 +51,7 @@ def standardise(v: Column, mean: Column, std: Column) -> Column:
     scaled = F.zip_with(centred, std, lambda x, s: F.try_divide(x, s))
     return F.transform(
         scaled,
-        lambda x: F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), x).otherwise(0.0),
+        lambda x: F.when(F.abs(x) < F.lit(float("inf")), x).otherwise(0.0),
     )
 
 

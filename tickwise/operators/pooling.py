@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickwise.functions.vectors import doubles, dot, vector
+from tickwise.functions.vectors import dot, doubles, elements, vector
 from tickwise.operators.lookup import join_facts
 from tickwise.operators.ordered import HotKeys
 
@@ -49,8 +49,7 @@ def _softmax_weights(
 
 def vector_agg(df: DataFrame, bag: str, column: str, width: int, agg: Callable[[Column], Column], out: str) -> DataFrame:
     """Aggregate every dimension of a vector column per bag: one row per bag, no row per cell."""
-    at = [F.get(doubles(F.col(column)), F.lit(i)) for i in range(width)]
-    return df.groupBy(bag).agg(F.array(*[agg(a) for a in at]).alias(out))
+    return df.groupBy(bag).agg(F.array(*[agg(x) for x in elements(F.col(column), width)]).alias(out))
 
 
 def _pool(df: DataFrame, bag: str, column: str, width: int) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickwise.functions.vectors import doubles, standardise, vector
+from tickwise.functions.vectors import doubles, elements, standardise, vector
 
 SMALL_STD = 1e-6
 # Widest vector aggregated channel by channel in one expression list.
@@ -29,12 +29,11 @@ def _channels(
     With a known, moderate width every channel is its own aggregate over the array, so a row
     stays one row; otherwise the cells are expanded and combined before the shuffle.
     """
-    v = doubles(F.col(column))
+    v = F.col(column)
     if width is None or width > WIDE:
-        cells = df.select(*[c for c in df.columns if c != column], F.posexplode(v).alias("channel", "_x"))
+        cells = df.select(*[c for c in df.columns if c != column], F.posexplode(doubles(v)).alias("channel", "_x"))
         return cells.groupBy("channel").agg(*[e.alias(o) for o, e in aggs(F.col("_x")).items()])
-    at = [F.get(v, F.lit(i)) for i in range(width)]
-    cells = F.array(*[F.struct(*[e.alias(o) for o, e in aggs(x).items()]) for x in at])
+    cells = F.array(*[F.struct(*[e.alias(o) for o, e in aggs(x).items()]) for x in elements(v, width)])
     return df.agg(cells.alias("_c")).select(F.posexplode("_c").alias("channel", "_s")).select("channel", "_s.*")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickwise.functions.scalars import label_smooth, md5_key, md5_uniform, sigmoid
-from tickwise.functions.vectors import doubles, mix
+from tickwise.functions.vectors import doubles, elements, mix
 from tickwise.operators.lookup import join_lookup
 from tickwise.operators.ordered import ordered_scan
 
@@ -52,7 +52,7 @@ def bag_features(windows: DataFrame, keys: Sequence[str], order: str, column: st
 
     Plain aggregates with partial results before the shuffle; a long bag needs no special care.
     """
-    at = [F.get(doubles(F.col(column)), F.lit(i)) for i in range(width)]
+    at = elements(F.col(column), width)
     return windows.groupBy(*keys).agg(
         F.array(
             *[F.avg(a) for a in at],

@@ -58,9 +58,10 @@ def sliding_windows(
 
 
 def clean_vectors(df: DataFrame, vector: str, width: int) -> DataFrame:
-    """Fit every vector to ``width``, then drop rows that are not finite."""
-    fitted = df.withColumn(vector, fit_width(F.col(vector), width))
-    return fitted.where(all_finite(F.col(vector)))
+    """Fit every vector to ``width`` and drop rows that are not finite within it."""
+    v = F.col(vector)
+    inside = F.when(F.size(v) > width, F.slice(v, 1, width)).otherwise(v)
+    return df.where(all_finite(inside)).withColumn(vector, fit_width(v, width))
 
 
 def windows_by_split(

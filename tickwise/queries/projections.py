@@ -9,7 +9,7 @@ from tickwise.functions import vectors as vec
 from tickwise.operators import features as ft
 from tickwise.operators.scoring import jitter, mixup
 from tickwise.queries import query
-from tickwise.queries.common import DESCRIPTORS_SQL, SCORES_SQL, descriptors, q6, r6, scores, table
+from tickwise.queries.common import CELLS_SQL, DESCRIPTORS_SQL, SCORES_SQL, descriptors, q6, r6, scores, table
 from tickwise.schema import CANONICAL, SourceSpec, register_source
 
 # Sources over the given tables, one per way of reading the gripper.
@@ -215,11 +215,20 @@ def alerts(spark, sf):
         "sequence_name", sc.alert_level(p, 0.6).alias("level"), r6(sc.alert_ramp(p, 0.6)).alias("ramp"))
 
 
-@query("jitter")
+def _draw(kind: str) -> str:
+    return (f"('0x' || substr(md5('42:{kind}' || vec_id::VARCHAR || ':' || dim::VARCHAR), 1, 8))::BIGINT "
+            "/ 4294967296.0::DOUBLE")
+
+
+@query(
+    "jitter",
+    f"""WITH {CELLS_SQL} SELECT vec_id, dim::INTEGER AS dim,
+    {q6(f'x + 0.02 * sqrt(-2 * ln(1 - {_draw("u")})) * cos(2 * pi() * {_draw("v")})')} AS x FROM cells""",
+)
 def noise(spark, sf):
     rows = descriptors(spark, sf).withColumn("row_id", F.col("vec_id"))
     noisy = jitter(rows, "embedding", 0.02)
-    return noisy.select("vec_id", F.posexplode("embedding").alias("dim", "x"))
+    return noisy.select("vec_id", F.posexplode("embedding").alias("dim", "x")).withColumn("x", r6("x"))
 
 
 @query(

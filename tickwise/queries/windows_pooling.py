@@ -250,9 +250,9 @@ def modulate(spark, sf):
 )
 def score(spark, sf):
     d = descriptors(spark, sf)
-    v = vec.doubles(F.col("embedding"))
     bag = d.groupBy("seq").agg(
-        F.array(*[F.avg(F.get(v, F.lit(i))) for i in range(64)]).alias("z"), F.max(F.col("label") % 2).alias("y"))
+        F.array(*[F.avg(x) for x in vec.elements(F.col("embedding"), 64)]).alias("z"),
+        F.max(F.col("label") % 2).alias("y"))
     return so.score_bags(bag, "z", so.linear_scorer(_weights(8), -0.1)).select("seq", "y", r6("p").alias("p"))
 
 
