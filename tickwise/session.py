@@ -29,7 +29,7 @@ def local_session(cpus: str | int = "*", shuffle_partitions: int = 8, app: str =
 
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by the session; a temporary one only for a local master."""
-    root = spark.conf.get(CHECKPOINT_CONF, None)
+    root = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root
     if not spark.conf.get("spark.master", "").startswith("local"):
