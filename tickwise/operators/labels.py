@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tickwise.functions.scalars import to_number
 from tickwise.operators.align import fill_both
-from tickwise.operators.lookup import join_facts
+from tickwise.operators.lookup import join_facts, with_group_facts
 from tickwise.operators.ordered import HotKeys, order_value, quoted
 from tickwise.schema import DATASET, LABEL, SEQ, TIME, spec_for
 
@@ -45,17 +45,22 @@ def label_metadata(
     return join_facts(df, flags, [on], "left", hot).select(*map(quoted, df.columns), failed.alias(out))
 
 
+def _reward_facts(order: Sequence[str], reward: str, terminal: str | None) -> dict[str, Column]:
+    """Reward at the last row, and at the last row whose terminal flag is set (null if none is)."""
+    value, at = F.coalesce(to_number(quoted(reward)), F.lit(0.0)), order_value(order)
+    flagged = F.lit(False)
+    if terminal is not None:
+        flagged = F.coalesce(to_number(quoted(terminal)), F.lit(0.0)) != 0.0
+    return {"_last": F.max_by(value, at), "_ended": F.max_by(value, F.when(flagged, at))}
+
+
 def final_reward(
     df: DataFrame, seq: str, order: Sequence[str], reward: str, terminal: str | None
 ) -> DataFrame:
     """Reward at the last row whose terminal flag is set, else at the last row; missing is 0."""
-    value = F.coalesce(to_number(quoted(reward)), F.lit(0.0))
-    at = order_value(order)
-    last = F.max_by(value, at)
-    if terminal is None:
-        return df.groupBy(seq).agg(last.alias("final_reward"))
-    flagged = F.coalesce(to_number(quoted(terminal)), F.lit(0.0)) != 0.0
-    return df.groupBy(seq).agg(F.coalesce(F.max_by(value, F.when(flagged, at)), last).alias("final_reward"))
+    facts = _reward_facts(order, reward, terminal)
+    ends = df.groupBy(seq).agg(*[e.alias(o) for o, e in facts.items()])
+    return ends.select(seq, F.coalesce("_ended", "_last").alias("final_reward"))
 
 
 def label_terminal(
@@ -66,10 +71,9 @@ def label_terminal(
     if reward is None or reward not in df.columns:
         return df.withColumn(out, F.lit(0.0))
     has_terminal = terminal if terminal in df.columns else None
-    ends = final_reward(df, seq, order, reward, has_terminal).select(
-        seq, F.when(F.col("final_reward") > 0, 0.0).otherwise(1.0).alias(out)
-    )
-    return join_facts(df, ends, [seq], hot=hot)
+    ends = with_group_facts(df, [seq], _reward_facts(order, reward, has_terminal), hot)
+    failed = F.when(F.coalesce("_ended", "_last") > 0, 0.0).otherwise(1.0)
+    return ends.select(*map(quoted, df.columns), failed.alias(out))
 
 
 def sequence_label(df: DataFrame, keys: Sequence[str], label: str, out: str = "seq_label") -> DataFrame:

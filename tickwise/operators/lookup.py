@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,6 +31,24 @@ def join_lookup(
     return df.join(F.broadcast(df.sparkSession.createDataFrame(rows, table.schema)), on, how)
 
 
+def with_group_facts(
+    df: DataFrame, on: Sequence[str], facts: Mapping[str, Column], hot: HotKeys | None = None
+) -> DataFrame:
+    """Add aggregates of each key to its rows.
+
+    Without hot keys this is a window over the key: rows already placed by it are neither
+    shuffled again nor computed twice. With hot keys the aggregates are joined back, salted.
+    """
+    on = list(on)
+    if hot is None:
+        hot = hot_keys(df, on)
+    if not hot:
+        whole = Window.partitionBy(*on)
+        return df.withColumns({o: e.over(whole) for o, e in facts.items()})
+    table = df.groupBy(*on).agg(*[e.alias(o) for o, e in facts.items()])
+    return join_facts(df, table, on, "inner", hot)
+
+
 def join_facts(
     df: DataFrame, facts: DataFrame, on: Sequence[str], how: str = "inner", hot: HotKeys | None = None
 ) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickwise.functions.vectors import all_finite, doubles, fit_width
-from tickwise.operators.lookup import join_facts, join_lookup
+from tickwise.operators.lookup import join_facts, join_lookup, with_group_facts
 from tickwise.operators.ordered import HotKeys, ordered_scan
 from tickwise.operators.ranges import explode_range
 
@@ -100,8 +100,8 @@ def bag_tail_filter(
     are cut, also in evaluation data, which shows the scorer something the true label
     decides; ``None`` cuts every bag of the dataset. Window numbers must be 0..n-1.
     """
-    bags = build_bags(windows, keys, y)
-    rows = join_facts(windows, bags, keys, hot=hot)
+    rows = with_group_facts(
+        windows, keys, {"bag_label": F.max(F.col(y).cast("double")), "n_windows": F.count(F.lit(1))}, hot)
     fraction = F.lit(1.0)
     for name, f in fractions.items():
         fraction = F.when(F.col(dataset) == name, F.lit(float(f))).otherwise(fraction)

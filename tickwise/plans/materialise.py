@@ -18,7 +18,7 @@ from tickwise.operators.features import (
     add_derived, drop_incomplete, project_canonical, union_datasets,
 )
 from tickwise.operators.labels import label
-from tickwise.operators.lookup import join_facts
+from tickwise.operators.lookup import with_group_facts
 from tickwise.operators.ordered import HotKeys, quoted
 from tickwise.operators.scoring import encode_payloads
 from tickwise.schema import (
@@ -26,7 +26,7 @@ from tickwise.schema import (
 )
 from tickwise.sources.tables import incremental_todo
 
-IMAGE_TIME, INSTRUCTION_TIME = "_image_t", "_instruction_t"
+IMAGE_TIME, INSTRUCTION_TIME, TOLD_TIME = "_image_t", "_instruction_t", "_told_t"
 
 
 def sparse_frame(dataset_id: str, streams: Mapping[str, DataFrame], images: DataFrame | None = None) -> DataFrame | None:
@@ -67,7 +67,11 @@ def features_of(
 ) -> DataFrame:
     """Label, project, drop incomplete ticks, then differentiate: one row per remaining tick."""
     labelled = label(dense, dataset_id, catalog, hot)
-    carried = [c for c in (IMAGE_TIME,) if c in dense.columns]
+    if INSTRUCTION_TIME in dense.columns:
+        # The instruction of a sequence is that of its first tick holding a valid one.
+        valid = F.when(F.col(INSTRUCTION_TIME) >= 0, F.col(TICK))
+        labelled = with_group_facts(labelled, [SEQ], {TOLD_TIME: F.min_by(INSTRUCTION_TIME, valid)}, hot)
+    carried = [c for c in (IMAGE_TIME, TOLD_TIME) if c in labelled.columns]
     complete = drop_incomplete(project_canonical(labelled, dataset_id, [SEQ, TICK, TIME, LABEL, *carried]))
     derived = add_derived(complete, [SEQ], TIME, hot=hot)
     kin = [*EXTENDED, *([RESIDUAL] if RESIDUAL in derived.columns else [])]
@@ -77,14 +81,6 @@ def features_of(
     )
 
 
-def instructions_of(dense: DataFrame, stream: DataFrame, column: str) -> DataFrame:
-    """Per sequence the instruction of the first tick that holds a valid one."""
-    held = F.when(F.col(INSTRUCTION_TIME) >= 0, F.col(TICK))
-    first = dense.groupBy(SEQ).agg(F.min_by(INSTRUCTION_TIME, held).alias(TIME)).where(F.col(TIME).isNotNull())
-    vectors = stream.where(F.size(quoted(column)) == INSTRUCTION_DIM).join(first, [SEQ, TIME], "left_semi")
-    return vectors.groupBy(SEQ).agg(F.max(quoted(column)).alias(INSTRUCTION))
-
-
 def materialise(
     dataset_id: str,
     streams: Mapping[str, DataFrame],
@@ -114,7 +110,13 @@ def materialise(
     rows = features_of(dense, dataset_id, catalog, hot)
     told = next((s for s in chosen.values() if spec.instruction in s.columns), None)
     if told is not None:
-        rows = join_facts(rows, instructions_of(dense, told, spec.instruction), [SEQ], "left", hot)
+        vector = quoted(spec.instruction)
+        vectors = (
+            told.where(F.size(vector) == INSTRUCTION_DIM)
+            .groupBy(SEQ, F.col(TIME).alias(TOLD_TIME))
+            .agg(F.max(vector).alias(INSTRUCTION))
+        )
+        rows = rows.join(vectors, [SEQ, TOLD_TIME], "left").drop(TOLD_TIME)
     if images is None or encoder_factory is None:
         return rows.drop(IMAGE_TIME)
     encoded = (
