@@ -16,6 +16,8 @@ import pyarrow as pa
 SLICE_BYTES = 1 << 20
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Every ASCII byte that is neither a letter nor a digit separates words.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _BYTE = np.random.Generator(np.random.PCG64(0x5EED)).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -90,13 +92,16 @@ def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[in
         at = to
 
 
-def split_words(data: np.ndarray, offsets: np.ndarray, fold: bool = False) -> Words:
-    """Words of the texts that lie in ``data`` at ``offsets``; ``fold`` lower-cases A to Z."""
+def split_words(data: np.ndarray, offsets: np.ndarray, fold: bool = False, between: np.ndarray = _SPACE) -> Words:
+    """Words of the texts that lie in ``data`` at ``offsets``; ``fold`` lower-cases A to Z.
+
+    ``between`` says for each byte whether it separates words.
+    """
     n = len(data)
     if not n:
         none = np.empty(0, np.int64)
         return Words(data, none, none, np.zeros(len(offsets), np.int64), np.empty(0, np.uint64))
-    space = _SPACE[data]
+    space = between[data]
     edge = np.ones(n + 1, dtype=bool)
     edge[1:n] = space[:-1]
     edge[offsets[:-1][offsets[:-1] < n]] = True
@@ -154,3 +159,27 @@ def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
         pos = np.where(values[right] < values[left], right, left)
         size += step
     return pos[:n]
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], limit: int) -> Iterator[pa.Table]:
+    """Tables of about ``limit`` rows from batches sorted by ``keys``, cut between groups only."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            rows += batch.num_rows
+        if rows < limit:
+            continue
+        t = pa.Table.from_batches(held)
+        new = np.zeros(t.num_rows - 1, dtype=bool)
+        for k in keys:
+            v = t.column(k).to_numpy()
+            new |= v[1:] != v[:-1]
+        cut = np.flatnonzero(new)
+        if len(cut):
+            yield t.slice(0, int(cut[-1]) + 1)
+            t = t.slice(int(cut[-1]) + 1)
+        held, rows = t.combine_chunks().to_batches(), t.num_rows
+    if held:
+        yield pa.Table.from_batches(held)
