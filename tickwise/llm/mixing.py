@@ -171,14 +171,13 @@ def mix_sources(
 ) -> DataFrame:
     """All rows of ``docs`` with size, source_size, target and copies.
 
-    ``key_cols`` feed the draws. No document gets more than ``most`` copies; a source's copies
+    ``key_cols`` feed the draws. Columns of these four names are replaced. No document gets more than ``most`` copies; a source's copies
     times sizes sum to its target up to one document.
     """
-    taken = [c for c in ("size", "source_size", "target", "copies") if c in docs.columns]
-    if taken:
-        raise ValueError(f"columns {taken} would be overwritten")
+    docs = docs.withColumn("_size", size).drop("size", "source_size", "target", "copies")
+    own = [c for c in docs.columns if c != "_size"]
     key = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in key_cols])
-    sized = docs.withColumn("size", size)
+    sized = docs.withColumnRenamed("_size", "size")
     table = source_targets(sized.select(F.col(f"`{source_col}`").alias("source"), "size"), weights, share, most)
     # As many rows as there are sources, counted above.
     facts = F.broadcast(table.withColumnsRenamed({"source": "_source", "n_docs": "_n"}))
@@ -216,4 +215,4 @@ def mix_sources(
     whole = done[0]
     for more in done[1:]:
         whole = whole.unionByName(more)
-    return whole.withColumn("copies", F.col("_copies")).select(*docs.columns, "size", "source_size", "target", "copies")
+    return whole.withColumn("copies", F.col("_copies")).select(*own, "size", "source_size", "target", "copies")

@@ -31,7 +31,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickwise.llm.graph import components
@@ -259,10 +259,11 @@ def _mixed(buckets: DataFrame, roots: DataFrame) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id, kept, and u, a hash that names the row.
+    """Per row of ``docs``: doc_id, n_shingles, component_id, kept; u, a hash that names the row; first.
 
     Two documents are linked if their distinct shingles overlap in ``percent`` of the union;
     component_id is the smallest id that links reach, and kept says that it is the row's own.
+    Of a component's rows only those equal to the smallest by id and hash are ``first``.
     """
     i, t = F.col(f"`{id_col}`").cast("long"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     named = docs.select(i.alias("doc_id"), F.coalesce(i, F.lit(_LAST)).alias("d"), F.xxhash64(i, t).alias("u"), t.alias("text"))
@@ -313,10 +314,23 @@ def near_duplicates(
 
     roots = components(found).withColumnRenamed("node", "c")
     placed = signed.select("doc_id", "d", "u", "n", "c").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
-    first = placed.groupBy("root").agg(F.min("d").alias("low"))
-    low = F.coalesce("low", "d")
+    first = placed.groupBy("root").agg(F.min(F.struct("d", "u")).alias("first"))
+    low = F.coalesce("first.d", "d")
     component = F.when(low != _LAST, low)
     return placed.join(first, "root", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
         F.col("doc_id").eqNullSafe(component).alias("kept"), "u",
+        F.coalesce(F.struct("d", "u") == F.col("first"), F.lit(True)).alias("first"),
     )
+
+
+def without_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, the one with the smallest id, in the columns of ``docs``.
+
+    Of rows that share the smallest id one stays. Rows without words all stay.
+    """
+    stay = near_duplicates(docs, shingle, percent, id_col, text_col).where("first").select("u", (F.col("n_shingles") == 0).alias("blank")).distinct()
+    i, t = F.col(f"`{id_col}`").cast("long"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    rows = docs.select(F.xxhash64(i, t).alias("u"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    numbered = rows.join(stay, "u").withColumn("nth", F.row_number().over(Window.partitionBy("u").orderBy("u")))
+    return numbered.where("blank OR nth = 1").select("row.*")

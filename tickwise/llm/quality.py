@@ -257,7 +257,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     return co_train(_Rows([r.text_f for r in rows]), _Rows([r.meta_f for r in rows]), target, rounds)
 
 
-def _score(model: "Model", threshold: float) -> Callable[[Batches], Batches]:
+def _score(model, threshold: float) -> Callable[[Batches], Batches]:
     def logits(rows: np.ndarray, buckets: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
         hit = np.flatnonzero(weights[buckets])
         pairs = np.unique(rows[hit] * np.int64(len(weights)) + buckets[hit])
@@ -293,3 +293,20 @@ def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD, ca
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     scored = rows.mapInArrow(_score(shipped, threshold), f"{fields}, text_score double, meta_score double, score double, kept boolean")
     return scored.select(*carry, *out, "kept")
+
+
+def _good(score_rows: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            for scored in score_rows(iter([batch.select(["text", "lang", "source", "n_chars"])])):
+                yield batch.filter(scored.column("kept"))
+
+    return run
+
+
+def only_good(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows that the model keeps, in the columns of ``docs``."""
+    if model is None:
+        return docs
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(_good(_score(shipped, threshold)), docs.schema)

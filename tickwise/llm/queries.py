@@ -1,12 +1,16 @@
-"""The operators bound to the given tables, each over its whole table."""
+"""The operators bound to the given tables, each over its whole table, next to their SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tickwise.llm import decontaminate, mixing, neardup, neighbours, quality, secrets, sharding, substring_dedup, token_counts, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
+VOCABULARY = "byte_bpe_50k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,13 +19,122 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the words of 20-word windows that also start earlier."""
-    from tickwise.llm.substring_dedup import remove_repeats
+    return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"), length=20)
+
+
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of each document so that sources of weights 3, 1, 2 share 150 % of all words."""
+    docs = _table(spark, sf_dir, "documents")
+    sized = docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("words"))
+    mixed = mixing.mix_sources(sized, F.col("words"), key_cols=("doc_id",))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in 40 shards of nearly equal bytes."""
+    docs = _table(spark, sf_dir, "documents")
+    text = F.coalesce("text", F.lit(""))
+    narrow = docs.select("doc_id", F.octet_length(text).alias("n_bytes"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("hash"))
+    placed = sharding.shard_documents(narrow, 40, size=F.col("n_bytes"), key_cols=("doc_id", "hash"))
+    return placed.select(
+        "doc_id", "size", F.col("text_crc32").cast("long").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document under the byte-level vocabulary of 50,257 entries."""
+    import public_tokenizers
+
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), limit=1024)
+
+
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth one."""
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
 
-    return remove_repeats(_table(spark, sf_dir, "documents"))
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document, and whether it is kept."""
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose four-word shingles overlap in 80 % of their union."""
+    found = neardup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item, with the item."""
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url by rules and, where none fits, by the link graph."""
+    return url_filter.judge_pages(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document."""
+    return secrets.secret_digest(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
-    "op1_substring_dedup": op1_substring_dedup,
+    f.__name__: f
+    for f in (
+        op1_substring_dedup, op2_source_mixing, op3_sharding, op4_token_counts, op5_nearest_neighbours, op6_quality,
+        op7_near_duplicates, op8_decontamination, op9_url_filter, op10_secrets,
+    )
 }
 
-ORACLES: dict[str, str] = {}
+
+def _url_filter_sql() -> str:
+    """The url filter's rules and its two flows, one CTE per step."""
+    low = f"'{url_filter._UPPER}', '{url_filter._LOWER}'"
+    fit = "NULL"
+    for r in sorted(url_filter.RULES, key=lambda r: (len(r.name), r.name)):
+        fit = f"CASE WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{r.name}|{r.verdict}' ELSE {fit} END"
+    whole = " OR ".join(f"host = '{r.host}' OR ends_with(host, '.{r.host}')" for r in url_filter.RULES if r.path == "/" and r.verdict == "block")
+    link = url_filter.LINK.replace("'", "''")
+    steps = [f"score0 AS MATERIALIZED (SELECT flow, host, seed AS score FROM seeds)"]
+    for k in range(url_filter.STEPS):
+        steps.append(f"""moved{k} AS MATERIALIZED (
+    SELECT e.flow, e.dst AS host, {url_filter.DAMPING}::DOUBLE * s.score * e.share AS score
+    FROM score{k} s JOIN shares e ON e.flow = s.flow AND e.src = s.host),
+score{k + 1} AS MATERIALIZED (
+    SELECT flow, host, sum(score) AS score FROM (
+        SELECT * FROM moved{k} UNION ALL
+        SELECT flow, host, seed * (1.0::DOUBLE - coalesce((SELECT sum(score) FROM moved{k} m WHERE m.flow = seeds.flow), 0.0::DOUBLE)) FROM seeds)
+    GROUP BY flow, host)""")
+    chain = ",\n".join(steps)
+    return f"""WITH cut AS (
+    SELECT page_id, html, coalesce(CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END, '') AS rest FROM pages),
+named AS (
+    SELECT page_id, html, translate(regexp_extract(rest, '^([^/?#]*)', 1), {low}) AS host,
+           regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+judged AS MATERIALIZED (SELECT page_id, html, host, path, {fit} AS fit FROM named),
+links AS (
+    SELECT host AS src, unnest(list_distinct(regexp_extract_all(translate(html, {low}), '{link}', 1))) AS dst
+    FROM judged WHERE host <> ''),
+counted AS MATERIALIZED (SELECT src, dst, count(*) AS n FROM links WHERE src <> dst GROUP BY src, dst),
+edges AS (
+    SELECT 'trust' AS flow, src, dst, n FROM counted UNION ALL SELECT 'distrust', dst, src, n FROM counted),
+shares AS MATERIALIZED (SELECT flow, src, dst, n / sum(n) OVER (PARTITION BY flow, src) AS share FROM edges),
+mass AS (
+    SELECT CASE WHEN {whole} THEN 'distrust' ELSE 'trust' END AS flow, host,
+           (CASE WHEN {whole} THEN count(*) ELSE count(*) FILTER (ends_with(fit, '|allow')) END)::DOUBLE AS mass
+    FROM judged WHERE host <> '' GROUP BY host),
+seeds AS MATERIALIZED (SELECT flow, host, mass / sum(mass) OVER (PARTITION BY flow) AS seed FROM mass WHERE mass > 0),
+{chain},
+of_host AS (
+    SELECT host, coalesce(sum(score) FILTER (flow = 'trust'), 0) AS trust, coalesce(sum(score) FILTER (flow = 'distrust'), 0) AS distrust
+    FROM score{url_filter.STEPS} GROUP BY host)
+SELECT page_id, j.host AS host, path, split_part(fit, '|', 1) AS rule,
+       coalesce(split_part(fit, '|', 2), CASE WHEN distrust > {url_filter.FLOOR} AND distrust >= {url_filter.RATIO} * coalesce(trust, 0)
+                THEN 'block' ELSE 'allow' END) AS verdict
+FROM judged j LEFT JOIN of_host o ON o.host = j.host"""
+
+
+ORACLES: dict[str, str] = {"op9_url_filter": _url_filter_sql()}

@@ -70,16 +70,20 @@ def _slot(key_cols: Sequence[str], slots: int) -> Column:
 
 def shard_documents(
     docs: DataFrame, shards: int = SHARDS, text_col: str = "text", key_cols: Sequence[str] = ("doc_id", "text"),
-    virtual: int = VIRTUAL, slots: int = SLOTS, slack: float = SLACK,
+    virtual: int = VIRTUAL, slots: int = SLOTS, slack: float = SLACK, size: Column | None = None,
 ) -> DataFrame:
-    """``docs`` with size (UTF-8 bytes and 16), shard and slot, a gapless number in its shard."""
-    taken = [c for c in ("size", "shard", "slot") if c in docs.columns]
-    if taken:
-        raise ValueError(f"columns {taken} would be overwritten")
+    """``docs`` with size (UTF-8 bytes and 16), shard and slot, a gapless number in its shard.
+
+    ``size`` may give the bytes where the text itself is not carried along. Columns of these
+    three names are replaced.
+    """
+    docs = docs.drop("size", "shard", "slot")
     if slots & (slots - 1):
         raise ValueError("slots must be a power of two")
     spark = docs.sparkSession
-    size = F.coalesce(F.octet_length(F.col(f"`{text_col}`")), F.lit(0)).cast("long") + ROW_BYTES
+    if size is None:
+        size = F.coalesce(F.octet_length(F.col(f"`{text_col}`")), F.lit(0))
+    size = size.cast("long") + ROW_BYTES
     sized = docs.withColumns({"size": size, "_slot": _slot(key_cols, slots)})
     loads, counts = [0] * slots, [0] * slots
     for r in sized.groupBy("_slot").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n")).collect():
