@@ -97,7 +97,7 @@ def _segments(length: int, prefix: int) -> Callable[[Batches], Batches]:
                 fits = (start + count + length - 1 <= w.first[text + 1]) & (start < len(at))
                 text, rel, bits, count, start = (x[fits] for x in (text, rel, bits, count, start))
                 u = batch.column("u").slice(a, b - a).to_numpy(zero_copy_only=False)[text]
-                d = batch.column("d").slice(a, b - a).to_numpy(zero_copy_only=False)[text]
+                d = batch.column("doc_id").slice(a, b - a).fill_null(_LAST).to_numpy(zero_copy_only=False)[text]
                 width = count + length - 1
                 ends = np.cumsum(width)
                 flat = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - width), width)
@@ -217,11 +217,9 @@ def _subtrees(length: int, hot: bool) -> Callable[[Batches], Batches]:
 
 
 def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(u, d, doc_id, text): a hash that names the document, and its place in the order."""
+    """(u, doc_id, text): u is a hash that names the document."""
     i, t = F.col(f"`{id_col}`").cast("long"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    return docs.select(
-        F.xxhash64(i, t).alias("u"), F.coalesce(i, F.lit(_LAST)).alias("d"), i.alias("doc_id"), t.alias("text")
-    )
+    return docs.select(F.xxhash64(i, t).alias("u"), i.alias("doc_id"), t.alias("text"))
 
 
 def repeated_suffixes(
@@ -244,10 +242,9 @@ def repeated_suffixes(
         .select("u", (F.shiftleft("s", 16) + F.shiftleft("b", 8) + F.col("c")).alias("pos"))
         .groupBy("u").agg(F.collect_set("pos").alias("found"))
     )
-    text = named.select("u", "d", "text")
     segments = (
-        text.join(found.hint("shuffle_hash"), "u")
-        .select("u", "d", "text", "found")
+        named.join(found.hint("shuffle_hash"), "u")
+        .select("u", "doc_id", "text", "found")
         .mapInArrow(_segments(length, prefix), "key long, salt int, hot boolean, d long, u long, pos long, words binary")
         .repartition("key", "salt")
         .sortWithinPartitions("key", "salt")
@@ -315,8 +312,9 @@ def remove_repeats(
     """
     named = _named(docs, id_col, text_col)
     marks = repeated_suffixes(named, length, prefix, group_rows)
-    whole = named.join(marks.withColumnRenamed("d", "_d").withColumnRenamed("u", "_u").hint("shuffle_hash"),
-                       (F.col("u") == F.col("_u")) & (F.col("d") == F.col("_d")), "left")
+    # Placed by u alone, as in the partition pass, so that the texts' shuffle there serves here too.
+    same = (F.col("u") == F.col("_u")) & (F.coalesce("doc_id", F.lit(_LAST)).bitwiseXOR(F.col("_d")) == 0)
+    whole = named.join(marks.withColumnsRenamed({"d": "_d", "u": "_u"}).hint("shuffle_hash"), same, "left")
     out = whole.select("doc_id", "text", "marks").mapInArrow(
         _kept(length), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary"
     )
