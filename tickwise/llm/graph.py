@@ -23,13 +23,18 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
+        large = large.where("a <> b")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         after = staged(small.unionAll(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
         roots = after.select(F.col("b").alias("a")).distinct()
-        state = after.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("a").alias("d")).first()
-        if state.n == state.d and after.join(roots, "a", "left_semi").isEmpty():
+        twice = after.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        if twice.isEmpty() and after.join(roots, "a", "left_semi").isEmpty():
             nodes = after.select(F.col("a").alias("node"), F.col("b").alias("root"))
             return nodes.unionAll(after.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         edges = after
+
+
+def stars(roots: DataFrame) -> DataFrame:
+    """Links (a, b) that hold the same components as ``roots`` (node, root)."""
+    return roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))

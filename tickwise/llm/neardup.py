@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickwise.llm.graph import components
+from tickwise.llm.graph import components, stars
 from tickwise.llm.words import mix, run_hashes, split_words, text_slices, whole_groups
 from tickwise.session import staged
 
@@ -291,13 +291,14 @@ def near_duplicates(
     found = staged(links.confirmed(best), "links")
 
     degrees = found.unionAll(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("c")).agg(F.count(F.lit(1)).alias("deg"))
-    mixed = _mixed(buckets, components(found)).join(degrees, "c", "left").withColumn("deg", F.coalesce("deg", F.lit(0)))
+    roots = components(found)
+    mixed = _mixed(buckets, roots).join(degrees, "c", "left").withColumn("deg", F.coalesce("deg", F.lit(0)))
     hubs = mixed.groupBy("bucket").agg(F.max(F.struct("deg", "c", "root")).alias("hub"))
     pairs = mixed.join(hubs, "bucket").where("root <> hub.root").select(F.col("c").alias("a"), F.col("hub.c").alias("b")).distinct()
     best = links.estimated(pairs).groupBy("a").agg(F.max(F.struct("e", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
-    found = staged(found.unionAll(links.confirmed(best)), "links")
+    roots = components(stars(roots).unionAll(links.confirmed(best)))
 
-    rest = staged(_mixed(buckets.drop("centre"), components(found)), "mixed")
+    rest = staged(_mixed(buckets.drop("centre"), roots), "mixed")
     wide = rest.join(classes.select("c", "n", "marks"), "c")
     blocks = lambda size: F.ceil(F.col(size) / BLOCK).cast("int")
     spread = lambda k: F.pmod(F.xxhash64("c"), k).cast("int")
@@ -310,9 +311,10 @@ def near_duplicates(
         members.unionAll(strays.select(members.columns)).repartition("bucket", "sb", "mb")
         .sortWithinPartitions("bucket", "sb", "mb").mapInArrow(_blocks(percent), "a binary, b binary")
     )
-    found = staged(found.unionAll(links.confirmed(_ordered(left).distinct())), "links")
-
-    roots = components(found).withColumnRenamed("node", "c")
+    found = staged(links.confirmed(_ordered(left).distinct()), "links")
+    if not found.isEmpty():
+        roots = components(stars(roots).unionAll(found))
+    roots = roots.withColumnRenamed("node", "c")
     placed = signed.select("doc_id", "d", "u", "n", "c").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
     first = placed.groupBy("root").agg(F.min(F.struct("d", "u")).alias("first"))
     low = F.coalesce("first.d", "d")
