@@ -286,8 +286,8 @@ def near_duplicates(
     sets = staged(named.join(wanted, ["d", "u"]).select("c", "text").mapInArrow(_sets(shingle), "c binary, set binary").dropDuplicates(["c"]), "sets")
     links = _Links(classes, sets, percent)
 
-    stars = buckets.where("c <> centre").select(F.col("c").alias("a"), F.col("centre").alias("b")).distinct()
-    best = links.estimated(stars).groupBy("a").agg(F.max(F.struct("e", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+    rays = buckets.where("c <> centre").select(F.col("c").alias("a"), F.col("centre").alias("b")).distinct()
+    best = links.estimated(rays).groupBy("a").agg(F.max(F.struct("e", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
     found = staged(links.confirmed(best), "links")
 
     degrees = found.unionAll(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("c")).agg(F.count(F.lit(1)).alias("deg"))
