@@ -113,13 +113,14 @@ def _features() -> Callable[[Batches], Batches]:
 
 
 class _Rows:
-    """Sparse binary rows: features of all rows behind each other."""
+    """Sparse binary rows: features of all rows behind each other, numbered as they occur here."""
 
     def __init__(self, packed: list[bytes]):
         arrays = [np.frombuffer(p, np.int32) for p in packed]
         self.size = np.array([len(a) for a in arrays], np.int64)
         self.first = np.r_[0, np.cumsum(self.size)]
-        self.flat = np.concatenate(arrays) if arrays else np.empty(0, np.int32)
+        self.names, flat = np.unique(np.concatenate(arrays) if arrays else np.empty(0, np.int32), return_inverse=True)
+        self.flat = flat.astype(np.int32)
         self.row = np.repeat(np.arange(len(arrays)), self.size)
 
     def sums(self, weights: np.ndarray) -> np.ndarray:
@@ -144,11 +145,12 @@ def _newton(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0
     return w
 
 
-def fit_view(rows: _Rows, use: np.ndarray, y: np.ndarray, weight: np.ndarray, buckets: int, ridge: float = 1.0) -> tuple[np.ndarray, float]:
-    """(weight per bucket, intercept): regression on the features that tell the classes apart.
+def fit_view(rows: _Rows, use: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, float]:
+    """(weight per feature of the rows, intercept): regression on the features that tell the classes apart.
 
     A feature is used if its log odds differ from 0 by ``LEAST_Z`` deviations, the clearest first.
     """
+    buckets = len(rows.names)
     w = np.where(use, weight, 0.0)[rows.row]
     positive = np.bincount(rows.flat, weights=w * y[rows.row], minlength=buckets)
     every = np.bincount(rows.flat, weights=w, minlength=buckets)
@@ -181,11 +183,11 @@ def fit_view(rows: _Rows, use: np.ndarray, y: np.ndarray, weight: np.ndarray, bu
 
 @dataclass
 class Model:
-    """Weights of the two views, and how their calibrated logits combine."""
+    """Weights of the two views (buckets, weights), and how their calibrated logits combine."""
 
-    text: np.ndarray
+    text: tuple[np.ndarray, np.ndarray]
     text_bias: float
-    meta: np.ndarray
+    meta: tuple[np.ndarray, np.ndarray]
     meta_bias: float
     text_scale: tuple[float, float]
     meta_scale: tuple[float, float]
@@ -208,19 +210,19 @@ def co_train(text: _Rows, meta: _Rows, bad: np.ndarray, rounds: int = ROUNDS, tr
     if min((bad[known & ~held] == v).sum() for v in (0, 1)) < 2 or min((bad[held] == v).sum() for v in (0, 1)) < 2:
         return None
     y_held = bad[held].astype(float)
-    views = {"text": (text, BUCKETS), "meta": (meta, META_BUCKETS)}
+    views = {"text": text, "meta": meta}
     y = {v: bad.astype(float) for v in views}
     use = {v: known & ~held for v in views}
     weight = {v: np.ones(len(bad)) for v in views}
     fitted: dict[str, tuple[np.ndarray, float]] = {}
     passed = {"text": 0, "meta": 0}
     for turn in range(rounds + 1):
-        for v, (rows, buckets) in views.items():
-            fitted[v] = fit_view(rows, use[v], np.where(use[v], y[v], 0.0), weight[v], buckets)
+        for v, rows in views.items():
+            fitted[v] = fit_view(rows, use[v], np.where(use[v], y[v], 0.0), weight[v])
         if turn == rounds:
             break
         for v, other in (("text", "meta"), ("meta", "text")):
-            p = _sigmoid(views[v][0].sums(fitted[v][0]) + fitted[v][1])
+            p = _sigmoid(views[v].sums(fitted[v][0]) + fitted[v][1])
             open_ = np.flatnonzero((bad < 0) & ~use[other])
             for label, q in ((1.0, p), (0.0, 1 - p)):
                 limit = _reach(q[held], y_held if label else 1 - y_held, trust)
@@ -228,15 +230,16 @@ def co_train(text: _Rows, meta: _Rows, bad: np.ndarray, rounds: int = ROUNDS, tr
                 sure = sure[np.argsort(-q[sure], kind="stable")][:PSEUDO_ROWS]
                 y[other][sure], use[other][sure], weight[other][sure] = label, True, PSEUDO_WEIGHT
                 passed[v] += len(sure)
-    logits = {v: (views[v][0].sums(fitted[v][0]) + fitted[v][1])[held] for v in views}
+    logits = {v: (views[v].sums(fitted[v][0]) + fitted[v][1])[held] for v in views}
     one = np.ones(len(y_held))
     scale = {v: tuple(_newton(np.stack([one, logits[v]], 1), y_held, one)) for v in views}
     calibrated = [scale[v][0] + scale[v][1] * logits[v] for v in views]
     joint = _newton(np.stack([one, *calibrated], 1), y_held, one)
     p = _sigmoid(np.stack([one, *calibrated], 1) @ joint)
     report = {"held_out": int(held.sum()), "passed": passed, "right": float(((p >= THRESHOLD) == (y_held > 0)).mean())}
-    return Model(fitted["text"][0].astype(np.float32), fitted["text"][1], fitted["meta"][0].astype(np.float32), fitted["meta"][1],
-                 scale["text"], scale["meta"], tuple(joint), report)
+    used = {v: np.flatnonzero(fitted[v][0]) for v in views}
+    sparse = {v: (views[v].names[used[v]], fitted[v][0][used[v]].astype(np.float32)) for v in views}
+    return Model(sparse["text"], fitted["text"][1], sparse["meta"], fitted["meta"][1], scale["text"], scale["meta"], tuple(joint), report)
 
 
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS) -> Model | None:
@@ -265,11 +268,16 @@ def _score(model, threshold: float) -> Callable[[Batches], Batches]:
 
     def run(batches: Batches) -> Batches:
         m = model.value
+        tables = []
+        for (names, values), size in ((m.text, BUCKETS), (m.meta, META_BUCKETS)):
+            table = np.zeros(size, np.float32)
+            table[names] = values
+            tables.append(table)
         for batch in batches:
             text = np.concatenate([
-                logits(*text_features(data, off), m.text, b - a) for a, b, data, off in text_slices(batch.column("text"))
+                logits(*text_features(data, off), tables[0], b - a) for a, b, data, off in text_slices(batch.column("text"))
             ] or [np.empty(0)])
-            meta = logits(*meta_features(batch), m.meta, batch.num_rows)
+            meta = logits(*meta_features(batch), tables[1], batch.num_rows)
             t = m.text_scale[0] + m.text_scale[1] * (text + m.text_bias)
             s = m.meta_scale[0] + m.meta_scale[1] * (meta + m.meta_bias)
             bad = _sigmoid(m.joint[0] + m.joint[1] * t + m.joint[2] * s)
