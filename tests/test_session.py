@@ -32,10 +32,11 @@ def test_no_local_folder_on_a_cluster():
         session.scratch_root(Stub({"spark.master": "yarn"}))
 
 
-def test_local_master_gets_one_folder():
-    stub = Stub({"spark.master": "local[2]"})
-    assert session.scratch_root(stub) == session.scratch_root(stub)
-    assert session.scratch_dir(stub, "a") != session.scratch_dir(stub, "a")
+def test_no_folder_is_made_up_for_a_local_master():
+    with pytest.raises(RuntimeError, match=session.CHECKPOINT_CONF):
+        session.scratch_root(Stub({"spark.master": "local[2]"}))
+    named = Stub({"spark.master": "local[2]"}, "/shared")
+    assert session.scratch_dir(named, "a") != session.scratch_dir(named, "a")
 
 
 def test_staged_results_come_back_equal(spark):

@@ -88,7 +88,7 @@ def label_dispatch(df: DataFrame, adapters: Mapping[str, LabelAdapter], dataset:
     """Label each listed dataset with its adapter and put the rows back together."""
     unknown = [d for d in datasets if d not in adapters]
     if unknown:
-        raise ValueError(f"Unknown dataset {unknown[0]!r}. Known: {list(adapters)}")
+        raise ValueError(f"no label adapter is registered for {unknown[0]!r}; there are {sorted(adapters)}")
     parts = [adapters[d](df.where(F.col(dataset) == d)) for d in datasets]
     return reduce(DataFrame.unionByName, parts)
 
@@ -134,7 +134,7 @@ def label(
     spec_for(dataset_id)
     adapters = default_adapters(catalog, hot)
     if dataset_id not in adapters:
-        raise ValueError(f"Unknown dataset {dataset_id!r}. Known: {list(adapters)}")
+        raise ValueError(f"no label adapter is registered for {dataset_id!r}; there are {sorted(adapters)}")
     return adapters[dataset_id](df)
 
 

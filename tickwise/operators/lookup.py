@@ -8,11 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickwise.operators.ordered import HotKeys, hot_keys
+from tickwise.operators.ordered import HotKeys, hot_keys, join_keys
 
 LOOKUP_ROWS = 50_000
 SALT = "_salt"
-MAX_SALTS = 4096
 
 
 def join_lookup(
@@ -38,6 +37,7 @@ def with_group_facts(
 
     Without hot keys this is a window over the key: rows already placed by it are neither
     shuffled again nor computed twice. With hot keys the aggregates are joined back, salted.
+    Null is a key like any other in both cases.
     """
     on = list(on)
     if hot is None:
@@ -56,28 +56,29 @@ def join_facts(
 
     Rows of hot keys (``hot``, or found by a counting pass) get a salt from a hash of their
     content and their facts are repeated once per salt; all other keys keep salt 0. Adaptive
-    skew handling does not do this where a later operator needs the same partitioning.
+    skew handling does not do this where a later operator needs the same partitioning. There are
+    as many salts as a key needs. Null is a key like any other.
     """
     on = list(on)
     spark = df.sparkSession
     if hot is None:
         hot = hot_keys(df, on)
     if not hot:
-        return df.join(facts, on, how)
+        return join_keys(df, facts, on, how)
     salts = spark.createDataFrame(
-        [(*key, min(MAX_SALTS, -(-n // hot.limit))) for key, n in hot.rows],
+        [(*key, -(-n // hot.limit)) for key, n in hot.rows],
         T.StructType([*[df.schema[k] for k in on], T.StructField("_salts", T.LongType())]),
     )
     hashed = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
     content = F.xxhash64(*[F.col(f"`{c}`") for c in hashed])
     salted = (
-        df.join(F.broadcast(salts), on, "left")
+        join_keys(df, salts, on, "left", small=True)
         .withColumn(SALT, F.coalesce(F.pmod(content, F.col("_salts")), F.lit(0).cast("long")))
         .drop("_salts")
     )
     repeated = (
-        facts.join(F.broadcast(salts), on, "left")
+        join_keys(facts, salts, on, "left", small=True)
         .withColumn(SALT, F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_salts", F.lit(1)) - 1)))
         .drop("_salts")
     )
-    return salted.join(repeated, [*on, SALT], how).drop(SALT)
+    return join_keys(salted, repeated, [*on, SALT], how).drop(SALT)

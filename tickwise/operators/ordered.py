@@ -31,6 +31,16 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def join_keys(
+    df: DataFrame, other: DataFrame, keys: Sequence[str], how: str, small: bool = False
+) -> DataFrame:
+    """Join on equal keys, where null is a key like any other. ``small`` broadcasts ``other``."""
+    names = {k: f"_on_{i}" for i, k in enumerate(keys)}
+    renamed = other.select(*[quoted(c).alias(names.get(c, c)) for c in other.columns])
+    same = [quoted(k).eqNullSafe(F.col(n)) for k, n in names.items()]
+    return df.join(F.broadcast(renamed) if small else renamed, same, how).drop(*names.values())
+
+
 def order_value(order: Sequence[str]) -> Column:
     """One value that sorts like the order columns; a plain column keeps aggregates hash-based."""
     return quoted(order[0]) if len(order) == 1 else F.struct(*[quoted(o) for o in order])
@@ -101,7 +111,7 @@ def split_hot(
     )
     drawn = (
         df.select(*keys, F.struct(*order).alias("_ord"))
-        .join(F.broadcast(rates), list(keys))
+        .transform(lambda d: join_keys(d, rates, keys, "inner", small=True))
         .where(F.rand(11) < F.col("_frac"))
         .select(*keys, "_ord")
         .collect()
@@ -119,7 +129,7 @@ def split_hot(
         cut_rows, T.StructType([*key_fields, T.StructField("_cuts", T.ArrayType(order_type))])
     )
     longest = max((len(r[-1]) for r in cut_rows), default=0)
-    searched = df.join(F.broadcast(cuts), list(keys), "left").withColumn("_below", F.lit(0))
+    searched = join_keys(df, cuts, keys, "left", small=True).withColumn("_below", F.lit(0))
     value = F.struct(*[quoted(o) for o in order])
     # How many cut points are at or below the value: bisection, one generated step per bit.
     for step in (1 << b for b in reversed(range(longest.bit_length()))):
@@ -196,14 +206,14 @@ def ordered_scan(
     if lead:
         local["_closes"] = F.lead(F.lit(1)).over(ordered).isNull()
     scanned = df.select(*keep, *([] if has_chunk else [chunk]), *[e.alias(o) for o, e in local.items()])
-    chunked = df if split_keys is None else df.join(F.broadcast(split_keys), keys, "left_semi")
+    chunked = df if split_keys is None else join_keys(df, split_keys, keys, "left_semi", small=True)
     carry = _carry(chunked, keys, order, chunk, sums, totals, last, first_valid, lag, lead, head)
     if split_keys is not None:
         # At most MAX_CUTS chunks plus one per hot key; rows of other keys match nothing.
-        joined = scanned.join(F.broadcast(carry), group, "left")
+        joined = join_keys(scanned, carry, group, "left", small=True)
     else:
         # Same grouping as the scan, so this needs no further shuffle of the rows.
-        joined = scanned.join(carry, group, "left")
+        joined = join_keys(scanned, carry, group, "left")
     carried = F.col("_rows").isNotNull()
 
     def from_carry(o: str) -> Column:

@@ -31,6 +31,9 @@ def _channels(
     """
     v = F.col(column)
     if width is None or width > WIDE:
+        if width is not None:
+            # Exactly this many channels, as below: shorter vectors end in nulls.
+            v = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.get(F.col(column), i))
         cells = df.select(*[c for c in df.columns if c != column], F.posexplode(doubles(v)).alias("channel", "_x"))
         return cells.groupBy("channel").agg(*[e.alias(o) for o, e in aggs(F.col("_x")).items()])
     cells = F.array(*[F.struct(*[e.alias(o) for o, e in aggs(x).items()]) for x in elements(v, width)])
@@ -57,11 +60,12 @@ def fit_scaler_sumsq(
     w = F.col("_w")
     rows = df.select(column, (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_w"))
     stats = _channels(
-        rows, column, width, lambda x: {"_n": F.sum(w), "_s": F.sum(w * x), "_q": F.sum(w * x * x)})
+        rows, column, width, lambda x: {"_n": F.sum(F.when(x.isNotNull(), w)), "_s": F.sum(w * x), "_q": F.sum(w * x * x)})
     return (
-        stats.where("_n > 0")
+        stats.withColumn("_n", F.when(F.col("_n") > 0, F.col("_n")))
         .withColumn("mean", F.col("_s") / F.col("_n"))
-        .withColumn("_var", F.greatest(F.col("_q") / F.col("_n") - F.col("mean") * F.col("mean"), F.lit(0.0)))
+        .withColumn("_var", F.col("_q") / F.col("_n") - F.col("mean") * F.col("mean"))
+        .withColumn("_var", F.when(F.col("_var") < 0, 0.0).otherwise(F.col("_var")))
         .select("channel", "mean", _safe_std(F.sqrt("_var")).alias("std"))
     )
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tickwise.operators.ordered import HotKeys, ordered_scan
 from tickwise.operators.windows import tail_keep
 from tickwise.schema import TAIL_FRACTION, WARM_UP_WINDOWS
+from tickwise.session import staged
 
 # Thresholds of the trace metrics and of the ranking rules.
 LOW, HIGH = 0.3, 0.6
@@ -156,8 +157,8 @@ def two_pass_selection(
     first = sized.groupBy(*keys).agg(F.avg(F.when(tail, F.col(score))).alias("score"))
     failures = first.join(labels.where(F.col(label) > 0.5).select(*keys), keys, "left_semi")
     top = failures.orderBy(F.desc("score"), name).limit(k)
-    fixed = windows.sparkSession.createDataFrame(top.collect(), top.schema)
-    traced = windows.join(F.broadcast(fixed.select(*keys)), keys, "left_semi")
+    fixed = staged(top, "selected")
+    traced = windows.join(fixed.select(*keys), keys, "left_semi")
     shape = trace_metrics(tail_bag_trace(traced, keys, [window], score, fraction, hot=hot), keys, "n", "p", hot)
     gradual = F.when(F.col("spread") >= 2, 0).otherwise(1)
-    return ranked(shape.join(F.broadcast(fixed), keys), [gradual, -F.col("rise"), -F.col("score")], name, large=k > TOP_K_IN_ONE_TASK)
+    return ranked(shape.join(fixed, keys), [gradual, -F.col("rise"), -F.col("score")], name, large=k > TOP_K_IN_ONE_TASK)

@@ -83,7 +83,7 @@ def register_source(spec: SourceSpec) -> SourceSpec:
 def spec_for(dataset_id: str) -> SourceSpec:
     """The registered source; an unknown id is an error on the driver."""
     if dataset_id not in _SPECS:
-        raise ValueError(f"Unknown dataset id {dataset_id!r}. Known: {sorted(_SPECS)}")
+        raise ValueError(f"no source is registered as {dataset_id!r}; there are {sorted(_SPECS)}")
     return _SPECS[dataset_id]
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,15 +27,11 @@ def local_session(cpus: str | int = "*", shuffle_partitions: int = 8, app: str =
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by the session; a temporary one only for a local master."""
+    """The shared folder that the session names."""
     root = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise RuntimeError(f"{CHECKPOINT_CONF} must name a folder every executor can reach")
-    root = tempfile.mkdtemp(prefix="tickwise-")
-    spark.conf.set(CHECKPOINT_CONF, root)
-    return root
+    raise RuntimeError(f"{CHECKPOINT_CONF} must name a folder every executor can reach")
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:

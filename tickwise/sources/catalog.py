@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickwise.operators.ordered import ordered_scan
 
 
 def scan_dataset(catalog: DataFrame, dataset: str, value, name: str) -> DataFrame:
@@ -50,10 +49,12 @@ def topics_of(catalog: DataFrame, topics: str, wanted: Sequence[str]) -> DataFra
 
 
 def cap_per_dataset(names: DataFrame, dataset: str, name: str, cap: int) -> DataFrame:
-    """The first ``cap`` names of every dataset in name order."""
-    return (
-        ordered_scan(names, [dataset], [name], index="_i").where(F.col("_i") < cap).select(*names.columns)
-    )
+    """The first ``cap`` names of every dataset in name order.
+
+    The limit is a rank, so each task keeps ``cap`` rows per dataset before the shuffle.
+    """
+    rank = F.row_number().over(Window.partitionBy(dataset).orderBy(name))
+    return names.withColumn("_rank", rank).where(F.col("_rank") <= cap).select(*names.columns)
 
 
 def pool_label_join(

@@ -22,7 +22,9 @@ def read_or_none(spark: SparkSession, path: str, schema: T.StructType | str | No
     try:
         reader = spark.read.schema(schema) if schema else spark.read
         return reader.parquet(path)
-    except AnalysisException:
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 
