@@ -1,40 +1,59 @@
-"""Connected components of links, as alternating large and small stars."""
+"""Connected components of links, by contraction."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickwise.session import staged
 
+#: After so many steps nodes are put in a new order, so that no order can be adverse for long.
+STEPS_OF_AN_ORDER = 3
+
+
+def _order(node: Column, step: int) -> Column:
+    """Random order of nodes; the first one is that of their hashes."""
+    turn = step // STEPS_OF_AN_ORDER
+    return F.xxhash64(node, *([F.lit(turn)] if turn else []))
+
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``links`` (a, b): the smallest node it is connected with.
+    """(node, root) for every node of ``links`` (a, b); nodes share a root if they are connected.
 
-    Each step connects neighbours to their common minimum, first the larger ones, then the
-    smaller ones, until every node hangs on its root. Minima are combined before the shuffle,
-    and a step's edges are written to the shared folder, so neither a large component nor a
-    lost executor matters. The number of steps grows with the logarithm of the longest path.
+    Each step hangs every node on the first of itself and its neighbours, in a random order, and
+    replaces both ends of every link by what they hang on; links within one node go. Links and
+    nodes shrink by a constant share a step, so few small steps follow the first, and walking
+    back through them names the roots. Minima are combined before the shuffle, and every step
+    is written to the shared folder, so neither a large component nor a lost executor matters.
     """
-    edges = staged(
-        links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
-    )
-    while True:
+    edges = staged(links.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    steps: list[DataFrame] = []
+    while not edges.isEmpty():
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        after = staged(small.unionAll(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
-        roots = after.select(F.col("b").alias("a")).distinct()
-        twice = after.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        if twice.isEmpty() and after.join(roots, "a", "left_semi").isEmpty():
-            nodes = after.select(F.col("a").alias("node"), F.col("b").alias("root"))
-            return nodes.unionAll(after.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        edges = after
-
-
-def stars(roots: DataFrame) -> DataFrame:
-    """Links (a, b) that hold the same components as ``roots`` (node, root)."""
-    return roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        first = lambda node: F.struct(_order(F.col(node), len(steps)).alias("h"), F.col(node).alias("x"))  # noqa: B023, E731
+        hung = both.groupBy(F.col("a").alias("node")).agg(F.min(first("b")).alias("m"))
+        steps.append(staged(hung.select("node", F.least("m", first("node")).getField("x").alias("root")), "hung"))
+        a, b = (steps[-1].select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
+        moved = edges.join(a, "a").join(b, "b").where("ra <> rb")
+        edges = staged(moved.select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b")).distinct(), "edges")
+    if not steps:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    roots = steps.pop()
+    while steps:
+        roots = _renamed(steps.pop(), roots)
+    return staged(roots, "roots")
+
+
+def _renamed(roots: DataFrame, names: DataFrame) -> DataFrame:
+    """``roots`` with each root replaced by its own root in ``names``, where it has one."""
+    new = names.select(F.col("node").alias("root"), F.col("root").alias("new"))
+    return roots.join(new, "root", "left").select("node", F.coalesce("new", "root").alias("root"))
+
+
+def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` (node, root) after further ``links`` (a, b), which may have nodes of their own."""
+    a, b = (roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
+    ends = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    names = components(ends)
+    added = names.join(roots.select("node"), "node", "left_anti").select("node", "root")
+    return staged(_renamed(roots, names).unionAll(added), "roots")

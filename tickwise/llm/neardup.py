@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickwise.llm.graph import components, stars
+from tickwise.llm.graph import components, merged
 from tickwise.llm.words import mix, run_hashes, split_words, text_slices, whole_groups
 from tickwise.session import staged
 
@@ -296,7 +296,9 @@ def near_duplicates(
     hubs = mixed.groupBy("bucket").agg(F.max(F.struct("deg", "c", "root")).alias("hub"))
     pairs = mixed.join(hubs, "bucket").where("root <> hub.root").select(F.col("c").alias("a"), F.col("hub.c").alias("b")).distinct()
     best = links.estimated(pairs).groupBy("a").agg(F.max(F.struct("e", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
-    roots = components(stars(roots).unionAll(links.confirmed(best)))
+    found = staged(links.confirmed(best), "links")
+    if not found.isEmpty():
+        roots = merged(roots, found)
 
     rest = staged(_mixed(buckets.drop("centre"), roots), "mixed")
     wide = rest.join(classes.select("c", "n", "marks"), "c")
@@ -313,7 +315,7 @@ def near_duplicates(
     )
     found = staged(links.confirmed(_ordered(left).distinct()), "links")
     if not found.isEmpty():
-        roots = components(stars(roots).unionAll(found))
+        roots = merged(roots, found)
     roots = roots.withColumnRenamed("node", "c")
     placed = signed.select("doc_id", "d", "u", "n", "c").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
     first = placed.groupBy("root").agg(F.min(F.struct("d", "u")).alias("first"))
