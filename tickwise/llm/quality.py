@@ -9,8 +9,10 @@ reliable passes nothing on. In the end both are calibrated on the held-out rows,
 regression of the two calibrated views scores every document.
 
 Fitting uses a bounded sample, chosen by a hash of the id: at most ``labelled`` labelled rows and
-``pool`` unlabelled ones, whose features (not their texts) reach the driver. Scoring reads every
-document whole, in one pass without a shuffle, with two weight tables of fixed size.
+``pool`` unlabelled ones, whose features (not their texts) reach the driver. Rows that agree in id
+and in both views are one row of the sample; each chosen id has a row in it before any has a
+second one, and the rows of an id share the weight of one. Scoring reads every document whole, in
+one pass without a shuffle, with two weight tables of fixed size.
 
 A document is bad if its quality is 0 or it is toxic; of several labels of one id the worse
 counts, and null labels do not. A null text has no words. Without labels of both classes nothing
@@ -28,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickwise.llm.words import PUNCTUATION, mix, split_words, text_slices
+from tickwise.session import staged
 
 Batches = Iterator[pa.RecordBatch]
 LABELLED = 8_000
@@ -42,6 +45,7 @@ TRUST = 0.98
 PSEUDO_WEIGHT = 0.3
 PSEUDO_ROWS = 400
 THRESHOLD = 0.5
+VIEWS = ("text", "lang", "source", "n_chars")
 _ALPHA = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
 _UPPER = np.array([65 <= b <= 90 for b in range(256)])
 _DIGIT = np.array([48 <= b <= 57 for b in range(256)])
@@ -95,8 +99,19 @@ def meta_features(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _features() -> Callable[[Batches], Batches]:
+    """Features of the chosen rows, of each (order, row) once per task."""
+
     def run(batches: Batches) -> Batches:
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
+            fresh = []
+            for i, key in enumerate(zip(batch.column("order").to_pylist(), batch.column("row").to_pylist(), strict=True)):
+                if key not in seen:
+                    seen.add(key)
+                    fresh.append(i)
+            if not fresh:
+                continue
+            batch = batch.take(pa.array(fresh, pa.int64()))
             out: list[bytes] = []
             for _, _, data, off in text_slices(batch.column("text")):
                 rows, buckets = text_features(data, off)
@@ -106,7 +121,8 @@ def _features() -> Callable[[Batches], Batches]:
             rows, buckets = meta_features(batch)
             meta = [buckets[rows == i].astype(np.int32).tobytes() for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("bad"), batch.column("order"), pa.array(out, pa.binary()), pa.array(meta, pa.binary())], names=["bad", "order", "text_f", "meta_f"]
+                [*[batch.column(c) for c in ("bad", "order", "row")], pa.array(out, pa.binary()), pa.array(meta, pa.binary())],
+                names=["bad", "order", "row", "text_f", "meta_f"],
             )
 
     return run
@@ -195,25 +211,32 @@ class Model:
     report: dict = field(default_factory=dict)
 
 
-def _reach(p: np.ndarray, y: np.ndarray, trust: float) -> float:
+def _reach(p: np.ndarray, y: np.ndarray, share: np.ndarray, trust: float) -> float:
     """The smallest probability from which on the held-out rows are right often enough."""
     order = np.argsort(-p, kind="stable")
-    right = np.cumsum(y[order]) / np.arange(1, len(p) + 1)
-    good = np.flatnonzero((right >= trust) & (np.arange(1, len(p) + 1) >= 10))
+    total = np.cumsum(share[order])
+    right = np.cumsum((share * y)[order]) / total
+    good = np.flatnonzero((right >= trust) & (total >= 10))
     return float(p[order[good[-1]]]) if len(good) else 2.0
 
 
-def co_train(text: _Rows, meta: _Rows, bad: np.ndarray, rounds: int = ROUNDS, trust: float = TRUST) -> Model | None:
-    """Fit both views. ``bad`` is 1, 0, or -1 for pool rows; rows come in the order of their hash."""
+def co_train(text: _Rows, meta: _Rows, bad: np.ndarray, owner: np.ndarray, rounds: int = ROUNDS, trust: float = TRUST) -> Model | None:
+    """Fit both views. ``bad`` is 1, 0, or -1 for pool rows; rows come in the order of ``owner``, a hash of their id.
+
+    The rows of an id are held out together or not at all.
+    """
     known = bad >= 0
-    held = known & (np.cumsum(known) % max(2, round(1 / HELD_OUT)) == 0)
+    first = np.r_[True, owner[1:] != owner[:-1]][: len(bad)]
+    ids = np.cumsum(first)
+    share = 1 / np.bincount(ids)[ids]
+    held = known & (np.cumsum(known & first) % max(2, round(1 / HELD_OUT)) == 0)
     if min((bad[known & ~held] == v).sum() for v in (0, 1)) < 2 or min((bad[held] == v).sum() for v in (0, 1)) < 2:
         return None
     y_held = bad[held].astype(float)
     views = {"text": text, "meta": meta}
     y = {v: bad.astype(float) for v in views}
     use = {v: known & ~held for v in views}
-    weight = {v: np.ones(len(bad)) for v in views}
+    weight = {v: share.copy() for v in views}
     fitted: dict[str, tuple[np.ndarray, float]] = {}
     passed = {"text": 0, "meta": 0}
     for turn in range(rounds + 1):
@@ -225,18 +248,18 @@ def co_train(text: _Rows, meta: _Rows, bad: np.ndarray, rounds: int = ROUNDS, tr
             p = _sigmoid(views[v].sums(fitted[v][0]) + fitted[v][1])
             open_ = np.flatnonzero((bad < 0) & ~use[other])
             for label, q in ((1.0, p), (0.0, 1 - p)):
-                limit = _reach(q[held], y_held if label else 1 - y_held, trust)
+                limit = _reach(q[held], y_held if label else 1 - y_held, share[held], trust)
                 sure = open_[q[open_] >= limit]
                 sure = sure[np.argsort(-q[sure], kind="stable")][:PSEUDO_ROWS]
-                y[other][sure], use[other][sure], weight[other][sure] = label, True, PSEUDO_WEIGHT
+                y[other][sure], use[other][sure], weight[other][sure] = label, True, PSEUDO_WEIGHT * share[sure]
                 passed[v] += len(sure)
     logits = {v: (views[v].sums(fitted[v][0]) + fitted[v][1])[held] for v in views}
     one = np.ones(len(y_held))
-    scale = {v: tuple(_newton(np.stack([one, logits[v]], 1), y_held, one)) for v in views}
+    scale = {v: tuple(_newton(np.stack([one, logits[v]], 1), y_held, share[held])) for v in views}
     calibrated = [scale[v][0] + scale[v][1] * logits[v] for v in views]
-    joint = _newton(np.stack([one, *calibrated], 1), y_held, one)
+    joint = _newton(np.stack([one, *calibrated], 1), y_held, share[held])
     p = _sigmoid(np.stack([one, *calibrated], 1) @ joint)
-    report = {"held_out": int(held.sum()), "passed": passed, "right": float(((p >= THRESHOLD) == (y_held > 0)).mean())}
+    report = {"held_out": int(held.sum()), "passed": passed, "right": float(np.average((p >= THRESHOLD) == (y_held > 0), weights=share[held]))}
     used = {v: np.flatnonzero(fitted[v][0]) for v in views}
     sparse = {v: (views[v].names[used[v]], fitted[v][0][used[v]].astype(np.float32)) for v in views}
     return Model(sparse["text"], fitted["text"][1], sparse["meta"], fitted["meta"][1], scale["text"], scale["meta"], tuple(joint), report)
@@ -252,12 +275,22 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     chosen = marked.where("bad IS NOT NULL").orderBy("order", "doc_id").limit(labelled).unionAll(
         marked.where("bad IS NULL").orderBy("order", "doc_id").limit(pool)
     )
-    # At most labelled + pool rows.
-    sample = docs.join(F.broadcast(chosen), "doc_id").select("text", "lang", "source", "n_chars", "bad", "order")
-    rows = sample.mapInArrow(_features(), "bad int, order long, text_f binary, meta_f binary").collect()
-    rows.sort(key=lambda r: (r.order, r.text_f, r.meta_f))
-    target = np.array([-1 if r.bad is None else r.bad for r in rows], np.int64)
-    return co_train(_Rows([r.text_f for r in rows]), _Rows([r.meta_f for r in rows]), target, rounds)
+    # Equal for rows that agree in both views, nulls included.
+    rows = docs.select("doc_id", *VIEWS).withColumn("row", F.xxhash64(*VIEWS, *[F.col(c).isNull() for c in VIEWS]))
+    choices = staged(rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "bad", "order", "row").distinct(), "choices")
+    # At most labelled + pool ids.
+    first = choices.groupBy("doc_id").agg(F.min("row").alias("first"))
+    turn = choices.join(F.broadcast(first), "doc_id").withColumn("later", F.col("row") != F.col("first"))
+    by = ["later", F.xxhash64(F.lit(11), "doc_id", "row"), "doc_id", "row"]
+    picked = turn.where("bad IS NOT NULL").orderBy(*by).limit(labelled).unionAll(turn.where("bad IS NULL").orderBy(*by).limit(pool))
+    # At most labelled + pool rows, each of which may occur many times in the table.
+    sample = rows.join(F.broadcast(picked.select("doc_id", "row", "bad", "order")), ["doc_id", "row"]).select(*VIEWS, "bad", "order", "row")
+    features = sample.mapInArrow(_features(), "bad int, order long, row long, text_f binary, meta_f binary")
+    found = features.dropDuplicates(["order", "row"]).collect()
+    found.sort(key=lambda r: (r.order, r.text_f, r.meta_f))
+    target = np.array([-1 if r.bad is None else r.bad for r in found], np.int64)
+    owner = np.array([r.order for r in found], np.int64)
+    return co_train(_Rows([r.text_f for r in found]), _Rows([r.meta_f for r in found]), target, owner, rounds)
 
 
 def _score(model, threshold: float) -> Callable[[Batches], Batches]:
