@@ -41,3 +41,18 @@ def test_decontamination_sample_of_a_hot_null_id(spark, monkeypatch):
     for part in (df, df.repartition(3)):
         decontaminate.build_index(part, item, sample_docs=40, rank=8)
     assert seen[0][0] <= 1 + 3 * 40 and seen[0] == seen[1]
+
+
+def test_benchmark_is_read_in_ranges(spark, monkeypatch):
+    texts = {i: " ".join(f"i{i}w{j}" for j in range(12)) for i in range(9)}
+    docs = spark.createDataFrame([(100 + i, f"before it {t} and after it") for i, t in texts.items()] + [(1, "nothing here")], "doc_id long, text string")
+    rows = [*texts.items(), *texts.items(), (3, None), (None, texts[4]), (20, "")]
+    bench = spark.createDataFrame(rows, "item_id long, text string").repartition(5)
+    items, total = decontaminate.numbered(bench)
+    want = sorted({r for r in rows if r[1] is not None}, key=lambda r: (r[0] is not None, r))
+    assert total == 11 and [(r.item_id, r.text) for r in items.orderBy("n").collect()] == want
+    assert [r.n for r in items.orderBy("n").collect()] == list(range(11))
+    sizes, build = [], decontaminate.build_index
+    monkeypatch.setattr(decontaminate, "build_index", lambda d, own, *rest: sizes.append(len(own)) or build(d, own, *rest))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench, item_rows=4).collect()}
+    assert sizes == [4, 4, 3] and got == {(100 + i, i) for i in texts} | {(104, None)}
