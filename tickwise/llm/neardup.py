@@ -31,7 +31,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickwise.llm.graph import components, merged
@@ -333,8 +333,11 @@ def without_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: in
 
     Of rows that share the smallest id one stays. Rows without words all stay.
     """
-    stay = near_duplicates(docs, shingle, percent, id_col, text_col).where("first").select("u", (F.col("n_shingles") == 0).alias("blank")).distinct()
     i, t = F.col(f"`{id_col}`").cast("long"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    rows = docs.select(F.xxhash64(i, t).alias("u"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    numbered = rows.join(stay, "u").withColumn("nth", F.row_number().over(Window.partitionBy("u").orderBy("u")))
-    return numbered.where("blank OR nth = 1").select("row.*")
+    # Rows without words are neither compared nor numbered, so that many equal ones meet in no task.
+    filled = t.rlike(r"[^\x20\x09-\x0D]")
+    worded = docs.where(filled)
+    stay = near_duplicates(worded, shingle, percent, id_col, text_col).where("first").select("u").distinct()
+    # Repeats are dropped before the shuffle where they lie, and only then by hash.
+    rows = worded.select(F.xxhash64(i, t).alias("u"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).dropDuplicates(["u"])
+    return rows.join(stay, "u").select("row.*").unionAll(docs.where(~filled))
