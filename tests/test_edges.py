@@ -368,9 +368,9 @@ def test_zeroshot(spark):
 
 def test_proportional_rejects_bad_fractions(spark):
     rows = labelled(spark, 5, 5)
-    with pytest.raises(ValueError, match="in \\(0,1\\)"):
+    with pytest.raises(ValueError, match="val, test"):
         sp.proportional_sizes(rows, "ds", "y", train=1.0, val=0.0, test=0.0)
-    with pytest.raises(ValueError, match="sum to 1"):
+    with pytest.raises(ValueError, match="1.1"):
         sp.proportional_sizes(rows, "ds", "y", train=0.7, val=0.2, test=0.2)
 
 
