@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickwise.llm import decontaminate, mixing, neardup, neighbours, quality, secrets, sharding, substring_dedup, token_counts, url_filter
+from tickwise.llm import decontaminate, lexical, mixing, neardup, neighbours, parse_dedup, quality, secrets, sharding, substring_dedup, token_counts, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 VOCABULARY = "byte_bpe_50k.json"
@@ -81,11 +81,22 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(_table(spark, sf_dir, "documents"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 documents that rank highest for every benchmark item."""
+    return lexical.rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op13_parse_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the bytes of 400-byte strings that start anywhere else too."""
+    return parse_dedup.remove_repeated_strings(_table(spark, sf_dir, "documents"), length=400)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_source_mixing, op3_sharding, op4_token_counts, op5_nearest_neighbours, op6_quality,
         op7_near_duplicates, op8_decontamination, op9_url_filter, op10_secrets,
+        op12_lexical_search, op13_parse_dedup,
     )
 }
 
@@ -137,4 +148,27 @@ SELECT page_id, j.host AS host, path, split_part(fit, '|', 1) AS rule,
 FROM judged j LEFT JOIN of_host o ON o.host = j.host"""
 
 
-ORACLES: dict[str, str] = {"op9_url_filter": _url_filter_sql()}
+def _terms_sql(column: str) -> str:
+    """List of a text's terms."""
+    return f"regexp_extract_all(translate({column}, '{url_filter._UPPER}', '{url_filter._LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+
+LEXICAL_SQL = f"""WITH docs AS MATERIALIZED (
+    SELECT row, doc_id, ts, len(ts) AS n FROM (SELECT row_number() OVER () AS row, doc_id, {_terms_sql('text')} AS ts FROM documents)
+    WHERE len(ts) > 0),
+whole AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM docs),
+tf AS MATERIALIZED (
+    SELECT row, t, count(*) AS tf FROM (SELECT row, unnest(ts) AS t FROM docs) GROUP BY row, t),
+weights AS (
+    SELECT t, floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::BIGINT AS w
+    FROM (SELECT t, count(*) AS df FROM tf GROUP BY t), whole),
+asked AS (
+    SELECT item, item_id, t, count(*) AS times
+    FROM (SELECT row_number() OVER () AS item, item_id, unnest({_terms_sql('text')}) AS t FROM benchmark) GROUP BY item, item_id, t),
+scored AS (
+    SELECT item, item_id, row, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))))::BIGINT AS score
+    FROM asked JOIN tf USING (t) JOIN weights USING (t) JOIN docs USING (row), whole GROUP BY item, item_id, row, doc_id)
+SELECT item_id, (row_number() OVER best)::INT AS rank, doc_id, score FROM scored WHERE score > 0
+WINDOW best AS (PARTITION BY item ORDER BY score DESC, doc_id) QUALIFY row_number() OVER best <= 20"""
+
+ORACLES: dict[str, str] = {"op9_url_filter": _url_filter_sql(), "op12_lexical_search": LEXICAL_SQL}
