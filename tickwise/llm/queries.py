@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickwise.llm import decontaminate, lexical, mixing, neardup, neighbours, parse_dedup, quality, secrets, sharding, substring_dedup, token_counts, url_filter
+from tickwise.llm import decontaminate, lexical, mixing, neardup, neighbours, parse_dedup, prefix_trie, quality, secrets, sharding, substring_dedup, token_counts, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 VOCABULARY = "byte_bpe_50k.json"
@@ -81,6 +81,11 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(_table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie of rebuilt conversations with their members and subtrees."""
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 documents that rank highest for every benchmark item."""
     return lexical.rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=20)
@@ -96,7 +101,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_substring_dedup, op2_source_mixing, op3_sharding, op4_token_counts, op5_nearest_neighbours, op6_quality,
         op7_near_duplicates, op8_decontamination, op9_url_filter, op10_secrets,
-        op12_lexical_search, op13_parse_dedup,
+        op11_prefix_trie, op12_lexical_search, op13_parse_dedup,
     )
 }
 
@@ -171,4 +176,39 @@ scored AS (
 SELECT item_id, (row_number() OVER best)::INT AS rank, doc_id, score FROM scored WHERE score > 0
 WINDOW best AS (PARTITION BY item ORDER BY score DESC, doc_id) QUALIFY row_number() OVER best <= 20"""
 
-ORACLES: dict[str, str] = {"op9_url_filter": _url_filter_sql(), "op12_lexical_search": LEXICAL_SQL}
+_CRC32_SQL = """xor(list_reduce(list_transform(string_split(c::VARCHAR, ''), lambda s: ascii(s)::BIGINT), lambda crc, byte:
+    list_reduce([0, 1, 2, 3, 4, 5, 6, 7]::BIGINT[], lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END, xor(crc, byte)),
+    4294967295::BIGINT), 4294967295)"""
+
+TRIE_SQL = f"""WITH named AS (
+    SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+told AS (
+    SELECT c, role, text, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, md5(strlen(role) || ':' || role || text)) AS p FROM named),
+ids AS MATERIALIZED (SELECT c, c - c % 100 AS block, {_CRC32_SQL} % 6 AS h FROM (SELECT DISTINCT c FROM told)),
+rebuilt AS (
+    SELECT ids.c, role, text, 0 AS own, p FROM ids JOIN told ON told.c = block AND p <= h UNION ALL
+    SELECT told.c, role, text, 1, p FROM told JOIN ids USING (c) WHERE p > h),
+grown AS (
+    SELECT c, len(text) AS chars, row_number() OVER (PARTITION BY c ORDER BY own, p) AS depth,
+           sha256(string_agg(strlen(role) || ':' || role || strlen(text) || ':' || text, '') OVER (PARTITION BY c ORDER BY own, p)) AS prefix
+    FROM rebuilt),
+rows AS MATERIALIZED (
+    SELECT c, depth, chars, prefix, coalesce(lag(prefix) OVER last, '') AS parent, lead(prefix) OVER last IS NULL AS ends FROM grown
+    WINDOW last AS (PARTITION BY c ORDER BY depth) UNION ALL
+    SELECT c, 0, 0, '', NULL, c NOT IN (SELECT c FROM grown) FROM ids),
+nodes AS MATERIALIZED (
+    SELECT prefix, any_value(depth) AS depth, any_value(parent) AS parent, min(c) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+           sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256
+    FROM rows GROUP BY prefix),
+children AS (SELECT parent AS prefix, count(*) AS n_children FROM nodes GROUP BY parent),
+added AS (
+    SELECT rows.c, rows.depth, rows.prefix, coalesce((n_convs - 1) * nodes.chars, 0) AS saved,
+           (nodes.prefix IS NOT NULL AND n_children IS NULL)::INT AS leaf
+    FROM rows LEFT JOIN nodes ON nodes.conv_id = rows.c AND nodes.depth = rows.depth LEFT JOIN children ON children.prefix = nodes.prefix),
+below AS (
+    SELECT prefix, sum(saved) OVER down AS saved, sum(leaf) OVER down AS leaves FROM added WINDOW down AS (PARTITION BY c ORDER BY depth DESC)),
+sums AS (SELECT prefix, sum(saved)::BIGINT AS saved_tokens, sum(leaves)::BIGINT AS n_leaves FROM below GROUP BY prefix)
+SELECT n.conv_id, n.depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM nodes n JOIN sums USING (prefix) LEFT JOIN children USING (prefix) LEFT JOIN nodes up ON up.prefix = n.parent"""
+
+ORACLES: dict[str, str] = {"op9_url_filter": _url_filter_sql(), "op11_prefix_trie": TRIE_SQL, "op12_lexical_search": LEXICAL_SQL}
