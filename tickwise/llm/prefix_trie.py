@@ -160,7 +160,7 @@ def _pairs(t: pa.Table, a: str, b: str) -> np.ndarray:
 _NODE = "shard long, slot int, parent int, depth long, a long, b long, pa long, pb long, n long, c long, chars long, turn_hash binary"
 
 
-def _node_tables(shard_rows: int) -> Callable[[Batches], Batches]:
+def _node_tables(segment: int, shard_rows: int) -> Callable[[Batches], Batches]:
     """The flat arrays of each shard, a row per slot."""
 
     def run(batches: Batches) -> Batches:
@@ -184,7 +184,9 @@ def _node_tables(shard_rows: int) -> Callable[[Batches], Batches]:
             if (ids[of_slot][slot] != ids).any() or (_pairs(t, "pa", "pb")[of_slot][slot] != _pairs(t, "pa", "pb")).any():
                 raise RuntimeError("two prefixes share a digest of 128 bits")
             own = t.take(pa.array(of_slot))
-            parent = table.lookup(_pairs(own, "pa", "pb"))
+            # Segments hang together by what the last node of each carries, wherever they lie.
+            opens = (own.column("depth").to_numpy() - 1) % segment == 0
+            parent = np.where(opens, -1, table.lookup(_pairs(own, "pa", "pb")))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.full(size, shard)), pa.array(np.arange(size, dtype=np.int32)), pa.array(parent.astype(np.int32)),
@@ -306,7 +308,7 @@ def prefix_trie(conversations: DataFrame, segment: int = SEGMENT, shard_rows: in
         rebuilt.select("first", "c", "segment", "depth", "a", "b", "pa", "pb", "chars", "turn_hash")
         .repartitionByRange("first", "c", "segment").sortWithinPartitions("first", "c", "segment", "depth")
     )
-    tables = staged(dealt.select("c", "segment", "depth", "a", "b", "pa", "pb", "chars", "turn_hash").mapInArrow(_node_tables(shard_rows), _NODE), "node-tables")
+    tables = staged(dealt.select("c", "segment", "depth", "a", "b", "pa", "pb", "chars", "turn_hash").mapInArrow(_node_tables(segment, shard_rows), _NODE), "node-tables")
 
     same = ("depth", "pa", "pb", "chars", "turn_hash")
     counted = tables.groupBy("a", "b").agg(
