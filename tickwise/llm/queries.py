@@ -211,4 +211,27 @@ sums AS (SELECT prefix, sum(saved)::BIGINT AS saved_tokens, sum(leaves)::BIGINT
 SELECT n.conv_id, n.depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, n.ends_sha256
 FROM nodes n JOIN sums USING (prefix) LEFT JOIN children USING (prefix) LEFT JOIN nodes up ON up.prefix = n.parent"""
 
-ORACLES: dict[str, str] = {"op9_url_filter": _url_filter_sql(), "op11_prefix_trie": TRIE_SQL, "op12_lexical_search": LEXICAL_SQL}
+PARSE_SQL = """WITH docs AS MATERIALIZED (
+    SELECT row_number() OVER () AS row, doc_id, hex(encode(coalesce(text, ''))) AS bytes FROM documents),
+starts AS MATERIALIZED (
+    SELECT row, p, md5(substr(bytes, 2 * p + 1, 800)) AS string
+    FROM (SELECT row, bytes, unnest(range(0, len(bytes) // 2 - 399)) AS p FROM docs)),
+repeats AS (SELECT row, p FROM starts SEMI JOIN (SELECT string FROM starts GROUP BY string HAVING count(*) > 1) USING (string)),
+opened AS (
+    SELECT row, p, p > coalesce(lag(p) OVER (PARTITION BY row ORDER BY p) + 400, -1) AS opens FROM repeats),
+spans AS (
+    SELECT row, min(p) AS low, max(p) + 400 AS high
+    FROM (SELECT row, p, sum(opens::INT) OVER (PARTITION BY row ORDER BY p) AS span FROM opened) GROUP BY row, span),
+cuts AS (
+    SELECT row, low, high, coalesce(lag(high) OVER (PARTITION BY row ORDER BY low), 0) AS since,
+           lead(low) OVER (PARTITION BY row ORDER BY low) IS NULL AS ends FROM spans),
+kept AS (
+    SELECT row, count(*) AS n_spans, sum(high - low)::BIGINT AS n_removed,
+           string_agg(substr(bytes, 2 * since + 1, 2 * (low - since)), '' ORDER BY low)
+           || any_value(substr(bytes, 2 * high + 1)) FILTER (ends) AS rest
+    FROM cuts JOIN docs USING (row) GROUP BY row)
+SELECT doc_id, (len(bytes) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(rest, bytes))) AS kept_sha256
+FROM docs LEFT JOIN kept USING (row)"""
+
+ORACLES: dict[str, str] = {"op9_url_filter": _url_filter_sql(), "op11_prefix_trie": TRIE_SQL, "op12_lexical_search": LEXICAL_SQL, "op13_parse_dedup": PARSE_SQL}
