@@ -13,13 +13,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickwise.functions.vectors import dot, doubles, elements, vector
-from tickwise.operators.lookup import join_facts
-from tickwise.operators.ordered import HotKeys
+from tickwise.functions.vectors import dot, elements, vector
+from tickwise.operators.lookup import join_facts, with_group_facts
+from tickwise.operators.ordered import HotKeys, hot_keys
 
 POOL_MODES = ("gated", "max", "mean")
 # exp() of a logit shifted by its own bound stays in double range up to here.
 SAFE_LOGIT_BOUND = 300.0
+# Logits of one level differ by less than this, so their exponentials add up without overflow.
+LEVEL = 256.0
 
 
 def gated_logit(column: Column, V: np.ndarray, U: np.ndarray, w: np.ndarray) -> Column:
@@ -37,29 +39,45 @@ def gated_logit(column: Column, V: np.ndarray, U: np.ndarray, w: np.ndarray) ->
     return logit(column)
 
 
-def _softmax_weights(
-    df: DataFrame, bag: str, logit: str, bound: float | None, hot: HotKeys | None
-) -> DataFrame:
-    """Unnormalised weights ``_e``: shifted by a known bound, or by the largest of the bag."""
-    if bound is not None and bound <= SAFE_LOGIT_BOUND:
-        return df.withColumn("_e", F.exp(F.col(logit) - F.lit(float(bound))))
-    peak = df.groupBy(bag).agg(F.max(logit).alias("_peak"))
-    return join_facts(df, peak, [bag], hot=hot).withColumn("_e", F.exp(F.col(logit) - F.col("_peak"))).drop("_peak")
-
-
 def vector_agg(df: DataFrame, bag: str, column: str, width: int, agg: Callable[[Column], Column], out: str) -> DataFrame:
     """Aggregate every dimension of a vector column per bag: one row per bag, no row per cell."""
     return df.groupBy(bag).agg(F.array(*[agg(x) for x in elements(F.col(column), width)]).alias(out))
 
 
-def _pool(df: DataFrame, bag: str, column: str, width: int) -> DataFrame:
-    return vector_agg(df, bag, column, width, lambda x: F.sum(F.col("_e") * x) / F.sum("_e"), "z")
+def _online_softmax(df: DataFrame, bag: str, logit: str, column: str, width: int) -> DataFrame:
+    """Softmax-weighted mean per bag in one pass, whatever the size of the logits.
 
-
-def _weights(df: DataFrame, bag: str, idx: str, hot: HotKeys | None) -> DataFrame:
-    total = df.groupBy(bag).agg(F.sum("_e").alias("_total"))
-    return join_facts(df.select(bag, idx, "_e"), total, [bag], hot=hot).select(
-        bag, idx, (F.col("_e") / F.col("_total")).alias("weight"))
+    Exponentials are taken within levels of the logit and summed per (bag, level) before the
+    shuffle; the few levels of a bag are then rescaled to its highest one and added up.
+    """
+    level = F.floor(F.col(logit) / LEVEL)
+    e = F.exp(F.col(logit) - level * LEVEL)
+    parts = df.withColumns({"_level": level, "_e": e}).groupBy(bag, "_level").agg(
+        F.sum("_e").alias("s"), F.array(*[F.sum(F.col("_e") * x) for x in elements(F.col(column), width)]).alias("v"))
+    of_bag = parts.groupBy(bag).agg(
+        F.collect_list(F.struct(F.col("_level").cast("double").alias("level"), "s", "v")).alias("_parts"), F.max("_level").cast("double").alias("_top"))
+
+    def scale(p: Column) -> Column:
+        return F.exp((p["level"] - F.col("_top")) * LEVEL)
+
+    total = F.aggregate("_parts", F.lit(0.0), lambda acc, p: acc + p["s"] * scale(p))
+    summed = F.aggregate(
+        "_parts", F.array(*[F.lit(0.0)] * width), lambda acc, p: F.zip_with(acc, p["v"], lambda a, x: a + x * scale(p)))
+    return of_bag.select(bag, total.alias("_total"), summed.alias("_v")).select(
+        bag, F.transform("_v", lambda x: x / F.col("_total")).alias("z"))
+
+
+def _instance_weights(df: DataFrame, bag: str, idx: str, logit: str, hot: HotKeys | None, bound: float | None = None) -> DataFrame:
+    """Softmax over the instances of each bag. Only ids and logits are shuffled, once unless a bag is hot."""
+    rows = df.select(bag, idx, logit)
+    if hot is None:
+        hot = hot_keys(df, [bag])
+    if bound is None:
+        rows = with_group_facts(rows, [bag], {"_shift": F.max(logit)}, hot)
+    else:
+        rows = rows.withColumn("_shift", F.lit(float(bound)))
+    rows = rows.withColumn("_e", F.exp(F.col(logit) - F.col("_shift")))
+    return with_group_facts(rows, [bag], {"_total": F.sum("_e")}, hot).select(bag, idx, (F.col("_e") / F.col("_total")).alias("weight"))
 
 
 def pool_gated_attention(
@@ -69,23 +87,27 @@ def pool_gated_attention(
     """Gated attention pooling for given weights; returns (pooled, instance weights).
 
     The gate keeps every logit within ``sum |w|``, so the softmax is shifted by that bound
-    and needs no pass for the largest logit of each bag.
+    and needs no pass for the largest logit of each bag. Each result scans the rows and runs the
+    gate once.
     """
     rows = df if valid is None else df.where(valid)
     scored = rows.withColumn("_logit", gated_logit(F.col(column), V, U, w))
-    weighted = _softmax_weights(scored, bag, "_logit", float(np.abs(w).sum()), hot)
-    return _pool(weighted, bag, column, width), _weights(weighted, bag, idx, hot)
+    bound = float(np.abs(w).sum())
+    if bound > SAFE_LOGIT_BOUND:
+        return _online_softmax(scored, bag, "_logit", column, width), _instance_weights(scored, bag, idx, "_logit", hot)
+    shifted = scored.withColumn("_e", F.exp(F.col("_logit") - F.lit(bound)))
+    pooled = vector_agg(shifted, bag, column, width, lambda x: F.sum(F.col("_e") * x) / F.sum("_e"), "z")
+    return pooled, _instance_weights(scored, bag, idx, "_logit", hot, bound)
 
 
 def pool_attention(
     df: DataFrame, bag: str, idx: str, column: str, weight: Sequence[float], bias: float = 0.0,
     valid: Column | None = None, hot: HotKeys | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Softmax pooling with one linear score; returns (pooled, instance weights)."""
+    """Softmax pooling with one linear score; returns (pooled, instance weights), a scan each."""
     rows = df if valid is None else df.where(valid)
     scored = rows.withColumn("_logit", dot(F.col(column), vector(weight)) + F.lit(bias))
-    weighted = _softmax_weights(scored, bag, "_logit", None, hot)
-    return _pool(weighted, bag, column, len(weight)), _weights(weighted, bag, idx, hot)
+    return _online_softmax(scored, bag, "_logit", column, len(weight)), _instance_weights(scored, bag, idx, "_logit", hot)
 
 
 def last_readout(df: DataFrame, bag: str, idx: str, column: str) -> DataFrame:
@@ -99,20 +121,17 @@ def pool_max(
 ) -> tuple[DataFrame, DataFrame]:
     """Largest value per dimension, and the share of dimensions each instance wins.
 
-    Of equal values the lowest ``idx`` wins. Instances that win nothing have share 0. The
-    maxima are joined back, so only winning cells are expanded into rows.
+    Of equal values the lowest ``idx`` wins. Instances that win nothing, or are not valid, have
+    share 0. The first holders of the maxima are one row per bag, joined to
+    the ids of its instances; no vector is shuffled.
     """
-    rows = (df if valid is None else df.where(valid)).select(bag, idx, doubles(F.col(column)).alias("_v"))
-    pooled = vector_agg(rows, bag, "_v", width, F.max, "z")
-    won = F.array_compact(F.zip_with(
-        F.sequence(F.lit(0), F.lit(width - 1)), F.zip_with("_v", "z", lambda x, z: x == z),
-        lambda d, hit: F.when(hit, d)))
-    cells = join_facts(rows, pooled, [bag], hot=hot).select(bag, idx, F.explode(won).alias("dim"))
-    winners = cells.groupBy(bag, "dim").agg(F.min(idx).alias(idx))
-    wins = winners.groupBy(bag, idx).agg(F.count(F.lit(1)).alias("_wins"))
-    shares = df.select(bag, idx).join(wins, [bag, idx], "left").select(
-        bag, idx, (F.coalesce(F.col("_wins"), F.lit(0)) / F.lit(width)).alias("weight"))
-    return pooled, shares
+    ok = F.lit(True) if valid is None else valid
+    pooled = (df if valid is None else df.where(valid)).transform(lambda d: vector_agg(d, bag, column, width, F.max, "z"))
+    first = [F.struct((-x).alias("x"), F.col(idx).alias("i")) for x in elements(F.col(column), width)]
+    holders = df.groupBy(bag).agg(F.array(*[F.min(F.when(ok, f))["i"] for f in first]).alias("_holders"))
+    held = join_facts(df.select(bag, idx), holders, [bag], hot=hot)
+    won = F.size(F.filter("_holders", lambda i: i == F.col(idx)))
+    return pooled, held.select(bag, idx, (won / F.lit(width)).alias("weight"))
 
 
 def pool_mean(
@@ -125,9 +144,9 @@ def pool_mean(
     pooled = vector_agg(
         flagged, bag, column, width,
         lambda x: F.coalesce(F.sum(F.when(F.col("_ok"), x)), F.lit(0.0)) / count, "z")
-    sizes = flagged.groupBy(bag).agg(count.alias("_m"))
-    weights = join_facts(flagged.select(bag, idx, "_ok"), sizes, [bag], hot=hot).select(
-        bag, idx, F.when(F.col("_ok"), F.lit(1.0) / F.col("_m")).otherwise(0.0).alias("weight"))
+    sized = with_group_facts(flagged.select(bag, idx, "_ok"), [bag], {"_m": F.count_if("_ok")}, hot)
+    weights = sized.select(
+        bag, idx, F.when(F.col("_ok"), F.lit(1.0) / F.greatest("_m", F.lit(1))).otherwise(0.0).alias("weight"))
     return pooled, weights
 
 
