@@ -6,13 +6,16 @@ from pyspark.sql import functions as F
 
 from tickwise.operators import features as ft
 from tickwise.operators import metrics as me
+from tickwise.operators import scoring as sc
 from tickwise.operators.scoring import byte_statistics
 from tickwise.plans import evaluate as ev
 from tickwise.plans import materialise as ma
 from tickwise.plans import pools as po
 from tickwise.plans.selection import select_acts
 from tickwise.schema import CATALOG, SEQ, TIME
-from tickwise.sources.tables import feature_table_index, feature_table_write
+from tickwise.sources.tables import (
+    commit_features, committed_features, committed_runs, feature_table_index, feature_table_write, incremental_todo,
+)
 
 TICK = 20_000_000
 DROID = ("/observation/state/cartesian_position", "/observation/state/gripper_position")
@@ -69,6 +72,70 @@ def test_materialise_only_what_is_missing(spark, tmp_path):
     assert missing == ["nope"] and rows.count() == 116
 
 
+def test_one_bad_payload_fails_one_sequence(spark):
+    names = [f"e{i}" for i in range(40)]
+    listed = catalog(spark, "droid", dict.fromkeys(names, "true"))
+    images = spark.createDataFrame(
+        [(s, i * TICK, b"poison" if (s, i) == ("e7", 10) else b"<a>") for s in names for i in range(0, 50, 2)],
+        f"{SEQ} string, {TIME} long, data binary")
+
+    def encoder():
+        plain = byte_statistics()
+
+        def encode(raw):
+            if b"poison" in raw:
+                raise ValueError("no image")
+            return plain(raw)
+
+        return encode
+
+    assert images.count() == 1_000
+    frames = sc.encode_payloads(images, "data", encoder, "cnn", "error")
+    assert frames.where("error IS NULL AND cnn IS NOT NULL").count() == 999
+    assert [tuple(r) for r in frames.where("cnn IS NULL").collect()] == [("e7", 10 * TICK, None, "ValueError: no image")]
+    streams = droid(spark, names)
+    rows, failed = ma.materialise_with_failures("droid", streams, listed, images=images, encoder_factory=encoder)
+    assert [tuple(r) for r in failed.collect()] == [("e7", "ValueError: no image")]
+    assert rows.select(SEQ).distinct().count() == 39 and rows.where(f"{SEQ} = 'e7'").count() == 0
+    status = ma.status_of(listed, rows, "droid", None, failed)
+    counted = me.ingest_counters(status, "dataset_id", "state", "frames").first()
+    assert tuple(counted) == ("droid", 39, 0, 0, 1, 39 * 58)
+    with pytest.raises(Exception, match="no image"):
+        ma.materialise("droid", streams, listed, images=images, encoder_factory=encoder).collect()
+
+
+def test_encoder_must_return_a_vector_per_payload(spark):
+    rows = spark.createDataFrame([(i, b"x") for i in range(3)], "i long, data binary").coalesce(1)
+    out = sc.encode_payloads(rows, "data", lambda: lambda raw: np.zeros((1, 2)), "v", "error")
+    assert out.where("error IS NULL").count() == 3
+    none = sc.encode_payloads(rows, "data", lambda: lambda raw: np.zeros((0, 2)), "v", "error")
+    assert {r["error"] for r in none.collect()} == {"ValueError: encoder returned 0 vectors for 1 payloads"}
+
+
+def test_run_that_died_between_two_datasets_is_built_again(spark, tmp_path):
+    path = str(tmp_path / "table")
+    schema = "seq string, dataset_id string, run string"
+    docs = spark.createDataFrame([(f"s{i}", f"d{i % 2}") for i in range(20)], "seq string, dataset_id string")
+    assert committed_features(spark, path) is None
+    first = docs.where("seq < 's14'")
+    assert commit_features(first, path, "dataset_id", "one")
+    seen = committed_features(spark, path, schema)
+    todo = incremental_todo(docs, seen, ["dataset_id", "seq"])
+    # The rows of d0 are on disk when the task of d1 dies.
+    feature_table_write(todo.where("dataset_id = 'd0'"), f"{path}/rows/run=two", "dataset_id")
+    dying = todo.where(F.when(F.col("dataset_id") == "d1", F.raise_error(F.lit("lost"))).otherwise(F.lit(None)).isNull())
+    with pytest.raises(Exception, match="lost"):
+        commit_features(dying, path, "dataset_id", "two")
+    assert committed_runs(spark, path) == ["one"]
+    assert committed_features(spark, path, schema).count() == first.count()
+    again = incremental_todo(docs, committed_features(spark, path, schema), ["dataset_id", "seq"])
+    assert commit_features(again, path, "dataset_id", "two")
+    assert not commit_features(docs, path, "dataset_id", "two")
+    rows = committed_features(spark, path, schema)
+    assert sorted(tuple(r) for r in rows.select("seq", "dataset_id").collect()) == sorted(tuple(r) for r in docs.collect())
+    assert committed_runs(spark, path) == ["one", "two"]
+
+
 def test_materialise_without_topics(spark):
     assert ma.aligned("droid", {"/other": spark.createDataFrame([("s", 0)], f"{SEQ} string, {TIME} long")}) is None
 

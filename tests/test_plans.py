@@ -7,6 +7,7 @@ import pytest
 import oracle
 from tickwise.operators import align as al
 from tickwise.queries import QUERIES, load_all
+from tickwise.sources import catalog as cat
 from tickwise.queries.common import HOUR_US, TOPICS, samples
 
 load_all()
@@ -37,6 +38,36 @@ def test_windows_shuffle_once(spark):
     assert shuffles(QUERIES["sliding_windows"](spark, SF)) == 1
 
 
+def scans(df):
+    return plan(df).count("FileScan parquet")
+
+
+@pytest.mark.parametrize("name,most_scans,most_shuffles", [
+    ("pool_gated_attention", 2, 2), ("pool_attention", 2, 3), ("pool_mean", 2, 2), ("pool_max", 3, 3), ("tail_bag_trace", 1, 1),
+    ("scan_topic_value", 2, 4),
+])
+def test_scans_and_shuffles_stay_few(spark, name, most_scans, most_shuffles):
+    df = QUERIES[name](spark, SF)
+    assert scans(df) <= most_scans and shuffles(df) <= most_shuffles
+
+
+def test_gate_is_computed_once_per_result(spark):
+    assert plan(QUERIES["pool_gated_attention"](spark, SF)).count("ArrowEvalPython") == 2
+
+
+def test_promoted_metadata_reaches_the_scan(spark, tmp_path):
+    rows = [("a", '{"robot": "arm", "n": 5}'), ("b", '{"robot": "leg"}'), ("c", "no json"), ("d", None), ("a", '{"robot": "arm"}')]
+    path = str(tmp_path / "catalog")
+    cat.promote_metadata(spark.createDataFrame(rows, "name string, meta string"), "meta", ["robot", "n"]).write.parquet(path)
+    found = cat.scan_metadata_eq(spark.read.parquet(path), "name", {"robot": "arm"}, "meta")
+    assert [r["name"] for r in found.collect()] == ["a"]
+    assert "EqualTo(meta_robot,arm)" in plan(found) and "meta:" not in plan(found).split("ReadSchema")[1]
+    both = cat.scan_metadata_eq(spark.read.parquet(path), "name", {"robot": "arm", "n": 5}, "meta")
+    assert [r["name"] for r in both.collect()] == ["a"]
+    plain = cat.scan_metadata_eq(spark.createDataFrame(rows, "name string, meta string"), "name", {"robot": "arm"}, "meta")
+    assert [r["name"] for r in plain.collect()] == ["a"]
+
+
 def test_topics_reach_the_scan(spark):
     df = al.hold_resample(samples(spark, SF), "sequence_name", "t", "topic", "value", {"click": "click"}, HOUR_US)
     text = plan(df)

@@ -170,15 +170,35 @@ def beta_lambdas(batches: DataFrame, batch: str, alpha: float, seed: int = 42) -
 
 
 def encode_payloads(
-    df: DataFrame, payload: str, encoder_factory: Callable[[], Callable[[list[bytes]], np.ndarray]], out: str = "cnn"
+    df: DataFrame, payload: str, encoder_factory: Callable[[], Callable[[list[bytes]], np.ndarray]], out: str = "cnn",
+    error: str | None = None,
 ) -> DataFrame:
     """Encode a binary column into descriptor vectors with a user encoder loaded once per task.
 
     A missing payload reaches the encoder as empty bytes. Only the columns of ``df`` and the
-    descriptor come back; the payload itself is dropped.
+    descriptor come back; the payload itself is dropped. With ``error`` a payload that the encoder
+    rejects does not end the job: a batch that raises is encoded payload by payload, and those that
+    raise again have no descriptor and the reason in that column, which is null for all others.
     """
     kept = [f for f in df.schema.fields if f.name != payload]
     schema = T.StructType([*kept, T.StructField(out, T.ArrayType(T.DoubleType()))])
+    if error is not None:
+        schema = schema.add(error, T.StringType())
+
+    def encoded(encode: Callable[[list[bytes]], np.ndarray], raw: list[bytes]) -> list[np.ndarray]:
+        vectors = list(np.asarray(encode(raw), float))
+        if len(vectors) != len(raw):
+            raise ValueError(f"encoder returned {len(vectors)} vectors for {len(raw)} payloads")
+        return vectors
+
+    def guarded(encode: Callable[[list[bytes]], np.ndarray], raw: list[bytes]) -> tuple[list, list]:
+        try:
+            return encoded(encode, raw), [None] * len(raw)
+        except Exception as reason:
+            if len(raw) == 1:
+                return [None], [f"{type(reason).__name__}: {reason}"]
+        single = [guarded(encode, [b]) for b in raw]
+        return [v for (v,), _ in single], [r for _, (r,) in single]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder_factory()
@@ -186,7 +206,12 @@ def encode_payloads(
             if len(batch):
                 raw = [b"" if b is None else bytes(b) for b in batch[payload]]
                 done = batch.drop(columns=[payload])
-                done[out] = list(np.asarray(encode(raw), float))
+                if error is None:
+                    done[out] = encoded(encode, raw)
+                else:
+                    vectors, reasons = guarded(encode, raw)
+                    done[out] = pd.Series(vectors, index=done.index, dtype=object)
+                    done[error] = pd.Series(reasons, index=done.index, dtype=object)
                 yield done
 
     return df.mapInPandas(run, schema)

@@ -38,18 +38,22 @@ def tail_bag_trace(
 ) -> DataFrame:
     """Mean score of the last K windows ending at n: rows (keys, n, k, p).
 
-    K is ``max(1, round(fraction * M))`` of the sequence's M windows, or a fixed ``k``. The
-    value is a difference of two running sums found by an equi-join on (sequence, position),
-    so the cost does not depend on K and no sequence is gathered.
+    K is ``max(1, round(fraction * M))`` of the sequence's M windows, or a fixed ``k``. Every
+    score enters a running sum at its own position and leaves it K positions later, so the cost
+    does not depend on K, and one shuffle and one scan serve the count and the sum.
     """
-    run = ordered_scan(windows, keys, order, index="_i", count="_m", sums={"_s": score}, hot=hot)
+    run = ordered_scan(windows, keys, order, index="_i", count="_m", hot=hot)
     size = F.lit(k).cast("long") if k is not None else tail_keep(F.col("_m"), fraction)
-    run = run.select(*keys, (F.col("_i") + 1).alias("n"), size.alias("k"), "_s")
-    here = run.where(F.col("n") >= warm_up).withColumn("_from", F.col("n") - F.col("k"))
-    earlier = run.select(*keys, F.col("n").alias("_from"), F.col("_s").alias("_s0"))
-    held = F.least(F.col("n"), F.col("k"))
-    return here.join(earlier, [*keys, "_from"], "left").select(
-        *keys, "n", "k", ((F.col("_s") - F.coalesce(F.col("_s0"), F.lit(0.0))) / held).alias("p")
+    n = F.col("_i") + 1
+    enters = F.struct(n.alias("n"), F.lit(1).alias("_enters"), F.col(score).cast("double").alias("_d"))
+    leaves = F.struct((n + F.col("_k")).alias("n"), F.lit(0).alias("_enters"), (-F.col(score).cast("double")).alias("_d"))
+    # At equal positions the one that leaves comes first.
+    events = run.withColumn("_k", size).select(
+        *keys, "_k", F.explode(F.when(n + F.col("_k") <= F.col("_m"), F.array(enters, leaves)).otherwise(F.array(enters))).alias("_e")
+    ).select(*keys, "_k", "_e.*")
+    summed = ordered_scan(events, keys, ["n", "_enters"], sums={"_s": "_d"}, hot=hot)
+    return summed.where((F.col("_enters") == 1) & (F.col("n") >= warm_up)).select(
+        *keys, "n", F.col("_k").alias("k"), (F.col("_s") / F.least(F.col("n"), F.col("_k"))).alias("p")
     )
 
 

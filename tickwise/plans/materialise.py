@@ -24,6 +24,7 @@ from tickwise.operators.scoring import encode_payloads
 from tickwise.schema import (
     DATASET, EXTENDED, GRID_HZ, INSTRUCTION, INSTRUCTION_DIM, LABEL, RESIDUAL, SEQ, TICK, TIME, spec_for,
 )
+from tickwise.session import staged
 from tickwise.sources.tables import incremental_todo
 
 IMAGE_TIME, INSTRUCTION_TIME, TOLD_TIME = "_image_t", "_instruction_t", "_told_t"
@@ -91,6 +92,35 @@ def materialise(
     hz: float = GRID_HZ,
     force: bool = False,
 ) -> DataFrame | None:
+    """The rows of :func:`materialise_with_failures` alone; a payload that cannot be encoded ends the job."""
+    return _materialise(dataset_id, streams, catalog, done, images, encoder_factory, hz, force, None)[0]
+
+
+def materialise_with_failures(
+    dataset_id: str,
+    streams: Mapping[str, DataFrame],
+    catalog: DataFrame,
+    done: DataFrame | None = None,
+    images: DataFrame | None = None,
+    encoder_factory: Callable[[], Callable[[list[bytes]], np.ndarray]] | None = None,
+    hz: float = GRID_HZ,
+    force: bool = False,
+) -> tuple[DataFrame | None, DataFrame]:
+    """Feature rows of what could be built, and (sequence, error) of the sequences that could not.
+
+    A sequence with a payload that the encoder rejects fails as a whole and has no rows; the
+    others are not touched by it. Descriptors are written to the shared folder once, since both
+    results need them.
+    """
+    none = catalog.sparkSession.createDataFrame([], f"{SEQ} string, error string")
+    rows, failed = _materialise(dataset_id, streams, catalog, done, images, encoder_factory, hz, force, "_error")
+    return rows, none if failed is None else failed
+
+
+def _materialise(
+    dataset_id: str, streams: Mapping[str, DataFrame], catalog: DataFrame, done: DataFrame | None, images: DataFrame | None,
+    encoder_factory: Callable[[], Callable[[list[bytes]], np.ndarray]] | None, hz: float, force: bool, error: str | None,
+) -> tuple[DataFrame | None, DataFrame | None]:
     """Feature rows of the sequences of a dataset that are not in ``done`` yet.
 
     ``images`` has ``sequence_name``, ``timestamp_ns`` and ``data``. Frames are encoded where
@@ -104,7 +134,7 @@ def materialise(
     frames = images.join(todo, SEQ, "left_semi") if images is not None else None
     dense = aligned(dataset_id, chosen, frames, hz)
     if dense is None:
-        return None
+        return None, None
     # Grid lengths follow from the first and last samples, so the grid itself is not counted.
     hot = grid_hot_keys(sparse_frame(dataset_id, chosen).select(SEQ, TIME), SEQ, TIME, step_seconds(hz))
     rows = features_of(dense, dataset_id, catalog, hot)
@@ -118,29 +148,39 @@ def materialise(
         )
         rows = rows.join(vectors, [SEQ, TOLD_TIME], "left").drop(TOLD_TIME)
     if images is None or encoder_factory is None:
-        return rows.drop(IMAGE_TIME)
-    encoded = (
-        encode_payloads(frames.select(SEQ, F.col(TIME).alias(IMAGE_TIME), "data"), "data", encoder_factory, "_cnn")
-        .groupBy(SEQ, IMAGE_TIME)
-        .agg(F.max("_cnn").alias("_cnn"))
-    )
+        return rows.drop(IMAGE_TIME), None
+    encoded = encode_payloads(frames.select(SEQ, F.col(TIME).alias(IMAGE_TIME), "data"), "data", encoder_factory, "_cnn", error)
+    failed = None
+    if error is not None:
+        encoded = staged(encoded, "descriptors")
+        failed = encoded.where(F.col(error).isNotNull()).groupBy(SEQ).agg(F.min(error).alias("error"))
+        rows = rows.join(failed.select(SEQ), SEQ, "left_anti")
+    encoded = encoded.groupBy(SEQ, IMAGE_TIME).agg(F.max("_cnn").alias("_cnn"))
     empty = F.array(*[F.lit(float(x)) for x in np.asarray(encoder_factory()([b""]), float)[0]])
-    return (
+    described = (
         rows.join(encoded, [SEQ, IMAGE_TIME], "left")
         .withColumn("cnn", F.coalesce("_cnn", empty).cast("array<float>"))
         .drop("_cnn", IMAGE_TIME)
     )
+    return described, failed
 
 
-def status_of(catalog: DataFrame, rows: DataFrame, dataset_id: str, done: DataFrame | None) -> DataFrame:
-    """Outcome per sequence (ok, empty, skip) with its frames, for the ingest counters."""
+def status_of(
+    catalog: DataFrame, rows: DataFrame, dataset_id: str, done: DataFrame | None, failed: DataFrame | None = None
+) -> DataFrame:
+    """Outcome per sequence (ok, empty, skip, fail) with its frames, for the ingest counters."""
     sizes = rows.groupBy(SEQ).agg(F.count(F.lit(1)).alias("frames"))
     names = catalog.where(F.col(DATASET) == dataset_id).select(DATASET, SEQ).join(sizes, SEQ, "left")
     if done is None:
         skipped = names.withColumn("_done", F.lit(None).cast("int"))
     else:
         skipped = names.join(done.select(SEQ).distinct().withColumn("_done", F.lit(1)), SEQ, "left")
-    state = F.when(F.col("frames").isNotNull(), "ok").when(F.col("_done").isNotNull(), "skip").otherwise("empty")
+    if failed is None:
+        skipped = skipped.withColumn("_failed", F.lit(None).cast("int"))
+    else:
+        skipped = skipped.join(failed.select(SEQ).distinct().withColumn("_failed", F.lit(1)), SEQ, "left")
+    state = (
+        F.when(F.col("_failed").isNotNull(), "fail").when(F.col("frames").isNotNull(), "ok")
+        .when(F.col("_done").isNotNull(), "skip").otherwise("empty")
+    )
     return skipped.select(DATASET, SEQ, state.alias("state"), F.coalesce("frames", F.lit(0)).alias("frames"))
-
-

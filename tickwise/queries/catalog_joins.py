@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickwise.operators.align import sparse_pivot, time_chunks
@@ -22,6 +20,7 @@ from tickwise.session import scratch_dir
 from tickwise.sources import catalog as cat
 from tickwise.sources.files import episode_file_offset, episode_index
 from tickwise.sources.tables import (
+    commit_features, committed_features,
     feature_table_index, feature_table_write, incremental_todo, pools_read, pools_write, run_report,
 )
 
@@ -49,14 +48,8 @@ def scan_metadata_eq(spark, sf):
 def scan_topic_value(spark, sf):
     rows = samples(spark, sf).withColumn("dataset_id", dataset_of_user())
     catalog = rows.select("dataset_id", "sequence_name").distinct()
-    parts = [
-        cat.scan_topic_value(catalog, rows, "sequence_name", "dataset_id", d, "topic", "error", hit).select(
-            F.lit(d).alias("dataset_id"), F.lit(outcome).alias("outcome"), "sequence_name"
-        )
-        for d in ("ds0", "ds1", "ds2")
-        for outcome, hit in (("failure", F.col("value") > 100), ("success", F.col("value") <= 100))
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    outcomes = {"failure": F.col("value") > 100, "success": F.col("value") <= 100}
+    return cat.topic_value_pools(catalog, rows, "sequence_name", "dataset_id", "topic", "error", outcomes)
 
 
 @query(
@@ -112,10 +105,13 @@ def incremental(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("dataset_id"))
     path = scratch_dir(spark, "incremental")
     first = docs.join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
-    feature_table_write(first.withColumn("run", F.lit(1)), path, "dataset_id")
-    todo = incremental_todo(docs, spark.read.parquet(path), ["dataset_id", "doc_id"])
-    feature_table_write(todo.withColumn("run", F.lit(2)), path, "dataset_id")
-    return spark.read.parquet(path).select("doc_id", "dataset_id", "run")
+    schema = "doc_id long, dataset_id string, run int"
+    commit_features(first, path, "dataset_id", "1")
+    todo = incremental_todo(docs, committed_features(spark, path, schema), ["dataset_id", "doc_id"])
+    commit_features(todo, path, "dataset_id", "2")
+    # Asked for once more, a run that is there changes nothing.
+    commit_features(docs, path, "dataset_id", "1")
+    return committed_features(spark, path, schema).select("doc_id", "dataset_id", "run")
 
 
 @query(

@@ -14,17 +14,53 @@ def scan_dataset(catalog: DataFrame, dataset: str, value, name: str) -> DataFram
     return catalog.where(F.col(dataset) == value).select(name)
 
 
+def promoted_name(key: str) -> str:
+    """Column that holds a promoted metadata value."""
+    return f"meta_{key}"
+
+
+def promote_metadata(catalog: DataFrame, metadata: str, keys: Sequence[str]) -> DataFrame:
+    """Add the values of JSON keys as string columns, for a catalog that is about to be written.
+
+    The JSON is parsed once per row into a variant, whatever the number of keys. A key that is
+    missing, or text that is no JSON, is null. Parquet keeps minima and maxima of these columns,
+    so scans for a value skip what cannot hold it.
+    """
+    parsed = catalog.withColumn("_variant", F.try_parse_json(metadata))
+    return parsed.withColumns(
+        {promoted_name(k): F.try_variant_get("_variant", f"$.{k}", "string") for k in keys}).drop("_variant")
+
+
 def scan_metadata_eq(catalog: DataFrame, name: str, equals: Mapping[str, str], metadata: str) -> DataFrame:
     """Distinct names whose JSON metadata equals every given value.
 
-    JSON text is not pushed into a Parquet scan: promote what is queried often to columns.
+    Keys that the catalog has as promoted columns are filtered in the scan; only the others are
+    looked up in the JSON text.
     """
     wanted: Column = F.lit(True)
     for key, value in equals.items():
-        wanted = wanted & (F.get_json_object(F.col(metadata), f"$.{key}") == F.lit(str(value)))
+        promoted = promoted_name(key) in catalog.columns
+        found = F.col(promoted_name(key)) if promoted else F.get_json_object(F.col(metadata), f"$.{key}")
+        wanted = wanted & (found == F.lit(str(value)))
     return catalog.where(wanted).select(name).distinct()
 
 
+def topic_value_pools(
+    catalog: DataFrame, samples: DataFrame, name: str, dataset: str, topic: str, topic_name: str, outcomes: Mapping[str, Column],
+    out: str = "outcome",
+) -> DataFrame:
+    """(dataset, outcome, name) of all datasets and outcomes at once, from one scan of the samples.
+
+    A sequence is in the pool of every outcome that some sample of the topic has; one aggregate
+    tests all of them.
+    """
+    hits = samples.where(F.col(topic) == topic_name).groupBy(name).agg(
+        *[F.coalesce(F.bool_or(p), F.lit(False)).alias(o) for o, p in outcomes.items()])
+    held = F.array_compact(F.array(*[F.when(F.col(o), F.lit(o)) for o in outcomes]))
+    listed = catalog.where(F.col(dataset).isNotNull()).select(dataset, name).distinct()
+    return listed.join(hits, name).select(dataset, F.explode(held).alias(out), name)
+
+
 def scan_topic_value(
     catalog: DataFrame, samples: DataFrame, name: str, dataset: str, dataset_id, topic: str, topic_name: str,
     predicate: Column,

@@ -17,11 +17,55 @@ def feature_table_write(features: DataFrame, path: str, dataset: str, mode: str
     features.write.mode(mode).partitionBy(dataset).parquet(path)
 
 
-def read_or_none(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame | None:
-    """A Parquet table, or ``None`` where there is none yet."""
+def _manifest(path: str) -> str:
+    return f"{path}/manifest"
+
+
+def _run_folder(path: str, run: str) -> str:
+    return f"{path}/rows/run={run}"
+
+
+def committed_runs(spark: SparkSession, path: str) -> list[str]:
+    """Runs of a table that were written to the end, in order of their names."""
+    records = read_or_none(spark, _manifest(path), "run string, n_rows long", "json")
+    return [] if records is None else sorted({r["run"] for r in records.select("run").collect()})
+
+
+def commit_features(features: DataFrame, path: str, dataset: str, run: str) -> bool:
+    """Write the rows of one run and then its commit record; False if the run is there already.
+
+    A run that died half way has no record, so nobody reads its rows; started again under the same
+    name it replaces them, under another name they stay unread. The record is the last thing
+    written, a file of its own, so runs do not wait for each other.
+    """
+    spark = features.sparkSession
+    if run in committed_runs(spark, path):
+        return False
+    folder = _run_folder(path, run)
+    features.write.mode("overwrite").partitionBy(dataset).parquet(folder)
+    rows = spark.read.schema(features.schema).parquet(folder)
+    rows.agg(F.lit(run).alias("run"), F.count(F.lit(1)).alias("n_rows")).coalesce(1).write.mode("append").json(_manifest(path))
+    return True
+
+
+def committed_features(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame | None:
+    """The rows of all committed runs with the ``run`` they came with, or ``None`` before the first commit."""
+    runs = committed_runs(spark, path)
+    if not runs:
+        return None
+    reader = spark.read.option("basePath", f"{path}/rows")
+    if schema:
+        reader = reader.schema(schema)
+    return reader.parquet(*[_run_folder(path, r) for r in runs])
+
+
+def read_or_none(
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, source: str = "parquet"
+) -> DataFrame | None:
+    """A table of files, or ``None`` where there is none yet."""
     try:
         reader = spark.read.schema(schema) if schema else spark.read
-        return reader.parquet(path)
+        return reader.format(source).load(path)
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
