@@ -5,9 +5,14 @@ import os
 import pytest
 
 import oracle
+from pyspark.sql import functions as F
+
 from tickwise.operators import align as al
+from tickwise.operators import windows as wi
+from tickwise.operators.ordered import HotKeys
 from tickwise.queries import QUERIES, load_all
 from tickwise.sources import catalog as cat
+from tickwise.sources.tables import bucketed_table_read, bucketed_table_write
 from tickwise.queries.common import HOUR_US, TOPICS, samples
 
 load_all()
@@ -68,6 +73,25 @@ def test_promoted_metadata_reaches_the_scan(spark, tmp_path):
     assert [r["name"] for r in plain.collect()] == ["a"]
 
 
+def test_bucketed_features_are_not_shuffled_again(spark, tmp_path):
+    keys = ["sequence_name"]
+    held = QUERIES["hold_resample"](spark, SF)
+    plain = al.finite_difference(held, keys, "t", {"r": "click"}, 1e6, hot=HotKeys((), 1_000_000))
+    bucketed_table_write(held, "held_features", str(tmp_path / "held"), "sequence_name", "t", buckets=8)
+    try:
+        rows = bucketed_table_read(spark, "held_features")
+        none = HotKeys((), 1_000_000)
+        rates = al.finite_difference(rows, keys, "t", {"r": "click"}, 1e6, hot=none)
+        assert "Exchange" not in plan(rates)
+        cut = wi.sliding_windows(rows, keys, ["t"], 4, 2, "click", hot=none)
+        assert "Exchange" not in plan(cut) and cut.count() > 0
+        seconds = rates.groupBy(*keys).agg(F.max("r").alias("top"))
+        assert "Exchange" not in plan(rows.join(seconds.hint("shuffle_merge"), keys))
+        assert rates.exceptAll(plain).count() == 0 and plain.exceptAll(rates).count() == 0
+    finally:
+        spark.sql("DROP TABLE IF EXISTS held_features")
+
+
 def test_topics_reach_the_scan(spark):
     df = al.hold_resample(samples(spark, SF), "sequence_name", "t", "topic", "value", {"click": "click"}, HOUR_US)
     text = plan(df)

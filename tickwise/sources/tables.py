@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickwise.operators.features import union_datasets
+from tickwise.operators.ordered import quoted
 
 
 def feature_table_write(features: DataFrame, path: str, dataset: str, mode: str = "append") -> None:
@@ -17,6 +18,25 @@ def feature_table_write(features: DataFrame, path: str, dataset: str, mode: str
     features.write.mode(mode).partitionBy(dataset).parquet(path)
 
 
+BUCKETS = 512
+
+
+def bucketed_table_write(features: DataFrame, table: str, path: str, seq: str, time: str, buckets: int = BUCKETS) -> None:
+    """Persist features in buckets by sequence, sorted by time, as the catalog's table ``table``.
+
+    Windows, differences and joins by sequence over :func:`bucketed_table_read` need no shuffle.
+    The rows are placed by sequence first, so that every bucket is one file; a sequence is in one
+    bucket, whose size therefore has to suit one task.
+    """
+    placed = features.repartition(buckets, quoted(seq))
+    placed.write.bucketBy(buckets, seq).sortBy(seq, time).mode("overwrite").option("path", path).saveAsTable(table)
+
+
+def bucketed_table_read(spark: SparkSession, table: str) -> DataFrame:
+    """A bucketed table; scans keep the buckets as partitions."""
+    return spark.table(table)
+
+
 def _manifest(path: str) -> str:
     return f"{path}/manifest"
 
