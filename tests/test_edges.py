@@ -202,6 +202,17 @@ def test_interpolated_trace_clamps(spark):
     assert math.isclose(got[("s", 2.5)], 0.3)
 
 
+def test_interpolated_trace_keeps_rows_null_positions_and_null_keys(spark):
+    trace = spark.createDataFrame([(None, 2, 0.2), (None, 3, 0.4), (None, 4, 1.0)], "seq string, n int, p double")
+    asked = [(None, 3.5, 1), (None, 3.5, 1), (None, None, 2), (None, 1.25, 3), (None, 4.0, 4)]
+    x = spark.createDataFrame(asked, "seq string, x double, n int")
+    out = al.linear_interp_trace(x, trace, "seq", "x", "n", "p", 2)
+    assert out.columns == ["seq", "x", "n", "p_at"]
+    got = sorted((r["n"], round(r["p_at"], 9)) for r in out.collect())
+    # Below the warm-up the position's own fraction weighs the first two values.
+    assert got == [(1, 0.7), (1, 0.7), (2, 0.0), (3, 0.25), (4, 1.0)]
+
+
 # --- labels --------------------------------------------------------------------------------
 
 def flag_frame(spark, flags, name):
@@ -428,6 +439,51 @@ def test_pca_agrees_with_numpy(spark):
     assert np.allclose(z, m @ best, atol=1e-6)
 
 
+def test_pca_without_centring_gaps_and_few_rows(spark):
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(500, 6)) * [4, 3, 2, 1, 0.5, 0.2] + 1000
+    bad = [(-1, None), (-2, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (-3, [float("nan")] * 6)]
+    rows = [*bad, *((i, [float(x) for x in r]) for i, r in enumerate(m))]
+    df = spark.createDataFrame(rows, "i int, v array<double>").repartition(40)
+    loadings, ratios = sl.pca_fit(df, "v", 3)
+    _, spread, axes = np.linalg.svd(m - m.mean(0))
+    assert np.allclose(np.abs((loadings * axes[:3].T).sum(0)), 1, atol=1e-9)
+    assert np.allclose(ratios, (spread**2 / (spread**2).sum())[:3], atol=1e-9)
+    few, shares = sl.pca_fit(df.where("i in (0, 1)"), "v", 3)
+    assert few.shape == (6, 3) and np.allclose(few.T @ few, np.eye(3)) and np.allclose(shares, [1, 0, 0])
+    same = spark.createDataFrame([(1, [2.0, 2.0])] * 3, "i int, v array<double>")
+    assert np.allclose(sl.pca_fit(same, "v", 1)[1], 0)
+    with pytest.raises(ValueError):
+        sl.pca_fit(df.where("i < 0"), "v", 1)
+
+
+def test_classifier_is_at_the_optimum(spark):
+    rng = np.random.default_rng(4)
+    m = rng.normal(size=(400, 3)) * [1, 10, 0.1] + [0, 5, 2]
+    y = (m @ [1.0, 0.2, 5.0] + rng.normal(size=400) > 11).astype(float)
+    w = rng.uniform(0.5, 3, size=400)
+    rows = [([float(x) for x in r], float(t), float(u)) for r, t, u in zip(m, y, w)]
+    df = spark.createDataFrame([*rows, (None, 1.0, 1.0), ([1.0, 1.0, None], 0.0, 1.0), ([1.0] * 3, None, 1.0)],
+                               "v array<double>, y double, w double")
+    mean = w @ m / w.sum()
+    std = np.sqrt(w @ (m - mean) ** 2 / w.sum())
+    for l2 in (1.0, 1e-4):
+        model = so.train_bag_classifier(df, "v", "y", "w", l2)
+        z = m @ model.weights + model.bias
+        miss = w * (1 / (1 + np.exp(-z)) - y) / w.sum()
+        assert np.abs(miss.sum()) < 1e-9
+        assert np.allclose(miss @ ((m - mean) / std) + l2 * np.array(model.weights) * std, 0, atol=1e-9)
+    # Separable classes have an optimum with any ridge; one class alone has none.
+    apart = spark.createDataFrame([([float(i)], float(i > 5)) for i in range(11)], "v array<double>, y double")
+    model = so.train_bag_classifier(apart, "v", "y")
+    p = [r["p"] for r in so.predict_bags(model, apart, "v").orderBy("v").collect()]
+    assert p == sorted(p) and p[5] < 0.5 < p[6]
+    only = so.train_bag_classifier(apart.where("y = 1"), "v", "y")
+    assert only.weights == (0.0,) and only.bias > 0
+    with pytest.raises(ValueError):
+        so.train_bag_classifier(apart.where("y > 1"), "v", "y")
+
+
 def instances(spark):
     rng = np.random.default_rng(2)
     m = rng.normal(size=(7, 3))

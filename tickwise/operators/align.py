@@ -204,25 +204,30 @@ def linear_interp_trace(
 ) -> DataFrame:
     """Trace value at a fractional window count, clamped at the warm-up and at the end.
 
-    ``trace`` holds one value per window count ``n`` from ``warm_up`` to the last; a
-    sequence without any gives 0. Two equi-joins on (sequence, count), no range join.
+    ``trace`` holds one value per window count ``n`` from ``warm_up`` to the last; a sequence
+    without any gives 0, and so does a null position. Positions and trace are merged in the order of
+    the count and scanned once: a trace value stands at its own count as the lower neighbour and one
+    count earlier as the upper one, so both neighbours of a position are the last ones seen. Before
+    the warm-up the first of each counts.
     """
-    last = trace.groupBy(seq).agg(F.max(n).alias("_last"))
-    base = F.floor(F.col(x))
-    asked = (
-        join_facts(positions, last, [seq], "left", hot)
-        .withColumn("_lo", F.greatest(F.lit(warm_up), F.least(base, F.col("_last"))))
-        .withColumn("_hi", F.greatest(F.lit(warm_up), F.least(F.col("_lo") + 1, F.col("_last"))))
-        .withColumn("_w", F.when(F.col("_lo") == F.col("_hi"), 0.0).otherwise(F.col(x) - base))
-    )
-    low = trace.select(seq, F.col(n).cast("long").alias("_lo"), F.col(p).alias("_plo"))
-    high = trace.select(seq, F.col(n).cast("long").alias("_hi"), F.col(p).alias("_phi"))
-    value = (F.lit(1.0) - F.col("_w")) * F.col("_plo") + F.col("_w") * F.col("_phi")
-    return (
-        asked.join(low, [seq, "_lo"], "left")
-        .join(high, [seq, "_hi"], "left")
-        .select(*positions.columns, F.coalesce(value, F.lit(0.0)).alias(out))
-    )
+    at = F.col(n).cast("long")
+    here = F.struct(at.cast("double").alias("_at"), F.col(p).alias("_lo"), F.lit(None).cast("double").alias("_hi"))
+    ahead = F.struct((at - 1).cast("double").alias("_at"), F.lit(None).cast("double").alias("_lo"), F.col(p).alias("_hi"))
+    marks = trace.where((at >= warm_up) & F.col(p).isNotNull()).select(
+        quoted(seq), F.explode(F.when(at > warm_up, F.array(here, ahead)).otherwise(F.array(here))).alias("_m"))
+    marks = marks.select(quoted(seq), "_m.*", F.lit(0).alias("_kind"))
+    asked = positions.select(
+        quoted(seq), F.struct(*map(quoted, positions.columns)).alias("_row"), F.col(x).cast("double").alias("_at"),
+        F.lit(1).alias("_kind"))
+    merged = ordered_scan(
+        asked.unionByName(marks, allowMissingColumns=True), [seq], ["_at", "_kind"],
+        last={"_l": "_lo", "_h": "_hi"}, first_valid={"_l0": "_lo", "_h0": "_hi"}, hot=hot,
+    ).where("_kind = 1")
+    low = F.coalesce("_l", "_l0")
+    high = F.coalesce("_h", "_h0", "_l0")
+    w = F.when(low == high, 0.0).otherwise(F.col("_at") - F.floor("_at"))
+    value = F.when(F.col("_at").isNotNull(), (F.lit(1.0) - w) * low + w * high)
+    return merged.select("_row.*", F.coalesce(value, F.lit(0.0)).alias(out))
 
 
 def fractional_resample(
@@ -258,29 +263,29 @@ def jump_segment(
     0-based position per key, clamped to the series. A segment shorter than ``min_length``
     is replaced by the rows from ``anchor - min_length`` up to ``anchor + min_length``.
     """
-    keys = list(keys)
-    stepped = ordered_scan(df, keys, order, index="idx", lag={"_prev": value}, hot=hot)
+    keys, order = list(keys), list(order)
+    if hot is None:
+        hot = hot_keys(df, keys)
+    at = anchors.select(*map(quoted, keys), F.col(anchor).cast("long").alias("_anchor"))
+    chunked, split = split_hot(join_facts(df, at, keys, hot=hot), keys, order, hot)
+    scan = {"chunk": CHUNK if split is not None else None, "split_keys": split}
+    # Three scans of one partitioning: positions and jumps, segment numbers and the anchor's segment, its bounds.
+    stepped = ordered_scan(chunked, keys, order, index="idx", count="_n", lag={"_prev": value}, **scan)
+    centre = F.greatest(F.lit(0).cast("long"), F.least("_anchor", F.col("_n") - 1))
     jump = F.when(F.abs(F.col(value) - F.col("_prev")) > threshold, 1).otherwise(0)
-    cut = ordered_scan(stepped.withColumn("_jump", jump), keys, order, sums={"segment": "_jump"}, hot=hot)
-    segments = cut.groupBy(*keys, "segment").agg(
-        F.min("idx").alias("_lo"), (F.max("idx") + 1).alias("_hi")
-    )
-    size = segments.groupBy(*keys).agg(F.max("_hi").alias("_n"))
-    at = anchors.join(size, keys).select(
-        *keys, "_n", F.greatest(F.lit(0), F.least(F.col(anchor), F.col("_n") - 1)).alias("_c")
-    )
-    held = segments.join(at, keys).where("_lo <= _c and _c < _hi")
+    numbered = ordered_scan(
+        stepped.withColumns({"_c": centre, "_jump": jump, "_passed": F.when(F.col("idx") <= centre, jump).otherwise(0)}),
+        keys, order, sums={"segment": "_jump"}, totals={"_held": "_passed"}, **scan)
+    bounded = ordered_scan(
+        numbered.withColumns({
+            "_under": F.when(F.col("segment") < F.col("_held"), 1).otherwise(0),
+            "_upto": F.when(F.col("segment") <= F.col("_held"), 1).otherwise(0)}),
+        keys, order, totals={"_lo": "_under", "_hi": "_upto"}, **scan)
     short = (F.col("_hi") - F.col("_lo")) < min_length
-    bounds = held.select(
-        *keys,
-        F.when(short, F.greatest(F.lit(0), F.col("_c") - min_length)).otherwise(F.col("_lo")).alias("_from"),
-        F.when(short, F.least(F.col("_n"), F.col("_c") + min_length)).otherwise(F.col("_hi")).alias("_to"),
-    )
-    return (
-        join_facts(cut, bounds, keys, hot=hot)
-        .where("_from <= idx and idx < _to")
-        .select(*df.columns, "idx", "segment")
-    )
+    first = F.when(short, F.greatest(F.lit(0), F.col("_c") - min_length)).otherwise(F.col("_lo"))
+    end = F.when(short, F.least(F.col("_n"), F.col("_c") + min_length)).otherwise(F.col("_hi"))
+    return bounded.where((F.col("idx") >= first) & (F.col("idx") < end)).select(
+        *map(quoted, df.columns), "idx", "segment")
 
 
 def grid_hot_keys(samples: DataFrame, seq: str, time: str, step: int) -> HotKeys:

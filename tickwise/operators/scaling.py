@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickwise.functions.vectors import doubles, elements, standardise, vector
+from tickwise.functions.vectors import all_finite, doubles, elements, standardise, vector
 
 SMALL_STD = 1e-6
 # Widest vector aggregated channel by channel in one expression list.
 WIDE = 128
+# Tasks per level of the tree that merges triangular factors.
+MERGE_PARTS = (64, 8)
+FACTOR = "part int, v array<double>"
 
 
 def _safe_std(std: Column) -> Column:
@@ -91,14 +94,53 @@ def scaler_table(streams: Sequence[tuple[str, DataFrame]]) -> DataFrame:
     return out
 
 
-def pca_fit(df: DataFrame, column: str, components: int):
-    """Principal components of (already centred) vectors, each signed so that its largest
-    loading is positive. Returns ``(loadings, explained variance ratios)``."""
-    vectors = df.select(array_to_vector(doubles(F.col(column))).alias("v"))
-    model = PCA(k=components, inputCol="v", outputCol="z").fit(vectors)
-    loadings = model.pc.toArray()
+def _factor_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of the triangular QR factor of all rows seen: at most as many as columns."""
+    r = None
+    for batch in batches:
+        if len(batch):
+            m = np.stack(batch["v"].to_numpy())
+            r = np.linalg.qr(m if r is None else np.vstack([r, m]), mode="r")
+    if r is not None:
+        yield pd.DataFrame({"part": TaskContext.get().partitionId(), "v": list(r)})
+
+
+def pca_fit(df: DataFrame, column: str, components: int) -> tuple[np.ndarray, np.ndarray]:
+    """Principal components of vectors, each signed so that its largest loading is positive.
+
+    Returns ``(loadings, explained variance ratios)`` with one column per component. Every task
+    keeps only the triangular factor of the rows it has seen, factors are stacked and factored
+    again in a tree, and one last task decomposes what is left; the driver gets ``components``
+    vectors, never a square matrix. A leading column of ones takes the means out of the other
+    columns, so vectors need not be centred. Vectors that are null or hold an element that is null
+    or not finite take no part; without variance the ratios are 0.
+    """
+    v = doubles(F.col(column))
+    rows = df.where(v.isNotNull() & all_finite(v)).select(F.concat(F.array(F.lit(1.0)), v).alias("v"))
+    rows = rows.mapInPandas(_factor_rows, FACTOR)
+    for parts in MERGE_PARTS:
+        # By a column and without a number, so that adaptive execution joins small parts.
+        rows = rows.repartition(F.pmod("part", F.lit(parts))).mapInPandas(_factor_rows, FACTOR)
+
+    def decompose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for factor in _factor_rows(batches):
+            centred = np.stack(factor["v"].to_numpy())[1:, 1:]
+            width = centred.shape[1]
+            if not 0 < components <= width:
+                raise ValueError(f"{components} components of vectors of width {width}")
+            square = np.vstack([centred, np.zeros((max(0, width - len(centred)), width))])
+            _, spread, axes = np.linalg.svd(square)
+            share = spread**2 / max((spread**2).sum(), np.finfo(float).tiny)
+            yield pd.DataFrame(
+                {"component": range(components), "loading": list(axes[:components]), "explained": share[:components]})
+
+    found = rows.repartition(1).mapInPandas(decompose, "component int, loading array<double>, explained double")
+    found = found.orderBy("component").collect()
+    if not found:
+        raise ValueError(f"no complete vector in {column}")
+    loadings = np.array([r["loading"] for r in found]).T
     top = loadings[np.abs(loadings).argmax(axis=0), np.arange(loadings.shape[1])]
-    return loadings * np.where(top < 0, -1.0, 1.0), model.explainedVariance.toArray()
+    return loadings * np.where(top < 0, -1.0, 1.0), np.array([r["explained"] for r in found])
 
 
 def pca_apply(df: DataFrame, loadings: np.ndarray, column: str, out: str) -> DataFrame:

@@ -3,17 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickwise.functions.scalars import label_smooth, md5_key, md5_uniform, sigmoid
-from tickwise.functions.vectors import doubles, elements, mix
+from tickwise.functions.vectors import all_finite, dot, doubles, elements, mix, vector
 from tickwise.operators.lookup import join_lookup
 from tickwise.operators.ordered import ordered_scan
 
@@ -63,24 +62,99 @@ def bag_features(windows: DataFrame, keys: Sequence[str], order: str, column: st
     )
 
 
+@dataclass(frozen=True)
+class BagModel:
+    """A fitted logistic classifier on the original scale of the features."""
+
+    weights: tuple[float, ...]
+    bias: float
+    steps: int
+    loss: float
+
+
+def _column_sums(
+    rows: DataFrame, partial: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+) -> np.ndarray:
+    """Sums over all (v, y, w) rows of what ``partial`` gives for a batch, added up within every task first."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for batch in batches:
+            if len(batch):
+                part = partial(np.stack(batch["v"].to_numpy()), batch["y"].to_numpy(), batch["w"].to_numpy())
+                total = part if total is None else total + part
+        if total is not None:
+            yield pd.DataFrame({"i": range(len(total)), "s": total})
+
+    sums = rows.mapInPandas(run, "i int, s double").groupBy("i").agg(F.sum("s").alias("s")).orderBy("i").collect()
+    return np.array([r["s"] for r in sums])
+
+
 def train_bag_classifier(
     bags: DataFrame, features: str, label: str, weight: str | None = None, l2: float = 1e-4, iterations: int = 50
-) -> LogisticRegressionModel:
-    """Bag-level logistic classifier with class weights and L2, fitted by distributed gradients."""
-    cols = [array_to_vector(doubles(F.col(features))).alias("features"), F.col(label).cast("double").alias("label")]
-    if weight:
-        cols.append(F.col(weight).cast("double").alias("weight"))
-    lr = LogisticRegression(regParam=l2, maxIter=iterations, standardization=True)
-    if weight:
-        lr = lr.setWeightCol("weight")
-    return lr.fit(bags.select(*cols))
-
-
-def predict_bags(model: LogisticRegressionModel, bags: DataFrame, features: str, out: str = "p") -> DataFrame:
-    """Probability of failure per bag from a fitted classifier."""
-    ready = bags.withColumn("features_vec", array_to_vector(doubles(F.col(features))))
-    scored = model.setFeaturesCol("features_vec").transform(ready)
-    return scored.select(*bags.columns, F.get(vector_to_array("probability"), F.lit(1)).alias(out))
+) -> BagModel:
+    """Bag-level logistic classifier with class weights and L2, fitted by Newton steps.
+
+    Minimises the weighted mean cross-entropy plus ``l2 / 2`` times the squared weights of the
+    standardised features; the bias is free of it. That optimum is unique, so it does not depend on
+    partitions or on the solver. One pass per step adds up loss, gradient and curvature within the
+    tasks; the driver sees ``width * width`` sums and solves for the step. A step that does not lower
+    the loss is halved. At most ``iterations`` passes; bags whose features, label or weight are null
+    or not finite take no part. With one class only there is no optimum: the bias gives the smoothed
+    rate of that class and the weights are 0.
+    """
+    v, y = doubles(F.col(features)), F.col(label).cast("double")
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    rows = bags.select(v.alias("v"), y.alias("y"), w.alias("w")).where(
+        F.col("v").isNotNull() & all_finite(F.col("v")) & all_finite(F.array("y", "w")) & (F.col("w") > 0))
+    moments = _column_sums(rows, lambda m, t, u: np.concatenate([[u.sum(), u @ t, len(u)], u @ m]))
+    if not len(moments):
+        raise ValueError("no complete bag to fit on")
+    total, positive, count, mean = moments[0], moments[1], moments[2], moments[3:] / moments[0]
+    width = len(mean)
+    if positive <= 0 or positive >= total:
+        rate = (positive / total * count + 0.5) / (count + 1)
+        return BagModel((0.0,) * width, float(np.log(rate / (1 - rate))), 0, float("nan"))
+    spread = np.sqrt(_column_sums(rows, lambda m, t, u: u @ (m - mean) ** 2) / total)
+    spread[spread < 1e-6] = 1.0
+    ridge = np.full(width + 1, l2)
+    ridge[width] = 0.0
+
+    def measure(beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        def partial(m: np.ndarray, t: np.ndarray, u: np.ndarray) -> np.ndarray:
+            x = np.column_stack([(m - mean) / spread, np.ones(len(m))])
+            logit = x @ beta
+            p = np.exp(-np.logaddexp(0.0, -logit))
+            loss = u @ (np.logaddexp(0.0, logit) - t * logit)
+            curve = (x * (u * p * (1 - p))[:, None]).T @ x
+            return np.concatenate([[loss], x.T @ (u * (p - t)), curve.ravel()])
+
+        sums = _column_sums(rows, partial) / total
+        slope, curve = sums[1 : width + 2], sums[width + 2 :].reshape(width + 1, width + 1)
+        return float(sums[0] + ridge @ beta**2 / 2), slope + ridge * beta, curve + np.diag(ridge)
+
+    beta = np.zeros(width + 1)
+    beta[width] = np.log(positive / (total - positive))
+    loss, slope, curve = measure(beta)
+    step = np.linalg.lstsq(curve, slope, rcond=None)[0]
+    steps = 1
+    # Close to the optimum the loss changes by less than its own rounding, so it decides on large steps only.
+    while steps < iterations and np.abs(step).max() > 1e-11:
+        steps += 1
+        tried = measure(beta - step)
+        if tried[0] > loss + 1e-12 * max(1.0, abs(loss)):
+            step = step / 2
+            continue
+        beta = beta - step
+        loss, slope, curve = tried
+        step = np.linalg.lstsq(curve, slope, rcond=None)[0]
+    weights = beta[:width] / spread
+    return BagModel(tuple(float(x) for x in weights), float(beta[width] - weights @ mean), steps, loss)
+
+
+def predict_bags(model: BagModel, bags: DataFrame, features: str, out: str = "p") -> DataFrame:
+    """Probability of failure per bag from a fitted classifier; null where a feature is missing."""
+    return bags.withColumn(out, sigmoid(dot(F.col(features), vector(model.weights)) + F.lit(model.bias)))
 
 
 def bce_with_logits(x: Column, y: Column, pos_weight: Column | float = 1.0) -> Column:

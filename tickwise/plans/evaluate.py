@@ -76,8 +76,8 @@ def train_and_evaluate(features: DataFrame, pools: DataFrame, s: Settings | None
     heads = kept.groupBy(*KEYS).agg(F.min("split").alias("split"), F.max("bag_label").alias("bag_label"))
     bags = staged(so.bag_features(kept, KEYS, "window", "v", s.width).join(heads, KEYS), "bags")
     train = bags.where("split = 'train'")
-    model = so.train_bag_classifier(
-        sp.class_weights(train, "bag_label"), "features", "bag_label", "weight", s.l2)
+    weighted = staged(sp.class_weights(train, "bag_label").select("features", "bag_label", "weight"), "weighted")
+    model = so.train_bag_classifier(weighted, "features", "bag_label", "weight", s.l2)
     scores = so.predict_bags(model, bags, "features").select(*KEYS, "split", "p", F.col("bag_label").alias("y"))
     metrics = me.metrics_per_dataset(
         scores.where("split = 'test'"), scores.where("split = 'val'"), DATASET, "p", "y")

@@ -23,7 +23,8 @@ def _share(total: str, a: str, b: str) -> str:
             f"THEN 1 ELSE 0 END)::BIGINT")
 
 
-_STRATIFIED_SQL = LABELLED_SQL + f""",
+# Split of the CTE ``labelled`` (dataset_id, sequence_name, label).
+SPLIT_SQL = f"""
 counts AS (SELECT dataset_id, count(*) AS n, sum(label)::BIGINT AS n1, sum(1 - label)::BIGINT AS n0 FROM labelled GROUP BY 1),
 c1 AS (SELECT *, ceil((1.0::DOUBLE - 0.7::DOUBLE) * n)::BIGINT AS rest FROM counts),
 c2 AS (SELECT *, {_share('n - rest', 'n0', 'n1')} AS tr0 FROM c1),
@@ -49,6 +50,7 @@ assigned AS (
              WHEN least(r0, r1) < 2 THEN CASE WHEN rr < nval THEN 'val' ELSE 'test' END
              WHEN beyond < CASE WHEN label = 1 THEN va1 ELSE va0 END THEN 'val' ELSE 'test' END AS split
     FROM f)"""
+_STRATIFIED_SQL = f"{LABELLED_SQL},{SPLIT_SQL}"
 
 
 @query("split_stratified", f"WITH {_STRATIFIED_SQL} SELECT * FROM assigned")
@@ -177,14 +179,56 @@ def _centred(spark, sf):
     return sl.apply_scaler(d, sl.fit_scaler(d, "embedding", 64), "embedding", "v")
 
 
-@query("pca_fit")
+def _components_sql(count: int, squarings: int = 16) -> str:
+    """Components by repeated squaring of the covariance, each taken out before the next.
+
+    A high power of the matrix is the projector onto its leading vector; the column with the
+    largest diagonal is that vector with a positive largest loading.
+    """
+    ctes = [f"""{CELLS_SQL},
+    fit AS (SELECT dim, avg(x) AS mean, CASE WHEN stddev_pop(x) < 1e-6 THEN 1.0 ELSE stddev_pop(x) END AS std
+            FROM cells GROUP BY 1),
+    z AS MATERIALIZED (SELECT vec_id, dim, (x - mean) / std AS x FROM cells JOIN fit USING (dim)),
+    m0 AS MATERIALIZED (SELECT a.dim AS i, b.dim AS j, avg(a.x * b.x) AS v FROM z a JOIN z b USING (vec_id) GROUP BY 1, 2)"""]
+    for c in range(count):
+        ctes.append(f"""
+    p{c} AS (
+        SELECT 0 AS step, i, j, v FROM m{c}
+        UNION ALL
+        SELECT step + 1, i, j, v / sum(CASE WHEN i = j THEN v END) OVER () FROM (
+            SELECT a.step, a.i, b.j, sum(a.v * b.v) AS v FROM p{c} a JOIN p{c} b ON a.j = b.i
+            WHERE a.step < {squarings} GROUP BY a.step, a.i, b.j)),
+    top{c} AS (SELECT j, sqrt(v) AS norm FROM p{c} WHERE step = {squarings} AND i = j ORDER BY v DESC, j LIMIT 1),
+    v{c} AS MATERIALIZED (
+        SELECT {c} AS component, p.i, p.v / norm AS x FROM p{c} p JOIN top{c} USING (j) WHERE step = {squarings}),
+    e{c} AS MATERIALIZED (
+        SELECT sum(a.x * m.v * b.x) AS value FROM m{c} m JOIN v{c} a ON a.i = m.i JOIN v{c} b ON b.i = m.j),
+    m{c + 1} AS MATERIALIZED (
+        SELECT m.i, m.j, m.v - value * a.x * b.x AS v FROM m{c} m JOIN v{c} a ON a.i = m.i JOIN v{c} b ON b.i = m.j, e{c})""")
+    ctes.append("\n    components AS (" + " UNION ALL ".join(
+        f"SELECT component, i, x, value FROM v{c}, e{c}" for c in range(count)) + ")")
+    return "WITH RECURSIVE " + ",".join(ctes)
+
+
+@query(
+    "pca_fit",
+    f"""{_components_sql(8)}
+    SELECT component, i::INTEGER AS channel, {q6('x')} AS loading,
+           {q6('value / (SELECT sum(v) FROM m0 WHERE i = j)')} AS explained FROM components""",
+)
 def components(spark, sf):
     loadings, ratios = sl.pca_fit(_centred(spark, sf), "v", 8)
-    return sl.pca_table(loadings, ratios, spark)
+    return sl.pca_table(loadings, ratios, spark).select(
+        "component", "channel", r6("loading").alias("loading"), r6("explained").alias("explained"))
 
 
-@query("pca_apply")
+@query(
+    "pca_apply",
+    f"""{_components_sql(8)}
+    SELECT vec_id, component, {q6('sum(z.x * c.x)')} AS z FROM z JOIN components c ON c.i = z.dim GROUP BY 1, 2""",
+)
 def projected(spark, sf):
     rows = _centred(spark, sf)
     loadings, _ = sl.pca_fit(rows, "v", 8)
-    return sl.pca_apply(rows, loadings, "v", "z").select("vec_id", F.posexplode("z").alias("component", "z"))
+    return sl.pca_apply(rows, loadings, "v", "z").select("vec_id", F.posexplode("z").alias("component", "z")).select(
+        "vec_id", "component", r6("z").alias("z"))

@@ -14,6 +14,7 @@ from tickwise.queries import query
 from tickwise.queries.common import (
     CELLS_SQL, DESCRIPTORS_SQL, FRAME_ORDER, descriptors, frames, q6, r6, table, windows_sql,
 )
+from tickwise.queries.splits_scaling import SPLIT_SQL
 from tickwise.session import staged
 
 
@@ -256,19 +257,54 @@ def score(spark, sf):
     return so.score_bags(bag, "z", so.linear_scorer(_weights(8), -0.1)).select("seq", "y", r6("p").alias("p"))
 
 
-@query("train_bag_classifier")
+# Ridge with which plain gradient descent in SQL also comes to the optimum within rounding.
+_RIDGE = 0.5
+_TRAIN_SQL = f"""WITH RECURSIVE {windows_sql(10, 10)},
+wins AS (
+    SELECT seq * 1000000 + win // 4 AS bag, win, max(label) AS y, avg(c0) AS c0, avg(c1) AS c1, avg(c2) AS c2, avg(c3) AS c3
+    FROM ticks GROUP BY seq, win),
+bags AS (
+    SELECT bag, max(y) AS bag_label, [{', '.join(f"{fn}(c{i}{', win' if fn == 'max_by' else ''})"
+    for fn in ('avg', 'stddev_pop', 'max', 'max_by') for i in range(4))}] AS v FROM wins GROUP BY bag),
+labelled AS (SELECT 'frames' AS dataset_id, bag AS sequence_name, bag_label AS label FROM bags),{SPLIT_SQL},
+cells AS (SELECT bag, unnest(range(1, 17)) AS j, unnest(v) AS x FROM bags),
+fitted AS (
+    SELECT j, avg(x) AS mean, CASE WHEN stddev_pop(x) < 1e-6 THEN 1.0 ELSE stddev_pop(x) END AS std
+    FROM cells JOIN assigned ON sequence_name = bag WHERE split = 'train' GROUP BY 1),
+ready AS MATERIALIZED (
+    SELECT bag, split, label AS y, list_append(list((x - mean) / std ORDER BY j), 1.0) AS x
+    FROM cells JOIN fitted USING (j) JOIN assigned ON sequence_name = bag GROUP BY ALL),
+train AS MATERIALIZED (SELECT x, y FROM ready WHERE split = 'train'),
+fit AS (
+    SELECT 0 AS step, [{', '.join(['0.0::DOUBLE'] * 17)}] AS w
+    UNION ALL
+    SELECT step + 1, list(w ORDER BY j) FROM (
+        SELECT step, j, any_value(w[j]) - CASE WHEN j < 17 THEN 0.2 ELSE 2.0 END * (
+            avg((1 / (1 + exp(-list_dot_product(w, x))) - y) * x[j])
+            + CASE WHEN j < 17 THEN {_RIDGE} * any_value(w[j]) ELSE 0 END) AS w
+        FROM (SELECT step, w, x, y, unnest(range(1, 18)) AS j FROM fit, train WHERE step < 400) GROUP BY step, j)
+    GROUP BY step)"""
+
+
+@query(
+    "train_bag_classifier",
+    f"""{_TRAIN_SQL}
+    SELECT bag AS seq, split, y AS bag_label, {q6('1 / (1 + exp(-list_dot_product(w, x)))')} AS p
+    FROM ready, fit WHERE step = 400""",
+)
 def train(spark, sf):
-    rows = frames(spark, sf)
-    windows = staged(wi.sliding_windows(
-        rows, ["seq"], FRAME_ORDER, 50, 50, "label",
-        {f"c{i}": F.avg(F.get("kin", F.lit(i))) for i in range(4)}
-    ).select("seq", "window", "y", F.array("c0", "c1", "c2", "c3").alias("v")), "windows")
+    """Bags of four short windows, so that both classes occur."""
+    cut = wi.sliding_windows(
+        frames(spark, sf), ["seq"], FRAME_ORDER, 10, 10, "label",
+        {f"c{i}": F.avg(F.get("kin", F.lit(i))) for i in range(4)})
+    bag = (F.col("seq") * 1_000_000 + F.floor(F.col("window") / 4)).alias("seq")
+    windows = staged(cut.select(bag, "window", "y", F.array("c0", "c1", "c2", "c3").alias("v")), "windows")
     heads = wi.build_bags(windows, ["seq"]).withColumn("dataset_id", F.lit("frames"))
     features = so.bag_features(windows, ["seq"], "window", "v", 4).join(heads, "seq")
     splits = split_stratified(heads.select("dataset_id", "seq", "bag_label"), "dataset_id", "seq", "bag_label")
     ready = staged(features.join(splits.select("seq", "split"), "seq"), "bags")
-    model = so.train_bag_classifier(ready.where("split = 'train'"), "features", "bag_label")
-    return so.predict_bags(model, ready, "features").select("seq", "split", "bag_label", "p")
+    model = so.train_bag_classifier(ready.where("split = 'train'"), "features", "bag_label", l2=_RIDGE)
+    return so.predict_bags(model, ready, "features").select("seq", "split", "bag_label", r6("p").alias("p"))
 
 
 _LOSS_SQL = f"""{DESCRIPTORS_SQL}, logits AS (
