@@ -50,6 +50,7 @@ def scans(df):
 @pytest.mark.parametrize("name,most_scans,most_shuffles", [
     ("pool_gated_attention", 2, 2), ("pool_attention", 2, 3), ("pool_mean", 2, 2), ("pool_max", 3, 3), ("tail_bag_trace", 1, 1),
     ("scan_topic_value", 2, 4), ("linear_interp_trace", 2, 3), ("jump_segment", 2, 2),
+    ("split_stratified", 2, 1), ("windows_by_split", 2, 2), ("metrics_per_dataset", 1, 1),
 ])
 def test_scans_and_shuffles_stay_few(spark, name, most_scans, most_shuffles):
     df = QUERIES[name](spark, SF)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tickwise.operators.lookup import join_lookup
 from tickwise.operators.ordered import ordered_scan
+from tickwise.session import staged
 
 OVERALL = "overall"
 DEFAULT_THRESHOLD = 0.5
@@ -56,7 +57,10 @@ def f1_of(tp: Column, fp: Column, fn: Column) -> Column:
 
 def threshold_f1(scores: DataFrame, group: Sequence[str], p: str, y: str) -> DataFrame:
     """Threshold of the best F1 over the observed scores, the lowest of equals; 0.5 for one class."""
-    steps = score_steps(scores, group, p, y)
+    return _best_threshold(score_steps(scores, group, p, y), group)
+
+
+def _best_threshold(steps: DataFrame, group: Sequence[str]) -> DataFrame:
     f1 = f1_of(F.col("tp"), F.col("fp"), F.col("fn"))
     best = steps.groupBy(*group).agg(
         F.max(F.struct(f1.alias("f1"), (-F.col("threshold")).alias("neg"))).alias("_b"),
@@ -71,10 +75,14 @@ def threshold_f1(scores: DataFrame, group: Sequence[str], p: str, y: str) -> Dat
 
 def auc(scores: DataFrame, group: Sequence[str], p: str, y: str) -> DataFrame:
     """Exact area under the ROC curve, ties counted half; null for a single class."""
-    steps = score_steps(scores, group, p, y)
+    return score_steps(scores, group, p, y).groupBy(*group).agg(_area().alias("auc"))
+
+
+def _area() -> Column:
+    """Area under the curve from the steps of a group."""
     area = F.sum(F.col("pos_here") * (F.col("tn") + F.col("neg_here") / 2.0))
     pairs = F.max("n_pos") * F.max("n_neg")
-    return steps.groupBy(*group).agg(F.when(pairs > 0, area / pairs).alias("auc"))
+    return F.when(pairs > 0, area / pairs)
 
 
 def roc_curve(scores: DataFrame, group: Sequence[str], p: str, y: str) -> DataFrame:
@@ -169,31 +177,35 @@ def metrics_per_dataset(test: DataFrame, val: DataFrame, dataset: str, p: str, y
 
     Each dataset is judged at the threshold tuned on its own validation scores, or at the
     global one where it has none; the overall row at the global one. F1 and accuracy at the
-    global threshold come along.
+    global threshold come along. Both sets of scores are read once and reduced to distinct scores;
+    thresholds, counts, areas and means all come from those. A row without a score is in no count.
     """
-    tuned = threshold_f1(with_overall(val, dataset), [dataset], p, y)
-    fallback = tuned.where(F.col(dataset) == OVERALL).agg(
-        F.coalesce(F.max("threshold"), F.lit(DEFAULT_THRESHOLD)).alias("t")
-    ).first()["t"]
-    rows = join_lookup(with_overall(test, dataset), tuned, dataset, "left").withColumn(
-        "threshold", F.coalesce("threshold", F.lit(fallback))
-    )
-    hit, pos = F.col(p) >= F.lit(fallback), F.col(y) > 0.5
-    on_pos = F.coalesce(F.avg(F.when(pos, F.col(p))), F.lit(0.0))
-    on_neg = F.coalesce(F.avg(F.when(~pos, F.col(p))), F.lit(0.0))
+    columns = [F.col(dataset), F.col(p).alias("_p"), F.col(y).alias("_y")]
+    both = test.select(*columns, F.lit(True).alias("_test")).unionByName(val.select(*columns, F.lit(False).alias("_test")))
+    steps = staged(score_steps(with_overall(both, dataset), [dataset, "_test"], "_p", "_y"), "score_steps")
+    tuned = _best_threshold(steps.where("not _test"), [dataset]).withColumnRenamed("threshold", "_own")
+    overall = tuned.where(F.col(dataset) == OVERALL).select(F.col(dataset).alias("_all"), F.col("_own").alias("_global"))
+    rows = join_lookup(
+        join_lookup(steps.where("_test").withColumn("_all", F.lit(OVERALL)), tuned, dataset), overall, "_all")
+    general = F.coalesce("_global", F.lit(DEFAULT_THRESHOLD))
+    own = F.coalesce("_own", general)
+    score, pos, neg = F.col("threshold"), F.col("pos_here"), F.col("neg_here")
+
+    def counts(at: Column, mark: str = "") -> list[Column]:
+        cells = {"tn": (score < at, neg), "fp": (score >= at, neg), "fn": (score < at, pos), "tp": (score >= at, pos)}
+        return [F.sum(F.when(c, k).otherwise(0)).alias(mark + o) for o, (c, k) in cells.items()]
+
+    mean_of = lambda k: F.coalesce(F.try_divide(F.sum(score * k), F.sum(F.when(score.isNotNull(), k))), F.lit(0.0))
     cells = rows.groupBy(dataset).agg(
-        F.max("threshold").alias("threshold"),
-        *_counts(F.col(p), F.col(y), F.col("threshold")),
-        F.count_if(hit & pos).alias("_gtp"),
-        F.count_if(hit & ~pos).alias("_gfp"),
-        F.count_if(~hit & pos).alias("_gfn"),
-        F.count_if(~hit & ~pos).alias("_gtn"),
-        on_pos.alias("mean_prob_on_pos"),
-        on_neg.alias("mean_prob_on_neg"),
+        F.max(own).alias("threshold"),
+        *counts(own),
+        *counts(general, "_g"),
+        _area().alias("auc"),
+        mean_of(pos).alias("mean_prob_on_pos"),
+        mean_of(neg).alias("mean_prob_on_neg"),
     )
-    area = auc(with_overall(test, dataset), [dataset], p, y)
     tn, fp, fn, tp = _cells()
-    return cells.join(area, dataset, "left").select(
+    return cells.select(
         dataset,
         "threshold",
         "tn",

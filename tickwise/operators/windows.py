@@ -67,10 +67,19 @@ def clean_vectors(df: DataFrame, vector: str, width: int) -> DataFrame:
 def windows_by_split(
     df: DataFrame, split: DataFrame, keys: Sequence[str], order: Sequence[str], length: int, stride: int,
     label: str, vector: str, width: int, aggs: Mapping[str, Column] | None = None,
-    hot: HotKeys | None = None,
+    hot: HotKeys | None = None, name: str | None = None,
 ) -> DataFrame:
-    """Windows of the sequences listed in ``split``, after fitting widths and dropping bad rows."""
-    chosen = join_facts(df, split.select(*keys).distinct(), keys, "left_semi", hot)
+    """Windows of the sequences listed in ``split``, after fitting widths and dropping bad rows.
+
+    With ``name``, a column of ``split``, one pass cuts the windows of all splits and says in that
+    column which one a window belongs to; a sequence must then stand in one split only.
+    """
+    if name is None:
+        chosen = join_facts(df, split.select(*keys).distinct(), keys, "left_semi", hot)
+        aggs = dict(aggs or {})
+    else:
+        chosen = join_facts(df, split.select(*keys, name).distinct(), keys, "inner", hot)
+        aggs = {**(aggs or {}), name: F.min(name)}
     return sliding_windows(clean_vectors(chosen, vector, width), keys, order, length, stride, label, aggs, hot)
 
 

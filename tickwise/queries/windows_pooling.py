@@ -53,13 +53,8 @@ def by_split(spark, sf):
     splits = rows.select("seq").distinct().withColumn(
         "split", F.when(F.md5(F.col("seq").cast("string")) < "8", "train").otherwise("test"))
     aggs = {"c0": F.avg(F.get("kin", F.lit(0))), "c5": F.max(F.get("kin", F.lit(5)))}
-    parts = [
-        wi.windows_by_split(
-            rows, splits.where(F.col("split") == s), ["seq"], FRAME_ORDER, 50, 50, "label", "kin", 6, aggs, hot
-        ).withColumn("split", F.lit(s))
-        for s in ("train", "test")
-    ]
-    return parts[0].unionByName(parts[1]).select("seq", "window", "y", r6("c0").alias("c0"), "c5", "split")
+    out = wi.windows_by_split(rows, splits, ["seq"], FRAME_ORDER, 50, 50, "label", "kin", 6, aggs, hot, "split")
+    return out.select("seq", "window", "y", r6("c0").alias("c0"), "c5", "split")
 
 
 @query(
