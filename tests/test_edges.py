@@ -601,6 +601,33 @@ def test_dataset_without_validation_uses_the_global_threshold(spark):
     assert got["overall"]["accuracy"] == 1.0
 
 
+def test_metrics_without_validation_and_with_missing_scores(spark):
+    test = scored(spark, [("a", 0.8, 1), ("a", 0.4, 0), ("a", None, 1), (None, 0.6, 0)])
+    got = {r["ds"]: r for r in me.metrics_per_dataset(test, test.limit(0), "ds", "p", "y").collect()}
+    assert {k: (r["tp"], r["fp"], r["fn"], r["tn"]) for k, r in got.items()} == {
+        "a": (1, 0, 0, 1), None: (0, 1, 0, 0), "overall": (1, 1, 0, 1)}
+    assert all(r["threshold"] == 0.5 for r in got.values())
+    assert got["a"]["mean_prob_on_pos"] == 0.8 and got[None]["mean_prob_on_pos"] == 0.0
+
+
+def test_windows_of_all_splits_in_one_pass(spark):
+    rows = spark.createDataFrame(
+        [(s, i, float(i == 3), [float(i)]) for s in ("a", "b", "c") for i in range(6)], "seq string, t int, y double, v array<double>")
+    split = spark.createDataFrame([("a", "train"), ("b", "test")], "seq string, split string")
+    args = (["seq"], ["t"], 2, 2, "y", "v", 1)
+    one = wi.windows_by_split(rows, split, *args, name="split").collect()
+    assert sorted((r["seq"], r["window"], r["y"], r["split"]) for r in one) == [
+        (s, w, float(w == 1), n) for s, n in (("a", "train"), ("b", "test")) for w in range(3)]
+    apart = wi.windows_by_split(rows, split.where("split = 'test'"), *args).collect()
+    assert {r["seq"] for r in apart} == {"b"} and len(apart) == 3
+
+
+def test_null_dataset_is_split_like_any_other(spark):
+    rows = labelled(spark, 20, 20).unionByName(labelled(spark, 20, 20).withColumn("ds", F.lit(None).cast("string")))
+    out = sp.split_stratified(rows, "ds", "name", "y")
+    assert counts(out.where("ds is null")) == counts(out.where("ds = 'd'")) and out.count() == 80
+
+
 # --- traces --------------------------------------------------------------------------------
 
 def reference_metrics(t):
