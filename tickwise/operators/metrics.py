@@ -182,11 +182,13 @@ def metrics_per_dataset(test: DataFrame, val: DataFrame, dataset: str, p: str, y
     """
     columns = [F.col(dataset), F.col(p).alias("_p"), F.col(y).alias("_y")]
     both = test.select(*columns, F.lit(True).alias("_test")).unionByName(val.select(*columns, F.lit(False).alias("_test")))
-    steps = staged(score_steps(with_overall(both, dataset), [dataset, "_test"], "_p", "_y"), "score_steps")
+    steps = score_steps(with_overall(both, dataset), [dataset, "_test"], "_p", "_y")
+    # Written along, so that the join on it is one on a column and not on a constant.
+    steps = staged(steps.withColumn("_all", F.lit(OVERALL)), "score_steps")
     tuned = _best_threshold(steps.where("not _test"), [dataset]).withColumnRenamed("threshold", "_own")
     overall = tuned.where(F.col(dataset) == OVERALL).select(F.col(dataset).alias("_all"), F.col("_own").alias("_global"))
     rows = join_lookup(
-        join_lookup(steps.where("_test").withColumn("_all", F.lit(OVERALL)), tuned, dataset), overall, "_all")
+        join_lookup(steps.where("_test"), tuned, dataset), overall, "_all")
     general = F.coalesce("_global", F.lit(DEFAULT_THRESHOLD))
     own = F.coalesce("_own", general)
     score, pos, neg = F.col("threshold"), F.col("pos_here"), F.col("neg_here")
