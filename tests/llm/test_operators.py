@@ -93,6 +93,37 @@ def test_near_duplicates(spark):
     assert neardup.near_duplicates(df.limit(0), 4).count() == 0
 
 
+def _one_family(size, seed=11):
+    """Near copies of one text, most pairs of them just above or just below the similarity."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randint(0, 500)}" for _ in range(120)]
+    copies = [[f"q{rng.randint(0, 99_999)}" if rng.random() < 0.02 + rng.random() * 0.04 else w for w in base] for _ in range(size)]
+    return [(i, " ".join(words)) for i, words in enumerate(copies)]
+
+
+def test_near_duplicates_of_one_family_stay_linear(spark, monkeypatch):
+    written = {}
+    kept = neardup.staged
+
+    def counting(df, label):
+        out = kept(df, label)
+        written[label] = max(written.get(label, 0), out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "staged", counting)
+    # A few shingles a block, so that the family is spread over many of them.
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 5_000)
+    seen = []
+    for size in (150, 300):
+        rows = _one_family(size)
+        got = [(r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, DOCS), 4).collect()]
+        assert sorted(got) == sorted(_components(rows, 4))
+        seen.append(dict(written))
+        written.clear()
+    assert seen[1]["links"] <= 300
+    assert seen[1]["links"] <= 2.5 * max(seen[0]["links"], 20)
+
+
 def _joined(links):
     root = {}
 

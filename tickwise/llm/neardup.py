@@ -14,8 +14,10 @@ stars instead of all pairs of a bucket:
    and is paired with all classes of other components.
 3. What is left is settled exactly: in buckets that hold several components, each class outside
    the bucket's main component is compared with the classes of other components, in blocks of
-   bounded size, by signatures inside the task. Only pairs that could reach the similarity are
-   emitted and confirmed on the full sets.
+   bounded size, inside the task. Signatures tell which classes of a block meet any class at all
+   that could be similar; these rows alone fetch their full sets, on which the block's pairs are
+   confirmed. A pair is looked at in one of its buckets, and a block emits a forest of links, so
+   no stage writes more rows than blocks have classes.
 
 Every link is confirmed on full sets. A pair at the required similarity of 0.8 shares no bucket
 with a probability of 3e-6, and the signature bounds lie 3.5 standard deviations below it.
@@ -43,6 +45,8 @@ PERCENT = 80
 BINS = 256
 BAND_ROWS = 6
 BLOCK = 1024
+#: Shingles on one side of a block, so that its full sets take about 8 MB.
+BLOCK_SHINGLES = 1 << 20
 _LAST = (1 << 63) - 1
 _ORDER = np.array([np.random.Generator(np.random.PCG64(i)).permutation(BINS) for i in range(BINS)])
 Batches = Iterator[pa.RecordBatch]
@@ -188,36 +192,77 @@ def _confirmed(percent: int) -> Callable[[Batches], Batches]:
     return run
 
 
-def _blocks(percent: int) -> Callable[[Batches], Batches]:
-    """Pairs of a block: strays against classes of other components, by signature."""
+def _near_pairs(t: pa.Table, percent: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(block, stray, members by falling estimate) for rows sorted by block.
+
+    A pair belongs to the first bucket that its classes share, and a pair of two strays to the
+    one with the smaller name.
+    """
+    columns = [t.column(k).to_numpy() for k in ("bucket", "sb", "mb")]
+    new = np.zeros(t.num_rows, bool)
+    for v in columns:
+        new[1:] |= v[1:] != v[:-1]
+    edges = np.r_[0, np.flatnonzero(new), t.num_rows]
+    c, root = np.array(t.column("c").to_pylist(), object), np.array(t.column("root").to_pylist(), object)
+    stray, outside, n = (t.column(k).to_numpy() for k in ("stray", "outside", "n"))
+    marks = _marks(t.column("marks"))
+    bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+    for block, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        members = lo + np.flatnonzero(~stray[lo:hi])
+        for i in lo + np.flatnonzero(stray[lo:hi]):
+            m = members[100 * np.minimum(n[members], n[i]) >= percent * np.maximum(n[members], n[i])]
+            m = m[(root[m] != root[i]) & (~outside[m] | (c[m] > c[i]))]
+            m = m[bands[i][(bands[m] == bands[i]).argmax(axis=1)] == columns[0][i]]
+            if len(m):
+                e = _estimates(marks[m], marks[i])
+                ok = e >= _least_estimate(np.minimum(n[m], n[i]), percent)
+                if ok.any():
+                    yield block, i, m[ok][np.argsort(-e[ok], kind="stable")]
+
+
+def _candidates(percent: int) -> Callable[[Batches], Batches]:
+    """Rows of blocks that are part of any pair which signatures let pass."""
 
     def run(batches: Batches) -> Batches:
         for t in whole_groups(batches, ["bucket", "sb", "mb"], 4 * BLOCK):
-            columns = [t.column(k).to_numpy() for k in ("bucket", "sb", "mb")]
-            new = np.zeros(t.num_rows, bool)
-            for v in columns:
-                new[1:] |= v[1:] != v[:-1]
-            edges = np.r_[0, np.flatnonzero(new), t.num_rows]
-            c, root = np.array(t.column("c").to_pylist(), object), np.array(t.column("root").to_pylist(), object)
-            stray, n = t.column("stray").to_numpy(), t.column("n").to_numpy()
-            marks = _marks(t.column("marks"))
-            out_a, out_b = [], []
-            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                s, m = lo + np.flatnonzero(stray[lo:hi]), lo + np.flatnonzero(~stray[lo:hi])
-                for i in s:
-                    near = m[(root[m] != root[i]) & (100 * np.minimum(n[m], n[i]) >= percent * np.maximum(n[m], n[i]))]
-                    if len(near):
-                        e = _estimates(marks[near], marks[i])
-                        hit = near[e >= _least_estimate(np.minimum(n[near], n[i]), percent)]
-                        out_a += [c[i]] * len(hit)
-                        out_b += list(c[hit])
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], names=["a", "b"])
+            used = np.zeros(t.num_rows, bool)
+            for _, i, m in _near_pairs(t, percent):
+                used[i] = used[m] = True
+            yield from t.take(pa.array(np.flatnonzero(used))).to_batches()
 
     return run
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *[x for x in pairs.columns if x not in "ab"])
+def _settled(percent: int) -> Callable[[Batches], Batches]:
+    """Links of blocks on full sets, as a forest over the components that meet in a block."""
+
+    def run(batches: Batches) -> Batches:
+        for t in whole_groups(batches, ["bucket", "sb", "mb"], 4 * BLOCK, 16 * BLOCK_SHINGLES):
+            c, root, sets = t.column("c").to_pylist(), t.column("root").to_pylist(), t.column("set")
+            parent: dict[tuple[int, bytes], tuple[int, bytes]] = {}
+
+            def find(x: tuple[int, bytes]) -> tuple[int, bytes]:
+                while (up := parent.get(x, x)) != x:  # noqa: B023
+                    parent[x] = parent.get(up, up)  # noqa: B023
+                    x = up
+                return x
+
+            out_a, out_b = [], []
+            for block, i, near in _near_pairs(t, percent):
+                own = np.frombuffer(sets[int(i)].as_py(), np.uint64)
+                for m in near:
+                    a, b = find((block, root[i])), find((block, root[m]))
+                    if a == b:
+                        continue
+                    other = np.frombuffer(sets[int(m)].as_py(), np.uint64)
+                    both = len(np.intersect1d(own, other, assume_unique=True))
+                    if 100 * both >= percent * (len(own) + len(other) - both):
+                        parent[a] = b
+                        out_a.append(c[i])
+                        out_b.append(c[m])
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], names=["a", "b"])
+
+    return run
 
 
 class _Links:
@@ -246,14 +291,33 @@ class _Links:
 
 
 def _mixed(buckets: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows (bucket, c, root) of buckets that hold several components, with their main one."""
+    """Rows (bucket, c, n, root) of buckets that hold several components, with their main one."""
     named = buckets.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-    counts = named.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("k"))
+    counts = named.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("w"))
     mixed = counts.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("parts"), F.sum("k").alias("size"), F.max(F.struct("k", "root")).getField("root").alias("main"),
-        (F.sum("k") - F.max("k")).alias("strays"),
+        F.count(F.lit(1)).alias("parts"), F.sum("k").alias("size"), F.sum("w").alias("weight"), F.max(F.struct("k", "root", "w")).alias("m"),
     ).where("parts > 1")
-    return named.join(mixed, "bucket")
+    return named.join(mixed, "bucket").withColumn("main", F.col("m.root"))
+
+
+def _settle(rest: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components that still share a bucket; ``rest`` is of ``_mixed``."""
+    wide = rest.withColumn("outside", F.col("root") != F.col("main")).join(classes.select("c", "marks", "bands"), "c")
+    blocks = lambda size, weight: F.ceil(F.greatest(size / BLOCK, weight / BLOCK_SHINGLES)).cast("int")
+    outer = blocks(F.col("size") - F.col("m.k"), F.col("weight") - F.col("m.w"))
+    every = blocks(F.col("size"), F.col("weight"))
+    spread = lambda k: F.pmod(F.xxhash64("c"), k).cast("int")
+    each = lambda k: F.explode(F.sequence(F.lit(0), k - 1))
+    fields = ["bucket", "c", "root", "n", "outside", "marks", "bands"]
+    members = wide.select(*fields, F.lit(False).alias("stray"), each(outer).alias("sb"), spread(every).alias("mb"))
+    strays = wide.where("outside").select(*fields, F.lit(True).alias("stray"), spread(outer).alias("sb"), each(every).alias("mb"))
+    rows = members.unionAll(strays.select(members.columns))
+    block = ["bucket", "sb", "mb"]
+    near = rows.repartition(*block).sortWithinPartitions(*block).mapInArrow(
+        _candidates(percent), "bucket long, c binary, root binary, n long, outside boolean, marks binary, bands array<long>, stray boolean, sb int, mb int"
+    )
+    full = staged(near, "near").join(sets, "c")
+    return full.repartition(*block).sortWithinPartitions(*block).mapInArrow(_settled(percent), "a binary, b binary")
 
 
 def near_duplicates(
@@ -279,9 +343,9 @@ def near_duplicates(
         .agg(F.min(F.struct("d", "u")).alias("rep"), F.first("bands").alias("bands"), F.first("marks").alias("marks")),
         "classes",
     )
-    banded = classes.select("c", F.explode("bands").alias("bucket"))
+    banded = classes.select("c", "n", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct(F.xxhash64("c"), "c")).getField("c").alias("centre"))
-    buckets = staged(banded.join(shared.where("k > 1"), "bucket").select("bucket", "c", "centre"), "buckets")
+    buckets = staged(banded.join(shared.where("k > 1"), "bucket").select("bucket", "c", "n", "centre"), "buckets")
     wanted = buckets.select("c").distinct().join(classes.select("c", "rep"), "c").select("c", "rep.d", "rep.u")
     sets = staged(named.join(wanted, ["d", "u"]).select("c", "text").mapInArrow(_sets(shingle), "c binary, set binary").dropDuplicates(["c"]), "sets")
     links = _Links(classes, sets, percent)
@@ -301,19 +365,7 @@ def near_duplicates(
         roots = merged(roots, found)
 
     rest = staged(_mixed(buckets.drop("centre"), roots), "mixed")
-    wide = rest.join(classes.select("c", "n", "marks"), "c")
-    blocks = lambda size: F.ceil(F.col(size) / BLOCK).cast("int")
-    spread = lambda k: F.pmod(F.xxhash64("c"), k).cast("int")
-    each = lambda k: F.explode(F.sequence(F.lit(0), k - 1))
-    fields = ["bucket", "c", "root", "n", "marks"]
-    # A pair of two strays is met twice; the larger component's side keeps it out once.
-    members = wide.select(*fields, F.lit(False).alias("stray"), each(blocks("strays")).alias("sb"), spread(blocks("size")).alias("mb"))
-    strays = wide.where("root <> main").select(*fields, F.lit(True).alias("stray"), spread(blocks("strays")).alias("sb"), each(blocks("size")).alias("mb"))
-    left = (
-        members.unionAll(strays.select(members.columns)).repartition("bucket", "sb", "mb")
-        .sortWithinPartitions("bucket", "sb", "mb").mapInArrow(_blocks(percent), "a binary, b binary")
-    )
-    found = staged(links.confirmed(_ordered(left).distinct()), "links")
+    found = staged(_settle(rest, classes, sets, percent), "links")
     if not found.isEmpty():
         roots = merged(roots, found)
     roots = roots.withColumnRenamed("node", "c")

@@ -161,15 +161,17 @@ def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
     return pos[:n]
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], limit: int) -> Iterator[pa.Table]:
-    """Tables of about ``limit`` rows from batches sorted by ``keys``, cut between groups only."""
+def whole_groups(
+    batches: Iterator[pa.RecordBatch], keys: list[str], limit: int, limit_bytes: int | None = None
+) -> Iterator[pa.Table]:
+    """Tables of about ``limit`` rows or ``limit_bytes`` from batches sorted by ``keys``, cut between groups only."""
     held: list[pa.RecordBatch] = []
     rows = 0
     for batch in batches:
         if batch.num_rows:
             held.append(batch)
             rows += batch.num_rows
-        if rows < limit:
+        if rows < limit and (limit_bytes is None or sum(b.nbytes for b in held) < limit_bytes):
             continue
         t = pa.Table.from_batches(held)
         new = np.zeros(t.num_rows - 1, dtype=bool)
