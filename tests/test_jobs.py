@@ -214,6 +214,70 @@ def test_train_and_evaluate(spark, features):
     assert scores.where("p < 0 or p > 1").count() == 0
 
 
+@pytest.fixture(scope="module")
+def three_inputs(features):
+    """The same with descriptors, one element of them not finite, and instructions in one dataset."""
+    x = F.get("kin", F.lit(1)).cast("double")
+    bad = (F.col(SEQ) == "a003") & (F.col(TIME) == 3)
+    return features.withColumn("cnn", F.array(x * 2 + 1, F.when(bad, F.lit(float("nan"))).otherwise(x * x), F.lit(7.0))).withColumn(
+        "nl_emb", F.when(F.col("dataset_id") == "a", F.array(x, F.lit(0.5))))
+
+
+def scaler_of(ticks, length, stride):
+    """Mean and deviation over all ticks of all complete windows, from windows that are built."""
+    rows = []
+    for seq in ticks.values():
+        for start in range(0, len(seq) - length + 1, stride):
+            rows += seq[start : start + length]
+    m = np.array(rows, float)
+    std = np.nanstd(m, axis=0)
+    return np.nanmean(m, axis=0), np.where(std < 1e-6, 1.0, std)
+
+
+def test_evaluate_stratified_on_three_inputs(spark, three_inputs, tmp_path):
+    s = ev.Settings(length=10, stride=4, width=4, cnn_width=3, instruction_dim=2, without_instruction=("b",))
+    path = str(tmp_path / "scaler")
+    metrics, scores = ev.train_and_evaluate(three_inputs, None, s, scaler_path=path)
+    got = {r["dataset_id"]: r for r in metrics.collect()}
+    assert set(got) == {"a", "b", "overall"} and got["a"]["auc"] > 0.9
+    split = {(r["dataset_id"], r[SEQ]): r["split"] for r in ev.assign(three_inputs, None, s).collect()}
+    assert len(split) == 100 and {k: split[k] for k in split if k[1][1:] != "000"} == {
+        (r["dataset_id"], r[SEQ]): r["split"] for r in scores.collect()}
+    ticks = {"kin": {}, "cnn": {}}
+    for r in three_inputs.orderBy("dataset_id", SEQ, TIME).collect():
+        key = (r["dataset_id"], r[SEQ])
+        if split[key] == "train":
+            ticks["kin"].setdefault(key, []).append([*r["kin"], 0.0])
+            ticks["cnn"].setdefault(key, []).append(r["cnn"])
+    for stream, width in (("kin", 4), ("cnn", 3)):
+        mean, std = scaler_of(ticks[stream], 10, 4)
+        rows = spark.read.parquet(path).where(F.col("stream") == stream).orderBy("channel").collect()
+        assert [r["channel"] for r in rows] == list(range(width))
+        assert np.allclose([r["mean"] for r in rows], mean) and np.allclose([r["std"] for r in rows], std)
+
+
+def test_evaluate_zero_shot(three_inputs):
+    s = ev.Settings(length=10, stride=10, width=4)
+    metrics, scores = ev.train_and_evaluate(three_inputs, None, s, ["a"], ["b"])
+    assert {tuple(r) for r in scores.select("dataset_id", "split").distinct().collect()} == {
+        ("a", "train"), ("a", "val"), ("b", "test")}
+    assert {r["dataset_id"] for r in metrics.collect()} == {"b", "overall"}
+
+
+def test_evaluate_splits_training_datasets_only(three_inputs):
+    s = ev.Settings()
+    assert {r["dataset_id"] for r in ev.assign(three_inputs, None, s, ["a"], ["a", "b"]).collect()} == {"a"}
+
+
+def test_instruction_of_a_bag_is_its_first_one(spark, three_inputs):
+    s = ev.Settings(instruction_dim=3, without_instruction=("b",))
+    bags = spark.createDataFrame(
+        [("a", "a001", [9.0]), ("b", "b001", [9.0]), ("a", "none", [9.0])], "dataset_id string, sequence_name string, features array<double>")
+    got = {r[SEQ]: r["features"] for r in ev.with_instruction(bags, three_inputs, s).collect()}
+    first = three_inputs.where(f"{SEQ} = 'a001' AND {TIME} = 0").first()["nl_emb"]
+    assert got == {"a001": [9.0, *first, 0.0, 0.0], "b001": [9.0, 0, 0, 0, 1.0], "none": [9.0, 0, 0, 0, 0.0]}
+
+
 def test_select_acts(spark):
     names = [(f"x_f{i % 2}_ep{i}", int(i < 6), 400, 10) for i in range(12)]
     seqs = spark.createDataFrame(names, f"{SEQ} string, label int, ticks long, n_windows long")
