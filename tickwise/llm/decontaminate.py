@@ -7,9 +7,13 @@ compared with the items by cosine, and what comes close is checked: the longest
 subsequence of words must cover enough of the item, and so must the item's answer.
 
 * Frequencies are counted over all blocks of all documents; in a block a term counts once.
-* The basis is fitted on a bounded sample: all items and at most ``sample_docs`` documents, chosen
-  by a hash of id and text; rows that agree in both are one document of it. Its matrix stays spread over tasks; a pass multiplies it with a tall
-  matrix and sums the tasks' products by rows of terms.
+* The basis is fitted on all items and on all passages of ``3 * BLOCK`` words of all documents, as
+  often as they occur. Together the passages weigh as much as ``CORPUS_ROWS`` rows, so that a large
+  corpus does not drown the items. The matrix is never stored: a pass cuts it from the texts anew,
+  multiplies it with a tall matrix and sums the tasks' products by rows of terms. A task holds the
+  products of ``SLAB`` columns, and there are no more tasks than the session runs at once, so memory
+  and shuffle of a pass have a bound. A caller may name ``sample_docs`` to fit on that many documents
+  only, chosen by a hash of id and text; rows that agree in both are one document of it.
 * An item part whose words stand in a row in a document is checked whatever its cosine: positions
   of its first words are looked up by hash, then all its words are compared.
 * The search reads whole documents, block by block. Neighbouring blocks of ``BLOCK`` words make
@@ -26,13 +30,14 @@ repeat are found each.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickwise.llm.words import PUNCTUATION, mix, split_words, text_slices
@@ -45,8 +50,12 @@ PART = 64
 RANK = 64
 OVERSAMPLE = 10
 POWER = 1
-SAMPLE_DOCS = 250
+PASSAGE = 3 * BLOCK
 SAMPLE_PASSAGES = 3
+CORPUS_ROWS = 750
+SLAB = 37
+TASK_BLOCKS = 1 << 20
+PASSAGES_AT_ONCE = 4_096
 ITEM_WEIGHT = 4.0
 ITEM_ROWS = 4_000
 COSINE = 0.72
@@ -67,27 +76,61 @@ def _blocks(words) -> tuple[np.ndarray, np.ndarray]:
     return start, owner[start]
 
 
+def _grid(words, width: int) -> np.ndarray:
+    """Terms of consecutive passages of ``width`` words, one to a row; -1 where a text ends earlier."""
+    at = np.arange(len(words.hashes)) - words.first[words.text_of_word()]
+    out = np.full((int((at % width == 0).sum()), width), -1, np.int32)
+    out[np.cumsum(at % width == 0) - 1, at % width] = _terms(words.hashes)
+    return out
+
+
+def _once(grid: np.ndarray) -> np.ndarray:
+    """Rows of terms in order, further occurrences within a row as -1."""
+    out = np.sort(grid, axis=1)
+    out[:, 1:][out[:, 1:] == out[:, :-1]] = -1
+    return out
+
+
 def _frequencies(batches: Batches) -> Batches:
-    """(term, n): in how many blocks of a task each term occurs; term -1 counts the blocks."""
-    total, blocks = np.zeros(TERMS, np.int64), 0
+    """(chunk, part): in how many blocks of a task each term of a chunk occurs; chunk -1 counts blocks and passages."""
+    total, counted = np.zeros(TERMS, np.int64), np.zeros(2, np.int64)
     for batch in batches:
         for _, _, data, off in text_slices(batch.column("text")):
-            w = split_words(data, off, True, PUNCTUATION)
-            start, _ = _blocks(w)
-            number = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(w.hashes)]))
-            total += np.bincount(np.unique(number * np.int64(TERMS) + _terms(w.hashes)) % TERMS, minlength=TERMS)
-            blocks += len(start)
-    seen = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, seen]), pa.array(np.r_[blocks, total[seen]])], names=["term", "n"])
+            words = split_words(data, off, True, PUNCTUATION)
+            grid = _once(_grid(words, BLOCK))
+            total += np.bincount(grid[grid >= 0], minlength=TERMS)
+            counted += len(grid), int((-(-np.diff(words.first) // PASSAGE)).sum())
+    chunks = [c for c in range(0, TERMS, TERM_CHUNK) if total[c : c + TERM_CHUNK].any()]
+    parts = [counted.tobytes(), *(total[c : c + TERM_CHUNK].tobytes() for c in chunks)]
+    yield pa.RecordBatch.from_arrays([pa.array([-1, *chunks], pa.int64()), pa.array(parts, pa.binary())], names=["chunk", "part"])
+
 
+def _counted(t: pa.Table) -> pa.Table:
+    parts = [np.frombuffer(p.as_py(), np.int64) for p in t.column("part")]
+    return pa.table({"chunk": t.column("chunk")[:1], "part": pa.array([np.sum(parts, axis=0).tobytes()], pa.binary())})
 
-def inverse_frequencies(docs: DataFrame) -> np.ndarray:
-    """Inverse passage frequency of each hashed term: as many numbers as there are hash values."""
-    rows = docs.select("text").mapInArrow(_frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    n = np.zeros(TERMS + 1)
-    for r in rows:
-        n[r.term] = r.n
-    return np.log((n[-1] + 1) / (n[:-1] + 1)).clip(0).astype(np.float32)
+
+@dataclass
+class Frequencies:
+    """In how many blocks each hashed term occurs, the number of blocks and of passages, and inverse frequencies."""
+
+    n: np.ndarray
+    blocks: int
+    passages: int
+    idf: np.ndarray
+
+
+def frequencies(docs: DataFrame) -> Frequencies:
+    """Counts over all blocks of all documents: as many numbers as there are hash values."""
+    schema = "chunk long, part binary"
+    n, blocks, passages = np.zeros(TERMS, np.int64), 0, 0
+    for r in docs.select("text").mapInArrow(_frequencies, schema).groupBy("chunk").applyInArrow(_counted, schema).collect():
+        own = np.frombuffer(r.part, np.int64)
+        if r.chunk < 0:
+            blocks, passages = own.tolist()
+        else:
+            n[r.chunk : r.chunk + len(own)] = own
+    return Frequencies(n, blocks, passages, np.log((blocks + 1) / (n + 1)).clip(0).astype(np.float32))
 
 
 def _sampled(passages: int) -> Callable[[Batches], Batches]:
@@ -106,8 +149,8 @@ def _sampled(passages: int) -> Callable[[Batches], Batches]:
                     h = _terms(w.hashes[w.first[i] : w.first[i + 1]])
                     for j in range(passages):
                         at = j * len(h) // passages
-                        if len(h[at : at + 3 * BLOCK]):
-                            out.append(h[at : at + 3 * BLOCK].astype(np.int32).tobytes())
+                        if len(h[at : at + PASSAGE]):
+                            out.append(h[at : at + PASSAGE].astype(np.int32).tobytes())
                             of.append(us[a + i])
                             nth.append(j)
             yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(nth, pa.int32()), pa.array(out, pa.binary())], names=["u", "nth", "terms"])
@@ -115,53 +158,185 @@ def _sampled(passages: int) -> Callable[[Batches], Batches]:
     return run
 
 
-def _product(shipped, width: int) -> Callable[[Batches], Batches]:
-    """A task's part of A'(A X): for its rows of A, in chunks of the vocabulary."""
+def _rows_times(x: np.ndarray, at: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Sums of the rows ``at`` of ``x``, weighted with ``v``: one per row of ``at``."""
+    out = np.empty((len(at), x.shape[1]), np.float32)
+    for lo in range(0, len(at), 64):
+        own = at[lo : lo + 64]
+        out[lo : lo + 64] = np.matmul(v[lo : lo + 64, None, :], x.take(own.ravel(), axis=0).reshape(*own.shape, -1))[:, 0]
+    return out
+
+
+def _add_transposed(out: np.ndarray, z: np.ndarray, at: np.ndarray, v: np.ndarray) -> None:
+    """Add ``v`` times row p of ``z`` to row ``at`` of ``out`` for each place in row p of ``at``.
+
+    Each term's places are gathered and summed at once, together with those of terms that have about as many.
+    """
+    known = np.flatnonzero(v.ravel())
+    if not len(known):
+        return
+    # Sorted as one number: by term, then by place.
+    both = np.sort(at.ravel()[known].astype(np.int64) << 32 | known)
+    terms, source = both >> 32, both & 0xFFFFFFFF
+    weight, source = v.ravel()[source], source // at.shape[1]
+    head = np.flatnonzero(np.r_[True, terms[1:] != terms[:-1]])
+    count = np.diff(np.r_[head, len(terms)])
+    less, most = 0, 1
+    while less < count.max():
+        mine = np.flatnonzero((count > less) & (count <= most))
+        step = max(1, 4_096 // most)
+        for lo in range(0, len(mine), step):
+            own = mine[lo : lo + step]
+            inside = np.arange(most) < count[own][:, None]
+            place = np.where(inside, head[own][:, None] + np.arange(most), 0)
+            out[terms[head[own]]] += _rows_times(z, source[place], np.where(inside, weight[place], np.float32(0)))
+        less, most = most, most * 2
+
+
+def _product(shipped, slab: int, width: int) -> Callable[[Batches], Batches]:
+    """A task's part of A'(A X) for the columns of X from ``slab`` on, in chunks of the vocabulary.
+
+    A row of A is given by its terms, or a text gives a row for each of its passages.
+    """
+
+    def grids(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        weight = batch.column("weight").to_numpy()
+        terms = [np.frombuffer(t or b"", np.int32) for t in batch.column("terms").to_pylist()]
+        if any(map(len, terms)):
+            grid = np.full((len(terms), max(map(len, terms))), -1, np.int32)
+            for row, t in zip(grid, terms, strict=True):
+                row[: len(t)] = t
+            yield grid, weight
+        for a, _, data, off in text_slices(batch.column("text")):
+            words = split_words(data, off, True, PUNCTUATION)
+            if len(words.hashes):
+                passages = -(-np.diff(words.first) // PASSAGE)
+                yield _grid(words, PASSAGE), np.repeat(weight[a : a + len(passages)], passages)
+
+    def gathered(batches: Batches) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """About ``PASSAGES_AT_ONCE`` rows of one width at a time: the more, the more often a term is in them."""
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for grid, weight in (x for batch in batches for x in grids(batch)):
+            if held and (held[0][0].shape[1] != grid.shape[1] or sum(len(w) for _, w in held) >= PASSAGES_AT_ONCE):
+                yield np.concatenate([g for g, _ in held]), np.concatenate([w for _, w in held])
+                held = []
+            for lo in range(0, len(grid), PASSAGES_AT_ONCE):
+                held.append((grid[lo : lo + PASSAGES_AT_ONCE], weight[lo : lo + PASSAGES_AT_ONCE]))
+                if lo + PASSAGES_AT_ONCE < len(grid):
+                    yield np.concatenate([g for g, _ in held]), np.concatenate([w for _, w in held])
+                    held = []
+        if held:
+            yield np.concatenate([g for g, _ in held]), np.concatenate([w for _, w in held])
 
     def run(batches: Batches) -> Batches:
         x, place, idf = shipped.value
-        out = np.zeros((len(x), width), np.float32)
-        for batch in batches:
-            for terms, weight in zip(batch.column("terms"), batch.column("weight"), strict=True):
-                t = np.frombuffer(terms.as_py(), np.int32)
-                v = idf[t].astype(np.float32)
-                v *= weight.as_py() / max(1e-12, float(np.sqrt((v * v).sum())))
-                rows = place[t]
-                np.add.at(out, rows, v[:, None] * (v @ x[rows]))
-        chunks = [c for c in range(0, len(out), TERM_CHUNK) if out[c : c + TERM_CHUNK].any()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(chunks), pa.int64()), pa.array([out[c : c + TERM_CHUNK].tobytes() for c in chunks], pa.binary())], names=["chunk", "part"]
-        )
+        if x is None:
+            rng = np.random.Generator(np.random.PCG64([8, slab]))
+            x = rng.integers(0, 2, (int(place.max()) + 1, min(SLAB, width - slab)), np.int8)
+            x += x
+            x -= 1
+        out = np.zeros(x.shape, np.float32)
+        for grid, weight in gathered(batches):
+            v = np.where(grid >= 0, idf[grid], np.float32(0))
+            v *= (weight / np.maximum(1e-12, np.sqrt(np.einsum("ij,ij->i", v, v))))[:, None].astype(np.float32)
+            at = np.where(grid >= 0, place[grid], 0)
+            _add_transposed(out, _rows_times(x, at, v), at, v)
+        # One chunk to a batch, so that neither side holds a second copy of all of them.
+        for c in range(0, len(out), TERM_CHUNK):
+            if out[c : c + TERM_CHUNK].any():
+                part = pa.array([out[c : c + TERM_CHUNK].tobytes()], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array([slab], pa.int64()), part], names=["chunk", "slab", "part"])
 
     return run
 
 
-def _summed(t: pa.Table) -> pa.Table:
-    parts = [np.frombuffer(p.as_py(), np.float32) for p in t.column("part")]
-    return pa.table({"chunk": t.column("chunk")[:1], "part": pa.array([np.sum(parts, axis=0).tobytes()], pa.binary())})
+def _summed(width: int) -> Callable[[pa.Table], pa.Table]:
+    """All columns of a chunk, summed over the tasks."""
+
+    def run(t: pa.Table) -> pa.Table:
+        sums: dict[int, np.ndarray] = {}
+        for slab, part in zip(t.column("slab").to_pylist(), t.column("part"), strict=True):
+            own = np.frombuffer(part.as_py(), np.float32).reshape(-1, min(SLAB, width - slab))
+            sums[slab] = sums[slab] + own if slab in sums else own
+        rows = len(next(iter(sums.values())))
+        whole = np.zeros((rows, width), np.float32)
+        for slab, own in sums.items():
+            whole[:, slab : slab + SLAB] = own
+        return pa.table({"chunk": t.column("chunk")[:1], "part": pa.array([whole.tobytes()], pa.binary())})
+
+    return run
+
+
+def _inverse_root(gram: np.ndarray, least: float) -> np.ndarray:
+    """Columns that make what has this matrix of scalar products orthonormal; directions without weight are left out."""
+    values, vectors = np.linalg.eigh((gram + gram.T) / 2)
+    kept = values > least * max(values[-1], 1e-30)
+    return vectors[:, kept] / np.sqrt(values[kept])
 
 
 def randomised_basis(rows: DataFrame, idf: np.ndarray, vocabulary: np.ndarray, rank: int = RANK, power: int = POWER) -> np.ndarray:
-    """Right singular vectors (vocabulary x rank) of the TF-IDF rows (terms, weight)."""
+    """Right singular vectors (vocabulary x at most rank) of the TF-IDF rows (terms or text, weight).
+
+    With Y = A'A X, A'A is taken as Y inv(X'Y) Y': its vectors lie in the span of Y, as after another
+    pass over X made from Y, which is saved. X is near to orthonormal: it is shipped in half precision,
+    and what was shipped is X.
+    """
     sc = rows.sparkSession.sparkContext
     place = np.full(TERMS, -1, np.int32)
     place[vocabulary] = np.arange(len(vocabulary))
     width = min(rank + OVERSAMPLE, len(vocabulary))
-    x = np.random.Generator(np.random.PCG64(8)).normal(size=(len(vocabulary), width))
-    for turn in range(power + 2):
-        shipped = sc.broadcast((x.astype(np.float32), place, idf))
-        parts = rows.mapInArrow(_product(shipped, width), "chunk long, part binary").groupBy("chunk").applyInArrow(_summed, "chunk long, part binary").collect()
-        shipped.destroy()
-        y = np.zeros_like(x)
-        for p in parts:
+    x = None
+    for _ in range(max(1, power) + 1):
+        slabs = range(0, width, SLAB)
+        shipped = [sc.broadcast((None if x is None else _rounded(x, k), place, idf)) for k in slabs]
+        schema = "chunk long, slab long, part binary"
+        parts = functools.reduce(DataFrame.unionAll, [rows.mapInArrow(_product(own, k, width), schema) for k, own in zip(slabs, shipped, strict=True)])
+        y = np.zeros((len(vocabulary), width), np.float32) if x is None else x
+        inner, outer = np.zeros((width, width)), np.zeros((width, width))
+        seen = set()
+        for p in parts.groupBy("chunk").applyInArrow(_summed(width), "chunk long, part binary").toLocalIterator():
             own = np.frombuffer(p.part, np.float32).reshape(-1, width)
-            y[p.chunk : p.chunk + len(own)] = own
-        if turn == power + 1:
-            # x is orthonormal, so this is the operator seen from its span.
-            values, vectors = np.linalg.eigh((x.T @ y + y.T @ x) / 2)
-            return (x @ vectors[:, np.argsort(-values)[:rank]]).astype(np.float32)
-        x, _ = np.linalg.qr(y)
-    raise AssertionError
+            mine = y[p.chunk : p.chunk + len(own)]
+            inner += mine.T.astype(float) @ own
+            outer += own.T.astype(float) @ own
+            # X is no longer needed where Y is known.
+            mine[:] = own
+            seen.add(p.chunk)
+        for c in range(0, len(y), TERM_CHUNK):
+            if c not in seen:
+                y[c : c + TERM_CHUNK] = 0
+        for own in shipped:
+            own.destroy()
+        if x is not None:
+            half = _inverse_root(inner, 1e-6)
+            values, vectors = np.linalg.eigh(half.T @ outer @ half)
+            best = [i for i in np.argsort(-values)[:rank] if values[i] > 1e-9 * max(values[-1], 1e-30)]
+            turned = half @ vectors[:, best] / np.sqrt(values[best])
+        else:
+            turned = _inverse_root(outer, 1e-9)
+        # Entries of about one for half precision; the basis itself has columns of length one.
+        x, width = _turned(y, turned * (len(y) ** 0.5 if x is None else 1)), turned.shape[1]
+        if not width:
+            return np.zeros((len(vocabulary), 1), np.float32)
+    return x
+
+
+def _rounded(x: np.ndarray, slab: int) -> np.ndarray:
+    """Columns of ``x`` from ``slab`` on in half precision, to which those of ``x`` are set."""
+    out = np.empty((len(x), min(SLAB, x.shape[1] - slab)), np.float16)
+    for c in range(0, len(x), TERM_CHUNK):
+        own = x[c : c + TERM_CHUNK, slab : slab + SLAB]
+        out[c : c + TERM_CHUNK] = own
+        own[:] = out[c : c + TERM_CHUNK]
+    return out
+
+
+def _turned(y: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """``y @ by``, which has no more columns, in the memory of ``y`` if it has as many."""
+    out = y if by.shape[1] == y.shape[1] else np.empty((len(y), by.shape[1]), np.float32)
+    for c in range(0, len(y), TERM_CHUNK):
+        out[c : c + TERM_CHUNK] = y[c : c + TERM_CHUNK] @ by
+    return out
 
 
 @dataclass
@@ -209,10 +384,20 @@ def answer_of(text: str) -> list[int]:
     return last if 3 <= len(last) < len(whole) else whole[-max(1, len(whole) // 3) :]
 
 
-def build_index(docs: DataFrame, items: list[tuple], sample_docs: int = SAMPLE_DOCS, rank: int = RANK, idf: np.ndarray | None = None) -> Index | None:
-    """Index of (id, text) items; None if no item has words."""
+def _sample(docs: DataFrame, sample_docs: int) -> list[bytes]:
+    """Terms of some passages of at most ``sample_docs`` documents."""
+    keyed = docs.select("text", F.xxhash64(F.lit(8), "doc_id", "text").alias("u"))
+    # As many rows as the sample may have documents, each of which may occur many times in the table.
+    chosen = keyed.select("u").distinct().orderBy("u").limit(sample_docs)
+    passages = keyed.join(F.broadcast(chosen), "u").select("text", "u").mapInArrow(_sampled(SAMPLE_PASSAGES), "u long, nth int, terms binary")
+    return [r.terms for r in sorted(passages.dropDuplicates(["u", "nth"]).collect(), key=lambda r: (r.u, r.nth))]
+
+
+def build_index(docs: DataFrame, items: list[tuple], sample_docs: int | None = None, rank: int = RANK, counts: Frequencies | None = None) -> Index | None:
+    """Index of (id, text) items, fitted on all documents or on ``sample_docs`` of them; None if no item has words."""
     spark = docs.sparkSession
-    idf = inverse_frequencies(docs) if idf is None else idf
+    counts = frequencies(docs) if counts is None else counts
+    idf = counts.idf
     parts = []
     for item, text in items:
         words = _folded(text)
@@ -224,20 +409,26 @@ def build_index(docs: DataFrame, items: list[tuple], sample_docs: int = SAMPLE_D
     if not parts:
         return None
     terms = [_terms(np.array(w, np.uint64)).astype(np.int32) for _, w, _ in parts]
-    own = spark.createDataFrame([(t.tobytes(), ITEM_WEIGHT) for t in terms], "terms binary, weight double")
-    keyed = docs.select("text", F.xxhash64(F.lit(8), "doc_id", "text").alias("u"))
-    # As many rows as the sample may have documents, each of which may occur many times in the table.
-    chosen = keyed.select("u").distinct().orderBy("u").limit(sample_docs)
-    passages = keyed.join(F.broadcast(chosen), "u").select("text", "u").mapInArrow(_sampled(SAMPLE_PASSAGES), "u long, nth int, terms binary")
-    found = sorted(passages.dropDuplicates(["u", "nth"]).collect(), key=lambda r: (r.u, r.nth))
-    sampled = [Row(terms=r.terms, weight=1.0) for r in found]
-    rows = own.unionAll(spark.createDataFrame(sampled, "terms binary, weight double")).repartition(4) if sampled else own
-    vocabulary = np.unique(np.concatenate([*terms, *[np.frombuffer(r.terms, np.int32) for r in sampled]]))
+    schema = "terms binary, text string, weight double"
+    own = spark.createDataFrame([(t.tobytes(), None, ITEM_WEIGHT) for t in terms], schema)
+    if sample_docs is None:
+        weight = (min(counts.passages, CORPUS_ROWS) / max(1, counts.passages)) ** 0.5
+        whole = docs.select(F.lit(None).cast("binary").alias("terms"), "text", F.lit(weight).alias("weight"))
+        tasks = min(-(-max(1, counts.blocks) // TASK_BLOCKS), max(1, spark.sparkContext.defaultParallelism))
+        rows = own.coalesce(1).unionAll(whole).coalesce(tasks)
+        vocabulary = np.union1d(np.flatnonzero(counts.n), np.concatenate(terms))
+    else:
+        sampled = _sample(docs, sample_docs)
+        rows = own.unionAll(spark.createDataFrame([(t, None, 1.0) for t in sampled], schema)).repartition(4) if sampled else own
+        vocabulary = np.unique(np.concatenate([*terms, *[np.frombuffer(t, np.int32) for t in sampled]]))
     basis = randomised_basis(rows, idf, vocabulary, rank)
     place = np.full(TERMS, -1, np.int32)
     place[vocabulary] = np.arange(len(vocabulary))
-    table = basis * idf[vocabulary][:, None]
-    vectors = np.stack([table[place[t]].sum(axis=0) for t in terms])
+    basis *= idf[vocabulary][:, None]
+    # Every task holds the table; only its directions count, and three digits of them are enough.
+    basis *= np.float32(1_000 / max(1e-30, float(basis.max()), -float(basis.min())))
+    table = basis.astype(np.float16)
+    vectors = np.stack([table[place[t]].astype(np.float32).sum(axis=0) for t in terms])
     vectors /= np.maximum(1e-9, np.linalg.norm(vectors, axis=1))[:, None]
     span = np.array([-(-(len(w) + BLOCK - 1) // BLOCK) for _, w, _ in parts])
     return Index(place, table, vectors.astype(np.float32), span, [i for i, _, _ in parts], [w for _, w, _ in parts], [a for _, _, a in parts], _heads([w for _, w, _ in parts]))
@@ -278,17 +469,9 @@ def _search(shipped, cosine: float, cover: float, answer: float) -> Callable[[Ba
         if not len(start):
             return
         # A term counts once per block, so that a repeated word cannot outweigh all others.
-        number = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(words.hashes)]))
-        terms = _terms(words.hashes)
-        known = index.place[terms] >= 0
-        once = np.unique(number[known] * np.int64(TERMS) + terms[known])
-        block, at = once // TERMS, index.place[once % TERMS]
-        sums = np.zeros((len(start), index.table.shape[1]), np.float32)
-        for lo in range(0, len(start), 2_048):
-            a, b = np.searchsorted(block, [lo, lo + 2_048])
-            if b > a:
-                heads = np.flatnonzero(np.r_[True, block[a + 1 : b] != block[a : b - 1]])
-                sums[block[a:b][heads]] = np.add.reduceat(index.table[at[a:b]], heads, axis=0)
+        grid = _once(_grid(words, BLOCK))
+        at = np.where(grid >= 0, index.place[grid], -1)
+        sums = _rows_times(index.table, np.maximum(at, 0), (at >= 0).astype(np.float32))
         whole = copies(index, words, start)
         passage = sums.copy()
         for span in range(1, int(index.span.max()) + 1):
@@ -368,21 +551,21 @@ def numbered(benchmark: DataFrame) -> tuple[DataFrame, int]:
     return own.select("item_id", "text", (F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1)).alias("n")), total
 
 
-def _passes(docs: DataFrame, benchmark: DataFrame, item_rows: int, sample_docs: int, rank: int) -> Iterator[Index]:
+def _passes(docs: DataFrame, benchmark: DataFrame, item_rows: int, sample_docs: int | None, rank: int) -> Iterator[Index]:
     """Indexes of the benchmark, ``item_rows`` items each."""
     items, total = numbered(benchmark)
-    idf = inverse_frequencies(docs) if total else None
+    counts = frequencies(docs) if total else None
     for at in range(0, total, item_rows):
         # At most item_rows rows.
         own = items.where((F.col("n") >= at) & (F.col("n") < at + item_rows)).orderBy("n").collect()
-        index = build_index(docs, [(r.item_id, r.text) for r in own], sample_docs, rank, idf)
+        index = build_index(docs, [(r.item_id, r.text) for r in own], sample_docs, rank, counts)
         if index is not None:
             yield index
 
 
 def leaks(
     docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, cover: float = COVER, answer: float = ANSWER,
-    item_rows: int = ITEM_ROWS, sample_docs: int = SAMPLE_DOCS, rank: int = RANK,
+    item_rows: int = ITEM_ROWS, sample_docs: int | None = None, rank: int = RANK,
 ) -> DataFrame:
     """(doc_id, item_id, cosine, lcs_share, answer_share) for each document and item part it contains."""
     schema = "doc_id long, item_id long, cosine double, lcs_share double, answer_share double"
@@ -396,7 +579,7 @@ def leaks(
 def without_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, cover: float = COVER, answer: float = ANSWER) -> DataFrame:
     """Rows of ``docs`` that contain no item."""
     out = docs
-    for index in _passes(docs, benchmark, ITEM_ROWS, SAMPLE_DOCS, RANK):
+    for index in _passes(docs, benchmark, ITEM_ROWS, None, RANK):
         shipped = docs.sparkSession.sparkContext.broadcast(index)
         out = out.mapInArrow(_flagged(_search(shipped, cosine, cover, answer), docs.columns), docs.schema)
     return out
