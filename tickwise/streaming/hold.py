@@ -25,15 +25,7 @@ class Hold(Closing):
         self.names, self.step = list(names), step
 
     def open(self, handle) -> None:
-        # One state for all: every access is a call to the JVM.
-        self.grid = handle.getValueState("grid", "t0 long, next_tick long, last_t long, at array<long>, held array<double>")
-
-    def states(self) -> list:
-        return [self.grid]
-
-    def newest(self) -> int | None:
-        known = self.grid.get()
-        return known[2] if known else None
+        self.known = handle.getValueState("grid", "t0 long, next_tick long, last_t long, at array<long>, held array<double>")
 
     def _frame(self, key: tuple, n: int, columns: dict) -> pd.DataFrame:
         blank = {self.seq: [key[0]] * n, "tick": None, self.time: None, **dict.fromkeys(self.names), KIND: None, **dict.fromkeys(LATE_FIELDS)}
@@ -49,17 +41,21 @@ class Hold(Closing):
             self.time: t, "late_topic": rows[self.topic].to_numpy(), "late_value": rows[self.value].to_numpy(float), "behind": settled - t, KIND: LATE})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        yield from self.close_if_idle(key, timerValues.getCurrentWatermarkInMs())
+        watermark = timerValues.getCurrentWatermarkInMs()
+        known = self.known.get()
+        if self.idle(known, watermark):
+            yield from self.closing_rows(key, known)
+            self.known.clear()
+            known = None
         rows = sorted_rows(rows, [self.time, self.topic, self.value])
         t = rows[self.time].to_numpy(np.int64)
-        known = self.grid.get()
         if known:
             t0, next_tick, last_t, *held = known
             held = {name: sample for name, *sample in zip(self.names, *held, strict=True) if sample[0] is not None}
             settled = t0 + (next_tick - 1) * self.step
             on_time = t > settled
         else:
-            settled = timerValues.getCurrentWatermarkInMs() * 1000
+            settled = watermark * 1000
             on_time = t >= settled
             held = {}
         if not on_time.all():
@@ -87,14 +83,14 @@ class Hold(Closing):
             if len(tj):
                 held[name] = int(tj[-1]), None if np.isnan(vj[-1]) else float(vj[-1])
         samples = [held.get(n, (None, None)) for n in self.names]
-        self.grid.update((t0, next_tick + len(ticks), last_t, [at for at, _ in samples], [value for _, value in samples]))
+        self.known.update((t0, next_tick + len(ticks), last_t, [at for at, _ in samples], [value for _, value in samples]))
         if not known:
             self.begin(last_t)
         if len(ticks):
             yield self._ticks(key, t0, ticks, columns)
 
-    def closing_rows(self, key) -> Iterator[pd.DataFrame]:
-        t0, next_tick, last_t, _, held = self.grid.get()
+    def closing_rows(self, key, known) -> Iterator[pd.DataFrame]:
+        t0, next_tick, last_t, _, held = known
         if t0 + next_tick * self.step == last_t:
             yield self._ticks(key, t0, np.array([next_tick]), [np.array([np.nan if x is None else x]) for x in held])
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickwise.schema import WARM_UP_WINDOWS
-from tickwise.streaming.state import IDLE_MS, Closing, in_event_time, run_keyed, sorted_rows
+from tickwise.streaming.state import IDLE_MS, Closing, in_event_time, run_keyed
 
 
 def stream_tumbling(
@@ -31,90 +31,79 @@ def stream_tumbling(
 
 
 class Monitor(Closing):
-    """A running mean; state is ``total`` (count, sum, newest order)."""
+    """A running mean; state is count, sum, newest order and what a subclass adds in ``FIELDS`` and ``blank``."""
+
+    FIELDS = ""
 
     def __init__(self, columns: tuple[str, str, str], warm_up: int, idle_ms: int) -> None:
         super().__init__(idle_ms)
         self.seq, self.order, self.score = columns
         self.warm_up = warm_up
+        self.blank: tuple = ()
 
     def open(self, handle) -> None:
-        self.total = handle.getValueState("total", "count long, total double, newest long")
-
-    def states(self) -> list:
-        return [self.total]
-
-    def newest(self) -> int | None:
-        known = self.total.get()
-        return known[2] if known else None
+        self.known = handle.getValueState("total", f"count long, total double, newest long{self.FIELDS}")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        self.close_if_idle(key, timerValues.getCurrentWatermarkInMs())
-        rows = sorted_rows(rows, [self.order])
-        scores = rows[self.score].to_numpy(float)
-        last = int(rows[self.order].iloc[-1])
-        known = self.total.get()
-        count, total, newest = known or (0, 0.0, last)
+        known = self.known.get()
+        if self.idle(known, timerValues.getCurrentWatermarkInMs()):
+            # The update below takes the old state's place.
+            known = None
+        parts = [(r[self.order].to_numpy(np.int64), r[self.score].to_numpy(float)) for r in rows]
+        order, scores = parts[0] if len(parts) == 1 else map(np.concatenate, zip(*parts, strict=True))
+        scores = scores[np.argsort(order, kind="stable")]
+        last = int(order.max())
+        count, total, newest, *own = known or (0, 0.0, last, *self.blank)
         n = count + np.arange(1, len(scores) + 1)
         # Added one by one onto the carried total, so batch borders leave no trace.
         sums = np.cumsum(np.r_[total, scores])[1:]
-        self.total.update((int(n[-1]), float(sums[-1]), max(newest, last)))
-        if not known:
+        shown, columns, own = self.values(scores, n, sums, own)
+        self.known.update((int(n[-1]), float(sums[-1]), max(newest, last), *own))
+        if known is None:
             self.begin(last)
-        yield pd.DataFrame({self.seq: [key[0]] * len(n), "n": n} | self.values(scores, n, sums))[lambda d: d["n"] >= self.warm_up]
+        if shown.any():
+            out = {"n": n, **columns}
+            yield pd.DataFrame({self.seq: [key[0]] * int(shown.sum()), **{c: v[shown] for c, v in out.items()}})
 
-    def values(self, scores: np.ndarray, n: np.ndarray, sums: np.ndarray) -> dict[str, np.ndarray]:
-        return {"p": sums / n}
+    def values(self, scores: np.ndarray, n: np.ndarray, sums: np.ndarray, own: list) -> tuple[np.ndarray, dict[str, np.ndarray], tuple]:
+        """Which rows come out, their columns, and the subclass's state after them."""
+        return n >= self.warm_up, {"p": sums / n}, ()
 
 
 class Tail(Monitor):
-    """Mean of the last scores, which the list state ``kept`` holds."""
+    """Mean of the last scores, which the state keeps."""
+
+    FIELDS = ", kept array<double>"
 
     def __init__(self, columns: tuple[str, str, str], k: int, warm_up: int, idle_ms: int) -> None:
         super().__init__(columns, warm_up, idle_ms)
-        self.k = k
-
-    def open(self, handle) -> None:
-        super().open(handle)
-        self.kept = handle.getListState("kept", "score double")
-
-    def states(self) -> list:
-        return [self.total, self.kept]
+        self.k, self.blank = k, ([],)
 
-    def values(self, scores: np.ndarray, n: np.ndarray, sums: np.ndarray) -> dict[str, np.ndarray]:
+    def values(self, scores, n, sums, own):
         k = self.k
-        kept = np.array([x for (x,) in self.kept.get()], float)
+        kept = np.array(own[0], float)
         both = np.r_[kept, scores]
         padded = np.r_[np.zeros(max(k - 1 - len(kept), 0)), both[max(len(kept) - k + 1, 0) :]]
-        self.kept.put([(float(x),) for x in both[-k:]])
-        return {"p": np.lib.stride_tricks.sliding_window_view(padded, k).sum(axis=1) / np.minimum(n, k)}
+        p = np.lib.stride_tricks.sliding_window_view(padded, k).sum(axis=1) / np.minimum(n, k)
+        return n >= self.warm_up, {"p": p}, (both[-k:].tolist(),)
 
 
 class Alerts(Monitor):
-    """Level of the running mean; the value state ``last`` has the level reported last."""
+    """Level of the running mean; the state has the level reported last."""
+
+    FIELDS = ", level string"
 
     def __init__(self, columns: tuple[str, str, str], threshold: float, warm_up: int, idle_ms: int) -> None:
         super().__init__(columns, warm_up, idle_ms)
-        self.threshold = threshold
-
-    def open(self, handle) -> None:
-        super().open(handle)
-        self.last = handle.getValueState("last", "level string")
-
-    def states(self) -> list:
-        return [self.total, self.last]
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for shown in super().handleInputRows(key, rows, timerValues):
-            if not len(shown):
-                continue
-            p = shown["p"].to_numpy()
-            level = np.where(p < self.threshold * 0.5, "safe", np.where(p < self.threshold, "warn", "alarm")).astype(object)
-            reported = self.last.get()
-            changed = level != np.r_[[reported[0] if reported else None], level[:-1]]
-            if changed.any():
-                self.last.update((str(level[-1]),))
-                yield shown.assign(level=level)[changed]
+        self.threshold, self.blank = threshold, (None,)
+
+    def values(self, scores, n, sums, own):
+        warm, columns, _ = super().values(scores, n, sums, own)
+        reported, p = own[0], columns["p"]
+        level = np.where(p < self.threshold * 0.5, "safe", np.where(p < self.threshold, "warn", "alarm")).astype(object)
+        # Rows that are not warm come first and only where nothing has been reported.
+        changed = warm & (level != np.r_[[reported], np.where(warm, level, None)[:-1]])
+        return changed, {**columns, "level": level}, (str(level[-1]) if warm[-1] else reported,)
 
 
 def _monitored(scores: DataFrame, seq: str, order: str, score: str, delay: str, processor: Monitor, extra: tuple[T.StructField, ...] = ()) -> DataFrame:
