@@ -57,3 +57,40 @@ def test_documents_without_words(spark):
     assert decontaminate.leaks(docs, bench).count() == 0 and decontaminate.without_leaks(docs, bench).count() == 3
     same = docs.unionAll(spark.createDataFrame([(4, ITEMS[0][1])], docs.schema))
     assert [r.doc_id for r in decontaminate.leaks(same, bench).collect()] == [4]
+
+
+def test_matrix_is_halved_and_turned_in_its_own_memory(monkeypatch):
+    monkeypatch.setattr(decontaminate, "TERM_CHUNK", 7)
+    rng = np.random.default_rng(4)
+    y, by = rng.normal(size=(45, 10)).astype(np.float32), rng.normal(size=(10, 6)).astype(np.float32)
+    want = y @ by
+    turned = decontaminate._turned(y, by)
+    assert np.shares_memory(turned, y) and np.allclose(turned, want, atol=1e-5)
+    rounded = turned.astype(np.float16)
+    half = decontaminate._halved(turned)
+    assert np.shares_memory(half, y) and half.dtype == np.float16 and (half == rounded).all()
+    decontaminate._widened(half, turned)
+    assert (turned == rounded.astype(np.float32)).all()
+
+
+def test_a_pass_reads_the_texts_once(spark, monkeypatch):
+    frame = type(spark.range(0))
+    plans, summed = [], frame.toLocalIterator
+    monkeypatch.setattr(frame, "toLocalIterator", lambda df, *a: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or summed(df, *a))
+    assert decontaminate.build_index(_documents(spark, 40), ITEMS) is not None
+    # Items and documents, one map over both.
+    assert len(plans) == 2 and all(p.count("MapInArrow") == 1 for p in plans)
+
+
+def test_search_answers_batches_in_order(spark):
+    docs = _documents(spark, 60).coalesce(1)
+    held = docs.withColumn("text", F.expr(f"CASE WHEN doc_id % 3 = 0 THEN concat(text, ' ', '{ITEMS[0][1]}') ELSE text END"))
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    hit = {r.doc_id for r in held.where("text IS NOT NULL AND doc_id % 3 = 0").collect()}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        kept = [r.doc_id for r in decontaminate.without_leaks(held, bench).collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted(kept) == [i for i in range(60) if i not in hit]

@@ -10,9 +10,9 @@ subsequence of words must cover enough of the item, and so must the item's answe
 * The basis is fitted on all items and on all passages of ``3 * BLOCK`` words of all documents, as
   often as they occur. Together the passages weigh as much as ``CORPUS_ROWS`` rows, so that a large
   corpus does not drown the items. The matrix is never stored: a pass cuts it from the texts anew,
-  multiplies it with a tall matrix and sums the tasks' products by rows of terms. A task holds the
-  products of ``SLAB`` columns, and there are no more tasks than the session runs at once, so memory
-  and shuffle of a pass have a bound. A caller may name ``sample_docs`` to fit on that many documents
+  multiplies it with a tall matrix and sums the tasks' products by rows of terms. A task reads its
+  texts once and holds one product of all columns, and there are no more tasks than the session runs
+  at once, so memory and shuffle of a pass have a bound. A caller may name ``sample_docs`` to fit on that many documents
   only, chosen by a hash of id and text; rows that agree in both are one document of it.
 * An item part whose words stand in a row in a document is checked whatever its cosine: positions
   of its first words are looked up by hash, then all its words are compared.
@@ -78,9 +78,12 @@ def _blocks(words) -> tuple[np.ndarray, np.ndarray]:
 
 def _grid(words, width: int) -> np.ndarray:
     """Terms of consecutive passages of ``width`` words, one to a row; -1 where a text ends earlier."""
-    at = np.arange(len(words.hashes)) - words.first[words.text_of_word()]
-    out = np.full((int((at % width == 0).sum()), width), -1, np.int32)
-    out[np.cumsum(at % width == 0) - 1, at % width] = _terms(words.hashes)
+    n = np.diff(words.first)
+    rows = -(-n // width)
+    out = np.full((int(rows.sum()), width), -1, np.int32)
+    # A text begins a row, however many places its predecessor leaves empty.
+    shift = np.cumsum(rows) * width - rows * width - words.first[:-1]
+    out.ravel()[np.arange(len(words.hashes)) + np.repeat(shift, n)] = _terms(words.hashes)
     return out
 
 
@@ -189,12 +192,27 @@ def _add_transposed(out: np.ndarray, z: np.ndarray, at: np.ndarray, v: np.ndarra
             own = mine[lo : lo + step]
             inside = np.arange(most) < count[own][:, None]
             place = np.where(inside, head[own][:, None] + np.arange(most), 0)
-            out[terms[head[own]]] += _rows_times(z, source[place], np.where(inside, weight[place], np.float32(0)))
+            if most == 1:
+                sums = z.take(source[place[:, 0]], axis=0)
+                sums *= weight[place]
+            else:
+                sums = _rows_times(z, source[place], np.where(inside, weight[place], np.float32(0)))
+            out[terms[head[own]]] += sums
         less, most = most, most * 2
 
 
-def _product(shipped, slab: int, width: int) -> Callable[[Batches], Batches]:
-    """A task's part of A'(A X) for the columns of X from ``slab`` on, in chunks of the vocabulary.
+def _signs(rows: int, width: int) -> np.ndarray:
+    """The random matrix that the first pass takes for X: 1 and -1, the same in every task."""
+    x = np.empty((rows, width), np.int8)
+    for k in range(0, width, SLAB):
+        x[:, k : k + SLAB] = np.random.Generator(np.random.PCG64([8, k])).integers(0, 2, (rows, min(SLAB, width - k)), np.int8)
+    x += x
+    x -= 1
+    return x
+
+
+def _product(shipped, width: int) -> Callable[[Batches], Batches]:
+    """A task's part of A'(A X), in chunks of the vocabulary.
 
     A row of A is given by its terms, or a text gives a row for each of its passages.
     """
@@ -231,10 +249,7 @@ def _product(shipped, slab: int, width: int) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
         x, place, idf = shipped.value
         if x is None:
-            rng = np.random.Generator(np.random.PCG64([8, slab]))
-            x = rng.integers(0, 2, (int(place.max()) + 1, min(SLAB, width - slab)), np.int8)
-            x += x
-            x -= 1
+            x = _signs(int(place.max()) + 1, width)
         out = np.zeros(x.shape, np.float32)
         for grid, weight in gathered(batches):
             v = np.where(grid >= 0, idf[grid], np.float32(0))
@@ -245,26 +260,18 @@ def _product(shipped, slab: int, width: int) -> Callable[[Batches], Batches]:
         for c in range(0, len(out), TERM_CHUNK):
             if out[c : c + TERM_CHUNK].any():
                 part = pa.array([out[c : c + TERM_CHUNK].tobytes()], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array([slab], pa.int64()), part], names=["chunk", "slab", "part"])
+                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), part], names=["chunk", "part"])
 
     return run
 
 
-def _summed(width: int) -> Callable[[pa.Table], pa.Table]:
-    """All columns of a chunk, summed over the tasks."""
-
-    def run(t: pa.Table) -> pa.Table:
-        sums: dict[int, np.ndarray] = {}
-        for slab, part in zip(t.column("slab").to_pylist(), t.column("part"), strict=True):
-            own = np.frombuffer(part.as_py(), np.float32).reshape(-1, min(SLAB, width - slab))
-            sums[slab] = sums[slab] + own if slab in sums else own
-        rows = len(next(iter(sums.values())))
-        whole = np.zeros((rows, width), np.float32)
-        for slab, own in sums.items():
-            whole[:, slab : slab + SLAB] = own
-        return pa.table({"chunk": t.column("chunk")[:1], "part": pa.array([whole.tobytes()], pa.binary())})
-
-    return run
+def _summed(t: pa.Table) -> pa.Table:
+    """A chunk, summed over the tasks."""
+    parts = t.column("part")
+    whole = np.frombuffer(parts[0].as_py(), np.float32).copy()
+    for part in parts[1:]:
+        whole += np.frombuffer(part.as_py(), np.float32)
+    return pa.table({"chunk": t.column("chunk")[:1], "part": pa.array([whole.tobytes()], pa.binary())})
 
 
 def _inverse_root(gram: np.ndarray, least: float) -> np.ndarray:
@@ -281,20 +288,21 @@ def randomised_basis(rows: DataFrame, idf: np.ndarray, vocabulary: np.ndarray, r
     pass over X made from Y, which is saved. X is near to orthonormal: it is shipped in half precision,
     and what was shipped is X.
     """
-    sc = rows.sparkSession.sparkContext
+    sc, schema = rows.sparkSession.sparkContext, "chunk long, part binary"
     place = np.full(TERMS, -1, np.int32)
     place[vocabulary] = np.arange(len(vocabulary))
     width = min(rank + OVERSAMPLE, len(vocabulary))
     x = None
     for _ in range(max(1, power) + 1):
-        slabs = range(0, width, SLAB)
-        shipped = [sc.broadcast((None if x is None else _rounded(x, k), place, idf)) for k in slabs]
-        schema = "chunk long, slab long, part binary"
-        parts = functools.reduce(DataFrame.unionAll, [rows.mapInArrow(_product(own, k, width), schema) for k, own in zip(slabs, shipped, strict=True)])
+        half = None if x is None else _halved(x)
+        shipped = sc.broadcast((half, place, idf))
+        if x is not None:
+            _widened(half, x)
+        parts = rows.mapInArrow(_product(shipped, width), schema)
         y = np.zeros((len(vocabulary), width), np.float32) if x is None else x
         inner, outer = np.zeros((width, width)), np.zeros((width, width))
         seen = set()
-        for p in parts.groupBy("chunk").applyInArrow(_summed(width), "chunk long, part binary").toLocalIterator():
+        for p in parts.groupBy("chunk").applyInArrow(_summed, schema).toLocalIterator():
             own = np.frombuffer(p.part, np.float32).reshape(-1, width)
             mine = y[p.chunk : p.chunk + len(own)]
             inner += mine.T.astype(float) @ own
@@ -305,13 +313,12 @@ def randomised_basis(rows: DataFrame, idf: np.ndarray, vocabulary: np.ndarray, r
         for c in range(0, len(y), TERM_CHUNK):
             if c not in seen:
                 y[c : c + TERM_CHUNK] = 0
-        for own in shipped:
-            own.destroy()
+        shipped.destroy()
         if x is not None:
-            half = _inverse_root(inner, 1e-6)
-            values, vectors = np.linalg.eigh(half.T @ outer @ half)
+            root = _inverse_root(inner, 1e-6)
+            values, vectors = np.linalg.eigh(root.T @ outer @ root)
             best = [i for i in np.argsort(-values)[:rank] if values[i] > 1e-9 * max(values[-1], 1e-30)]
-            turned = half @ vectors[:, best] / np.sqrt(values[best])
+            turned = root @ vectors[:, best] / np.sqrt(values[best])
         else:
             turned = _inverse_root(outer, 1e-9)
         # Entries of about one for half precision; the basis itself has columns of length one.
@@ -321,19 +328,23 @@ def randomised_basis(rows: DataFrame, idf: np.ndarray, vocabulary: np.ndarray, r
     return x
 
 
-def _rounded(x: np.ndarray, slab: int) -> np.ndarray:
-    """Columns of ``x`` from ``slab`` on in half precision, to which those of ``x`` are set."""
-    out = np.empty((len(x), min(SLAB, x.shape[1] - slab)), np.float16)
+def _halved(x: np.ndarray) -> np.ndarray:
+    """``x`` in half precision, in the front of its own memory."""
+    out = x.reshape(-1).view(np.float16)[: x.size].reshape(x.shape)
     for c in range(0, len(x), TERM_CHUNK):
-        own = x[c : c + TERM_CHUNK, slab : slab + SLAB]
-        out[c : c + TERM_CHUNK] = own
-        own[:] = out[c : c + TERM_CHUNK]
+        out[c : c + TERM_CHUNK] = x[c : c + TERM_CHUNK].astype(np.float16)
     return out
 
 
+def _widened(half: np.ndarray, x: np.ndarray) -> None:
+    """Set ``x``, in the front of whose memory ``half`` lies, to its values, from the back."""
+    for c in reversed(range(0, len(x), TERM_CHUNK)):
+        x[c : c + TERM_CHUNK] = half[c : c + TERM_CHUNK].astype(np.float32)
+
+
 def _turned(y: np.ndarray, by: np.ndarray) -> np.ndarray:
-    """``y @ by``, which has no more columns, in the memory of ``y`` if it has as many."""
-    out = y if by.shape[1] == y.shape[1] else np.empty((len(y), by.shape[1]), np.float32)
+    """``y @ by``, which has no more columns, in the memory of ``y``: rows written never reach rows still to be read."""
+    out = y.reshape(-1)[: len(y) * by.shape[1]].reshape(len(y), by.shape[1])
     for c in range(0, len(y), TERM_CHUNK):
         out[c : c + TERM_CHUNK] = y[c : c + TERM_CHUNK] @ by
     return out
@@ -350,7 +361,7 @@ class Index:
     item: list
     words: list[tuple[int, ...]]
     answer: list[tuple[int, ...]]
-    heads: list[tuple[int, np.ndarray, np.ndarray]]
+    heads: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]
 
 
 def _runs(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -361,14 +372,16 @@ def _runs(hashes: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _heads(parts: list[tuple[int, ...]]) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(words, sorted hashes, parts) of the first words of all parts, for each number of words."""
+def _heads(parts: list[tuple[int, ...]]) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(words, sorted hashes, parts, which low bits occur) of the first words of all parts, for each number of words."""
     out = []
     for n in sorted({min(HEAD, len(w)) for w in parts}):
         mine = [i for i, w in enumerate(parts) if min(HEAD, len(w)) == n]
         keys = np.concatenate([_runs(np.array(parts[i][:n], np.uint64), n) for i in mine])
         order = np.argsort(keys, kind="stable")
-        out.append((n, keys[order], np.array(mine)[order]))
+        low = np.zeros(TERMS, bool)
+        low[_terms(keys)] = True
+        out.append((n, keys[order], np.array(mine)[order], low))
     return out
 
 
@@ -434,15 +447,22 @@ def build_index(docs: DataFrame, items: list[tuple], sample_docs: int | None = N
     return Index(place, table, vectors.astype(np.float32), span, [i for i, _, _ in parts], [w for _, w, _ in parts], [a for _, _, a in parts], _heads([w for _, w, _ in parts]))
 
 
-def common_subsequence(a: tuple[int, ...], b: list[int]) -> int:
-    """Length of the longest common subsequence, a row of bits per step."""
+def _masks(a: tuple[int, ...]) -> dict[int, int]:
+    """At which places of ``a`` each of its words stands, as bits."""
     masks: dict[int, int] = {}
     for i, x in enumerate(a):
         masks[x] = masks.get(x, 0) | 1 << i
+    return masks
+
+
+def common_subsequence(a: tuple[int, ...], b: list[int], masks: dict[int, int] | None = None) -> int:
+    """Length of the longest common subsequence, a row of bits per step; ``masks`` are those of ``a``, if known."""
+    masks = _masks(a) if masks is None else masks
     full = (1 << len(a)) - 1
     row = full
-    for y in b:
-        hit = row & masks.get(y, 0)
+    # Words that do not stand in ``a`` leave the row as it is.
+    for mask in filter(None, map(masks.get, b)):
+        hit = row & mask
         row = ((row + hit) | (row - hit)) & full
     return len(a) - row.bit_count()
 
@@ -451,19 +471,21 @@ def _search(shipped, cosine: float, cover: float, answer: float) -> Callable[[Ba
     def copies(index: Index, words, start: np.ndarray) -> dict[int, set[tuple[int, int]]]:
         """By span, (block, part) of the parts whose words stand in a row from within a block on."""
         found: dict[int, set[tuple[int, int]]] = {}
-        for n, keys, parts in index.heads:
+        for n, keys, parts, known in index.heads:
             runs = _runs(words.hashes, n)
-            low, high = np.searchsorted(keys, runs, "left"), np.searchsorted(keys, runs, "right")
-            for at in np.flatnonzero(high > low).tolist():
+            # Few runs share their low bits with an item; only these are looked up.
+            maybe = np.flatnonzero(known.take(_terms(runs)))
+            low, high = np.searchsorted(keys, runs[maybe], "left"), np.searchsorted(keys, runs[maybe], "right")
+            for at, own_low, own_high in zip(maybe[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist(), strict=True):
                 block = int(np.searchsorted(start, at, "right")) - 1
                 end = int(words.first[np.searchsorted(words.first, at, "right")])
-                for i in parts[low[at] : high[at]].tolist():
+                for i in parts[own_low:own_high].tolist():
                     own = index.words[i]
                     if at + len(own) <= end and (block, i) not in found.get(int(index.span[i]), ()) and tuple(words.hashes[at : at + len(own)].tolist()) == own:
                         found.setdefault(int(index.span[i]), set()).add((block, i))
         return found
 
-    def candidates(index: Index, words) -> Iterator[tuple[int, int, int, int, float]]:
+    def candidates(index: Index, table: np.ndarray, words) -> Iterator[tuple[int, int, int, int, float]]:
         """(part, text, first word, end, cosine) of passages that come close."""
         start, text = _blocks(words)
         if not len(start):
@@ -471,7 +493,7 @@ def _search(shipped, cosine: float, cover: float, answer: float) -> Callable[[Ba
         # A term counts once per block, so that a repeated word cannot outweigh all others.
         grid = _once(_grid(words, BLOCK))
         at = np.where(grid >= 0, index.place[grid], -1)
-        sums = _rows_times(index.table, np.maximum(at, 0), (at >= 0).astype(np.float32))
+        sums = _rows_times(table, np.maximum(at, 0), (at >= 0).astype(np.float32))
         whole = copies(index, words, start)
         passage = sums.copy()
         for span in range(1, int(index.span.max()) + 1):
@@ -481,30 +503,34 @@ def _search(shipped, cosine: float, cover: float, answer: float) -> Callable[[Ba
             mine = np.flatnonzero(index.span == span)
             if len(mine):
                 norm = np.maximum(1e-9, np.linalg.norm(passage, axis=1))
-                near = (passage @ index.vectors[mine].T) / norm[:, None]
+                near = passage @ index.vectors[mine].T
+                near /= norm[:, None]
                 close = near >= cosine
                 for block, part in whole.get(span, ()):
                     close[block, np.searchsorted(mine, part)] = True
-                for p, i in np.argwhere(close):
+                for p, i in zip(*np.divmod(np.flatnonzero(close), len(mine)), strict=True):
                     first = max(int(words.first[text[p]]), int(start[p]) - BLOCK)
                     end = min(int(words.first[text[p] + 1]), int(start[p]) + (span + 1) * BLOCK)
                     yield int(mine[i]), int(text[p]), first, end, float(near[p, i])
 
     def run(batches: Batches) -> Batches:
         index = shipped.value
+        # Products in half precision are slow.
+        table = index.table.astype(np.float32)
+        masks = functools.cache(lambda part: (_masks(index.words[part]), _masks(index.answer[part])))
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             doc, item, cos, lcs, ans = [], [], [], [], []
             for a, _, data, off in text_slices(batch.column("text")):
                 words = split_words(data, off, True, PUNCTUATION)
                 best: dict[tuple[int, int], tuple[float, float, float]] = {}
-                for part, text, first, end, near in candidates(index, words):
+                for part, text, first, end, near in candidates(index, table, words):
                     region = words.hashes[first:end].tolist()
                     own = index.words[part]
-                    share = common_subsequence(own, region) / len(own)
+                    share = common_subsequence(own, region, masks(part)[0]) / len(own)
                     if share < (cover if len(own) >= 5 else 1.0):
                         continue
-                    told = common_subsequence(index.answer[part], region) / len(index.answer[part])
+                    told = common_subsequence(index.answer[part], region, masks(part)[1]) / len(index.answer[part])
                     if told >= answer:
                         key = (text, part)
                         best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (share, told, near))
@@ -526,11 +552,18 @@ def _flagged(search: Callable[[Batches], Batches], names: list[str]) -> Callable
     """Rows of a batch that the search finds nothing in."""
 
     def run(batches: Batches) -> Batches:
-        for batch in batches:
-            numbered = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows), pa.int64()), batch.column("text")], names=["doc_id", "text"])
+        held: list[pa.RecordBatch] = []
+
+        def numbered() -> Batches:
+            for batch in batches:
+                held.append(batch)
+                yield pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows), pa.int64()), batch.column("text")], names=["doc_id", "text"])
+
+        # The search answers each batch with one of its own before it takes the next.
+        for found in search(numbered()):
+            batch = held.pop()
             hit = np.zeros(batch.num_rows, bool)
-            for found in search(iter([numbered])):
-                hit[found.column("doc_id").to_numpy()] = True
+            hit[found.column("doc_id").to_numpy()] = True
             yield batch.filter(pa.array(~hit)).select(names)
 
     return run
