@@ -1,6 +1,7 @@
 """The latent basis of op 8 and the pipeline is fitted on every passage of every document."""
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tickwise.llm import decontaminate
@@ -94,3 +95,21 @@ def test_search_answers_batches_in_order(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert sorted(kept) == [i for i in range(60) if i not in hit]
+
+
+def test_the_fit_hands_over_small_batches_and_restores_the_session(spark, monkeypatch):
+    conf, sizes, basis = "spark.sql.execution.arrow.maxRecordsPerBatch", [], decontaminate.randomised_basis
+
+    def spy(table, *rest):
+        def count(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+        sizes.extend(r.n for r in table.mapInArrow(count, "n long").collect())
+        return basis(table, *rest)
+
+    monkeypatch.setattr(decontaminate, "randomised_basis", spy)
+    before = spark.conf.get(conf)
+    decontaminate.build_index(_documents(spark, 1_500).coalesce(1), ITEMS, rank=4)
+    assert 0 < max(sizes) <= decontaminate.ROWS_AT_ONCE and sum(sizes) == 1_502
+    assert spark.conf.get(conf) == before
