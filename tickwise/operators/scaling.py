@@ -124,12 +124,16 @@ def pca_fit(df: DataFrame, column: str, components: int) -> tuple[np.ndarray, np
 
     def decompose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for factor in _factor_rows(batches):
-            centred = np.stack(factor["v"].to_numpy())[1:, 1:]
+            whole = np.stack(factor["v"].to_numpy())
+            centred = whole[1:, 1:]
             width = centred.shape[1]
             if not 0 < components <= width:
                 raise ValueError(f"{components} components of vectors of width {width}")
             square = np.vstack([centred, np.zeros((max(0, width - len(centred)), width))])
             _, spread, axes = np.linalg.svd(square)
+            # What rounding leaves of equal vectors is no variance.
+            if spread[0] <= 8 * np.finfo(float).eps * np.linalg.norm(whole):
+                spread[:] = 0
             share = spread**2 / max((spread**2).sum(), np.finfo(float).tiny)
             yield pd.DataFrame(
                 {"component": range(components), "loading": list(axes[:components]), "explained": share[:components]})
