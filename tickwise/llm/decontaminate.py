@@ -30,7 +30,6 @@ repeat are found each.
 
 from __future__ import annotations
 
-import contextlib
 import functools
 import re
 from collections.abc import Callable, Iterator
@@ -38,11 +37,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickwise.llm.words import PUNCTUATION, mix, split_words, text_slices
-from tickwise.session import staged
+from tickwise.session import small_batches, staged
 
 Batches = Iterator[pa.RecordBatch]
 TERMS = 1 << 18
@@ -59,7 +58,6 @@ TASK_BLOCKS = 1 << 20
 PASSAGES_AT_ONCE = 4_096
 #: Rows that a pass of the fit hands to Python at once; beside its product a task holds little else.
 ROWS_AT_ONCE = 500
-_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 ITEM_WEIGHT = 4.0
 ITEM_ROWS = 4_000
 COSINE = 0.72
@@ -127,22 +125,11 @@ class Frequencies:
     idf: np.ndarray
 
 
-@contextlib.contextmanager
-def _small_batches(spark: SparkSession) -> Iterator[None]:
-    """Arrow batches of at most ``ROWS_AT_ONCE`` rows for what runs inside."""
-    before = int(spark.conf.get(_BATCH_CONF))
-    spark.conf.set(_BATCH_CONF, str(min(before, ROWS_AT_ONCE) if before > 0 else ROWS_AT_ONCE))
-    try:
-        yield
-    finally:
-        spark.conf.set(_BATCH_CONF, str(before))
-
-
 def frequencies(docs: DataFrame) -> Frequencies:
     """Counts over all blocks of all documents: as many numbers as there are hash values."""
     schema = "chunk long, part binary"
     n, blocks, passages = np.zeros(TERMS, np.int64), 0, 0
-    with _small_batches(docs.sparkSession):
+    with small_batches(docs.sparkSession, ROWS_AT_ONCE):
         found = docs.select("text").mapInArrow(_frequencies, schema).groupBy("chunk").applyInArrow(_counted, schema).collect()
     for r in found:
         own = np.frombuffer(r.part, np.int64)
@@ -451,7 +438,7 @@ def build_index(docs: DataFrame, items: list[tuple], sample_docs: int | None = N
         sampled = _sample(docs, sample_docs)
         rows = own.unionAll(spark.createDataFrame([(t, None, 1.0) for t in sampled], schema)).repartition(4) if sampled else own
         vocabulary = np.unique(np.concatenate([*terms, *[np.frombuffer(t, np.int32) for t in sampled]]))
-    with _small_batches(spark):
+    with small_batches(spark, ROWS_AT_ONCE):
         basis = randomised_basis(rows, idf, vocabulary, rank)
     place = np.full(TERMS, -1, np.int32)
     place[vocabulary] = np.arange(len(vocabulary))

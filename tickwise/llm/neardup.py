@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from tickwise.llm.graph import components, merged
 from tickwise.llm.words import mix, run_hashes, split_words, text_slices, whole_groups
-from tickwise.session import staged
+from tickwise.session import small_batches, staged
 
 SHINGLE = 5
 PERCENT = 80
@@ -47,6 +47,10 @@ BAND_ROWS = 6
 BLOCK = 1024
 #: Shingles on one side of a block, so that its full sets take about 8 MB.
 BLOCK_SHINGLES = 1 << 20
+#: Rows that Arrow hands over at once; a row may hold a text or two sets.
+ROWS_AT_ONCE = 500
+#: Rows of classes that are worth a task.
+TASK_ROWS = 4_096
 _LAST = (1 << 63) - 1
 _ORDER = np.array([np.random.Generator(np.random.PCG64(i)).permutation(BINS) for i in range(BINS)])
 Batches = Iterator[pa.RecordBatch]
@@ -265,29 +269,34 @@ def _settled(percent: int) -> Callable[[Batches], Batches]:
     return run
 
 
+def _dealt(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in no more tasks than ``rows`` rows are worth, but as many as run at once.
+
+    Many partitions of a few rows each would take their time for starting Python and writing files.
+    """
+    return df.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)))
+
+
 class _Links:
     """Candidate pairs to confirmed links, on signatures and sets that are computed once."""
 
     def __init__(self, classes: DataFrame, sets: DataFrame, percent: int):
         self.classes, self.sets, self.percent = classes, sets, percent
+        self.rows = sets.count()
 
-    def estimated(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) that may reach the similarity, with their estimate."""
+    def estimated(self, pairs: DataFrame, rows: int) -> DataFrame:
+        """Pairs (a, b), of which there are at most ``rows``, that may reach the similarity, with their estimate."""
         facts = self.classes.select("c", "n", "marks")
         a, b = (facts.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("marks").alias(f"m{x}")) for x in "ab")
         close = F.lit(100) * F.least("na", "nb") >= F.lit(self.percent) * F.greatest("na", "nb")
-        return (
-            pairs.join(a, "a").join(b, "b").where(close).select("a", "b", "na", "nb", "ma", "mb")
-            .mapInArrow(_estimated(self.percent), "a binary, b binary, e double")
-        )
+        near = pairs.join(a, "a").join(b, "b").where(close).select("a", "b", "na", "nb", "ma", "mb")
+        return _dealt(near, rows).mapInArrow(_estimated(self.percent), "a binary, b binary, e double")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """Links among pairs (a, b), checked on the full sets."""
+        """Links among pairs (a, b), checked on the full sets; a class is ``a`` of one pair only."""
         a, b = (self.sets.select(F.col("c").alias(x), F.col("set").alias(f"s{x}")) for x in "ab")
-        return (
-            pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "sa", "sb")
-            .mapInArrow(_confirmed(self.percent), "a binary, b binary")
-        )
+        full = pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "sa", "sb")
+        return _dealt(full, self.rows).mapInArrow(_confirmed(self.percent), "a binary, b binary")
 
 
 def _mixed(buckets: DataFrame, roots: DataFrame) -> DataFrame:
@@ -313,24 +322,18 @@ def _settle(rest: DataFrame, classes: DataFrame, sets: DataFrame, percent: int)
     strays = wide.where("outside").select(*fields, F.lit(True).alias("stray"), spread(outer).alias("sb"), each(every).alias("mb"))
     rows = members.unionAll(strays.select(members.columns))
     block = ["bucket", "sb", "mb"]
-    near = rows.repartition(*block).sortWithinPartitions(*block).mapInArrow(
-        _candidates(percent), "bucket long, c binary, root binary, n long, outside boolean, marks binary, bands array<long>, stray boolean, sb int, mb int"
+    near = staged(
+        _dealt(rows.repartition(*block).sortWithinPartitions(*block), rest.count()).mapInArrow(
+            _candidates(percent), "bucket long, c binary, root binary, n long, outside boolean, marks binary, bands array<long>, stray boolean, sb int, mb int"
+        ),
+        "near",
     )
-    full = staged(near, "near").join(sets, "c")
-    return full.repartition(*block).sortWithinPartitions(*block).mapInArrow(_settled(percent), "a binary, b binary")
+    full = near.join(sets, "c").repartition(*block).sortWithinPartitions(*block)
+    return _dealt(full, near.count()).mapInArrow(_settled(percent), "a binary, b binary")
 
 
-def near_duplicates(
-    docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id, kept; u, a hash that names the row; first.
-
-    Two documents are linked if their distinct shingles overlap in ``percent`` of the union;
-    component_id is the smallest id that links reach, and kept says that it is the row's own.
-    Of a component's rows only those equal to the smallest by id and hash are ``first``.
-    """
-    i, t = F.col(f"`{id_col}`").cast("long"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    named = docs.select(i.alias("doc_id"), F.coalesce(i, F.lit(_LAST)).alias("d"), F.xxhash64(i, t).alias("u"), t.alias("text"))
+def _linked(named: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(signatures of all rows, (node, root) of the classes that links join)."""
     signed = staged(
         named.mapInArrow(
             _signatures(shingle),
@@ -338,20 +341,22 @@ def near_duplicates(
         ),
         "signatures",
     )
-    classes = staged(
-        signed.where("c IS NOT NULL").groupBy("c", "n")
-        .agg(F.min(F.struct("d", "u")).alias("rep"), F.first("bands").alias("bands"), F.first("marks").alias("marks")),
-        "classes",
+    size = signed.count()
+    classes = signed.where("c IS NOT NULL").groupBy("c", "n").agg(
+        F.min(F.struct("d", "u")).alias("rep"), F.first("bands").alias("bands"), F.first("marks").alias("marks")
     )
+    classes = staged(_dealt(classes, size), "classes")
     banded = classes.select("c", "n", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct(F.xxhash64("c"), "c")).getField("c").alias("centre"))
-    buckets = staged(banded.join(shared.where("k > 1"), "bucket").select("bucket", "c", "n", "centre"), "buckets")
-    wanted = buckets.select("c").distinct().join(classes.select("c", "rep"), "c").select("c", "rep.d", "rep.u")
-    sets = staged(named.join(wanted, ["d", "u"]).select("c", "text").mapInArrow(_sets(shingle), "c binary, set binary").dropDuplicates(["c"]), "sets")
-    links = _Links(classes, sets, percent)
+    buckets = staged(_dealt(banded.join(shared.where("k > 1"), "bucket").select("bucket", "c", "n", "centre"), size), "buckets")
+    # Only classes that share a bucket go on.
+    met = staged(_dealt(buckets.select("c").distinct().join(classes, "c"), size), "met")
+    texts = named.join(met.select("c", "rep.d", "rep.u"), ["d", "u"]).select("d", "u", "c", "text").dropDuplicates(["d", "u"])
+    sets = staged(_dealt(texts.select("c", "text"), met.count()).mapInArrow(_sets(shingle), "c binary, set binary"), "sets")
+    links, held = _Links(met, sets, percent), buckets.count()
 
     rays = buckets.where("c <> centre").select(F.col("c").alias("a"), F.col("centre").alias("b")).distinct()
-    best = links.estimated(rays).groupBy("a").agg(F.max(F.struct("e", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+    best = links.estimated(rays, held).groupBy("a").agg(F.max(F.struct("e", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
     found = staged(links.confirmed(best), "links")
 
     degrees = found.unionAll(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("c")).agg(F.count(F.lit(1)).alias("deg"))
@@ -359,15 +364,31 @@ def near_duplicates(
     mixed = _mixed(buckets, roots).join(degrees, "c", "left").withColumn("deg", F.coalesce("deg", F.lit(0)))
     hubs = mixed.groupBy("bucket").agg(F.max(F.struct("deg", "c", "root")).alias("hub"))
     pairs = mixed.join(hubs, "bucket").where("root <> hub.root").select(F.col("c").alias("a"), F.col("hub.c").alias("b")).distinct()
-    best = links.estimated(pairs).groupBy("a").agg(F.max(F.struct("e", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+    best = links.estimated(pairs, held).groupBy("a").agg(F.max(F.struct("e", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
     found = staged(links.confirmed(best), "links")
     if not found.isEmpty():
         roots = merged(roots, found)
 
-    rest = staged(_mixed(buckets.drop("centre"), roots), "mixed")
-    found = staged(_settle(rest, classes, sets, percent), "links")
+    rest = staged(_dealt(_mixed(buckets.drop("centre"), roots), held), "mixed")
+    found = staged(_settle(rest, met, sets, percent), "links")
     if not found.isEmpty():
         roots = merged(roots, found)
+    return signed, roots
+
+
+def near_duplicates(
+    docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles, component_id, kept; u, a hash that names the row; first.
+
+    Two documents are linked if their distinct shingles overlap in ``percent`` of the union;
+    component_id is the smallest id that links reach, and kept says that it is the row's own.
+    Of a component's rows only those equal to the smallest by id and hash are ``first``.
+    """
+    i, t = F.col(f"`{id_col}`").cast("long"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    named = docs.select(i.alias("doc_id"), F.coalesce(i, F.lit(_LAST)).alias("d"), F.xxhash64(i, t).alias("u"), t.alias("text"))
+    with small_batches(docs.sparkSession, ROWS_AT_ONCE):
+        signed, roots = _linked(named, shingle, percent)
     roots = roots.withColumnRenamed("node", "c")
     placed = signed.select("doc_id", "d", "u", "n", "c").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
     first = placed.groupBy("root").agg(F.min(F.struct("d", "u")).alias("first"))
