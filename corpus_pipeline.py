@@ -8,6 +8,9 @@ A null text has no words: it is scored by its metadata, linked with nothing, con
 item, and is mixed and sharded like others. Rows that repeat an id and a text count as one document
 in de-duplication and as separate documents elsewhere. Extra columns are carried along, whatever
 they are called, except size, shard and slot in the last stage, which are replaced.
+
+Stages that call Python set the session's Arrow batches to at most ``ROWS_AT_ONCE`` rows, since a caller
+writes their rows after they have returned; ``run`` restores the session's own setting.
 """
 
 from __future__ import annotations
@@ -20,11 +23,21 @@ from tickwise.llm.mixing import mix_sources, n_words
 from tickwise.llm.neardup import without_near_duplicates
 from tickwise.llm.quality import fit, only_good
 from tickwise.llm.sharding import shard_documents
-from tickwise.session import staged
+from tickwise.session import BATCH_CONF, small_batches, staged
+
+ROWS_AT_ONCE = 500
+
+
+def _bounded(spark: SparkSession) -> None:
+    """Whole texts pass through Python: by the thousand they would fill an executor's memory on both sides."""
+    before = int(spark.conf.get(BATCH_CONF))
+    if not 0 < before <= ROWS_AT_ONCE:
+        spark.conf.set(BATCH_CONF, str(ROWS_AT_ONCE))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the co-trained classifier rejects."""
+    _bounded(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return only_good(docs, fit(docs, labels))
 
@@ -36,6 +49,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that contain a benchmark item."""
+    _bounded(spark)
     return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -65,6 +79,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), name)
+    with small_batches(spark, ROWS_AT_ONCE):
+        for name, stage in STAGES:
+            docs = staged(stage(spark, docs, sf_dir), name)
     return docs
