@@ -35,10 +35,10 @@ def test_few_rows_make_few_files_and_small_batches(spark, monkeypatch):
 
     monkeypatch.setattr(neardup, "staged", counting)
     rows = _copies(200)
-    before = _conf(spark, {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"})
+    before = _conf(spark, {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false", BATCH_CONF: "9000"})
     try:
         got = neardup.near_duplicates(spark.createDataFrame(rows, DOCS).repartition(4), 4).collect()
-        assert spark.conf.get(BATCH_CONF) != str(neardup.ROWS_AT_ONCE)
+        assert spark.conf.get(BATCH_CONF) == "9000"
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
