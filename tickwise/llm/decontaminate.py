@@ -64,6 +64,8 @@ COSINE = 0.72
 COVER = 0.6
 ANSWER = 0.5
 TERM_CHUNK = 4_096
+#: Partitions in which the driver fetches a pass's sums, about 1 MB a chunk.
+FETCHES = 32
 HEAD = 5
 
 
@@ -306,7 +308,8 @@ def randomised_basis(rows: DataFrame, idf: np.ndarray, vocabulary: np.ndarray, r
         y = np.zeros((len(vocabulary), width), np.float32) if x is None else x
         inner, outer = np.zeros((width, width)), np.zeros((width, width))
         seen = set()
-        for p in parts.groupBy("chunk").applyInArrow(_summed, schema).toLocalIterator():
+        # The driver fetches a partition at once. With their number given, few chunks stay in each.
+        for p in parts.repartition(FETCHES, "chunk").groupBy("chunk").applyInArrow(_summed, schema).toLocalIterator():
             own = np.frombuffer(p.part, np.float32).reshape(-1, width)
             mine = y[p.chunk : p.chunk + len(own)]
             inner += mine.T.astype(float) @ own

@@ -277,6 +277,11 @@ def _dealt(df: DataFrame, rows: int) -> DataFrame:
     return df.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)))
 
 
+def _met(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join that broadcasts neither side: near-dedup has many, and the driver would hold a table for each."""
+    return left.join(right.hint("merge"), on, how)
+
+
 class _Links:
     """Candidate pairs to confirmed links, on signatures and sets that are computed once."""
 
@@ -289,29 +294,29 @@ class _Links:
         facts = self.classes.select("c", "n", "marks")
         a, b = (facts.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("marks").alias(f"m{x}")) for x in "ab")
         close = F.lit(100) * F.least("na", "nb") >= F.lit(self.percent) * F.greatest("na", "nb")
-        near = pairs.join(a, "a").join(b, "b").where(close).select("a", "b", "na", "nb", "ma", "mb")
+        near = _met(_met(pairs, a, "a"), b, "b").where(close).select("a", "b", "na", "nb", "ma", "mb")
         return _dealt(near, rows).mapInArrow(_estimated(self.percent), "a binary, b binary, e double")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """Links among pairs (a, b), checked on the full sets; a class is ``a`` of one pair only."""
         a, b = (self.sets.select(F.col("c").alias(x), F.col("set").alias(f"s{x}")) for x in "ab")
-        full = pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "sa", "sb")
+        full = _met(_met(pairs.select("a", "b"), a, "a"), b, "b").select("a", "b", "sa", "sb")
         return _dealt(full, self.rows).mapInArrow(_confirmed(self.percent), "a binary, b binary")
 
 
 def _mixed(buckets: DataFrame, roots: DataFrame) -> DataFrame:
     """Rows (bucket, c, n, root) of buckets that hold several components, with their main one."""
-    named = buckets.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    named = _met(buckets, roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     counts = named.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("w"))
     mixed = counts.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("parts"), F.sum("k").alias("size"), F.sum("w").alias("weight"), F.max(F.struct("k", "root", "w")).alias("m"),
     ).where("parts > 1")
-    return named.join(mixed, "bucket").withColumn("main", F.col("m.root"))
+    return _met(named, mixed, "bucket").withColumn("main", F.col("m.root"))
 
 
 def _settle(rest: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between components that still share a bucket; ``rest`` is of ``_mixed``."""
-    wide = rest.withColumn("outside", F.col("root") != F.col("main")).join(classes.select("c", "marks", "bands"), "c")
+    wide = _met(rest.withColumn("outside", F.col("root") != F.col("main")), classes.select("c", "marks", "bands"), "c")
     blocks = lambda size, weight: F.ceil(F.greatest(size / BLOCK, weight / BLOCK_SHINGLES)).cast("int")
     outer = blocks(F.col("size") - F.col("m.k"), F.col("weight") - F.col("m.w"))
     every = blocks(F.col("size"), F.col("weight"))
@@ -328,7 +333,7 @@ def _settle(rest: DataFrame, classes: DataFrame, sets: DataFrame, percent: int)
         ),
         "near",
     )
-    full = near.join(sets, "c").repartition(*block).sortWithinPartitions(*block)
+    full = _met(near, sets, "c").repartition(*block).sortWithinPartitions(*block)
     return _dealt(full, near.count()).mapInArrow(_settled(percent), "a binary, b binary")
 
 
@@ -348,10 +353,10 @@ def _linked(named: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, Da
     classes = staged(_dealt(classes, size), "classes")
     banded = classes.select("c", "n", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct(F.xxhash64("c"), "c")).getField("c").alias("centre"))
-    buckets = staged(_dealt(banded.join(shared.where("k > 1"), "bucket").select("bucket", "c", "n", "centre"), size), "buckets")
+    buckets = staged(_dealt(_met(banded, shared.where("k > 1"), "bucket").select("bucket", "c", "n", "centre"), size), "buckets")
     # Only classes that share a bucket go on.
-    met = staged(_dealt(buckets.select("c").distinct().join(classes, "c"), size), "met")
-    texts = named.join(met.select("c", "rep.d", "rep.u"), ["d", "u"]).select("d", "u", "c", "text").dropDuplicates(["d", "u"])
+    met = staged(_dealt(_met(buckets.select("c").distinct(), classes, "c"), size), "met")
+    texts = _met(named, met.select("c", "rep.d", "rep.u"), ["d", "u"]).select("d", "u", "c", "text").dropDuplicates(["d", "u"])
     sets = staged(_dealt(texts.select("c", "text"), met.count()).mapInArrow(_sets(shingle), "c binary, set binary"), "sets")
     links, held = _Links(met, sets, percent), buckets.count()
 
@@ -361,9 +366,9 @@ def _linked(named: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, Da
 
     degrees = found.unionAll(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("c")).agg(F.count(F.lit(1)).alias("deg"))
     roots = components(found)
-    mixed = _mixed(buckets, roots).join(degrees, "c", "left").withColumn("deg", F.coalesce("deg", F.lit(0)))
+    mixed = _met(_mixed(buckets, roots), degrees, "c", "left").withColumn("deg", F.coalesce("deg", F.lit(0)))
     hubs = mixed.groupBy("bucket").agg(F.max(F.struct("deg", "c", "root")).alias("hub"))
-    pairs = mixed.join(hubs, "bucket").where("root <> hub.root").select(F.col("c").alias("a"), F.col("hub.c").alias("b")).distinct()
+    pairs = _met(mixed, hubs, "bucket").where("root <> hub.root").select(F.col("c").alias("a"), F.col("hub.c").alias("b")).distinct()
     best = links.estimated(pairs, held).groupBy("a").agg(F.max(F.struct("e", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
     found = staged(links.confirmed(best), "links")
     if not found.isEmpty():
@@ -390,11 +395,11 @@ def near_duplicates(
     with small_batches(docs.sparkSession, ROWS_AT_ONCE):
         signed, roots = _linked(named, shingle, percent)
     roots = roots.withColumnRenamed("node", "c")
-    placed = signed.select("doc_id", "d", "u", "n", "c").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
+    placed = _met(signed.select("doc_id", "d", "u", "n", "c"), roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
     first = placed.groupBy("root").agg(F.min(F.struct("d", "u")).alias("first"))
     low = F.coalesce("first.d", "d")
     component = F.when(low != _LAST, low)
-    return placed.join(first, "root", "left").select(
+    return _met(placed, first, "root", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
         F.col("doc_id").eqNullSafe(component).alias("kept"), "u",
         F.coalesce(F.struct("d", "u") == F.col("first"), F.lit(True)).alias("first"),
@@ -413,4 +418,4 @@ def without_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: in
     stay = near_duplicates(worded, shingle, percent, id_col, text_col).where("first").select("u").distinct()
     # Repeats are dropped before the shuffle where they lie, and only then by hash.
     rows = worded.select(F.xxhash64(i, t).alias("u"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).dropDuplicates(["u"])
-    return rows.join(stay, "u").select("row.*").unionAll(docs.where(~filled))
+    return _met(rows, stay, "u").select("row.*").unionAll(docs.where(~filled))

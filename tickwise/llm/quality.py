@@ -45,6 +45,7 @@ TRUST = 0.98
 PSEUDO_WEIGHT = 0.3
 PSEUDO_ROWS = 400
 THRESHOLD = 0.5
+ENTRIES_AT_ONCE = 1 << 17
 VIEWS = ("text", "lang", "source", "n_chars")
 _ALPHA = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
 _UPPER = np.array([65 <= b <= 90 for b in range(256)])
@@ -132,15 +133,30 @@ class _Rows:
     """Sparse binary rows: features of all rows behind each other, numbered as they occur here."""
 
     def __init__(self, packed: list[bytes]):
-        arrays = [np.frombuffer(p, np.int32) for p in packed]
-        self.size = np.array([len(a) for a in arrays], np.int64)
+        self.size = np.array([len(p) // 4 for p in packed], np.int64)
         self.first = np.r_[0, np.cumsum(self.size)]
-        self.names, flat = np.unique(np.concatenate(arrays) if arrays else np.empty(0, np.int32), return_inverse=True)
-        self.flat = flat.astype(np.int32)
-        self.row = np.repeat(np.arange(len(arrays)), self.size)
+        seen = np.zeros(BUCKETS, bool)
+        for p in packed:
+            seen[np.frombuffer(p, np.int32)] = True
+        self.names = np.flatnonzero(seen).astype(np.int32)
+        place = np.empty(int(self.names[-1]) + 1 if len(self.names) else 0, np.int32)
+        place[self.names] = np.arange(len(self.names), dtype=np.int32)
+        self.flat = np.empty(int(self.first[-1]), np.int32)
+        for p, lo, hi in zip(packed, self.first[:-1], self.first[1:], strict=True):
+            self.flat[lo:hi] = place[np.frombuffer(p, np.int32)]
+        self.row = np.repeat(np.arange(len(packed), dtype=np.int32), self.size)
+
+    def parts(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(row, feature) of the entries in their order, some at a time: the driver holds few of them as wide numbers."""
+        for lo in range(0, len(self.flat), ENTRIES_AT_ONCE):
+            part = slice(lo, lo + ENTRIES_AT_ONCE)
+            yield self.row[part].astype(np.int64), self.flat[part].astype(np.int64)
 
     def sums(self, weights: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, weights=weights[self.flat], minlength=len(self.size))
+        out = np.zeros(len(self.size))
+        for row, flat in self.parts():
+            np.add.at(out, row, weights[flat])
+        return out
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -167,9 +183,12 @@ def fit_view(rows: _Rows, use: np.ndarray, y: np.ndarray, weight: np.ndarray, ri
     A feature is used if its log odds differ from 0 by ``LEAST_Z`` deviations, the clearest first.
     """
     buckets = len(rows.names)
-    w = np.where(use, weight, 0.0)[rows.row]
-    positive = np.bincount(rows.flat, weights=w * y[rows.row], minlength=buckets)
-    every = np.bincount(rows.flat, weights=w, minlength=buckets)
+    used = np.where(use, weight, 0.0)
+    positive, every = np.zeros(buckets), np.zeros(buckets)
+    for row, flat in rows.parts():
+        w = used[row]
+        np.add.at(positive, flat, w * y[row])
+        np.add.at(every, flat, w)
     all_pos, all_ = float((weight * y * use).sum()), float((weight * use).sum())
     a, b = positive + 0.5, every - positive + 0.5
     c, d = all_pos - positive + 0.5, all_ - all_pos - (every - positive) + 0.5
@@ -180,9 +199,13 @@ def fit_view(rows: _Rows, use: np.ndarray, y: np.ndarray, weight: np.ndarray, ri
     out = np.zeros(buckets)
     place = np.full(buckets, -1, np.int64)
     place[top] = np.arange(len(top))
-    local = place[rows.flat]
-    keep = (local >= 0) & use[rows.row]
-    r, f = rows.row[keep], local[keep]
+    kept = []
+    for row, flat in rows.parts():
+        local = place[flat]
+        keep = (local >= 0) & use[row]
+        kept.append((row[keep].astype(np.int32), local[keep].astype(np.int32)))
+    r, f = (np.concatenate([k[i] for k in kept] or [np.empty(0, np.int32)]).astype(np.int64) for i in (0, 1))
+    del kept
     coef, bias = np.zeros(len(top)), float(np.log((all_pos + 1) / (all_ - all_pos + 1)))
     speed_c, speed_b = np.full(len(top), 1e-8), 1e-8
     n = len(rows.size)
@@ -290,7 +313,10 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     found.sort(key=lambda r: (r.order, r.text_f, r.meta_f))
     target = np.array([-1 if r.bad is None else r.bad for r in found], np.int64)
     owner = np.array([r.order for r in found], np.int64)
-    return co_train(_Rows([r.text_f for r in found]), _Rows([r.meta_f for r in found]), target, owner, rounds)
+    text, meta = _Rows([r.text_f for r in found]), _Rows([r.meta_f for r in found])
+    # The collected rows are no longer needed while both views are fitted.
+    del found
+    return co_train(text, meta, target, owner, rounds)
 
 
 def _score(model, threshold: float) -> Callable[[Batches], Batches]:
