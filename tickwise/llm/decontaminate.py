@@ -176,6 +176,19 @@ def _rows_times(x: np.ndarray, at: np.ndarray, v: np.ndarray) -> np.ndarray:
     return out
 
 
+def _rows_of(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the rows of ``x`` that ``at`` names, once each and in single precision, ``at`` as numbers among these).
+
+    A row is named many times; widened here, it is not widened again for each of them.
+    """
+    named = np.zeros(len(x), bool)
+    named[at.ravel()] = True
+    rows = np.flatnonzero(named)
+    number = np.empty(len(x), np.int32)
+    number[rows] = np.arange(len(rows), dtype=np.int32)
+    return x[rows].astype(np.float32), number[at]
+
+
 def _add_transposed(out: np.ndarray, z: np.ndarray, at: np.ndarray, v: np.ndarray) -> None:
     """Add ``v`` times row p of ``z`` to row ``at`` of ``out`` for each place in row p of ``at``.
 
@@ -261,7 +274,8 @@ def _product(shipped, width: int) -> Callable[[Batches], Batches]:
             v = np.where(grid >= 0, idf[grid], np.float32(0))
             v *= (weight / np.maximum(1e-12, np.sqrt(np.einsum("ij,ij->i", v, v))))[:, None].astype(np.float32)
             at = np.where(grid >= 0, place[grid], 0)
-            _add_transposed(out, _rows_times(x, at, v), at, v)
+            rows, local = _rows_of(x, at)
+            _add_transposed(out, _rows_times(rows, local, v), at, v)
         # One chunk to a batch, so that neither side holds a second copy of all of them.
         for c in range(0, len(out), TERM_CHUNK):
             if out[c : c + TERM_CHUNK].any():
